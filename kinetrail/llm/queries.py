@@ -8,6 +8,36 @@ from pyspark.sql import functions as F
 from kinetrail.llm.common import read
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinetrail.llm.line_dedup import line_dedup
+
+    found = line_dedup(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1, whose two texts are control strings themselves."""
+    from kinetrail.llm.chat_format import chat_format, formatted, loss_text, read_back
+
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    done = chat_format(rows.unionByName(planted)).withColumn("formatted", formatted(F.col("segments")))
+    turns = read_back(F.col("formatted"))
+    done = done.select("conv_id", "valid", "formatted", turns.alias("turns"), loss_text(F.col("segments")).alias("loss_text"))
+    return done.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinetrail.llm.quality_rules import quality_verdicts
 
@@ -21,7 +51,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_quality_rules, op5_chat_format, op9_exact_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
