@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,12 +39,32 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    from kinetrail.llm.packing import pack
+
+    return pack(read(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinetrail.llm.quality_rules import quality_verdicts
 
     return quality_verdicts(read(spark, sf_dir, "documents"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    from kinetrail.llm.byte_bpe import bpe_digests
+
+    path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe_digests(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinetrail.llm.simhash import near_groups
+
+    found = near_groups(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinetrail.llm.exact_dedup import digest_groups
 
@@ -51,7 +72,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_quality_rules, op5_chat_format, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_packing, op4_quality_rules, op5_chat_format, op7_byte_bpe, op8_simhash, op9_exact_dedup)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
