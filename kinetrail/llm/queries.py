@@ -39,6 +39,14 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinetrail.llm.toxicity import held_out_fifth, score, train
+
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    found = score(docs, train(docs, labels, held_out=held_out_fifth()))
+    return found.select("doc_id", held_out_fifth().alias("held_out"), "score", "predicted")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     from kinetrail.llm.packing import pack
 
@@ -51,6 +59,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinetrail.llm.license_scan import license_scan
+
+    return license_scan(read(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     from kinetrail.llm.byte_bpe import bpe_digests
 
@@ -72,7 +86,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_packing, op4_quality_rules, op5_chat_format, op7_byte_bpe, op8_simhash, op9_exact_dedup)}
+def op10_language_id(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    from kinetrail.llm.language_id import held_out_quarter, predict, train
+
+    docs = read(spark, sf_dir, "documents")
+    model = train(docs, vocabulary or public_tokenizers.path("piece_bpe_32k.model"), held_out=held_out_quarter())
+    return predict(docs, model).select("doc_id", held_out_quarter().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_packing, op4_quality_rules, op5_chat_format, op6_license_scan, op7_byte_bpe, op8_simhash, op9_exact_dedup, op10_language_id)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
