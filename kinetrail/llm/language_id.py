@@ -274,3 +274,21 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
 def held_out_quarter(id_col: str = "doc_id"):
     return crc32_mod(quoted(id_col), 4) == 2
+
+
+def language_filter(docs: DataFrame, model: LanguageModel, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text is in one of the model's languages with a posterior of ``min_score`` or more.
+
+    Without any learned language all rows stay: there is nothing to judge by.
+    """
+    if not model.languages:
+        return docs
+    at, shared, vocabulary = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(model.table), model.vocabulary
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        scorer = Scorer(_load(vocabulary), shared.value)
+        for part, texts in blocks(batches, at):
+            keep = [v is not None and 1 / np.exp(v - v.max()).sum() >= min_score for v in scorer.score(texts)]
+            yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

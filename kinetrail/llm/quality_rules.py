@@ -65,15 +65,15 @@ def document_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     places = F.array_distinct(F.flatten(F.transform(F.flatten(pairs), lambda i: F.array(i, i + 1, i + 2))))
     lines = F.filter(F.split(F.col(t), "\n"), lambda x: F.btrim(x, F.lit(WS)) != "")
     distinct_lines = F.size(F.array_distinct(lines))
-    counted = df.select(
-        *[quoted(c) for c in keep],
+    counts = F.struct(
         F.size(words).cast("long").alias("n_words"),
         (F.char_length(t) - F.regexp_count(t, F.lit(_SPACE))).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size(lines) - distinct_lines).cast("long").alias("n_dup_lines"),
         F.when(F.col(order).isNull(), F.lit(0)).otherwise(F.size(places)).cast("long").alias("n_repeat_words"),
     )
-    return counted
+    # the generator keeps later filters above it: pushed below, they would repeat all of this within its own lambdas
+    return df.select(*[quoted(c) for c in keep], F.inline(F.array(counts)))
 
 
 def base_failed(min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> Column:

@@ -162,3 +162,170 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+# --- Near-dedup by similarity -------------------------------------------------------------------------------------
+#
+# At a Jaccard similarity of 0.8, fingerprints of 64 bits differ in ten bits and more, too many for the pigeonhole on
+# 64 bits. The same scheme then takes longer fingerprints: two texts of cosine c differ in a share arccos(c) / pi of
+# the bits, so a block of b bits is equal with a known chance, and enough blocks make it near certain that some block
+# is. b follows the logarithm of the number of rows, so chance meetings stay few at any size; the number of blocks
+# follows from b and RECALL, which is therefore the same at any size.
+
+SIMILARITY = 0.8
+SHINGLE = 5
+RECALL = 0.97
+#: Words of 64 bits, apart from the blocks, that rows carry for a first check within a block's bucket.
+CHECK_WORDS = 2
+
+
+def differing_share(similarity: float) -> float:
+    """The expected share of differing bits at a Jaccard similarity (sets of like size)."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def plan(n_rows: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
+    """(bits in a block, number of blocks)."""
+    bits = min(40, max(16, int(np.ceil(np.log2(max(2, n_rows))))))
+    same = (1 - differing_share(similarity)) ** bits
+    return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - same)))
+
+
+def long_fingerprint(text: str | None, n: int, words: int) -> np.ndarray:
+    """A fingerprint of ``words`` times 64 bits: each word takes other bits of each shingle's mixed hash."""
+    hashes = shingle_hashes(text, n)
+    ones = np.zeros((words, 64), np.int64)
+    salts = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    step = max(1, 100_000 // words)
+    for part in np.split(hashes, range(step, len(hashes), step)):
+        mixed = part[:, None] ^ salts
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            mixed = (mixed ^ mixed >> np.uint64(shift)) * np.uint64(times)
+        mixed ^= mixed >> np.uint64(31)
+        bits = np.unpackbits(mixed.astype("<u8").view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+        ones += bits.sum(0, dtype=np.int64).reshape(words, 64)
+    return np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def tree(group: np.ndarray, checks: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of a minimum spanning forest, by differing bits, over pairs of one group within ``most`` bits.
+
+    At every threshold these links connect what all links would; a group of n rows gives at most n - 1.
+    """
+    n = len(group)
+    at, step, held = np.arange(n), 1, []
+    while True:
+        at = at[at + step < n]
+        at = at[group[at] == group[at + step]]
+        if not len(at):
+            break
+        far = np.bitwise_count(checks[at] ^ checks[at + step]).sum(1)
+        near = far <= most
+        held.append((far[near].astype(np.uint8), at[near].astype(np.int32), (at[near] + step).astype(np.int32)))
+        step += 1
+    if not held:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    far, a, b = (np.concatenate(x) for x in zip(*held))
+    parent = np.arange(n)
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out: list[tuple[int, int]] = []
+    for level in np.unique(far).tolist():
+        mine = far == level
+        x, y = a[mine], b[mine]
+        while not np.array_equal(parent, up := parent[parent]):
+            parent[:] = up
+        apart = parent[x] != parent[y]
+        x, y = x[apart], y[apart]
+        ends = np.sort(np.stack([parent[x], parent[y]]), axis=0)
+        _, first = np.unique(ends[0].astype(np.int64) * n + ends[1], return_index=True)
+        for i, j in zip(x[first].tolist(), y[first].tolist()):
+            p, q = root(i), root(j)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                out.append((i, j))
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, tile: int = TILE) -> DataFrame:
+    """(node, root) of rows that are near copies of others: texts whose n-word shingles are ``similarity`` alike.
+
+    Ids are whole numbers; rows with a null id take no part.
+    """
+    rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text")).where("id is not null")
+    bits, tables = plan(rows.select("id").count(), similarity, recall)
+    words = -(-bits * tables // 64) + CHECK_WORDS
+
+    def mark(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            fps = [long_fingerprint(t.as_py(), n, words).astype("<u8").tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["id", "fp"])
+
+    fps = stage(rows.mapInArrow(mark, "id long, fp binary"), "long-fingerprints")
+
+    def deal(batches: Iterator[pa.RecordBatch]):
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+                fp = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8").reshape(-1, words)
+                own = np.unpackbits(np.ascontiguousarray(fp[:, CHECK_WORDS:]).view(np.uint8), axis=1, bitorder="little")
+                keys = own[:, : bits * tables].reshape(len(fp), tables, bits) @ weights | np.arange(tables, dtype=np.int64) << 48
+                ids = np.repeat(part.column(0).to_numpy(), tables)
+                checks = [np.repeat(fp[:, i].astype(np.int64), tables) for i in range(CHECK_WORDS)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), ids, *checks)], ["key", "id", *(f"c{i}" for i in range(CHECK_WORDS))])
+
+    dealt = fps.mapInArrow(deal, "key long, id long, " + ", ".join(f"c{i} long" for i in range(CHECK_WORDS)))
+    large = dealt.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
+    large = stage(large, "large-buckets")
+    dealt = dealt.join(large, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    checks = [f"c{i}" for i in range(CHECK_WORDS)]
+    dealt = dealt.select("key", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), "id", *checks)
+    dealt = dealt.repartition("key", "t", "u").sortWithinPartitions("key", "t", "u", "id")
+    share, size = differing_share(similarity), 64 * CHECK_WORDS
+    most = int(np.ceil(size * share + 2.5 * np.sqrt(size * share * (1 - share))))
+
+    def link(batches: Iterator[pa.RecordBatch]):
+        rest = None
+        for batch in batches:
+            cols = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+            if rest is not None:
+                cols = [np.concatenate(x) for x in zip(rest, cols)]
+            if not len(cols[0]):
+                continue
+            new = np.concatenate(([True], np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:3]])))
+            last = int(np.flatnonzero(new)[-1])
+            rest = [c[last:] for c in cols]
+            yield linked(np.cumsum(new)[:last], [c[:last] for c in cols[3:]])
+        if rest is not None:
+            yield linked(np.zeros(len(rest[0]), np.int64), rest[3:])
+
+    def linked(group: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = tree(group, np.stack(cols[1:], 1).astype(np.int64).view(np.uint64), most)
+        pair = np.sort(np.stack([cols[0][a], cols[0][b]]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+
+    pairs = dealt.mapInArrow(link, "a long, b long").where("a <> b").distinct()
+    sides = pairs.join(fps.select(F.col("id").alias("a"), F.col("fp").alias("x")), "a").join(fps.select(F.col("id").alias("b"), F.col("fp").alias("y")), "b")
+    total = 64 * words
+    bound = int(total * share + np.sqrt(total * share * (1 - share)))
+
+    def verify(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(-1, words) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= bound))
+
+    good = sides.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    return connected_components(good)
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of near copies those with its smallest id."""
+    gone = similar_groups(docs, id_col, text_col, **how).where("node <> root").select(F.col("node").alias("kt_gone"))
+    return docs.join(gone, docs[id_col].cast("long") == gone["kt_gone"], "left_anti")
