@@ -174,7 +174,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 SIMILARITY = 0.8
 SHINGLE = 5
-RECALL = 0.97
+RECALL = 0.99
 #: Words of 64 bits, apart from the blocks, that rows carry for a first check within a block's bucket.
 CHECK_WORDS = 2
 
