@@ -42,6 +42,8 @@ WINDOW = 4096
 END_ID = 2
 MAX_QUEUES = 255
 CACHE_WORDS = 500_000
+#: A word of Latin-1 letters with plain punctuation behind it: the tokenizer lowers the word and cuts it off there.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: Separators that str.split takes for white space and the tokenizer doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -58,6 +60,16 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.cache: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            flat = np.fromiter((x for e in ids for x in e), self.kind).tobytes()
+            width, at = int(self.kind[-1]), 0
+            for w, e in zip(part, ids):
+                into[w] = flat[at : (at := at + len(e) * width)]
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         cut = [[t] if _ODD.search(t) else t.split() for t in texts]
@@ -65,11 +77,20 @@ class WordTokenizer:
         if len(self.cache) + len(new) > CACHE_WORDS:
             new = set().union(*cut)
             self.cache.clear()
-        new = list(new)
-        for i in range(0, len(new), 20_000):
-            words = new[i : i + 20_000]
-            for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, self.kind).tobytes()
+        if len(self.stems) > CACHE_WORDS:
+            self.stems.clear()
+        plain, rest = [], []
+        for w in new:  # forms of one word (case, punctuation) share its ids
+            m = _PLAIN.fullmatch(w)
+            if m:
+                plain.append((w, m[1].lower(), m[2]))
+            else:
+                rest.append(w)
+        self._learn(list({x for _, stem, mark in plain for x in (stem, mark)} - self.stems.keys()), self.stems)
+        self._learn(rest, self.cache)
+        stems = self.stems
+        for w, stem, mark in plain:
+            self.cache[w] = stems[stem] + stems[mark]
         get, last = self.cache.__getitem__, np.array([end], self.kind).tobytes()
         return [b"".join([*map(get, words), last]) for words in cut]
 
