@@ -205,14 +205,17 @@ def timestamp_consistency(df: DataFrame, by: list[str], time: str, order: str) -
     return steps.where("d is not null").groupBy(*by).agg(F.when(F.max("m").isNull(), F.lit(0.0)).otherwise((rises + steady) / 2).alias("consistency"))
 
 
-def robust_z(df: DataFrame, by: list[str], value: str, into: str = "z") -> DataFrame:
-    """0.6745 (x - median) / MAD; if the MAD is 0 the plain z-score, if the spread is 0 too then 0. NULL stays NULL."""
-    mid = df.groupBy(*by).agg(quantile(value, 0.5).alias("_m"), F.avg(value).alias("_a"), F.stddev_pop(value).alias("_s"))
-    df = df.join(mid, by)
-    mad = df.groupBy(*by).agg(quantile(F.abs(F.col(value) - F.col("_m")), 0.5).alias("_d"))
-    df = df.join(mad, by)
-    z = F.when(F.col("_d") > EPS, 0.6745 * (F.col(value) - F.col("_m")) / F.col("_d")).when(F.col("_s") > EPS, (F.col(value) - F.col("_a")) / F.col("_s")).when(F.col(value).isNotNull(), F.lit(0.0))
-    return df.withColumn(into, z).drop("_m", "_a", "_s", "_d")
+def robust_z(df: DataFrame, by: list[str], values: dict[str, str]) -> DataFrame:
+    """``values``: {column: name of its z}. 0.6745 (x - median) / MAD; if the MAD is 0 the plain z-score, if the spread is 0
+    too then 0. NULL stays NULL. All columns share the two aggregates.
+    """
+    mids = [x for c_ in values for x in (quantile(c_, 0.5).alias(f"_m_{c_}"), F.avg(c_).alias(f"_a_{c_}"), F.stddev_pop(c_).alias(f"_s_{c_}"))]
+    df = df.join(df.groupBy(*by).agg(*mids), by)
+    df = df.join(df.groupBy(*by).agg(*[quantile(F.abs(F.col(c_) - F.col(f"_m_{c_}")), 0.5).alias(f"_d_{c_}") for c_ in values]), by)
+    for c_, z in values.items():
+        m, a, s, d = (F.col(f"_{k}_{c_}") for k in "masd")
+        df = df.withColumn(z, F.when(d > EPS, 0.6745 * (F.col(c_) - m) / d).when(s > EPS, (F.col(c_) - a) / s).when(F.col(c_).isNotNull(), F.lit(0.0)))
+    return df.drop(*[f"_{k}_{c_}" for k in "masd" for c_ in values])
 
 
 def anomaly_quality(df: DataFrame, by: list[str], order: list[str], value: str, bound: float = 3.5) -> DataFrame:
@@ -220,8 +223,7 @@ def anomaly_quality(df: DataFrame, by: list[str], order: list[str], value: str,
     w = W.partitionBy(*by).orderBy(*order)
     v, (a, b, d) = F.col(value), [F.lag(value, i).over(w) for i in (1, 2, 3)]
     steps = df.select(*by, F.row_number().over(w).alias("i"), F.abs(v - a).alias("s1"), F.abs(v - 2 * a + b).alias("s2"), F.abs(v - 3 * a + 3 * b - d).alias("s3"))
-    for i in (1, 2, 3):
-        steps = robust_z(steps, by, f"s{i}", f"z{i}")
+    steps = robust_z(steps, by, {"s1": "z1", "s2": "z2", "s3": "z3"})
     odd = F.coalesce(F.abs("z1") > bound, F.lit(False)) | F.coalesce(F.abs("z2") > bound, F.lit(False)) | F.coalesce(F.abs("z3") > bound, F.lit(False))
     share = F.avg(F.when(F.col("i") > 1, odd.cast("double")))
     return steps.groupBy(*by).agg(F.when(F.count("*") >= 4, 1 - share).alias("anomaly_quality"))
