@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinetrail.functions.columns import clip, mean_of, quantile, safe_ratio, share_present
@@ -43,25 +44,51 @@ def alignment_quality(df: DataFrame, offsets_ms: list[str], bound_ms: float = 50
     return df.withColumn("C16", clip(1 - mean_of(*offsets_ms) / bound_ms))
 
 
-def event_indicators(df: DataFrame, by: list[str], order: list[str], kind: str, value: str) -> DataFrame:
-    """Six indicators that need only one channel and its timestamps, one row a trajectory."""
-    c8 = T.anomaly_quality(df, by, order, value).withColumnRenamed("anomaly_quality", "C8_anomaly")
-    c10 = T.noise_quality(df, by, order, value).withColumnRenamed("noise_quality", "C10_noise")
-    c11 = T.timestamp_consistency(df.withColumn("_o", F.struct(*order)), by, order[0], "_o").withColumnRenamed("consistency", "C11_timestamps")
-    c12 = S.category_entropy(df, kind, by).withColumnRenamed("entropy", "C12_scene_entropy")
-    states = T.tercile_states(df, by, value).withColumn("_o", F.struct(*order))
-    c14 = T.state_features(states, by, "_o").select(*by, (F.col("entropy") / F.ln(F.lit(3.0))).alias("C14_skill"))
-    c18 = activity(df, by, order, value)
-    found = c8
-    for other in (c10, c11, c12, c14, c18):  # all partition by the same key
-        found = found.join(other, by, "left")
-    return found
+def event_indicators(df: DataFrame, by: list[str], order: list[str], kind: str, value: str, bound: float = 3.5) -> DataFrame:
+    """Six indicators that need only one channel and its timestamps, one row a trajectory.
+
+    Equal to :mod:`timeseries`' single operators, but fused: one sorted window gives all differences, and three
+    aggregates on the same key follow (centres, deviations from them, shares), so rows are shuffled once.
+    """
+    w = W.partitionBy(*by).orderBy(*order)
+    v, (a, b, d) = F.col(value), [F.lag(value, i).over(w) for i in (1, 2, 3)]
+    steps = df.select(
+        *by, v.alias("v"), F.row_number().over(w).alias("i"), (F.col(order[0]) - F.lag(order[0]).over(w)).cast("double").alias("dt"),
+        (v - F.avg(v).over(W.partitionBy(*by))).alias("c"), (v - 2 * a + b).alias("d2"),
+        F.abs(v - a).alias("s1"), F.abs(v - 2 * a + b).alias("s2"), F.abs(v - 3 * a + 3 * b - d).alias("s3"),
+    )
+    signals = ("s1", "s2", "s3")
+    centres = steps.groupBy(*by).agg(
+        F.count("*").alias("n"), quantile("v", [0.333, 0.667]).alias("q"), quantile(F.when(F.col("dt") > 0, F.col("dt")), 0.5).alias("mt"),
+        *[x for s in signals for x in (quantile(s, 0.5).alias(f"m_{s}"), F.avg(s).alias(f"a_{s}"), F.stddev_pop(s).alias(f"p_{s}"))],
+    )
+    steps = steps.join(centres, by)
+    steps = steps.join(steps.groupBy(*by).agg(*[quantile(F.abs(F.col(s) - F.col(f"m_{s}")), 0.5).alias(f"d_{s}") for s in signals]), by)
+
+    def far(s: str):
+        x, m, a, p, d = (F.col(f"{k}{s}") for k in ("", "m_", "a_", "p_", "d_"))
+        z = F.when(d > 1e-12, 0.6745 * (x - m) / d).when(p > 1e-12, (x - a) / p)
+        return F.coalesce(F.abs(z) > bound, F.lit(False))
+
+    share = lambda cond: F.avg(cond.cast("double"))
+    low, high, later = F.col("v") <= F.col("q")[0], F.col("v") > F.col("q")[1], F.col("i") > 1
+    entropy = lambda r: F.when(r > 0, -r * F.ln(r)).otherwise(F.lit(0.0))
+    long = F.max("n") >= 4
+    energy, second = F.coalesce(F.sum(F.col("c") * F.col("c")), F.lit(0.0)), F.coalesce(F.sum(F.col("d2") * F.col("d2")), F.lit(0.0))
+    rises = F.col("dt") > 0
+    steady = rises & F.coalesce(F.col("dt") <= 3 * F.col("mt"), F.lit(False))
+    found = steps.groupBy(*by).agg(
+        F.when(long, 1 - F.avg(F.when(later, (far("s1") | far("s2") | far("s3")).cast("double")))).alias("C8_anomaly"),
+        F.when(~long, None).when(energy <= 1e-12, F.lit(1.0)).otherwise(1 - second / F.nullif(second + energy, F.lit(0.0))).alias("C10_noise"),
+        F.when(F.max("n") < 2, None).when(F.max("mt").isNull(), F.lit(0.0)).otherwise((share(rises) + F.avg(F.when(F.col("dt").isNotNull(), steady.cast("double")))) / 2).alias("C11_timestamps"),
+        ((entropy(share(low)) + entropy(share(~low & ~high)) + entropy(share(high))) / F.ln(F.lit(3.0))).alias("C14_skill"),
+        share(F.col("s1") > F.col("m_s1")).alias("C18_activity"),
+    )
+    return found.join(S.category_entropy(df, kind, by).withColumnRenamed("entropy", "C12_scene_entropy"), by, "left")
 
 
 def activity(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """The share of steps over the trajectory's median step."""
-    from pyspark.sql import Window as W
-
     steps = df.select(*by, F.abs(F.col(value) - F.lag(value).over(W.partitionBy(*by).orderBy(*order))).alias("d"))
     mid = steps.groupBy(*by).agg(quantile("d", 0.5).alias("m"))
     return steps.join(mid, by).where("d is not null").groupBy(*by).agg(F.avg((F.col("d") > F.col("m")).cast("double")).alias("C18_activity"))
