@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrail.llm.common import read
+from kinetrail.llm.common import LOWER, UPPER, read
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,8 @@ def op3_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None)
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinetrail.llm.quality_rules import quality_verdicts
 
-    return quality_verdicts(read(spark, sf_dir, "documents"))
+    found = quality_verdicts(read(spark, sf_dir, "documents"))
+    return found.withColumn("host_rate", F.round("host_rate", 9))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +97,49 @@ def op10_language_id(spark: SparkSession, sf_dir: str, vocabulary: str | None =
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_packing, op4_quality_rules, op5_chat_format, op6_license_scan, op7_byte_bpe, op8_simhash, op9_exact_dedup, op10_language_id)}
 
+_WS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+_MARKS = ["<</SYS>>", "<<SYS>>", "[/INST]", "[INST]", "</s>", "<s>", "<|", "|>"]  # longest first, then by name
+_ESCAPED = "replace(text, '␛', '␛0')"
+for _i, _mark in enumerate(_MARKS):
+    _ESCAPED = f"replace({_ESCAPED}, '{_mark}', '␛{chr(65 + _i)}')"
+
 ORACLE_SQL = {
+    "op1_line_dedup": f"""
+        WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM t),
+        k AS (SELECT *, translate(trim(line, {_WS}), '{UPPER}', '{LOWER}') AS key FROM l),
+        f AS (SELECT key, min(doc_id) AS first_id, count(DISTINCT doc_id) AS n FROM k WHERE length(key) >= 10 GROUP BY key),
+        d AS (SELECT k.*, coalesce(n >= 2 AND k.doc_id <> first_id, false) AS dropped FROM k LEFT JOIN f USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+        FROM d GROUP BY doc_id""",
+    "op4_quality_rules": r"""
+        WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t)),
+        g AS (SELECT doc_id, i, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS g FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        r AS (SELECT doc_id, i FROM g WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+        n AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS i FROM r) GROUP BY doc_id),
+        c AS (SELECT t.doc_id, source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+            len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+            - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+            FROM t LEFT JOIN n USING (doc_id)),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+        h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (base_failed) AS DOUBLE) AS f FROM b GROUP BY source),
+        p AS (SELECT avg(f / n) AS m, var_pop(f / n) - avg(f / n) * (1 - avg(f / n)) * avg(1 / n) AS spread FROM h),
+        s AS (SELECT m, greatest(1.0, CASE WHEN spread > 0 THEN least(m * (1 - m) / spread - 1, 1000.0) ELSE 1000.0 END) AS s FROM p),
+        x AS (SELECT source, (f + m * s) / (n + s) AS host_rate FROM h, s)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(host_rate, 9) AS host_rate,
+            NOT base_failed AND host_rate < 0.8 AS kept FROM b JOIN x ON b.source IS NOT DISTINCT FROM x.source""",
+    "op5_chat_format": f"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        s AS (SELECT *, length({_ESCAPED}) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+            ELSE length({_ESCAPED.replace("(text,", "(role,")}) + 11 END AS chars FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            coalesce(CAST(sum(length(text)) FILTER (role = 'assistant') AS BIGINT), 0) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars,
+            regexp_full_match(string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn, role, text), 's?u(au)*a?') AS valid
+        FROM s GROUP BY conv_id""",
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
