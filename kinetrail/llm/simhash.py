@@ -202,7 +202,7 @@ def long_fingerprint(text: str | None, n: int, words: int) -> np.ndarray:
         for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             mixed = (mixed ^ mixed >> np.uint64(shift)) * np.uint64(times)
         mixed ^= mixed >> np.uint64(31)
-        bits = np.unpackbits(mixed.astype("<u8").view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+        bits = np.unpackbits(mixed.astype("<u8").view(np.uint8).reshape(len(part), 8 * words), axis=1, bitorder="little")
         ones += bits.sum(0, dtype=np.int64).reshape(words, 64)
     return np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0]
 
