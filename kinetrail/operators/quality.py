@@ -112,8 +112,9 @@ def uniqueness(df: DataFrame, id_col: str, vector: str, block: int = 2000) -> Da
     Every row meets all others in blocks: rows are dealt to ceil(n / block) blocks, and each pair of blocks is one
     group of at most about 2 blocks of rows, compared as matrices. Only each row's least distance leaves the group.
     """
-    dims = df.select(F.max(F.size(vector))).first()[0] or 0
-    n = df.count()
+    dims, n = df.agg(F.max(F.size(vector)), F.count("*")).first()
+    if not n:
+        return df.select(F.col(id_col).cast("long").alias(id_col), F.lit(None).cast("double").alias("uniqueness"))
     stats = df.agg(*[f(F.col(vector)[i].cast("double")).alias(f"{k}{i}") for i in range(dims) for k, f in (("a", F.avg), ("s", F.stddev_samp))]).first()
     mean = [float(stats[f"a{i}"] or 0.0) for i in range(dims)]
     scale = [float(s) if (s := stats[f"s{i}"]) and s > 1e-12 else 1.0 for i in range(dims)]
