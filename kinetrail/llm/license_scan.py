@@ -152,10 +152,13 @@ def scan(text: str, machine: ahocorasick.Automaton) -> tuple:
     starts: list[int] = []
     grades: list[float] = []
     tagged = False
+    counted = spaces = 0  # hits come in order of their ends, so each stretch of the text is counted once
     for end, (phrase, label, is_base) in machine.iter(line):
         if is_base:
             base.add(label)
-            starts.append(line.count(" ", 0, end - len(phrase) - 1))
+            spaces += line.count(" ", counted, end)
+            counted = end
+            starts.append(spaces - phrase.count(" ") - 1)
         if label is None:
             tagged = True
         else:
