@@ -46,6 +46,8 @@ CACHE_WORDS = 500_000
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: Separators that str.split takes for white space and the tokenizer doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
+#: Beyond Latin-1, lower-casing differs between libraries for some characters.
+_WIDE = re.compile("[^\x00-\xff]")
 
 
 class WordTokenizer:
@@ -59,6 +61,9 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        ends = [i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.closes[ends] = True
         self.cache: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
@@ -71,26 +76,45 @@ class WordTokenizer:
             for w, e in zip(part, ids):
                 into[w] = flat[at : (at := at + len(e) * width)]
 
+    def _learn_whole(self, words: list[str]) -> None:
+        """Words that the tokenizer doesn't split: many go in as one text, and the tokens that close a word part them again."""
+        width, odd = int(self.kind[-1]), []
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            flat = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = (np.flatnonzero(self.closes[flat]) + 1) * width
+            if len(ends) != len(part):
+                odd += part
+                continue
+            raw, start = flat.tobytes(), 0
+            for w, stop in zip(part, ends.tolist()):
+                self.stems[w] = raw[start:stop]
+                start = stop
+        self._learn(odd, self.stems)
+
     def encode(self, texts: list[str], end: int) -> list[bytes]:
-        cut = [[t] if _ODD.search(t) else t.split() for t in texts]
+        # lower case first where Python and the tokenizer agree on it: fewer different words
+        cut = [[t] if _ODD.search(t) else (t.lower() if t.isascii() or not _WIDE.search(t) else t).split() for t in texts]
         new = set().union(*cut).difference(self.cache)
         if len(self.cache) + len(new) > CACHE_WORDS:
             new = set().union(*cut)
             self.cache.clear()
         if len(self.stems) > CACHE_WORDS:
             self.stems.clear()
-        plain, rest = [], []
+        plain, stem, mark, rest = [], [], [], []
         for w in new:  # forms of one word (case, punctuation) share its ids
-            m = _PLAIN.fullmatch(w)
-            if m:
-                plain.append((w, m[1].lower(), m[2]))
+            if m := _PLAIN.fullmatch(w):
+                plain.append(w)
+                stem.append(m[1].lower())
+                mark.append(m[2])
             else:
                 rest.append(w)
-        self._learn(list({x for _, stem, mark in plain for x in (stem, mark)} - self.stems.keys()), self.stems)
-        self._learn(rest, self.cache)
         stems = self.stems
-        for w, stem, mark in plain:
-            self.cache[w] = stems[stem] + stems[mark]
+        self._learn_whole(list(set(stem) - stems.keys()))
+        self._learn(list(set(mark) - stems.keys()), stems)
+        self._learn(rest, self.cache)
+        for w, s, m in zip(plain, stem, mark):
+            self.cache[w] = stems[s] + stems[m]
         get, last = self.cache.__getitem__, np.array([end], self.kind).tobytes()
         return [b"".join([*map(get, words), last]) for words in cut]
 
