@@ -41,7 +41,7 @@ from kinetrail.llm.common import quoted, stage
 WINDOW = 4096
 END_ID = 2
 MAX_QUEUES = 255
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 #: A word of Latin-1 letters with plain punctuation behind it: the tokenizer lowers the word and cuts it off there.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: Separators that str.split takes for white space and the tokenizer doesn't.
