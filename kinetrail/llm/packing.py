@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -95,10 +96,13 @@ class WordTokenizer:
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         # lower case first where Python and the tokenizer agree on it: fewer different words
         cut = [[t] if _ODD.search(t) else (t.lower() if t.isascii() or not _WIDE.search(t) else t).split() for t in texts]
-        new = set().union(*cut).difference(self.cache)
+        words = list(chain.from_iterable(cut))
+        found = list(map(self.cache.get, words))
+        missing = [w for w, ids in zip(words, found) if ids is None]
+        new = set(missing)
         if len(self.cache) + len(new) > CACHE_WORDS:
-            new = set().union(*cut)
             self.cache.clear()
+            found, missing, new = [None] * len(words), words, set(words)
         if len(self.stems) > CACHE_WORDS:
             self.stems.clear()
         plain, stem, mark, rest = [], [], [], []
@@ -115,8 +119,11 @@ class WordTokenizer:
         self._learn(rest, self.cache)
         for w, s, m in zip(plain, stem, mark):
             self.cache[w] = stems[s] + stems[m]
-        get, last = self.cache.__getitem__, np.array([end], self.kind).tobytes()
-        return [b"".join([*map(get, words), last]) for words in cut]
+        learned = map(self.cache.__getitem__, missing)
+        found = [next(learned) if ids is None else ids for ids in found]
+        last = np.array([end], self.kind).tobytes()
+        stops = list(accumulate(map(len, cut)))
+        return [b"".join(found[a:b]) + last for a, b in zip([0, *stops], stops)]
 
 
 _loaded: dict[str, WordTokenizer] = {}
