@@ -2,27 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetrail.llm.common import stage
 
 
+def _between(links: DataFrame, a: Column, b: Column) -> DataFrame:
+    """Each link once, smaller end first, loops dropped."""
+    return links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (columns a, b, longs): root is the component's smallest node.
 
-    Each round gives a node the least label among its neighbours and then jumps from label to label's label, so the
-    number of rounds grows with the logarithm of a component's width. Every round ends in a table in the shared
-    folder; only the number of changed labels reaches the driver. No links: an empty table.
+    In each round every node hooks onto its least neighbour if that is smaller, chains of hooks are followed to their
+    ends by doubling, and the graph shrinks to those ends: links within what is joined already go, so a dense group
+    is read once and not in every round. Every step ends in a table in the shared folder; only whether rows are left
+    reaches the driver. No links: an empty table.
     """
-    both = stage(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels")
+    links = stage(_between(links, F.col("a"), F.col("b")), "links")
+    labels = None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("up"))
-        hooked = stage(hooked, "hooked")
-        jump = hooked.select(F.col("node").alias("up"), F.col("up").alias("root"))
-        jumped = stage(hooked.join(jump, "up").select("node", "root", "old"), "labels")
-        labels = jumped.select("node", "root")
-        if not jumped.where("root <> old").limit(1).count():
+        ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
+        parents = stage(ends.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")), "parents")
+        while True:
+            above = parents.select(F.col("node").alias("up"), "root")
+            jumped = stage(parents.withColumnRenamed("root", "up").join(above, "up").select("node", "root", "up"), "parents")
+            parents = jumped.select("node", "root")
+            if not jumped.where("root <> up").limit(1).count():
+                break
+        if labels is None:
+            labels = parents
+        else:
+            above = parents.select(F.col("node").alias("up"), F.col("root").alias("top"))
+            labels = labels.withColumnRenamed("root", "up").join(above, "up", "left")
+            labels = stage(labels.select("node", F.coalesce("top", "up").alias("root")), "labels")
+        x, y = (parents.select(F.col("node").alias(end), F.col("root").alias(new)) for end, new in (("a", "x"), ("b", "y")))
+        links = stage(_between(links.join(x, "a").join(y, "b"), F.col("x"), F.col("y")), "links")
+        if not links.limit(1).count():
             return labels

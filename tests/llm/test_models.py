@@ -227,3 +227,28 @@ def test_pipeline(spark, sample):
     for _, step in cp.STAGES:
         none = cp.stage(step(spark, none, ""), "test")
     assert none.count() == 0
+
+
+def test_components_equal_union_find(spark):
+    import random
+
+    from kinetrail.llm.components import connected_components
+
+    rng = random.Random(5)
+    pairs = [(i, i + 1) for i in range(100, 160)] + [(900, i) for i in range(200, 240)] + [(-5, 7), (7, 7), (300, 301), (301, 300)]
+    pairs += [(rng.randrange(1000, 1120), rng.randrange(1000, 1120)) for _ in range(70)]
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            v = parent[v]
+        return v
+
+    for a, b in pairs:
+        if a != b:
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    got = connected_components(spark.createDataFrame(pairs, "a long, b long"))
+    assert {(r["node"], r["root"]) for r in got.collect()} == {(v, root(v)) for v in list(parent)}
+    assert got.count() == len(parent)
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
