@@ -171,12 +171,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 # the bits, so a block of b bits is equal with a known chance, and enough blocks make it near certain that some block
 # is. b follows the logarithm of the number of rows, so chance meetings stay few at any size; the number of blocks
 # follows from b and RECALL, which is therefore the same at any size.
+#
+# Fingerprints only find candidates. Those of a bucket that may be alike are joined to families, and within a family
+# every pair is decided by the exact Jaccard similarity of the two sets of shingles, whatever the number of rows; a pair
+# that verified links join already needs no decision. Hamming distances serve as screens, SCREEN standard deviations
+# above what is expected at the wanted similarity.
 
 SIMILARITY = 0.8
 SHINGLE = 5
 RECALL = 0.99
 #: Words of 64 bits, apart from the blocks, that rows carry for a first check within a block's bucket.
 CHECK_WORDS = 2
+#: Standard deviations that a screen by Hamming distance allows; a pair at the wanted similarity passes all but surely.
+SCREEN = 4
+#: Texts in a tile of a family.
+FAMILY_TILE = 512
 
 
 def differing_share(similarity: float) -> float:
@@ -191,9 +200,14 @@ def plan(n_rows: int, similarity: float = SIMILARITY, recall: float = RECALL) ->
     return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - same)))
 
 
-def long_fingerprint(text: str | None, n: int, words: int) -> np.ndarray:
+def bits_allowed(size: int, similarity: float) -> int:
+    """The screen: differing bits of ``size`` that a pair of this similarity stays under."""
+    share = differing_share(similarity)
+    return int(np.ceil(size * share + SCREEN * np.sqrt(size * share * (1 - share))))
+
+
+def long_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
     """A fingerprint of ``words`` times 64 bits: each word takes other bits of each shingle's mixed hash."""
-    hashes = shingle_hashes(text, n)
     ones = np.zeros((words, 64), np.int64)
     salts = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     step = max(1, 100_000 // words)
@@ -213,7 +227,7 @@ def tree(group: np.ndarray, checks: np.ndarray, most: int) -> tuple[np.ndarray,
     At every threshold these links connect what all links would; a group of n rows gives at most n - 1.
     """
     n = len(group)
-    at, step, held = np.arange(n), 1, []
+    at, step, held, size = np.arange(n), 1, [], 0
     while True:
         at = at[at + step < n]
         at = at[group[at] == group[at + step]]
@@ -222,10 +236,19 @@ def tree(group: np.ndarray, checks: np.ndarray, most: int) -> tuple[np.ndarray,
         far = np.bitwise_count(checks[at] ^ checks[at + step]).sum(1)
         near = far <= most
         held.append((far[near].astype(np.uint8), at[near].astype(np.int32), (at[near] + step).astype(np.int32)))
+        size += len(held[-1][0])
         step += 1
+        if size > n + 500_000:  # a forest of the pairs so far stands for them
+            held = [_forest(n, *(np.concatenate(x) for x in zip(*held)))]
+            size = len(held[0][0])
     if not held:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    far, a, b = (np.concatenate(x) for x in zip(*held))
+    _, a, b = _forest(n, *(np.concatenate(x) for x in zip(*held)))
+    return a.astype(np.int64), b.astype(np.int64)
+
+
+def _forest(n: int, far: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The links (far, a, b) of a minimum spanning forest."""
     parent = np.arange(n)
 
     def root(x: int) -> int:
@@ -234,7 +257,7 @@ def tree(group: np.ndarray, checks: np.ndarray, most: int) -> tuple[np.ndarray,
             x = parent[x]
         return x
 
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, int]] = []
     for level in np.unique(far).tolist():
         mine = far == level
         x, y = a[mine], b[mine]
@@ -248,13 +271,70 @@ def tree(group: np.ndarray, checks: np.ndarray, most: int) -> tuple[np.ndarray,
             p, q = root(i), root(j)
             if p != q:
                 parent[max(p, q)] = min(p, q)
-                out.append((i, j))
-    pairs = np.array(out, np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+                out.append((level, i, j))
+    links = np.array(out, np.int64).reshape(-1, 3)
+    return links[:, 0].astype(np.uint8), links[:, 1].astype(np.int32), links[:, 2].astype(np.int32)
+
+
+def alike(fps: np.ndarray, sets: list[np.ndarray], most: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of links that span all pairs whose sets' Jaccard similarity is ``similarity`` or more.
+
+    A pair is left undecided only if links found before join it, or if its fingerprints differ in over ``most`` bits.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    stops = np.cumsum(sizes)
+    parts = np.split(codes, stops[:-1])
+    mark = np.zeros(int(codes.max(initial=0)) + 1, bool)
+    label = np.arange(len(sets))
+    out: list[tuple[int, int]] = []
+    for a in range(len(sets) - 1):
+        low, high = np.minimum(sizes, sizes[a]), np.maximum(sizes, sizes[a])
+        others = a + 1 + np.flatnonzero((label[a + 1 :] != label[a]) & (low >= similarity * high - 1e-9)[a + 1 :])
+        others = others[np.bitwise_count(fps[others] ^ fps[a]).sum(1) <= most]
+        if not len(others):
+            continue
+        mark[parts[a]] = True
+        shared = np.fromiter((np.count_nonzero(mark[parts[b]]) for b in others.tolist()), np.int64, len(others))
+        mark[parts[a]] = False
+        found = others[shared >= similarity * (sizes[a] + sizes[others] - shared) - 1e-9]
+        for b in found.tolist():
+            if label[a] != label[b]:
+                out.append((a, b))
+                label[label == label[b]] = label[a]
+    links = np.array(out, np.int64).reshape(-1, 2)
+    return links[:, 0], links[:, 1]
+
+
+def _tiled(rows: DataFrame, key: str, tile: int, *carry: str) -> DataFrame:
+    """(key, t, u, id, ...): each key's rows dealt out as pairs of tiles, so that every two of them meet."""
+    large = rows.groupBy(key).count().where(F.col("count") > tile).select(key, F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
+    rows = rows.join(stage(large, "large-buckets"), key, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return rows.select(key, F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), "id", *carry)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole (key, t, u) groups from batches sorted by them: each table's rows hold complete groups."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(i).to_numpy() for i in range(3)]
+        starts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+        if held and any(held[-1].column(i)[-1].as_py() != k[0] for i, k in enumerate(keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        if len(starts):
+            yield pa.Table.from_batches([*held, batch.slice(0, int(starts[-1]))])
+            held = []
+        held.append(batch.slice(int(starts[-1]) if len(starts) else 0))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, tile: int = TILE) -> DataFrame:
-    """(node, root) of rows that are near copies of others: texts whose n-word shingles are ``similarity`` alike.
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, tile: int = TILE, family_tile: int = FAMILY_TILE) -> DataFrame:
+    """(node, root) of rows that are near copies of others: texts whose sets of n-word shingles are ``similarity`` alike.
 
     Ids are whole numbers; rows with a null id take no part.
     """
@@ -264,10 +344,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def mark(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            fps = [long_fingerprint(t.as_py(), n, words).astype("<u8").tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["id", "fp"])
+            sets = [np.unique(shingle_hashes(t.as_py(), n)) for t in batch.column(1)]
+            fps = [long_fingerprint(x, words).astype("<u8").tobytes() for x in sets]
+            same = [xxhash.xxh3_128_digest(x.astype("<u8").tobytes()) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.binary())], ["id", "same", "fp"])
 
-    fps = stage(rows.mapInArrow(mark, "id long, fp binary"), "long-fingerprints")
+    every = stage(rows.mapInArrow(mark, "id long, same binary, fp binary"), "long-fingerprints")
+    # equal sets are one row from here on
+    first = stage(every.groupBy("same").agg(F.min("id").alias("id"), F.count("*").alias("n")), "shingle-sets")
+    twins = every.select("same", F.col("id").alias("b")).join(first.where("n > 1").select("same", F.col("id").alias("a")), "same").where("a <> b").select("a", "b")
+    fps = every.join(first.select("id"), "id", "left_semi").select("id", "fp")
 
     def deal(batches: Iterator[pa.RecordBatch]):
         weights = 1 << np.arange(bits, dtype=np.int64)
@@ -278,51 +364,52 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 keys = own[:, : bits * tables].reshape(len(fp), tables, bits) @ weights | np.arange(tables, dtype=np.int64) << 48
                 ids = np.repeat(part.column(0).to_numpy(), tables)
                 checks = [np.repeat(fp[:, i].astype(np.int64), tables) for i in range(CHECK_WORDS)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), ids, *checks)], ["key", "id", *(f"c{i}" for i in range(CHECK_WORDS))])
-
-    dealt = fps.mapInArrow(deal, "key long, id long, " + ", ".join(f"c{i} long" for i in range(CHECK_WORDS)))
-    large = dealt.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    large = stage(large, "large-buckets")
-    dealt = dealt.join(large, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    checks = [f"c{i}" for i in range(CHECK_WORDS)]
-    dealt = dealt.select("key", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), "id", *checks)
-    dealt = dealt.repartition("key", "t", "u").sortWithinPartitions("key", "t", "u", "id")
-    share, size = differing_share(similarity), 64 * CHECK_WORDS
-    most = int(np.ceil(size * share + 2.5 * np.sqrt(size * share * (1 - share))))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), ids, *checks)], ["key", "id", *checked])
 
-    def link(batches: Iterator[pa.RecordBatch]):
-        rest = None
-        for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols)]
-            if not len(cols[0]):
-                continue
-            new = np.concatenate(([True], np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:3]])))
-            last = int(np.flatnonzero(new)[-1])
-            rest = [c[last:] for c in cols]
-            yield linked(np.cumsum(new)[:last], [c[:last] for c in cols[3:]])
-        if rest is not None:
-            yield linked(np.zeros(len(rest[0]), np.int64), rest[3:])
-
-    def linked(group: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = tree(group, np.stack(cols[1:], 1).astype(np.int64).view(np.uint64), most)
-        pair = np.sort(np.stack([cols[0][a], cols[0][b]]), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+    checked = [f"c{i}" for i in range(CHECK_WORDS)]
+    dealt = fps.mapInArrow(deal, "key long, id long, " + ", ".join(f"{c} long" for c in checked))
+    dealt = _tiled(dealt, "key", tile, *checked).repartition("key", "t", "u").sortWithinPartitions("key", "t", "u", "id")
+    most = bits_allowed(64 * CHECK_WORDS, similarity)
 
-    pairs = dealt.mapInArrow(link, "a long, b long").where("a <> b").distinct()
-    sides = pairs.join(fps.select(F.col("id").alias("a"), F.col("fp").alias("x")), "a").join(fps.select(F.col("id").alias("b"), F.col("fp").alias("y")), "b")
-    total = 64 * words
-    bound = int(total * share + np.sqrt(total * share * (1 - share)))
-
-    def verify(batches: Iterator[pa.RecordBatch]):
+    def link(batches: Iterator[pa.RecordBatch]):
+        for table in _groups(batches):
+            cols = [c.to_numpy() for c in table.columns]
+            new = np.concatenate(([False], np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:3]])))
+            a, b = tree(np.cumsum(new), np.stack(cols[4:], 1).astype(np.int64).view(np.uint64), most)
+            pair = np.sort(np.stack([cols[3][a], cols[3][b]]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+
+    # rows of one family: linked by candidates, whether these pass or not
+    families = connected_components(dealt.mapInArrow(link, "a long, b long").where("a <> b").distinct())
+    families = families.select(F.col("node").alias("id"), F.col("root").alias("key"))
+
+    def spell(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(-1, words) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= bound))
-
-    good = sides.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-    return connected_components(good)
+            sets = [np.unique(shingle_hashes(t.as_py(), n)).astype("<u8").tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+    members = families.select("id")
+    known = rows.join(members, "id", "left_semi").mapInArrow(spell, "id long, shingles binary").join(fps, "id")
+    tiles = _tiled(families, "key", family_tile)
+    met = tiles.join(known, "id").select("key", "t", "u", "id", "fp", "shingles")
+    met = met.repartition("key", "t", "u").sortWithinPartitions("key", "t", "u", "id")
+    bound = bits_allowed(64 * words, similarity)
+
+    def decide(batches: Iterator[pa.RecordBatch]):
+        for table in _groups(batches):
+            cols = [table.column(i).to_numpy() for i in range(4)]
+            new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:3]])) + 1
+            held = []
+            for i, j in zip([0, *new.tolist()], [*new.tolist(), len(cols[0])]):
+                group = table.slice(i, j - i)
+                fp = np.frombuffer(b"".join(group.column(4).to_pylist()), "<u8").reshape(-1, words)
+                sets = [np.frombuffer(x, "<u8") for x in group.column(5).to_pylist()]
+                a, b = alike(fp, sets, bound, similarity)
+                held.append(np.stack([cols[3][i + a], cols[3][i + b]]))
+            ends = np.concatenate(held, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
+
+    return connected_components(met.mapInArrow(decide, "a long, b long").union(twins))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

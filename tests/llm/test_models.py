@@ -102,6 +102,40 @@ def test_near_dedup(spark, odd_docs, no_docs):
     assert simhash.near_dedup(no_docs).count() == 0
 
 
+def shingle_sets(texts, n=5):
+    return [{" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (t.split() for t in texts)]
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def edited(r, words, runs, longest=4):
+    """``words`` with ``runs`` stretches changed."""
+    out = list(words)
+    for _ in range(runs):
+        at = r.randrange(len(out))
+        for k in range(at, min(len(out), at + r.randint(1, longest))):
+            out[k] = f"new{r.randint(0, 99999)}"
+    return out
+
+
+def test_near_dedup_is_exact_jaccard(spark):
+    r, rows, sims = random.Random(11), [], []
+    while len(sims) < 300:  # pairs at 0.74 to 0.85
+        words = [f"w{r.randint(0, 99999)}" for _ in range(300)]
+        texts = [" ".join(words), " ".join(edited(r, words, r.randint(3, 8)))]
+        if 0.74 <= (sim := jaccard(*shingle_sets(texts))) <= 0.85:
+            rows += [(2 * len(sims) + k, t) for k, t in enumerate(texts)]
+            sims.append(sim)
+    kept = {x["doc_id"] for x in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = [2 * i + 1 not in kept for i in range(len(sims))]
+    wrong = [s for s, g in zip(sims, gone) if g and s < 0.8]
+    caught = [g for s, g in zip(sims, gone) if s >= 0.8]
+    print(f"recall {np.mean(caught):.3f} of {len(caught)}, wrongly dropped {len(wrong)} of {len(sims) - len(caught)}")
+    assert not wrong and np.mean(caught) >= 0.98 and len(caught) > 100
+
+
 @pytest.fixture(scope="module")
 def sample(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
