@@ -367,7 +367,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), ids, *checks)], ["key", "id", *checked])
 
     checked = [f"c{i}" for i in range(CHECK_WORDS)]
-    dealt = fps.mapInArrow(deal, "key long, id long, " + ", ".join(f"{c} long" for c in checked))
+    keyed = "key long, id long, " + ", ".join(f"{c} long" for c in checked)
+    dealt = fps.mapInArrow(deal, keyed)
     dealt = _tiled(dealt, "key", tile, *checked).repartition("key", "t", "u").sortWithinPartitions("key", "t", "u", "id")
     most = bits_allowed(64 * CHECK_WORDS, similarity)
 
@@ -390,7 +391,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     members = families.select("id")
     known = rows.join(members, "id", "left_semi").mapInArrow(spell, "id long, shingles binary").join(fps, "id")
-    tiles = _tiled(families, "key", family_tile)
+    # in a family with more tiles than there are blocks, the rows of each bucket meet, which is less to send
+    vast = families.groupBy("key").count().where(F.col("count") > family_tile * tables)
+    vast = stage(families.join(vast.select("key"), "key", "left_semi").select("id"), "vast-families")
+    tiles = families
+    if vast.limit(1).count():
+        tiles = families.join(vast, "id", "left_anti").select("key", "id")
+        tiles = tiles.union(fps.join(vast, "id", "left_semi").mapInArrow(deal, keyed).select(-1 - F.col("key"), "id"))
+    tiles = _tiled(tiles, "key", family_tile)
     met = tiles.join(known, "id").select("key", "t", "u", "id", "fp", "shingles")
     met = met.repartition("key", "t", "u").sortWithinPartitions("key", "t", "u", "id")
     bound = bits_allowed(64 * words, similarity)

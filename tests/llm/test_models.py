@@ -136,6 +136,20 @@ def test_near_dedup_is_exact_jaccard(spark):
     assert not wrong and np.mean(caught) >= 0.98 and len(caught) > 100
 
 
+@pytest.mark.parametrize("how", [{}, {"family_tile": 1}])
+def test_dense_family_equals_brute_force(spark, how):
+    r = random.Random(12)
+    words = [f"w{r.randint(0, 99999)}" for _ in range(200)]
+    texts = [" ".join(edited(r, words, r.randint(1, 4))) for _ in range(120)]
+    sets = shingle_sets(texts)
+    pairs = [(i, j) for i, j in combinations(range(120), 2) if jaccard(sets[i], sets[j]) >= 0.8]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {x["doc_id"] for x in simhash.near_dedup(docs, **how).collect()}
+    want = set(components(range(120), pairs).values())
+    print(f"kept {len(kept)}, brute force {len(want)}, of both {len(kept & want)}")
+    assert kept == want and 5 < len(want) < 115
+
+
 @pytest.fixture(scope="module")
 def sample(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
