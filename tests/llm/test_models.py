@@ -150,6 +150,23 @@ def test_dense_family_equals_brute_force(spark, how):
     assert kept == want and 5 < len(want) < 115
 
 
+def test_verdict_is_the_same_at_every_size(spark, monkeypatch):
+    r, rows, low, plan = random.Random(13), [], set(), simhash.plan
+    while len(rows) < 240:
+        words = [f"w{r.randint(0, 99999)}" for _ in range(300)]
+        texts = [" ".join(words), " ".join(edited(r, words, r.randint(1, 7)))]
+        sim = jaccard(*shingle_sets(texts))
+        if 0.76 <= sim < 0.8 or 0.85 <= sim:
+            low |= {len(rows) + 1} if sim < 0.8 else set()
+            rows += [(len(rows) + k, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = []
+    for size in (240, 50_000_000):
+        monkeypatch.setattr(simhash, "plan", lambda n, *how, size=size: plan(size, *how))
+        kept.append({x["doc_id"] for x in simhash.near_dedup(docs).collect()})
+    assert kept[0] == kept[1] == {i for i in range(240) if i % 2 == 0 or i in low} and 20 < len(low) < 100
+
+
 @pytest.fixture(scope="module")
 def sample(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
