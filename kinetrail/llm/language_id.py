@@ -13,6 +13,8 @@ Defined results
 * words are runs of letters, lowered; a run of over ``LONGEST`` letters is scored in parts of that length, none left out;
 * null texts and texts without a letter: ``und`` with score 0; the same if no language could be learned;
 * ``score`` is the posterior of the predicted language (0 to 1); ties go to the language that comes first by name;
+* ``language_filter`` also asks that a text fits its language: its log-likelihood a letter, as low as the labelled
+  training rows' lower tail allows; text in a language that was never learned, gibberish and letter noise don't;
 * repeated rows are predicted each; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -35,6 +37,8 @@ SAMPLE_DOCS = 2000
 MAX_LANGUAGES = 200
 ROUNDS = 2
 LONGEST = 24
+#: Words from which a text's fit is judged at full strength; a shorter text may stray further.
+FIT_WORDS = 50
 CACHE_WORDS = 300_000
 START = "▁"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -150,6 +154,8 @@ class LanguageModel:
     languages: list[str]
     table: np.ndarray
     vocabulary: str
+    #: By language: the usual log-likelihood a letter and how far below it a text may be; None: fit isn't judged.
+    fit: np.ndarray | None = None
 
 
 _pieces: dict[str, Pieces] = {}
@@ -170,6 +176,7 @@ def train(
     held_out=None,
     sample_docs: int = SAMPLE_DOCS,
     rounds: int = ROUNDS,
+    judge_fit: bool = True,
 ) -> LanguageModel:
     """Learn from rows with a language that ``held_out`` (a condition on doc_id, default none) doesn't name.
 
@@ -218,7 +225,37 @@ def train(
         counts = np.zeros_like(table)
         counts[sums["piece"], sums["lang"]] = sums["n"]
         table = _normalised(counts)
-    return LanguageModel(languages, table, vocabulary)
+    model = LanguageModel(languages, table, vocabulary)
+    if judge_fit:
+        model.fit = _fit(rows.where(chosen), model)
+    return model
+
+
+def _fit(rows: DataFrame, model: LanguageModel) -> np.ndarray:
+    """languages x (median, allowance) of the labelled rows' fit: 2.5 times the way from the median to the lowest
+    hundredth, half a nat at least, and more for a language with few rows."""
+    shared, number, vocabulary = rows.sparkSession.sparkContext.broadcast(model.table), {x: i for i, x in enumerate(model.languages)}, model.vocabulary
+
+    def measure(batches: Iterator[pa.RecordBatch]):
+        scorer = Scorer(_load(vocabulary), shared.value)
+        for part, texts in blocks(batches, 1):
+            langs = [number[x] for x in part.column(0).to_pylist()]
+            found = [(k, v[k] / letters, words) for k, v, (words, letters) in zip(langs, scorer.score(texts), map(_extent, scorer.cut)) if v is not None]
+            k, fit, words = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(fit, pa.float64()), pa.array(words, pa.int64())], ["k", "fit", "words"])
+
+    fits = rows.select("lang", "text").mapInArrow(measure, "k int, fit double, words long")
+    long = F.when(F.col("words") >= FIT_WORDS, F.col("fit"))
+    low, mid = (F.coalesce(F.percentile_approx(long, q), F.percentile_approx("fit", q)) for q in (0.01, 0.5))
+    out = np.tile([0.0, np.inf], (len(model.languages), 1))
+    for r in fits.groupBy("k").agg(low.alias("low"), mid.alias("mid"), F.count("*").alias("n")).collect():  # a row a language
+        out[r["k"]] = r["mid"], max(0.5, 2.5 * (r["mid"] - r["low"])) + 2 / np.sqrt(r["n"])
+    return out
+
+
+def _extent(words: list[str]) -> tuple[int, int]:
+    """(words, letters)"""
+    return len(words) - words.count(""), sum(map(len, words))
 
 
 class Scorer:
@@ -227,11 +264,12 @@ class Scorer:
     def __init__(self, pieces: Pieces, table: np.ndarray):
         self.pieces, self.table = pieces, table
         self.row: dict[str, int] = {}
+        self.cut: list[list[str]] = []  # the words of the texts scored last
         self.vectors = np.zeros((0, table.shape[1]))
 
     def score(self, texts: list[str]) -> list[np.ndarray | None]:
         """The sum over each text's words; None for a text without a letter."""
-        cut = [words_of(t) for t in texts]
+        self.cut = cut = [words_of(t) for t in texts]
         new = set().union(*cut).difference(self.row) - {""}
         if len(self.row) + len(new) > CACHE_WORDS:
             new = set().union(*cut) - {""}
@@ -279,16 +317,26 @@ def held_out_quarter(id_col: str = "doc_id"):
 def language_filter(docs: DataFrame, model: LanguageModel, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text is in one of the model's languages with a posterior of ``min_score`` or more.
 
+    The posterior only compares the learned languages; that the text is in any of them shows in its fit to the best.
     Without any learned language all rows stay: there is nothing to judge by.
     """
     if not model.languages:
         return docs
     at, shared, vocabulary = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(model.table), model.vocabulary
 
+    fit = model.fit
+
+    def fits(v: np.ndarray, cut: list[str]) -> bool:
+        if fit is None:
+            return True
+        words, letters = _extent(cut)
+        usual, allowed = fit[int(np.argmax(v))]
+        return bool(v.max() / letters >= usual - allowed * np.sqrt(max(1, FIT_WORDS / words)))
+
     def run(batches: Iterator[pa.RecordBatch]):
         scorer = Scorer(_load(vocabulary), shared.value)
         for part, texts in blocks(batches, at):
-            keep = [v is not None and 1 / np.exp(v - v.max()).sum() >= min_score for v in scorer.score(texts)]
+            keep = [v is not None and 1 / np.exp(v - v.max()).sum() >= min_score and fits(v, w) for v, w in zip(scorer.score(texts), scorer.cut)]
             yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

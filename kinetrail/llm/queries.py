@@ -91,7 +91,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     from kinetrail.llm.language_id import held_out_quarter, predict, train
 
     docs = read(spark, sf_dir, "documents")
-    model = train(docs, vocabulary or public_tokenizers.path("piece_bpe_32k.model"), held_out=held_out_quarter())
+    model = train(docs, vocabulary or public_tokenizers.path("piece_bpe_32k.model"), held_out=held_out_quarter(), judge_fit=False)
     return predict(docs, model).select("doc_id", held_out_quarter().alias("held_out"), "lang_pred", "score")
 
 

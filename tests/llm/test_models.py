@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from kinetrail.llm import language_id, license_scan, simhash, toxicity
 from kinetrail.llm.components import connected_components
@@ -202,6 +203,18 @@ def test_language_held_out(spark, sample, odd_docs, no_docs):
     assert {r["lang_pred"] for r in language_id.predict(sample.limit(5), language_id.train(no_docs, PIECES)).collect()} == {"und"}
 
 
+def test_language_filter_rejects_what_was_never_learned(spark):
+    r = random.Random(14)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and size(split(text, ' ')) between 60 and 400")
+    model = language_id.train(docs.where("lang <> 'fr'"), PIECES)
+    odd = [(-i, " ".join("".join(r.choice(letters) for _ in range(r.randint(*size))) for _ in range(80))) for i, size in enumerate([(2, 9)] * 5 + [(1, 1)] * 5, 1)]
+    rows = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(odd, "doc_id long, text string").selectExpr("*", "'none'"))
+    share = {x["lang"]: x["share"] for x in rows.join(language_id.language_filter(rows, model).selectExpr("doc_id as kept"), rows["doc_id"] == F.col("kept"), "left").groupBy("lang").agg(F.avg(F.col("kept").isNotNull().cast("int")).alias("share")).collect()}
+    print(f"kept {share}")
+    assert share["fr"] < 0.02 and share["none"] == 0 and min(share[x] for x in ("de", "en", "es")) > 0.99
+
+
 def test_license_expressions():
     assert license_scan.postfix("MIT OR Apache-2.0 AND (GPL-2.0-only WITH Classpath-exception-2.0)") == ["MIT", "Apache-2.0", "GPL-2.0-only", "Classpath-exception-2.0", "with", "and", "or"]
     assert license_scan.evaluate("MIT OR GPL-3.0-only") == ({"mit", "gpl"}, 1.0)
