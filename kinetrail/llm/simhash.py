@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetrail.llm.common import quoted, stage
+from kinetrail.llm.common import fresh, quoted, stage
 from kinetrail.llm.components import connected_components
 
 SEED = 42
@@ -336,7 +336,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, tile: int = TILE, family_tile: int = FAMILY_TILE) -> DataFrame:
     """(node, root) of rows that are near copies of others: texts whose sets of n-word shingles are ``similarity`` alike.
 
-    Ids are whole numbers; rows with a null id take no part.
+    Ids are whole numbers and differ by row; rows with a null id take no part.
     """
     rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text")).where("id is not null")
     bits, tables = plan(rows.select("id").count(), similarity, recall)
@@ -421,6 +421,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group of near copies those with its smallest id."""
-    gone = similar_groups(docs, id_col, text_col, **how).where("node <> root").select(F.col("node").alias("kt_gone"))
-    return docs.join(gone, docs[id_col].cast("long") == gone["kt_gone"], "left_anti")
+    """The rows of ``docs`` that stay: of each group of near copies the row with its smallest id.
+
+    Rows are told apart by a key of their own, so rows that share an id are judged each by its text, and of near copies
+    that share the smallest id one row stays. Rows with a null id stay and take no part.
+    """
+    key = fresh(docs, "kt_row")
+    rows = stage(docs.withColumn(key, F.monotonically_increasing_id()), "near-dedup-rows")
+    groups = similar_groups(rows.where(quoted(id_col).isNotNull()), key, text_col, **how)
+    named = stage(groups.join(rows.select(F.col(key).alias("node"), quoted(id_col).alias("id")), "node"), "near-groups")
+    first = named.groupBy("root").agg(F.min(F.struct("id", "node"))["node"].alias("first"))
+    gone = named.join(first, "root").where("node <> first").select(F.col("node").alias(key))
+    return rows.join(gone, key, "left_anti").select(*[quoted(c) for c in docs.columns])

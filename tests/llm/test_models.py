@@ -137,6 +137,16 @@ def test_near_dedup_is_exact_jaccard(spark):
     assert not wrong and np.mean(caught) >= 0.98 and len(caught) > 100
 
 
+def test_near_dedup_goes_by_row(spark):
+    r = random.Random(15)
+    a, b, c = ([f"w{r.randint(0, 99999)}" for _ in range(200)] for _ in range(3))
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (2, near(a)), (2, " ".join(b)), (3, " ".join(c)), (3, near(c)), (4, " ".join(c))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted((x["doc_id"], x["text"]) for x in simhash.near_dedup(docs).collect())
+    assert [x[0] for x in kept] == [1, 2, 3] and kept[1][1] == " ".join(b) and kept[2] in rows[3:5]
+
+
 @pytest.mark.parametrize("how", [{}, {"family_tile": 1}])
 def test_dense_family_equals_brute_force(spark, how):
     r = random.Random(12)
