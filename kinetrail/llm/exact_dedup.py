@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from kinetrail.llm.common import fresh, quoted, stage
 
@@ -33,16 +32,17 @@ def _digest(text):
     return [F.unhex(F.sha2(text, 256)).alias("sha"), F.octet_length(text).alias("size"), F.xxhash64(text).alias("check")]
 
 
-def digest_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_in: int = FAN_IN) -> DataFrame:
+def digest_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_in: int = FAN_IN, carry: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, and the digest (sha, size, check).
 
-    ``keep``: "max" keeps a group's largest id, "min" its smallest.
+    ``keep``: "max" keeps a group's largest id, "min" its smallest. ``carry``: a column of ``docs`` to return as ``carried``.
     """
     if keep not in ("max", "min") or fan_in < 2:
         raise ValueError("keep is 'max' or 'min'; fan_in is at least 2")
     best = {"max": F.max, "min": F.min}[keep]
     last = F.lit(-1 if keep == "max" else 1)
-    rows = docs.select(quoted(id_col).alias("doc_id"), *_digest(quoted(text_col)))
+    more = [quoted(carry).alias("carried")] if carry else []
+    rows = docs.select(quoted(id_col).alias("doc_id"), *_digest(quoted(text_col)), *more)
     rows = stage(
         rows.withColumns({"run": F.spark_partition_id(), "row": F.monotonically_increasing_id()}).sortWithinPartitions(*KEY, "doc_id"),
         "digest-runs",
@@ -65,19 +65,17 @@ def digest_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col("n").alias("group_size"),
         (F.col("row") == F.col("best.row")).alias("kept"),
         *KEY,
+        *(["carried"] if carry else []),
     )
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns; one row of every group of equal texts."""
-    kept = digest_groups(docs, id_col, text_col, keep).where("kept")
-    names = [fresh(docs, n) for n in ("sha", "size", "check", "n_same")]
-    full = docs.select("*", *[c.alias(n) for c, n in zip(_digest(quoted(text_col)), names)])
-    kept = kept.select(F.col("doc_id").alias("kept_id"), *KEY)
-    on = full[id_col].eqNullSafe(kept["kept_id"])
-    for mine, own in zip(names, KEY):
-        on = on & (full[mine] == kept[own])
-    joined = full.join(kept, on, "left_semi")
-    # rows that repeat both id and text: the first of them stays (they are alike in both)
-    w = W.partitionBy(id_col, *names[:3]).orderBy(id_col)
-    return joined.withColumn(names[3], F.row_number().over(w)).where(F.col(names[3]) == 1).select(*docs.columns)
+    """The rows of ``docs`` that stay, with their own columns; one row of every group of equal texts.
+
+    Rows get a key of their own, so texts meet the verdicts once, in one join on that key (none where Spark can
+    broadcast the dropped rows' keys).
+    """
+    key = fresh(docs, "kt_row")
+    rows = stage(docs.withColumn(key, F.monotonically_increasing_id()), "exact-dedup-rows")
+    gone = stage(digest_groups(rows, id_col, text_col, keep, carry=key).where("not kept").select(F.col("carried").alias(key)), "exact-copies")
+    return rows.join(gone, key, "left_anti").select(*[quoted(c) for c in docs.columns])

@@ -27,7 +27,7 @@ MAX_REPEAT_PERCENT = 50
 MAX_HOST_RATE = 0.8
 MAX_STRENGTH = 1000.0
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_WORD, _SPACE = r"[^ \t-\r]", r"[ \t-\r]"
+_SPACE = r"[ \t-\r]"
 
 
 def _repeat_words(words: Column, n: int = 3) -> Column:
@@ -67,7 +67,7 @@ def document_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     distinct_lines = F.size(F.array_distinct(lines))
     counts = F.struct(
         F.size(words).cast("long").alias("n_words"),
-        (F.char_length(t) - F.regexp_count(t, F.lit(_SPACE))).cast("long").alias("word_chars"),
+        F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size(lines) - distinct_lines).cast("long").alias("n_dup_lines"),
         F.when(F.col(order).isNull(), F.lit(0)).otherwise(F.size(places)).cast("long").alias("n_repeat_words"),
@@ -116,14 +116,15 @@ def quality_verdicts(
 def quality_filter(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_host_rate: float = MAX_HOST_RATE, **rules) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns.
 
-    The host verdicts come from per-document counts; the base rule is then a filter on the rows themselves, so texts
-    are read twice but never shuffled for it. Verdicts of hosts join by host; Spark broadcasts them while they're small.
+    Rows are marked once and written to the shared folder; hosts are counted from two columns of that table. Verdicts
+    of bad hosts are a table of known size, which Spark broadcasts while it is small (``spark.sql.autoBroadcastJoinThreshold``);
+    beyond that, rows join it by host and adaptive execution splits a hot one.
     """
-    failed, of_host, rate = (fresh(docs, n) for n in ("kt_failed", "kt_host", "kt_rate"))
+    failed, of_host = (fresh(docs, n) for n in ("kt_failed", "kt_host"))
     marked = document_counts(docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]), f"c{docs.columns.index(text_col)}").withColumn("base_failed", base_failed(**rules))
     back = [quoted(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
-    marked = marked.select(*back, F.col("base_failed").alias(failed))
-    flags = stage(marked.select(quoted(host_col).alias("host"), F.col(failed).alias("base_failed")), "quality-flags")
-    hosts = host_rates(flags, "host").where(F.col("host_rate") >= max_host_rate).select(F.col("host").alias(of_host))
+    marked = stage(marked.select(*back, F.col("base_failed").alias(failed)), "quality-marked")
+    flags = marked.select(quoted(host_col).alias("host"), F.col(failed).alias("base_failed"))
+    hosts = stage(host_rates(flags, "host").where(F.col("host_rate") >= max_host_rate).select(F.col("host").alias(of_host)), "bad-hosts")
     stay = marked.where(~F.col(failed))
-    return stay.join(hosts, stay[host_col].eqNullSafe(hosts[of_host]), "left_anti").select(*docs.columns)
+    return stay.join(hosts, stay[host_col].eqNullSafe(hosts[of_host]), "left_anti").select(*[quoted(c) for c in docs.columns])
