@@ -42,7 +42,10 @@ from kinetrail.llm.common import quoted, stage
 WINDOW = 4096
 END_ID = 2
 MAX_QUEUES = 255
-CACHE_WORDS = 1_000_000
+#: Words and stems that a worker remembers in each of two generations, and the longest among them: some 100 MB at most.
+CACHE_WORDS, CACHE_STEMS, CACHE_CHARS = 80_000, 250_000, 64
+#: Characters of text that are tokenised at a time.
+BLOCK_CHARS = 1_500_000
 #: A word of Latin-1 letters with plain punctuation behind it: the tokenizer lowers the word and cuts it off there.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: Separators that str.split takes for white space and the tokenizer doesn't.
@@ -65,8 +68,15 @@ class WordTokenizer:
         ends = [i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]
         self.closes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         self.closes[ends] = True
-        self.cache: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.cache, self.old_cache = {}, {}
+        self.stems, self.old_stems = {}, {}
+
+    def _age(self) -> None:
+        """Full caches become the old generation; what is still in use comes back from it, the rest goes with the next."""
+        if len(self.cache) > CACHE_WORDS:
+            self.cache, self.old_cache = {}, self.cache
+        if len(self.stems) > CACHE_STEMS:
+            self.stems, self.old_stems = {}, self.stems
 
     def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
         for i in range(0, len(words), 20_000):
@@ -97,29 +107,33 @@ class WordTokenizer:
         # lower case first where Python and the tokenizer agree on it: fewer different words
         cut = [[t] if _ODD.search(t) else (t.lower() if t.isascii() or not _WIDE.search(t) else t).split() for t in texts]
         words = list(chain.from_iterable(cut))
+        self._age()
         found = list(map(self.cache.get, words))
         missing = [w for w, ids in zip(words, found) if ids is None]
-        new = set(missing)
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            found, missing, new = [None] * len(words), words, set(words)
-        if len(self.stems) > CACHE_WORDS:
-            self.stems.clear()
+        new, once = set(missing), {}  # ``once``: too long to remember
         plain, stem, mark, rest = [], [], [], []
-        for w in new:  # forms of one word (case, punctuation) share its ids
-            if m := _PLAIN.fullmatch(w):
+        for w in new:
+            if (ids := self.old_cache.get(w)) is not None:
+                self.cache[w] = ids
+            elif len(w) > CACHE_CHARS:
+                rest.append(w)
+            elif m := _PLAIN.fullmatch(w):  # forms of one word (case, punctuation) share its ids
                 plain.append(w)
                 stem.append(m[1].lower())
                 mark.append(m[2])
             else:
                 rest.append(w)
-        stems = self.stems
+        stems, old = self.stems, self.old_stems
+        for s in set(stem) | set(mark):
+            if s not in stems and s in old:
+                stems[s] = old[s]
         self._learn_whole(list(set(stem) - stems.keys()))
         self._learn(list(set(mark) - stems.keys()), stems)
-        self._learn(rest, self.cache)
+        self._learn([w for w in rest if len(w) <= CACHE_CHARS], self.cache)
+        self._learn([w for w in rest if len(w) > CACHE_CHARS], once)
         for w, s, m in zip(plain, stem, mark):
             self.cache[w] = stems[s] + stems[m]
-        learned = map(self.cache.__getitem__, missing)
+        learned = (once[w] if len(w) > CACHE_CHARS else self.cache[w] for w in missing)
         found = [next(learned) if ids is None else ids for ids in found]
         last = np.array([end], self.kind).tobytes()
         stops = list(accumulate(map(len, cut)))
@@ -142,7 +156,7 @@ def tokenise(docs: DataFrame, path: str, id_col: str, text_col: str, source_col:
     def run(batches: Iterator[pa.RecordBatch]):
         enc, part, total = tokenizer(path), TaskContext.get().partitionId(), {}
         width = int(enc.kind[-1])
-        for batch, texts in blocks(batches):
+        for batch, texts in blocks(batches, chars=BLOCK_CHARS):
             ids = enc.encode(texts, end)
             before, counts = [], [len(x) // width for x in ids]
             for source, n in zip(batch.column(2).to_pylist(), counts):
