@@ -9,7 +9,7 @@ queue that runs dry leaves the round, and the others go on in their proportions.
 That order has a closed form: the number of tokens that queue k has sent by time t is min(T_k, round(w_k t)). So the
 state at any window (all queues' positions, deficits included) is found by bisection on t without playing the windows
 before it, and every partition packs its own documents: deficits are carried across windows and partitions without
-a sequential pass.
+a sequential pass. Only windows that a document's tokens can lie in are looked at, in bounded tables.
 
 Flow: tokenise (each task also keeps a running total per source), write ids to the shared folder, add up one row for
 each task and source, and cut each document at the windows' ends. Texts and ids aren't shuffled unless the table of
@@ -17,7 +17,9 @@ running totals outgrows Spark's broadcast threshold.
 
 Defined results
 * null or empty text: just the end id; repeated rows are packed each; a null source is a queue of its own;
-* beyond ``max_queues`` sources, the largest have queues of their own and all others share one;
+* sources that ``targets`` names and the largest, ``max_queues`` in all, have queues of their own; the others are dealt
+  to about as many shared queues as each has sources, and a shared queue serves its sources by the same scheme, so
+  every source keeps a deficit of its own;
 * an empty table gives an empty result; other columns are ignored, whatever their names;
 * all sequences are full but the last one, which is padded.
 """
@@ -42,6 +44,8 @@ from kinetrail.llm.common import quoted, stage
 WINDOW = 4096
 END_ID = 2
 MAX_QUEUES = 255
+#: Numbers in a table of windows by queues that a task holds at once.
+CELLS = 500_000
 #: Words and stems that a worker remembers in each of two generations, and the longest among them: some 100 MB at most.
 CACHE_WORDS, CACHE_STEMS, CACHE_CHARS = 80_000, 250_000, 64
 #: Characters of text that are tokenised at a time.
@@ -169,9 +173,9 @@ def tokenise(docs: DataFrame, path: str, id_col: str, text_col: str, source_col:
 
 
 class Mixture:
-    """Positions of all queues at any window's start. ``totals``: tokens by queue; ``weights``: target proportions."""
+    """Positions of all queues once a number of tokens is sent. ``totals``: tokens by queue; ``weights``: target proportions."""
 
-    def __init__(self, totals: list[int], weights: list[float], window: int):
+    def __init__(self, totals: list[int], weights: list[float], window: int = WINDOW):
         self.totals, self.weights, self.window = np.array(totals, np.int64), np.array(weights, np.float64), window
         self.sum = int(self.totals.sum())
         self.end = float((self.totals / self.weights).max()) * (1 + 1e-9) + 1e-9
@@ -180,9 +184,9 @@ class Mixture:
         """Tokens that each queue has sent by time t: times x queues."""
         return np.minimum(self.totals, np.floor(t[:, None] * self.weights + 0.5).astype(np.int64))
 
-    def starts(self, first: int, last: int) -> np.ndarray:
-        """Queue positions at the starts of windows first..last: windows x queues. Rows add up to window * number."""
-        goal = np.minimum(np.arange(first, last + 1, dtype=np.int64) * self.window, self.sum)
+    def at(self, goal: np.ndarray) -> np.ndarray:
+        """Queue positions when ``goal`` tokens are sent in all: goals x queues. Rows add up to their goals."""
+        goal = np.minimum(goal, self.sum)
         low, high = np.zeros(len(goal)), np.full(len(goal), self.end)
         for _ in range(70):
             mid = (low + high) / 2
@@ -193,39 +197,81 @@ class Mixture:
         gap = top - at
         return at + np.clip(short - (np.cumsum(gap, 1) - gap), 0, gap)
 
-    def windows(self, queue: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[int, int]:
-        """A range of windows that surely covers the tokens start..end of these queues."""
-        k = len(self.totals) + 1
-        ranks = [self.sent((x + 0.5) / self.weights[queue]).sum(1) for x in (start, end)]
-        return max(0, int(ranks[0].min() - k) // self.window - 1), int(ranks[1].max() + k) // self.window + 2
+    def starts(self, first: int, last: int) -> np.ndarray:
+        """Queue positions at the starts of windows first..last: windows x queues."""
+        return self.at(np.arange(first, last + 1, dtype=np.int64) * self.window)
+
+    def ranks(self, queue: int, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of how many tokens are sent before these tokens of a queue."""
+        near, k = np.concatenate([self.sent(t).sum(1) for t in np.array_split((token + 0.5) / self.weights[queue], len(token) * len(self.totals) // CELLS + 1)]), len(self.totals) + 1
+        return np.maximum(near - k, 0), np.minimum(near + k, self.sum)
+
+
+def _windows(row: tuple, mix: Mixture) -> np.ndarray:
+    """Windows that surely cover a row's tokens: all between the first and the last, or those of each token if that is less."""
+    queue, start, stop, inner, index = row
+
+    def of(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, high = (tokens, tokens) if inner is None else inner.ranks(index, tokens)
+        return mix.ranks(queue, low)[0] // mix.window, mix.ranks(queue, high)[1] // mix.window
+
+    last = -(-mix.sum // mix.window)
+    low, high = of(np.array([start, stop - 1]))
+    if high[1] - low[0] <= 4 * (stop - start) + 64:
+        return np.arange(low[0], min(high[1] + 1, last))
+    low, high = of(np.arange(start, stop))
+    every = np.concatenate([low + i for i in range(int((high - low).max()) + 1)])
+    return np.unique(every[every < last])
 
 
 def cut(batch: pa.RecordBatch, mix: Mixture, kind: str) -> pa.RecordBatch:
-    """The pieces of a batch of (doc_id, queue, start, n, ids)."""
-    queue, start, n = (batch.column(i).to_numpy() for i in (1, 2, 3))
-    ids, stop = batch.column(4), start + n
-    first, last = mix.windows(queue, start, stop - 1)
-    edges = mix.starts(first, last)
-    sizes = np.diff(edges, axis=0)
-    lead = np.cumsum(sizes, 1) - sizes  # where a queue's tokens begin within the window
+    """The pieces of a batch of (doc_id, source, queue, start, n, ids, index, totals, weights).
+
+    ``queue`` is one of the mixture's; a queue of several sources is itself a mixture, with ``totals`` and ``weights``
+    by source, of which this row's source is number ``index``.
+    """
+    inners: dict[int, Mixture] = {}
+    rows, todo = [], []
+    for i, (queue, start, n, index) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 6)))):
+        if index is not None and queue not in inners:
+            inners[queue] = Mixture(batch.column(7)[i].as_py(), batch.column(8)[i].as_py())
+        rows.append((queue, start, start + n, inners.get(queue), index))
+        wanted = _windows(rows[-1], mix)
+        step = max(1, CELLS // len(mix.totals))
+        todo += [(i, wanted[k : k + step]) for k in range(0, len(wanted), step)]
+    todo.sort(key=lambda x: int(x[1][0]))
     out: list[tuple] = []
-    for q in np.unique(queue).tolist():
-        column = np.ascontiguousarray(edges[:, q])
-        mine = np.flatnonzero(queue == q)
-        at = np.searchsorted(column, start[mine], "right") - 1
-        for i, w in zip(mine.tolist(), at.tolist()):
-            tokens = np.frombuffer(ids[i].as_py(), kind).astype("<u4")
-            s, e = int(start[i]), int(stop[i])
-            a = s
-            while a < e:
-                b = min(e, int(column[w + 1]))
-                if b > a:
-                    out.append((i, a - s, b - a, zlib.crc32(tokens[a - s : b - s]), e - s, first + w, int(lead[w, q]) + a - int(column[w])))
-                    a = b
-                w += 1
-    rows, *cols = zip(*out) if out else [()] * 7
+    at = 0
+    while at < len(todo):  # as many rows at once as the table of edges has room for
+        some, size = [], 0
+        while at < len(todo) and (not some or (size + len(todo[at][1])) * len(mix.totals) <= CELLS):
+            some.append(todo[at])
+            size += len(todo[at][1])
+            at += 1
+        windows = np.unique(np.concatenate([w for _, w in some]))
+        marks = np.unique(np.concatenate([windows, windows + 1]))
+        edges = mix.at(marks * mix.window)
+        here = np.searchsorted(marks, windows)
+        sizes = edges[here + 1] - edges[here]
+        lead = np.cumsum(sizes, 1) - sizes  # where a queue's tokens begin within the window
+        for i, mine in some:
+            queue, start, stop, inner, index = rows[i]
+            k = np.searchsorted(windows, mine)
+            low, high, offset = edges[here[k], queue], edges[here[k] + 1, queue], lead[k, queue]
+            if inner is not None:
+                both = inner.at(np.concatenate([low, high]))
+                sizes_in = both[len(low) :] - both[: len(low)]
+                offset = offset + sizes_in[:, :index].sum(1)
+                low, high = both[: len(low), index], both[len(low) :, index]
+            a, b = np.maximum(low, start), np.minimum(high, stop)
+            hit = np.flatnonzero(b > a)
+            tokens = np.frombuffer(batch.column(5)[i].as_py(), kind).astype("<u4")
+            for w, x, y, o in zip(mine[hit].tolist(), (a[hit] - start).tolist(), (b[hit] - start).tolist(), (offset + a - low)[hit].tolist()):
+                out.append((i, x, y - x, zlib.crc32(tokens[x:y]), stop - start, w, o))
+    picked, *cols = zip(*out) if out else [()] * 7
+    take = pa.array(picked, pa.int64())
     named = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(c, pa.int64()) for c in cols]], ["doc_id", *named])
+    return pa.RecordBatch.from_arrays([batch.column(0).take(take), *[pa.array(c, pa.int64()) for c in cols], batch.column(1).take(take)], ["doc_id", *named, "source"])
 
 
 def pack(
@@ -238,35 +284,61 @@ def pack(
     source_col: str = "source",
     end: int = END_ID,
     max_queues: int = MAX_QUEUES,
+    power: float = 1.0,
 ) -> DataFrame:
-    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     ``targets``: wanted shares of tokens by source (any scale; unlisted sources keep the weight of their size
-    relative to the smallest listed weight). Without it, every window mirrors the corpus.
+    relative to the smallest listed weight). Without it, a source's share of a window goes with its tokens to the
+    ``power``: at 1 every window mirrors the corpus, below it small sources are drawn up until they run dry.
     """
+    targets = targets or {}
+    if any(w <= 0 for w in targets.values()):
+        raise ValueError("targets are above 0")
     tokens = stage(tokenise(docs, path, id_col, text_col, source_col, end), "tokens")
     chunks = stage(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), "token-totals")
     sources = chunks.groupBy("source").agg(F.sum("n").alias("n"))
     whole = sources.agg(F.sum("n")).first()[0] or 0
-    # at most max_queues rows reach the driver, whatever the number of sources
-    top = sources.orderBy(F.desc("n"), F.asc_nulls_first("source")).limit(max_queues).collect()
+    least = min(targets.values()) if targets else 1.0
+    sources = stage(sources.withColumn("weight", F.pow(F.col("n") / float(whole or 1), F.lit(float(power))) * least), "source-totals")
+    is_listed = F.lit(False)
+    for name in targets:
+        is_listed = is_listed | F.col("source").eqNullSafe(F.lit(name))
+    # at most max_queues rows, and those that targets name, reach the driver, whatever the number of sources
+    listed = sources.where(is_listed).orderBy(F.asc_nulls_first("source")).collect() if targets else []
+    top = listed + sources.where(~is_listed).orderBy(F.desc("n"), F.asc_nulls_first("source")).limit(max(1, max_queues - len(listed))).collect()
     names, totals = [r["source"] for r in top], [r["n"] for r in top]
-    weights = [float((targets or {}).get(s, n)) if not targets or s in targets else n / whole * min(targets.values()) for s, n in zip(names, totals)]
-    if any(w <= 0 for w in weights):
-        raise ValueError("targets are above 0")
-    if (rest := whole - sum(totals)) > 0:
-        totals.append(rest)
-        weights.append(float(rest) if not targets else rest / whole * min(targets.values()))
-    mix = Mixture(totals or [1], weights or [1.0], window)
-
-    queue = F.lit(len(names))
+    weights = [float(targets.get(r["source"], r["weight"])) for r in top]
+    queue = F.lit(None).cast("int")
     for i, name in reversed(list(enumerate(names))):
         queue = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(i)).otherwise(queue)
-    w = W.partitionBy("queue").orderBy("part", F.asc_nulls_first("source")).rowsBetween(W.unboundedPreceding, -1)
-    bases = chunks.withColumn("queue", queue).withColumn("base", F.coalesce(F.sum("n").over(w), F.lit(0).cast("long")))
-    bases = bases.select(F.col("source").alias("of_source"), F.col("part").alias("of_part"), "queue", "base")
+    sources = sources.withColumn("queue", queue)
+    tail = sources.where("queue is null")
+    if (left := tail.count()) > 0:  # about as many shared queues as sources in each; a shared queue is a mixture itself
+        shared = len(names) + F.pmod(F.xxhash64("source"), F.lit(int(np.ceil(np.sqrt(left))))).cast("int")
+        tail = tail.withColumn("queue", shared).groupBy("queue").agg(F.sort_array(F.collect_list(F.struct("source", "n", "weight"))).alias("m"))
+        tail = stage(tail.orderBy("queue").withColumn("place", F.row_number().over(W.orderBy("queue")) - 1 + len(names)), "shared-queues")
+        for r in tail.select("place", F.aggregate("m", F.lit(0).cast("long"), lambda x, m: x + m["n"]).alias("n"), F.aggregate("m", F.lit(0.0), lambda x, m: x + m["weight"]).alias("w")).orderBy("place").collect():
+            totals.append(r["n"])
+            weights.append(r["w"])
+        members = tail.select("place", F.posexplode("m").alias("index", "x"), F.col("m.n").alias("totals"), F.col("m.weight").alias("weights"))
+        members = members.select(F.col("x.source").alias("source"), F.col("place").alias("queue"), "index", "totals", "weights")
+    else:
+        members = None
+    mix = Mixture(totals or [1], weights or [1.0], window)
+
+    # where a task's tokens of a source begin: one row for each task and source
+    w = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    bases = chunks.select(F.col("source").alias("of_source"), F.col("part").alias("of_part"), F.coalesce(F.sum("n").over(w), F.lit(0).cast("long")).alias("base"))
+    bases = stage(bases, "source-bases")
     on = tokens["source"].eqNullSafe(bases["of_source"]) & (tokens["part"] == bases["of_part"])
-    placed = tokens.join(bases, on).select("doc_id", "queue", (F.col("base") + F.col("before")).alias("start"), "n", "ids")
+    placed = tokens.join(bases, on).select("doc_id", "source", queue.alias("queue"), (F.col("base") + F.col("before")).alias("start"), "n", "ids")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("index", "int"), ("totals", "array<long>"), ("weights", "array<double>"))]
+    if members is None:
+        placed = placed.select("*", *none)
+    else:
+        rare = placed.where("queue is null").drop("queue").join(members.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+        placed = placed.where("queue is not null").select("*", *none).union(rare.select("doc_id", "source", "queue", "start", "n", "ids", "index", "totals", "weights"))
 
     def run(batches: Iterator[pa.RecordBatch]):
         kind = tokenizer(path).kind
@@ -274,5 +346,5 @@ def pack(
             for i in range(0, batch.num_rows, 1000):
                 yield cut(batch.slice(i, 1000), mix, kind)
 
-    named = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    named = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
     return placed.mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, {named}")

@@ -48,9 +48,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """A source's share of a window goes with the square root of its tokens: small sources are drawn up until they run dry."""
     from kinetrail.llm.packing import pack
 
-    return pack(read(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("word_bpe_49k.json"))
+    return pack(read(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("word_bpe_49k.json"), power=0.5)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,3 +115,62 @@ def test_mixture_deviates_by_less_than_its_queues():
 
 def test_pack_nothing(no_docs):
     assert packing.pack(no_docs, WORDS).count() == 0
+
+
+def played(totals, weights, window):
+    """Tokens (queue, place) in the order of a deficit round-robin, played one by one: the queue whose next token is due first."""
+    import heapq
+
+    due = [(0.5 / w, k, 0) for k, (n, w) in enumerate(zip(totals, weights)) if n]
+    heapq.heapify(due)
+    order = []
+    while due:
+        _, k, x = heapq.heappop(due)
+        order.append((k, x))
+        if x + 1 < totals[k]:
+            heapq.heappush(due, ((x + 1.5) / weights[k], k, x + 1))
+    return [order[i : i + window] for i in range(0, len(order), window)]
+
+
+@pytest.mark.parametrize("weights", [[5.0, 3.1, 0.013, 1.0, 1.0], [1.0, 1.0, 1.0, 1.0, 1.0], [0.3, 7.7, 2.2, 0.9, 40.0]])
+def test_pack_equals_played_round_robin(spark, weights):
+    r = np.random.default_rng(3)
+    sources = ["a", "b", "c", None, "e"]
+    rows = [(i, " ".join(["word"] * int(r.integers(0, 60))), sources[int(r.integers(0, 5))]) for i in range(300)]
+    rows.append((300, "word " * 2000, "c"))
+    rows.sort(key=lambda x: str(x[2]))  # a table in order of sources: slices cross borders
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    pieces = packing.pack(docs, WORDS, dict(zip(sources, weights)), window=64).collect()
+    queue = [None, "a", "b", "c", "e"]  # as the operator numbers them
+    tokens, place = {}, {}
+    for p in sorted(pieces, key=lambda p: (p["doc_id"], p["start"])):
+        tokens.setdefault(p["doc_id"], (p["source"], p["doc_tokens"]))
+    totals = [sum(n for s, n in tokens.values() if s == q) for q in queue]
+    before = dict.fromkeys(queue, 0)
+    for i, _, s in rows:
+        place[i] = before[s]
+        before[s] += tokens[i][1]
+    got = {}
+    for p in pieces:
+        for k in range(p["length"]):
+            got[p["sequence_id"], p["offset"] + k] = (queue.index(p["source"]), place[p["doc_id"]] + p["start"] + k)
+    by = dict(zip(sources, weights))
+    want = {(i, k): x for i, w in enumerate(played(totals, [by[q] for q in queue], 64)) for k, x in enumerate(sorted(w))}
+    assert got == want
+
+
+def test_many_sources_each_keep_their_share(spark):
+    """90 sources, four of them with queues of their own: in every window each has its share, give or take a few tokens."""
+    rows = [(i, " ".join(["word"] * 40), f"s{i % 90}") for i in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    pieces = packing.pack(docs, WORDS, window=1024, max_queues=4).collect()
+    check(pieces, rows, 1024)
+    got = defaultdict(int)
+    for p in pieces:
+        got[p["sequence_id"], p["source"]] += p["length"]
+    full = max(s for s, _ in got)
+    shares = [got[s, f"s{k}"] for s in range(full) for k in range(90)]
+    assert min(shares) >= 1024 // 90 - 4 and max(shares) <= 1024 // 90 + 5
+    rare = packing.pack(docs, WORDS, {"s7": 1.0, "s8": 3.0}, window=1024, max_queues=2).collect()  # what targets name has its queue
+    first = [sum(p["length"] for p in rare if p["sequence_id"] == 0 and p["source"] == s) for s in ("s7", "s8")]
+    assert abs(first[1] - 3 * first[0]) <= 4
