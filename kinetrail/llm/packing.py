@@ -201,27 +201,21 @@ class Mixture:
         """Queue positions at the starts of windows first..last: windows x queues."""
         return self.at(np.arange(first, last + 1, dtype=np.int64) * self.window)
 
-    def ranks(self, queue: int, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bounds of how many tokens are sent before these tokens of a queue."""
-        near, k = np.concatenate([self.sent(t).sum(1) for t in np.array_split((token + 0.5) / self.weights[queue], len(token) * len(self.totals) // CELLS + 1)]), len(self.totals) + 1
+    def ranks(self, queue: np.ndarray | int, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of how many tokens are sent before these tokens of their queues."""
+        t, k = (token + 0.5) / self.weights[queue], len(self.totals) + 1
+        near = np.concatenate([self.sent(x).sum(1) for x in np.split(t, range(CELLS // k + 1, len(t), CELLS // k + 1))])
         return np.maximum(near - k, 0), np.minimum(near + k, self.sum)
 
 
-def _windows(row: tuple, mix: Mixture) -> np.ndarray:
-    """Windows that surely cover a row's tokens: all between the first and the last, or those of each token if that is less."""
+def _each(row: tuple, mix: Mixture) -> np.ndarray:
+    """Windows that surely cover a row's tokens, sought for each token."""
     queue, start, stop, inner, index = row
-
-    def of(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low, high = (tokens, tokens) if inner is None else inner.ranks(index, tokens)
-        return mix.ranks(queue, low)[0] // mix.window, mix.ranks(queue, high)[1] // mix.window
-
-    last = -(-mix.sum // mix.window)
-    low, high = of(np.array([start, stop - 1]))
-    if high[1] - low[0] <= 4 * (stop - start) + 64:
-        return np.arange(low[0], min(high[1] + 1, last))
-    low, high = of(np.arange(start, stop))
-    every = np.concatenate([low + i for i in range(int((high - low).max()) + 1)])
-    return np.unique(every[every < last])
+    low = high = np.arange(start, stop)
+    if inner is not None:
+        low, high = inner.ranks(index, low)
+    low, high = mix.ranks(queue, low)[0] // mix.window, mix.ranks(queue, high)[1] // mix.window
+    return np.unique(np.concatenate([low + i for i in range(int((high - low).max()) + 1)]))
 
 
 def cut(batch: pa.RecordBatch, mix: Mixture, kind: str) -> pa.RecordBatch:
@@ -232,16 +226,25 @@ def cut(batch: pa.RecordBatch, mix: Mixture, kind: str) -> pa.RecordBatch:
     """
     inners: dict[int, Mixture] = {}
     rows, todo = [], []
-    for i, (queue, start, n, index) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 6)))):
-        if index is not None and queue not in inners:
-            inners[queue] = Mixture(batch.column(7)[i].as_py(), batch.column(8)[i].as_py())
+    queues, starts, sizes, indexes = (batch.column(c).to_pylist() for c in (2, 3, 4, 6))
+    ends = np.array([starts, [a + n - 1 for a, n in zip(starts, sizes)]], np.int64)  # first and last token
+    low, high = ends[0].copy(), ends[1].copy()
+    for i, (queue, start, n, index) in enumerate(zip(queues, starts, sizes, indexes)):
+        if index is not None:
+            if queue not in inners:
+                inners[queue] = Mixture(batch.column(7)[i].as_py(), batch.column(8)[i].as_py())
+            low[i], high[i] = inners[queue].ranks(index, ends[:1, i])[0][0], inners[queue].ranks(index, ends[1:, i])[1][0]
         rows.append((queue, start, start + n, inners.get(queue), index))
-        wanted = _windows(rows[-1], mix)
-        step = max(1, CELLS // len(mix.totals))
+    low, high = mix.ranks(np.array(queues), low)[0] // mix.window, mix.ranks(np.array(queues), high)[1] // mix.window
+    step, last = max(1, CELLS // len(mix.totals)), -(-mix.sum // mix.window)
+    for i, (a, b, n) in enumerate(zip(low.tolist(), high.tolist(), sizes)):
+        # all windows between the first and the last token's, or those of each token if that is less
+        wanted = np.arange(a, b + 1) if b - a <= 4 * n + 64 else _each(rows[i], mix)
+        wanted = wanted[wanted < last]
         todo += [(i, wanted[k : k + step]) for k in range(0, len(wanted), step)]
     todo.sort(key=lambda x: int(x[1][0]))
     out: list[tuple] = []
-    at = 0
+    ids, at = batch.column(5), 0
     while at < len(todo):  # as many rows at once as the table of edges has room for
         some, size = [], 0
         while at < len(todo) and (not some or (size + len(todo[at][1])) * len(mix.totals) <= CELLS):
@@ -265,7 +268,7 @@ def cut(batch: pa.RecordBatch, mix: Mixture, kind: str) -> pa.RecordBatch:
                 low, high = both[: len(low), index], both[len(low) :, index]
             a, b = np.maximum(low, start), np.minimum(high, stop)
             hit = np.flatnonzero(b > a)
-            tokens = np.frombuffer(batch.column(5)[i].as_py(), kind).astype("<u4")
+            tokens = np.frombuffer(ids[i].as_buffer(), kind).astype("<u4")
             for w, x, y, o in zip(mine[hit].tolist(), (a[hit] - start).tolist(), (b[hit] - start).tolist(), (offset + a - low)[hit].tolist()):
                 out.append((i, x, y - x, zlib.crc32(tokens[x:y]), stop - start, w, o))
     picked, *cols = zip(*out) if out else [()] * 7
