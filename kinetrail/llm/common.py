@@ -17,10 +17,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only a session without that setting (tests, a laptop) gets a temporary folder of its own.
+    Only a local session without that setting (tests, a laptop) gets a temporary folder of its own; on a cluster,
+    executors wouldn't see each other's files there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="kinetrail-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -33,12 +36,25 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     result read by several consumers is computed once.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/kinetrail/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 2,000 rows or about 8 MB, unless the session says otherwise.
+
+    At Spark's defaults a batch of long texts takes 64 MB, several times over (the executor's direct memory, its
+    growing copy, the worker's), in every running task.
+    """
+    for key, usual, small in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864b", "8m")):
+        if spark.conf.get(key := f"spark.sql.execution.arrow.{key}", usual) == usual:
+            spark.conf.set(key, small)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
