@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinetrail.functions.columns import clip, mean_of, quantile, safe_ratio, share_present
+from kinetrail.functions.columns import clip, mean_of, quantile, safe_corr, safe_ratio, share_present
 from kinetrail.operators import models
 from kinetrail.operators import scoring as S
 from kinetrail.operators import timeseries as T
 
-METADATA_FIELDS = ["file_name", "scene_id", "task_name", "object_id", "trajectory_id", "manufacturer", "equipment_model", "created_at"]
+# The fields whose presence C6 and C23 count.
+METADATA_FIELDS = ["scene_id", "task_name", "object_id", "trajectory_id", "manufacturer", "equipment_model", "created_at", "collection_duration_in_ms"]
+DESCRIPTION_FIELDS = ["scene_id", "task_name", "object_id", "resource_id", "owner", "region", "manufacturer", "equipment_model", "equipment_sn"]
 
 
 def visual_completeness(matches: DataFrame, by: list[str], camera: str, duration: str, fps: float = 30.0) -> DataFrame:
@@ -44,8 +46,36 @@ def alignment_quality(df: DataFrame, offsets_ms: list[str], bound_ms: float = 50
     return df.withColumn("C16", clip(1 - mean_of(*offsets_ms) / bound_ms))
 
 
-def event_indicators(df: DataFrame, by: list[str], order: list[str], kind: str, value: str, bound: float = 3.5) -> DataFrame:
-    """Six indicators that need only one channel and its timestamps, one row a trajectory.
+def joint_indicators(df: DataFrame, by: list[str], order: str, dim: str, value: str) -> DataFrame:
+    """C8, C10 and C18 of a group of joint channels given long: one row a trajectory.
+
+    C8 looks at the mean size of all channels' first, second and third differences, C10 adds up all channels' energies,
+    C18 is the mean absolute correlation over pairs of channels (NULL under three samples or two varying channels).
+    """
+    w = W.partitionBy(*by, dim).orderBy(order)
+    v, (a, b, d) = F.col(value), [F.lag(value, i).over(w) for i in (1, 2, 3)]
+    rows = df.select(*by, order, v.alias("v"), F.abs(v - a).alias("s1"), F.abs(v - 2 * a + b).alias("s2"), F.abs(v - 3 * a + 3 * b - d).alias("s3"), (v - F.avg(value).over(W.partitionBy(*by, dim))).alias("c"))
+    steps = rows.groupBy(*by, order).agg(*[F.avg(s).alias(s) for s in ("s1", "s2", "s3")], F.sum(F.col("c") ** 2).alias("e"), F.sum(F.col("s2") ** 2).alias("e2"))
+    scored = T.robust_z(steps, by, {"s1": "z1", "s2": "z2", "s3": "z3"})
+    odd = [F.coalesce(F.abs(z) > 3.5, F.lit(False)) for z in ("z1", "z2", "z3")]
+    e, e2 = F.coalesce(F.sum("e"), F.lit(0.0)), F.coalesce(F.sum("e2"), F.lit(0.0))
+    found = scored.groupBy(*by).agg(
+        F.when(F.count("*") >= 4, 1 - F.avg(F.when(F.col("s1").isNotNull(), (odd[0] | odd[1] | odd[2]).cast("double")))).alias("C8"),
+        F.when(F.count("*") < 4, None).when(e <= 1e-12, F.lit(1.0)).otherwise(1 - e2 / F.nullif(e2 + e, F.lit(0.0))).alias("C10"),
+    )
+    # channels pair up within a sample; a pair's correlation is one aggregate
+    x, y = (df.select(*by, order, F.col(dim).alias(d), F.col(value).alias(n)) for d, n in (("_p", "_x"), ("_q", "_y")))
+    pairs = x.join(y, [*by, order]).where("_p < _q").groupBy(*by, "_p", "_q").agg(F.when(F.count("*") >= 3, F.abs(safe_corr("_x", "_y"))).alias("r"))
+    return found.join(pairs.groupBy(*by).agg(F.avg("r").alias("C18")), by, "left")
+
+
+def label_completeness(df: DataFrame, fields: list[str], into: str = "C21") -> DataFrame:
+    """C21: the share of label fields that hold something; 0 for a trajectory without labels."""
+    return df.withColumn(into, F.coalesce(share_present(*fields), F.lit(0.0)))
+
+
+def event_indicators(df: DataFrame, by: list[str], order: list[str], kind: str, value: str, other: str, bound: float = 3.5) -> DataFrame:
+    """Six indicators of a channel, its timestamps and a second channel, one row a trajectory.
 
     Equal to :mod:`timeseries`' single operators, but fused: one sorted window gives all differences, and three
     aggregates on the same key follow (centres, deviations from them, shares), so rows are shuffled once.
@@ -54,7 +84,7 @@ def event_indicators(df: DataFrame, by: list[str], order: list[str], kind: str,
     v, (a, b, d) = F.col(value), [F.lag(value, i).over(w) for i in (1, 2, 3)]
     steps = df.select(
         *by, v.alias("v"), F.row_number().over(w).alias("i"), (F.col(order[0]) - F.lag(order[0]).over(w)).cast("double").alias("dt"),
-        (v - F.avg(v).over(W.partitionBy(*by))).alias("c"), (v - 2 * a + b).alias("d2"),
+        (v - F.avg(v).over(W.partitionBy(*by))).alias("c"), (v - 2 * a + b).alias("d2"), F.col(other).alias("o"),
         F.abs(v - a).alias("s1"), F.abs(v - 2 * a + b).alias("s2"), F.abs(v - 3 * a + 3 * b - d).alias("s3"),
     )
     signals = ("s1", "s2", "s3")
@@ -82,18 +112,11 @@ def event_indicators(df: DataFrame, by: list[str], order: list[str], kind: str,
         F.when(~long, None).when(energy <= 1e-12, F.lit(1.0)).otherwise(1 - second / F.nullif(second + energy, F.lit(0.0))).alias("C10_noise"),
         F.when(F.max("n") < 2, None).when(F.max("mt").isNull(), F.lit(0.0)).otherwise((share(rises) + F.avg(F.when(F.col("dt").isNotNull(), steady.cast("double")))) / 2).alias("C11_timestamps"),
         ((entropy(share(low)) + entropy(share(~low & ~high)) + entropy(share(high))) / F.ln(F.lit(3.0))).alias("C14_skill"),
-        share(F.col("s1") > F.col("m_s1")).alias("C18_activity"),
+        F.when(F.max("n") >= 3, F.abs(safe_corr("v", "o"))).alias("C18_coordination"),
     )
     return found.join(S.category_entropy(df, kind, by).withColumnRenamed("entropy", "C12_scene_entropy"), by, "left")
 
 
-def activity(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
-    """The share of steps over the trajectory's median step."""
-    steps = df.select(*by, F.abs(F.col(value) - F.lag(value).over(W.partitionBy(*by).orderBy(*order))).alias("d"))
-    mid = steps.groupBy(*by).agg(quantile("d", 0.5).alias("m"))
-    return steps.join(mid, by).where("d is not null").groupBy(*by).agg(F.avg((F.col("d") > F.col("m")).cast("double")).alias("C18_activity"))
-
-
 def mode_rarity(df: DataFrame, columns: list[str], id_col: str, seed: int) -> DataFrame:
     """C15: k-means with k = min(4, max(1, floor(sqrt n))) on imputed columns; 1 - the cluster's share; 0 if k is 1."""
     n = df.count()

@@ -1,4 +1,4 @@
-"""The pipeline's stages over stage tables: align, label, features, score, value, curate, effects.
+"""The pipeline's stages over stage tables: align, label, features, indicators, score, windows, value, curate, effects.
 
 Each stage reads its inputs from a :class:`StageStore`, is one lazy plan up to its write, and never loops over
 trajectories. Scenes are handled together; ``scene_id`` partitions the stored tables.
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinetrail.operators import causal, curation, labels, models, quality, ranking, scoring
@@ -90,6 +91,59 @@ def features(store: StageStore) -> None:
     store.write("feature_matrix", long.groupBy(*KEYS).pivot("name", wanted).agg(F.first("x", True)))
 
 
+def indicators(store: StageStore) -> None:
+    """aligned, samples, bounds, and where they exist matches, manifest, raw_metadata, final_labels -> indicators.
+
+    One row a trajectory; an indicator whose inputs aren't there is NULL. Tables that lack a trajectory leave NULLs.
+    """
+    aligned = store.read("aligned", [*KEYS, "stream", "dim", "k", "v"])
+    bounds = store.read("bounds", [*KEYS, "start_t", "end_t"]).select(*KEYS, (F.col("end_t") - F.col("start_t")).alias("duration_s"))
+    arm = aligned.where(F.col("stream") == "arm_state")
+    found = bounds.join(quality.joint_indicators(arm, KEYS, "k", "dim", "v").withColumnsRenamed({"C8": "C8_joint_anomaly_quality", "C10": "C10_joint_noise_quality", "C18": "C18_joint_coordination"}), KEYS, "left")
+    wide = arm.groupBy(*KEYS, "k").agg(F.count("v").alias("_n"), F.count("*").alias("_of")).withColumn("whole", F.when(F.col("_n") == F.col("_of"), F.lit(1.0)))
+    found = found.join(quality.joint_completeness(wide.join(bounds, KEYS), KEYS, "duration_s", ["whole"]).withColumnRenamed("C5", "C5_joint_completeness"), KEYS, "left")
+    samples = store.read("samples", [*KEYS, "kind", "group", "seq", "ts_ns"]).withColumn("stream", F.concat_ws("_", "group", "kind"))
+    steady = T.timestamp_consistency(samples, [*KEYS, "stream"], "ts_ns", "seq").groupBy(*KEYS).agg(F.avg("consistency").alias("C11_timestamp_consistency"))
+    found = found.join(steady, KEYS, "left")
+    states = T.tercile_states(arm.where("dim = 0 and v is not null"), KEYS, "v").groupBy(*KEYS, "state").agg(F.count("*").alias("n"))
+    share = F.col("n") / F.sum("n").over(W.partitionBy(*KEYS))
+    skill = states.select(*KEYS, (-share * F.ln(share)).alias("e")).groupBy(*KEYS).agg((F.sum("e") / F.ln(F.lit(3.0))).alias("C14_atomic_skill_diversity"))
+    found = found.join(skill, KEYS, "left")
+    matches = store.read("matches", optional=True)
+    if matches is not None:
+        shots = quality.visual_completeness(matches.join(bounds, KEYS), KEYS, "camera", "duration_s").withColumnRenamed("C3", "C3_visual_completeness")
+        offsets = matches.groupBy(*KEYS, "camera").agg((F.avg(F.abs("offset_s")) * 1000).alias("ms")).groupBy(*KEYS).agg(F.avg("ms").alias("ms"))
+        offsets = quality.alignment_quality(offsets, ["ms"]).select(*KEYS, F.col("C16").alias("C16_multimodal_alignment"))
+        found = found.join(shots, KEYS, "left").join(offsets, KEYS, "left")
+    manifest, metadata, finals = (store.read(n, optional=True) for n in ("manifest", "raw_metadata", "final_labels"))
+    if manifest is not None:
+        about = manifest
+        if metadata is not None:
+            about = about.join(metadata.drop(*[c for c in metadata.columns if c in manifest.columns and c not in KEYS]), KEYS, "left")
+        about = quality.attribute_completeness(quality.attribute_completeness(about), quality.DESCRIPTION_FIELDS, "C23")
+        known = F.col("is_uuid_file_name").cast("double") if "is_uuid_file_name" in about.columns else F.lit(None).cast("double")
+        about = about.select(*KEYS, F.col("C6").alias("C6_attribute_completeness"), known.alias("C22_metadata_standardization"), F.col("C23").alias("C23_scene_description_completeness"))
+        found = found.join(about.dropDuplicates(KEYS), KEYS, "left")
+        if "object_id" in manifest.columns:
+            objects = manifest.groupBy("scene_id").agg(((F.count_distinct("object_id") - 1) / F.greatest(F.count("*") - 1, F.lit(1))).alias("C13_object_diversity"))
+            found = found.join(objects, "scene_id", "left")
+    if finals is not None:
+        given = quality.label_completeness(finals, ["auto_label", "final_label"]).select(*KEYS, F.col("C21").alias("C21_label_completeness"))
+        found = found.join(given.dropDuplicates(KEYS), KEYS, "left")
+    store.write("indicators", found)
+
+
+def bc_samples(store: StageStore, cfg: Config = Config()) -> None:
+    """aligned -> bc_samples: windows of all state channels (x) and the action at their end (y)."""
+    aligned = store.read("aligned", [*KEYS, "stream", "dim", "k", "v"]).where(F.col("stream").rlike("_(state|action)$"))
+    named = aligned.withColumn("name", F.concat_ws("_", "stream", "dim"))
+    names = [r[0] for r in named.select("name").distinct().orderBy("name").collect()]  # the channels
+    wide = named.groupBy(*KEYS, "k").pivot("name", names).agg(F.first("v", True))
+    x, y = ([n for n in names if f"_{kind}_" in n] for kind in ("state", "action"))
+    windows = T.sliding_windows(wide, KEYS, ["k"], x, y, cfg.window, cfg.stride)
+    store.write("bc_samples", windows.select(F.concat_ws("_", *KEYS, "i").alias("sample_id"), *KEYS, "x", "y"), ["scene_id"])
+
+
 def score(store: StageStore, indicator_columns: dict[str, int], dimensions: dict[str, list[str]], scope: str = "scene") -> None:
     """indicators -> indicators_norm, entropy_weights, quality_scores. ``scope``: scale within scenes, or "global"."""
     raw = store.read("indicators", [*KEYS, *indicator_columns])

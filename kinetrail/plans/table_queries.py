@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinetrail.functions import columns as C
@@ -38,6 +39,50 @@ def completeness(spark, sf_dir):
     return rounded(docs.select("doc_id", C.share_present("lang", "source", "text", "n_chars").alias("share")))
 
 
+def metadata_completeness(spark, sf_dir):
+    """C6 and C23 over documents that stand for trajectories; some of the fields have no column."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(
+        F.col("doc_id").alias("trajectory_id"), F.col("lang").alias("scene_id"), F.col("source").alias("task_name"),
+        F.when(F.col("doc_id") % 3 == 0, " ").otherwise("m").alias("manufacturer"), F.col("n_chars").alias("collection_duration_in_ms"), F.when(F.col("doc_id") % 2 == 0, "o").alias("owner"),
+    )
+    rows = Q.attribute_completeness(Q.attribute_completeness(rows), Q.DESCRIPTION_FIELDS, "C23")
+    return rounded(rows.select("trajectory_id", "C6", "C23"))
+
+
+def visual_completeness(spark, sf_dir):
+    """C3 with event types for cameras and one frame in six hours."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", T.micros("ts").alias("us"))
+    span = rows.groupBy("user_id").agg(((F.max("us") - F.min("us")) / 1e6).alias("d"))
+    return rounded(Q.visual_completeness(rows.join(span, "user_id"), ["user_id"], "event_type", "d", 1 / 21600))
+
+
+def depth_validity(spark, sf_dir):
+    """C4 with a document's share of white space and of digits for hole ratios."""
+    docs = table(spark, sf_dir, "documents")
+    ratio = lambda p: F.when(F.char_length("text") > 0, F.regexp_count("text", F.lit(p)) / F.char_length("text"))
+    return rounded(Q.depth_validity(docs.select("doc_id", ratio("[ ]").alias("a"), ratio("[0-9]").alias("b")), ["a", "b"]).select("doc_id", "C4"))
+
+
+def joint_completeness(spark, sf_dir):
+    """C5 with every seventh value missing and one sample in twelve hours."""
+    rows = events(spark, sf_dir).withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value")))
+    span = rows.groupBy("user_id").agg(((F.max("us") - F.min("us")) / 1e6).alias("d"))
+    return rounded(Q.joint_completeness(rows.join(span, "user_id"), ["user_id"], "d", ["value"], 1 / 43200))
+
+
+def visual_joint_information(spark, sf_dir):
+    """C17 with event types for cameras."""
+    return rounded(Q.visual_joint_information(_two_channels(spark, sf_dir), ["user_id"], "event_type", "value", "k"))
+
+
+def joint_indicators(spark, sf_dir):
+    """C8, C10 and C18 of suppliers' vectors, with lines for samples."""
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")).alias("i"), "l_quantity", "l_discount", "l_tax")
+    long = rows.select("l_suppkey", "i", *[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount", "l_tax")]).unpivot(["l_suppkey", "i"], ["l_quantity", "l_discount", "l_tax"], "dim", "v")
+    return rounded(Q.joint_indicators(long, ["l_suppkey"], "i", "dim", "v"), 5)
+
+
 def json_metadata(spark, sf_dir):
     """A declared field of the embedded JSON, numeric where it can be read as a number."""
     rows = table(spark, sf_dir, "events")
@@ -61,13 +106,18 @@ def object_diversity(spark, sf_dir):
 
 # --- Scores -----------------------------------------------------------------------------------------------------------
 
-INDICATORS = ["C8_anomaly", "C10_noise", "C11_timestamps", "C12_scene_entropy", "C14_skill", "C18_activity"]
-DIMENSIONS = {"accuracy": ["C8_anomaly", "C10_noise"], "consistency": ["C11_timestamps", "C18_activity"], "diversity": ["C12_scene_entropy", "C14_skill"]}
+INDICATORS = ["C8_anomaly", "C10_noise", "C11_timestamps", "C12_scene_entropy", "C14_skill", "C18_coordination"]
+DIMENSIONS = {"accuracy": ["C8_anomaly", "C10_noise"], "consistency": ["C11_timestamps", "C18_coordination"], "diversity": ["C12_scene_entropy", "C14_skill"]}
 
 
 def _indicators(spark, sf_dir) -> DataFrame:
     # one row a trajectory; the steps that follow read it several times
-    return scratch(rounded(Q.event_indicators(events(spark, sf_dir), BY, ORDER, "event_type", "value"), 9), "indicators")
+    return scratch(rounded(Q.event_indicators(_two_channels(spark, sf_dir), BY, ORDER, "event_type", "value", "k"), 9), "indicators")
+
+
+def _two_channels(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    return rows.select("user_id", "event_id", "event_type", T.micros("ts").alias("us"), "value", C.to_number(F.get_json_object("props", "$.k")).alias("k"))
 
 
 def indicators(spark, sf_dir):
@@ -94,15 +144,17 @@ IND_SQL = f"""{E_SQL}, w AS (SELECT *, row_number() OVER w AS i, value - lag(val
     m AS (SELECT user_id, quantile_cont(abs(d1), 0.5) AS m1, quantile_cont(abs(d2), 0.5) AS m2, quantile_cont(abs(d3), 0.5) AS m3, quantile_cont(CAST(dt AS DOUBLE), 0.5) FILTER (dt > 0) AS mt,
         quantile_cont(value, 0.333) AS qa, quantile_cont(value, 0.667) AS qb FROM w GROUP BY user_id),
     d AS (SELECT user_id, quantile_cont(abs(abs(d1) - m1), 0.5) AS a1, quantile_cont(abs(abs(d2) - m2), 0.5) AS a2, quantile_cont(abs(abs(d3) - m3), 0.5) AS a3 FROM w JOIN m USING (user_id) GROUP BY user_id),
+    kv AS (SELECT user_id, value, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events),
+    cc AS (SELECT user_id, CASE WHEN stddev_pop(value) > 1e-12 AND stddev_pop(k) > 1e-12 AND count(*) >= 3 THEN abs(covar_pop(value, k) / (stddev_pop(value) * stddev_pop(k))) END AS act FROM kv GROUP BY user_id),
     x AS (SELECT user_id, count(*) AS n, avg(CAST(coalesce(0.6745 * abs(abs(d1) - m1) / a1 > 3.5, false) OR coalesce(0.6745 * abs(abs(d2) - m2) / a2 > 3.5, false)
         OR coalesce(0.6745 * abs(abs(d3) - m3) / a3 > 3.5, false) AS DOUBLE)) FILTER (i > 1) AS odd, sum(d2 * d2) AS e2, sum(c * c) AS e,
         avg(CAST(dt > 0 AS DOUBLE)) AS up, avg(CAST(dt > 0 AND dt <= 3 * mt AS DOUBLE)) FILTER (dt IS NOT NULL) AS steady,
-        avg(CAST(value <= qa AS DOUBLE)) AS r0, avg(CAST(value > qa AND value <= qb AS DOUBLE)) AS r1, avg(CAST(value > qb AS DOUBLE)) AS r2, avg(CAST(abs(d1) > m1 AS DOUBLE)) AS act
-        FROM w JOIN m USING (user_id) JOIN d USING (user_id) GROUP BY user_id),
+        avg(CAST(value <= qa AS DOUBLE)) AS r0, avg(CAST(value > qa AND value <= qb AS DOUBLE)) AS r1, avg(CAST(value > qb AS DOUBLE)) AS r2, any_value(act) AS act
+        FROM w JOIN m USING (user_id) JOIN d USING (user_id) JOIN cc USING (user_id) GROUP BY user_id),
     t AS (SELECT user_id, count(*) AS k FROM e GROUP BY user_id, event_type), tt AS (SELECT user_id, sum(k) AS s, count(*) AS g FROM t GROUP BY user_id),
     h AS (SELECT user_id, sum(-(k / s) * ln(k / s + 1e-12)) / ln(greatest(max(g), 2)) AS h FROM t JOIN tt USING (user_id) GROUP BY user_id),
     ind AS (SELECT user_id, round(1 - odd, 9) AS "C8_anomaly", round(1 - e2 / (e2 + e), 9) AS "C10_noise", round((up + steady) / 2, 9) AS "C11_timestamps", round(h, 9) AS "C12_scene_entropy",
-        round(-(r0 * ln(r0) + r1 * ln(r1) + r2 * ln(r2)) / ln(3), 9) AS "C14_skill", round(act, 9) AS "C18_activity" FROM x JOIN h USING (user_id)),
+        round(-(r0 * ln(r0) + r1 * ln(r1) + r2 * ln(r2)) / ln(3), 9) AS "C14_skill", round(act, 9) AS "C18_coordination" FROM x JOIN h USING (user_id)),
     lim AS (SELECT {", ".join(f'min("{c}") AS lo{i}, max("{c}") AS hi{i}' for i, c in enumerate(INDICATORS))} FROM ind),
     norm AS (SELECT user_id, {", ".join(f'''round(CASE WHEN hi{i} - lo{i} <= 1e-12 THEN 1.0 ELSE ("{c}" - lo{i}) / (hi{i} - lo{i}) END, 9) AS "{c}"''' for i, c in enumerate(INDICATORS))} FROM ind, lim),
     long AS (UNPIVOT norm ON {", ".join(f'"{c}"' for c in INDICATORS)} INTO NAME indicator VALUE x),
@@ -340,19 +392,19 @@ def matched_effects(spark, sf_dir):
     return causal.effects(causal.pair_outcomes(pairs, df, "global_id", ["Q_accuracy", "Q_consistency"]), ["outcome"])
 
 
-def _vectors(spark, sf_dir, k: int = 8):
+def _vectors(spark, sf_dir, k: int = 64):
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(k)])
 
 
 def pca_robustness(spark, sf_dir):
-    cols = [f"x{i}" for i in range(8)]
+    cols = [f"x{i}" for i in range(64)]
     rows = _vectors(spark, sf_dir)
     return Q.pca_robustness(rows.withColumn("Q_score", sum((F.col(c) for c in cols), F.lit(0.0))), cols, "Q_score")
 
 
 def motion_modes(spark, sf_dir):
     """Rarity of each row's k-means cluster."""
-    return Q.mode_rarity(_vectors(spark, sf_dir), [f"x{i}" for i in range(8)], "vec_id", 42).select("vec_id", "cluster", "rarity")
+    return Q.mode_rarity(_vectors(spark, sf_dir), [f"x{i}" for i in range(64)], "vec_id", 42).select("vec_id", "cluster", "rarity")
 
 
 def bc_job_grid(spark, sf_dir):
@@ -367,7 +419,7 @@ def bc_job_grid(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        final_label, review_queue, completeness, json_metadata, path_functions, category_entropy, object_diversity, indicators, minmax_norm, entropy_weights, quality_scores,
+        final_label, review_queue, completeness, metadata_completeness, visual_completeness, depth_validity, joint_completeness, visual_joint_information, joint_indicators, json_metadata, path_functions, category_entropy, object_diversity, indicators, minmax_norm, entropy_weights, quality_scores,
         spearman_corr, zscore_hybrid, unit_scale, value_tiers, duplicate_uniqueness, low_variance_filter, scene_profile, delta_stability, marginal_value, train_mean_baseline,
         master_table, master_check, union_distinct, pivot_means, grouped_heterogeneity, dominant_values, histogram, select_top, select_low, select_stratified, select_random,
         split_train_val, split_test_pool, k_folds, curation_curve, min_ratio, cumulative_value, pending_jobs, curation_summary, rank_desc, boxplot, radar_extremes,
@@ -403,6 +455,34 @@ ORACLE_SQL = {
     "review_queue": f"WITH {_AUTO_SQL} SELECT doc_id, auto_label, CAST(NULL AS INT) AS manual_label, '' AS review_note FROM a WHERE auto_label = 0",
     "completeness": """SELECT doc_id, round((CAST(trim(coalesce(lang, '')) <> '' AS INT) + CASE WHEN doc_id % 3 <> 0 AND trim(coalesce(source, '')) <> '' THEN 1 ELSE 0 END
         + CAST(trim(coalesce(text, '')) <> '' AS INT) + CAST(n_chars IS NOT NULL AS INT)) / 4.0, 6) AS share FROM documents""",
+    "metadata_completeness": """WITH f AS (SELECT *, CAST(trim(coalesce(lang, '')) <> '' AS INT) + CAST(trim(coalesce(source, '')) <> '' AS INT) + CASE WHEN doc_id % 3 <> 0 THEN 1 ELSE 0 END AS n_both FROM documents)
+        SELECT doc_id AS trajectory_id, round((n_both + 1 + CAST(n_chars IS NOT NULL AS INT)) / 8.0, 6) AS "C6", round((n_both + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) / 9.0, 6) AS "C23" FROM f""",
+    "visual_completeness": """WITH s AS (SELECT user_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS d FROM events GROUP BY user_id),
+        n AS (SELECT user_id, event_type, least(1.0, count(*) / greatest(1.0, any_value(d) / 21600)) AS r FROM events JOIN s USING (user_id) GROUP BY user_id, event_type)
+        SELECT user_id, round(avg(r), 6) AS "C3" FROM n GROUP BY user_id""",
+    "depth_validity": """WITH r AS (SELECT doc_id, [CASE WHEN length(text) > 0 THEN len(regexp_extract_all(text, '[ ]')) / length(text) END, CASE WHEN length(text) > 0 THEN len(regexp_extract_all(text, '[0-9]')) / length(text) END] AS h FROM documents)
+        SELECT doc_id, round(greatest(0, least(1, 1 - list_avg(h))), 6) AS "C4" FROM r""",
+    "joint_completeness": """WITH e AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN event_id % 7 <> 0 THEN value END AS v FROM events),
+        a AS (SELECT user_id, count(*) AS n, floor((max(us) - min(us)) / 1e6 / 43200) + 1 AS full_n, avg(CAST(v IS NULL AS DOUBLE)) AS gap FROM e GROUP BY user_id)
+        SELECT user_id, round((least(1.0, n / full_n) + 1 - gap) / 2, 6) AS "C5" FROM a""",
+    "visual_joint_information": """WITH e AS (SELECT user_id, event_type, value AS x, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS y FROM events), k AS (SELECT * FROM e WHERE x IS NOT NULL AND y IS NOT NULL),
+        q AS (SELECT user_id, event_type, list_distinct(quantile_cont(x, [0.2, 0.4, 0.6, 0.8])) AS qx, list_distinct(quantile_cont(y, [0.2, 0.4, 0.6, 0.8])) AS qy FROM k GROUP BY ALL HAVING count(*) >= 5 AND stddev_pop(x) > 1e-12 AND stddev_pop(y) > 1e-12),
+        b AS (SELECT user_id, event_type, len(list_filter(qx, lambda v: x >= v)) AS a, len(list_filter(qy, lambda v: y >= v)) AS b FROM k JOIN q USING (user_id, event_type)),
+        n AS (SELECT user_id, event_type, a, b, count(*) AS n FROM b GROUP BY ALL),
+        t AS (SELECT *, sum(n) OVER (PARTITION BY user_id, event_type, a) AS na, sum(n) OVER (PARTITION BY user_id, event_type, b) AS nb, sum(n) OVER (PARTITION BY user_id, event_type) AS t FROM n),
+        i AS (SELECT user_id, event_type, sum(n / t * ln((n / t) / (na / t * nb / t))) AS mi, sum(-na / t * ln(na / t) * n / na) AS ha, sum(-nb / t * ln(nb / t) * n / nb) AS hb FROM t GROUP BY ALL)
+        SELECT user_id, round(avg(CASE WHEN (ha + hb) / 2 > 1e-12 THEN greatest(0, least(1, mi / ((ha + hb) / 2))) ELSE 0 END), 6) AS "C17" FROM i GROUP BY user_id""",
+    "joint_indicators": """WITH r AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS i, CAST(l_quantity AS DOUBLE) AS a, CAST(l_discount AS DOUBLE) AS b, CAST(l_tax AS DOUBLE) AS c FROM lineitem),
+        l AS (UNPIVOT r ON a, b, c INTO NAME dim VALUE v),
+        s AS (SELECT *, abs(v - lag(v) OVER w) AS s1, abs(v - 2 * lag(v) OVER w + lag(v, 2) OVER w) AS s2, abs(v - 3 * lag(v) OVER w + 3 * lag(v, 2) OVER w - lag(v, 3) OVER w) AS s3,
+            v - avg(v) OVER (PARTITION BY l_suppkey, dim) AS c FROM l WINDOW w AS (PARTITION BY l_suppkey, dim ORDER BY i)),
+        g AS (SELECT l_suppkey, i, avg(s1) AS s1, avg(s2) AS s2, avg(s3) AS s3, sum(c * c) AS e, sum(s2 * s2) AS e2 FROM s GROUP BY ALL),
+        m AS (SELECT l_suppkey, quantile_cont(s1, 0.5) AS m1, quantile_cont(s2, 0.5) AS m2, quantile_cont(s3, 0.5) AS m3 FROM g GROUP BY l_suppkey),
+        d AS (SELECT l_suppkey, quantile_cont(abs(s1 - m1), 0.5) AS d1, quantile_cont(abs(s2 - m2), 0.5) AS d2, quantile_cont(abs(s3 - m3), 0.5) AS d3 FROM g JOIN m USING (l_suppkey) GROUP BY l_suppkey),
+        o AS (SELECT l_suppkey, count(*) AS n, avg(CAST(coalesce(0.6745 * abs(s1 - m1) / d1 > 3.5, false) OR coalesce(0.6745 * abs(s2 - m2) / d2 > 3.5, false) OR coalesce(0.6745 * abs(s3 - m3) / d3 > 3.5, false) AS DOUBLE)) FILTER (s1 IS NOT NULL) AS odd,
+            sum(e) AS e, sum(e2) AS e2 FROM g JOIN m USING (l_suppkey) JOIN d USING (l_suppkey) GROUP BY l_suppkey),
+        p AS (SELECT l_suppkey, list_avg([abs(corr(a, b)), abs(corr(a, c)), abs(corr(b, c))]) AS r FROM r GROUP BY l_suppkey)
+        SELECT l_suppkey, CASE WHEN n >= 4 THEN round(1 - odd, 5) END AS "C8", CASE WHEN n >= 4 THEN round(1 - e2 / (e2 + e), 5) END AS "C10", round(r, 5) AS "C18" FROM o JOIN p USING (l_suppkey)""",
     "json_metadata": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, json_extract(props, '$.missing') IS NULL AS no_field FROM events",
     "path_functions": r"""SELECT page_id, string_split(url, '/')[-1] AS base, array_to_string(list_filter(string_split('../raw/./' || regexp_replace(url, '^https?://', ''), '/'), lambda p: p NOT IN ('', '.', '..')), '/') AS path,
         left(trim(regexp_replace(url, '[\\/*?:\[\]]', '_', 'g')), 31) AS sheet, regexp_full_match(md5(url), '[0-9a-fA-F]{32}') AS is_uuid FROM pages""",

@@ -18,6 +18,52 @@ OWN = motion_queries.QUERIES | table_queries.QUERIES
 SQL = motion_queries.ORACLE_SQL | table_queries.ORACLE_SQL
 
 
+def motion_tables(spark, path):
+    """A store with samples and frames of eight trajectories in two scenes."""
+    rng = np.random.default_rng(1)
+    rows = [
+        (f"{s}t{j}", s, kind, group, i, int(i * 2e7 + rng.integers(1000)), [float(np.sin(i / 9 + d) * (j + 1) + rng.normal() / 50) for d in range(dims)])
+        for s in ("S1", "S2") for j in range(4) for group, dims in (("arm", 2), ("effector", 1)) for kind in ("action", "state") for i in range(60)
+    ]
+    store = StageStore(spark, str(path))
+    store.write("samples", spark.createDataFrame(rows, "trajectory_id string, scene_id string, kind string, `group` string, seq int, ts_ns long, position array<double>"))
+    store.write("frames", spark.createDataFrame([(f"{s}t{j}", s, "head", "color", i, int(i * 3e7)) for s in ("S1", "S2") for j in range(4) for i in range(30)], "trajectory_id string, scene_id string, camera string, stream string, frame_idx int, ts_ns long"))
+    return store
+
+
+@pytest.mark.parametrize("meta", [False, True])
+def test_stages_from_samples_to_values(spark, tmp_path, meta):
+    """Every stage reads what another one wrote."""
+    store, cfg = motion_tables(spark, tmp_path), stages.Config.preset("smoke", epochs=1)
+    if meta:
+        rows = [(f"{s}t{j}", s, "pour", f"cup{j % 2}", True) for s in ("S1", "S2") for j in range(4)]
+        store.write("manifest", spark.createDataFrame(rows, "trajectory_id string, scene_id string, task_name string, object_id string, is_uuid_file_name boolean"))
+        store.write("raw_metadata", spark.createDataFrame([("S1t0", "S1", "maker", " ")], "trajectory_id string, scene_id string, manufacturer string, region string"))
+    stages.align(store, cfg)
+    stages.label(store, "effector_state", cfg)
+    stages.indicators(store)
+    got = {r["trajectory_id"]: r.asDict() for r in store.read("indicators").collect()}
+    assert len(got) == 8
+    for row in got.values():
+        numbers = {k: v for k, v in row.items() if k.startswith("C")}
+        assert all(v is None or 0 <= v <= 1 for v in numbers.values()) and row["C21_label_completeness"] == 1.0
+        assert None not in [row[k] for k in ("C3_visual_completeness", "C5_joint_completeness", "C8_joint_anomaly_quality", "C10_joint_noise_quality", "C11_timestamp_consistency", "C14_atomic_skill_diversity", "C16_multimodal_alignment", "C18_joint_coordination")]
+    if meta:
+        assert (got["S1t0"]["C6_attribute_completeness"], got["S1t1"]["C6_attribute_completeness"]) == (5 / 8, 4 / 8)
+        assert (got["S1t0"]["C23_scene_description_completeness"], got["S2t1"]["C13_object_diversity"], got["S2t1"]["C22_metadata_standardization"]) == (4 / 9, 1 / 3, 1.0)
+        # against NumPy: one trajectory's channels
+        seq = store.read("aligned").where("trajectory_id = 'S1t0' and stream = 'arm_state'").orderBy("k", "dim").toPandas().pivot(index="k", columns="dim", values="v").to_numpy()
+        energy, second = ((seq - seq.mean(0)) ** 2).sum(), (np.diff(seq, n=2, axis=0) ** 2).sum()
+        assert abs(got["S1t0"]["C10_joint_noise_quality"] - (1 - second / (second + energy))) < 1e-9
+        assert abs(got["S1t0"]["C18_joint_coordination"] - abs(np.corrcoef(seq, rowvar=False)[0, 1])) < 1e-9
+    stages.score(store, {"C8_joint_anomaly_quality": 1, "C14_atomic_skill_diversity": 1}, {"accuracy": ["C8_joint_anomaly_quality"], "diversity": ["C14_atomic_skill_diversity"]}, scope="global")
+    stages.bc_samples(store, cfg)
+    first = store.read("bc_samples", ["sample_id", "scene_id", "trajectory_id", "x", "y"]).first()
+    assert len(first["x"]) == 3 * cfg.window and len(first["y"]) == 3
+    stages.value(store, cfg)
+    assert store.read("trajectory_value", ["delta"]).count() == 8 and store.read("quality_scores").count() == 8
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
