@@ -74,8 +74,8 @@ def label_completeness(df: DataFrame, fields: list[str], into: str = "C21") -> D
     return df.withColumn(into, F.coalesce(share_present(*fields), F.lit(0.0)))
 
 
-def event_indicators(df: DataFrame, by: list[str], order: list[str], kind: str, value: str, other: str, bound: float = 3.5) -> DataFrame:
-    """Six indicators of a channel, its timestamps and a second channel, one row a trajectory.
+def event_indicators(df: DataFrame, by: list[str], order: list[str], kind: str, value: str, other: str | None = None, bound: float = 3.5) -> DataFrame:
+    """Six indicators of a channel, its timestamps and a second channel, one row a trajectory; without that, C18 is NULL.
 
     Equal to :mod:`timeseries`' single operators, but fused: one sorted window gives all differences, and three
     aggregates on the same key follow (centres, deviations from them, shares), so rows are shuffled once.
@@ -84,7 +84,7 @@ def event_indicators(df: DataFrame, by: list[str], order: list[str], kind: str,
     v, (a, b, d) = F.col(value), [F.lag(value, i).over(w) for i in (1, 2, 3)]
     steps = df.select(
         *by, v.alias("v"), F.row_number().over(w).alias("i"), (F.col(order[0]) - F.lag(order[0]).over(w)).cast("double").alias("dt"),
-        (v - F.avg(v).over(W.partitionBy(*by))).alias("c"), (v - 2 * a + b).alias("d2"), F.col(other).alias("o"),
+        (v - F.avg(v).over(W.partitionBy(*by))).alias("c"), (v - 2 * a + b).alias("d2"), F.col(other).alias("o") if other else F.lit(None).cast("double").alias("o"),
         F.abs(v - a).alias("s1"), F.abs(v - 2 * a + b).alias("s2"), F.abs(v - 3 * a + 3 * b - d).alias("s3"),
     )
     signals = ("s1", "s2", "s3")

@@ -163,6 +163,11 @@ def test_fused_indicators_equal_single_operators(spark):
             assert got[r["id"]][name] == (pytest.approx(r[col]) if r[col] is not None else None)
     for r in T.timestamp_consistency(df, BY, "us", "us").collect():
         assert got[r["id"]]["C11_timestamps"] == pytest.approx(r["consistency"])
+    assert {r["C18_coordination"] for r in got.values()} == {None}
+    both = df.withColumn("o", F.col("v") * -2 + F.when(F.col("us") % 2 == 0, 0.5).otherwise(0.0))
+    want = {r["id"]: r["coordination"] for r in scoring.channel_coordination(both, BY, ["v", "o"]).collect()}
+    for r in quality.event_indicators(both, BY, ["us"], "kind", "v", "o").collect():
+        assert r["C18_coordination"] == pytest.approx(want[r["id"]])
 
 
 # --- scores ---
