@@ -10,7 +10,8 @@ of words seen. Training uses a bounded sample (``SAMPLE_DOCS`` documents a langu
 documented parameter); predictions cover every whole text.
 
 Defined results
-* words are runs of letters, lowered; a run of over ``LONGEST`` letters is scored in parts of that length, none left out;
+* words are runs of letters, lowered, and scored whole; beyond ``LONGEST`` letters the passes rescale as they go;
+* every language is learned; where the table of probabilities would be over ``MAX_TABLE_BYTES``, training fails;
 * null texts and texts without a letter: ``und`` with score 0; the same if no language could be learned;
 * ``score`` is the posterior of the predicted language (0 to 1); ties go to the language that comes first by name;
 * ``language_filter`` also asks that a text fits its language: its log-likelihood a letter, as low as the labelled
@@ -34,12 +35,14 @@ from kinetrail.llm.byte_bpe import blocks
 from kinetrail.llm.common import crc32_mod, quoted, stage
 
 SAMPLE_DOCS = 2000
-MAX_LANGUAGES = 200
+#: The most that the table of pieces x languages may take, on the driver and in each worker (about 4,000 languages).
+MAX_TABLE_BYTES = 1 << 30
 ROUNDS = 2
 LONGEST = 24
 #: Words from which a text's fit is judged at full strength; a shorter text may stray further.
 FIT_WORDS = 50
-CACHE_WORDS = 300_000
+#: What a worker's remembered words may take, and the longest word that is remembered.
+CACHE_BYTES, CACHED_LETTERS = 48_000_000, 64
 START = "▁"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -48,10 +51,6 @@ def words_of(text: str) -> list[str]:
     return [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in _LETTERS.findall(text.lower())]
 
 
-def _parts(word: str) -> list[str]:
-    return [(START if i == 0 else "") + word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
-
-
 class Pieces:
     """The vocabulary's text pieces; found in arrays of characters by a polynomial hash."""
 
@@ -101,21 +100,91 @@ class Pieces:
         return found
 
 
-def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places in ``words``, characters) of words of one length, at most 20,000 at a time."""
+def _by_length(words: list[str], languages: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in ``words``, characters) of words of one length, so many at a time that the passes' arrays stay small."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     for size in np.unique(sizes).tolist():
         every = np.flatnonzero(sizes == size)
-        for at in np.split(every, range(20_000, len(every), 20_000)):
+        most = max(1, min(20_000, 4_000_000 // (min(size, LONGEST) * languages), 4_000_000 // size))
+        for at in np.split(every, range(most, len(every), most)):
             flat = np.frombuffer("".join([words[i] for i in at.tolist()]).encode("utf-32-le"), "<u4")
             yield at, flat.reshape(len(at), size).astype(np.uint64)
 
 
+def _stretches(chars: np.ndarray, pieces: Pieces, back: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """(first start, starts x sizes x words: the pieces there) for one stretch of starts after the other."""
+    n, sizes = chars.shape[1], pieces.longest
+    step = max(1, 2_000_000 // (sizes * len(chars)))
+    for first in sorted(range(0, n, step), reverse=back):
+        last = min(n, first + step)
+        ids = np.full((last - first, sizes, len(chars)), pieces.n + 1, np.int32)
+        h = np.zeros((len(chars), last - first), np.uint64)
+        for k in range(min(sizes, n - first)):
+            fit = min(last, n - k) - first  # starts whose span of k + 1 characters ends within the word
+            h = pieces.add(h[:, :fit], chars[:, first + k : first + k + fit])
+            ids[:fit, k] = pieces.find(h).T
+        ids[:, 0][ids[:, 0] > pieces.n] = pieces.n
+        yield first, ids
+
+
+def _long_forward(chars: np.ndarray, pieces: Pieces, table: np.ndarray) -> np.ndarray:
+    """The forward pass over words of one length, rescaled on its way: a ring holds what the next ends have so far."""
+    sizes = pieces.longest
+    ring = np.zeros((sizes + 1, len(chars), table.shape[1]))
+    ring[0] = 1
+    scale = np.zeros(ring.shape[1:])
+    ahead = np.arange(1, sizes + 1)
+    for first, ids in _stretches(chars, pieces):
+        for i, found in enumerate(ids, first):
+            here = i % (sizes + 1)
+            ring[(i + ahead) % (sizes + 1)] += ring[here] * table[found]
+            ring[here] = 0
+            if i % 8 == 7:
+                top = ring.max(0)
+                ring /= top
+                scale += np.log(top)
+    return np.log(ring[chars.shape[1] % (sizes + 1)]) + scale
+
+
+def _long_counts(chars: np.ndarray, lang: np.ndarray, counts: np.ndarray, total: np.ndarray, pieces: Pieces, table: np.ndarray) -> None:
+    """Adds to ``total`` the expected uses of pieces in words of one length, rescaled as in :func:`_long_forward`."""
+    n, sizes, ahead = chars.shape[1], pieces.longest, np.arange(1, pieces.longest + 1)
+    alpha, log_scale = np.zeros((n + 1, len(chars))), np.zeros((n + 1, len(chars)))
+    ring, scale = np.zeros((sizes + 1, len(chars))), np.zeros(len(chars))
+    ring[0] = 1
+    for first, ids in _stretches(chars, pieces):
+        for i, found in enumerate(ids, first):
+            here = i % (sizes + 1)
+            alpha[i], log_scale[i] = ring[here], scale
+            ring[(i + ahead) % (sizes + 1)] += ring[here] * table[found, lang]
+            ring[here] = 0
+            if i % 8 == 7:
+                top = ring.max(0)
+                ring /= top
+                scale = scale + np.log(top)
+    whole = np.log(ring[n % (sizes + 1)]) + scale
+    ring, scale = np.zeros((sizes + 1, len(chars))), np.zeros(len(chars))
+    ring[n % (sizes + 1)] = 1
+    for first, ids in _stretches(chars, pieces, back=True):
+        for i in range(first + len(ids) - 1, first - 1, -1):
+            found = ids[i - first]
+            uses = table[found, lang] * ring[(i + ahead) % (sizes + 1)]
+            np.add.at(total, (found, lang[None]), alpha[i] * uses * (np.exp(log_scale[i] + scale - whole) * counts))
+            ring[i % (sizes + 1)] = uses.sum(0)
+            if i % 8 == 7:
+                top = ring.max(0)
+                ring /= top
+                scale = scale + np.log(top)
+
+
 def log_likelihoods(words: list[str], pieces: Pieces, table: np.ndarray) -> np.ndarray:
     """words x languages: the logarithm of the sum over all segmentations. ``table``: pieces x languages."""
     out = np.zeros((len(words), table.shape[1]))
-    for at, chars in _by_length(words):
+    for at, chars in _by_length(words, table.shape[1]):
         n = chars.shape[1]
+        if n > LONGEST + 1:
+            out[at] = _long_forward(chars, pieces, table)
+            continue
         alpha = [np.ones((len(at), table.shape[1]))] + [np.zeros((len(at), table.shape[1])) for _ in range(n)]
         for (i, j), ids in pieces.spans(chars).items():  # in order of i: alpha[i] is complete
             alpha[j] += alpha[i] * table[ids]
@@ -128,6 +197,9 @@ def expected_counts(words: list[str], langs: np.ndarray, counts: np.ndarray, pie
     total = np.zeros_like(table)
     for at, chars in _by_length(words):
         n, lang = chars.shape[1], langs[at]
+        if n > LONGEST + 1:
+            _long_counts(chars, lang, counts[at], total, pieces, table)
+            continue
         spans = pieces.spans(chars)
         prob = {k: table[ids, lang] for k, ids in spans.items()}
         alpha = [np.ones(len(at))] + [np.zeros(len(at)) for _ in range(n)]
@@ -180,31 +252,33 @@ def train(
 ) -> LanguageModel:
     """Learn from rows with a language that ``held_out`` (a condition on doc_id, default none) doesn't name.
 
-    About ``sample_docs`` documents of each of the ``MAX_LANGUAGES`` most frequent languages are used: those whose
-    hashed id falls under a threshold set by the language's count, so the bound holds at any size.
+    About ``sample_docs`` documents of each language are used: those whose hashed id falls under a threshold set by
+    the language's count, so the bound holds at any size.
     """
     spark = docs.sparkSession
     rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"), quoted(lang_col).alias("lang")).where("lang is not null")
     if held_out is not None:
         rows = rows.where(~held_out)
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    share = {r["lang"]: min(1.0, sample_docs / r["count"]) for r in found}
-    languages = sorted(share)
     pieces = _load(vocabulary)
+    most = MAX_TABLE_BYTES // (8 * (pieces.n + 2))
+    found = rows.groupBy("lang").count().limit(most + 1).collect()
+    languages = sorted(r["lang"] for r in found)
+    if len(languages) > most:
+        raise ValueError(f"over {most:,} values of {lang_col!r}: a table of pieces by language would take over {MAX_TABLE_BYTES:,} bytes")
     table = _normalised(np.zeros((pieces.n + 2, max(1, len(languages)))))
     if not languages:
         return LanguageModel([], table, vocabulary)
-    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) / 1e6
-    chosen = F.lit(False)
-    for lang in languages:
-        chosen = F.when(F.col("lang") == lang, place < share[lang]).otherwise(chosen)
+    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 62)) / float(1 << 62)
+    shares = spark.createDataFrame([(r["lang"], sample_docs / r["count"]) for r in found], "lang string, share double")
+    rows = rows.withColumn("lang", F.col("lang").cast("string")).join(F.broadcast(shares), "lang")  # a row a language
+    chosen = place < F.col("share")
     number = {lang: i for i, lang in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]):
         for part, texts in blocks(batches, 0):
             seen = Counter()
             for lang, text in zip(part.column(1).to_pylist(), texts):
-                seen.update((number[lang], p) for w in words_of(text) for p in _parts(w))
+                seen.update((number[lang], START + w) for w in words_of(text) if w)
             keys = list(seen)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], ["lang", "word", "n"])
 
@@ -271,18 +345,21 @@ class Scorer:
         """The sum over each text's words; None for a text without a letter."""
         self.cut = cut = [words_of(t) for t in texts]
         new = set().union(*cut).difference(self.row) - {""}
-        if len(self.row) + len(new) > CACHE_WORDS:
+        if (len(self.row) + len(new)) * (8 * self.table.shape[1] + 120) > CACHE_BYTES:
             new = set().union(*cut) - {""}
             self.row, self.vectors = {}, self.vectors[:0]
-        if new:
-            words = list(new)
-            parts = [_parts(w) for w in words]
-            flat = log_likelihoods([p for ps in parts for p in ps], self.pieces, self.table)
-            starts = np.cumsum([0] + [len(ps) for ps in parts[:-1]])
+        words = sorted(new, key=lambda w: len(w) > CACHED_LETTERS)
+        if words:
             self.row.update(zip(words, range(len(self.vectors), len(self.vectors) + len(words))))
-            self.vectors = np.concatenate([self.vectors, np.add.reduceat(flat, starts)])
+            self.vectors = np.concatenate([self.vectors, log_likelihoods([START + w for w in words], self.pieces, self.table)])
         get = self.row.__getitem__
-        return [self.vectors[np.fromiter((get(w) for w in ws if w), np.int64)].sum(0) if any(ws) else None for ws in cut]
+        sums = [self.vectors[np.fromiter((get(w) for w in ws if w), np.int64)].sum(0) if any(ws) else None for ws in cut]
+        for w in reversed(words):
+            if len(w) <= CACHED_LETTERS:
+                break
+            del self.row[w]
+        self.vectors = self.vectors[: len(self.row)]
+        return sums
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
