@@ -6,9 +6,12 @@ lines apart:
 1. hashes are range-partitioned together with a salt of the document, sorted within partitions by hash, salt,
    document and position, and the first document of each (hash, salt) streams over the rows behind it. Every row
    of another document is a repeat for good;
-2. only the rows of these first documents meet again by hash alone (at most ``SALTS`` documents a hash), where the
+2. only the rows of these first documents meet again by hash alone (at most as many documents as salts), where the
    smallest document of all wins.
 
+The number of salts is the square root of the number of lines, so that a line of every document puts about as many
+rows into one task in either round, however many documents there are.
+
 Dropped positions fold into 64-bit words by document; what comes back per document is a sparse keep bitmap: a map
 from word number to keep bits that holds only words with a dropped line. Text meets the bitmaps once, at the end.
 
@@ -21,6 +24,8 @@ Defined results
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -28,7 +33,7 @@ from pyspark.sql import Window as W
 from kinetrail.llm.common import WS, ascii_lower, quoted, stage
 
 MIN_CHARS = 10
-SALTS = 32
+MIN_SALTS = 32
 
 
 def _lines(text: Column) -> Column:
@@ -55,9 +60,10 @@ def _first(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumns({"first_id": F.first("doc_id").over(w), "first_key": F.first("text_key").over(w)})
 
 
-def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, salts: int = SALTS) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, salts: int | None = None) -> DataFrame:
     """(doc_id, text_key, n_dropped, keep_words) of documents that lose a line; text_key is xxhash64 of the text."""
     hashes = stage(line_hashes(docs, id_col, text_col, min_chars), "line-hashes")
+    salts = salts or max(MIN_SALTS, math.isqrt(hashes.count()))
     salted = hashes.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(salts)))
     local = _first(salted.repartitionByRange("h1", "salt"), ["h1", "h2", "salt"])
     local = local.withColumn("repeat", ~_same_document("first_id", "first_key")).drop("first_id", "first_key")
@@ -71,7 +77,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, salts: int = SALTS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, salts: int | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, n_lines, n_dropped, keep_words (null: all lines stay) and kept_text."""
     maps = keep_bitmaps(docs, id_col, text_col, min_chars, salts)
     maps = maps.select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), "n_dropped", "keep_words")
