@@ -30,12 +30,12 @@ from kinetrail.llm.byte_bpe import blocks
 from kinetrail.llm.common import crc32_mod, quoted, stage
 
 SAMPLE_ROWS = 20_000
-MAX_TERMS = 2000
 #: Twice the logarithm of the likelihood ratio that a term needs, and the share of toxic documents among those with it.
 MIN_RATIO, MIN_SHARE = 28.0, 0.8
 STEM_SIZES = (4, 5, 6, 7)
 CONTEXT = 6
-CACHE_WORDS = 400_000
+#: A worker remembers so many words of at most so many letters.
+CACHE_WORDS, CACHED_LETTERS = 400_000, 64
 MAX_STATES = 100_000
 STRIP = ".,;:!?…()[]{}<>|*_~#\"'`´“”„‟«»‹›‘’‚¡¿-–—/\\"
 QUOTES = frozenset("\"“”„‟«»‹›`")
@@ -162,7 +162,9 @@ class Finder:
             except KeyError:
                 if len(cache) >= CACHE_WORDS:
                     cache.clear()
-                hit = cache[w] = self.machine.match(w.strip(STRIP))
+                hit = self.machine.match(w.strip(STRIP))
+                if len(w) <= CACHED_LETTERS:
+                    cache[w] = hit
             if hit:
                 hits.append((i, *hit))
         if not hits:
@@ -249,7 +251,8 @@ def train(
     counts = rows.mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     counts = counts.where(F.col("pos") >= MIN_SHARE * (F.col("pos") + F.col("neg")))
     ratio = _ratio(F.col("pos"), F.col("neg"), F.lit(float(n_pos)), F.lit(float(n_neg)))
-    best = counts.withColumn("ratio", ratio).where(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).collect()
+    # a term needs this ratio within the sample, hence several of its toxic documents: the sample bounds the lexicon
+    best = counts.withColumn("ratio", ratio).where(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "term").collect()
     odds = {r["term"]: math.log((r["pos"] + 0.5) / (n_pos + 1)) - math.log((r["neg"] + 0.5) / (n_neg + 1)) for r in best}
     terms = {t: w for t, w in odds.items() if not t.endswith("*")}
     stems = {t[:-1]: w for t, w in odds.items() if t.endswith("*")}
