@@ -2,7 +2,8 @@
 
 The automaton runs once over each text's words (A-Z lowered, joined by single spaces), so a phrase is found however
 its words are spaced or punctuated, and only at word bounds. Where it finds the words of an SPDX tag, the tag's
-expression is read from the text and goes through a shunting-yard parser: ``with`` binds before ``and`` before ``or``.
+expression is read from the text, over line ends until its parentheses close, and goes through a shunting-yard parser:
+``with`` binds before ``and`` before ``or``. The longest of the phrases that end at a word sets the grade there.
 
 Each licence has a grade of freedom (0 to 1). ``or`` takes the better side (the choice is the user's), ``and`` the
 worse (both apply), ``with`` an exception adds ``EXCEPTION``. ``score`` is the worst grade of all notices and
@@ -40,6 +41,15 @@ NOTICES = {
     "bsd license": "bsd",
     "redistribution and use in source and binary forms": "bsd",
     "isc license": "isc",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlib",
+    "zlib license": "zlib",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "artistic license": "artistic",
+    "open font license": "ofl",
+    "python software foundation license": "psf",
+    "common development and distribution license": "cddl",
+    "creative commons zero": "cc0",
     "boost software license": "bsl",
     "cc0": "cc0",
     "cc by 4 0": "cc-by",
@@ -52,13 +62,14 @@ NOTICES = {
 }
 #: How freely a licence lets its text be used.
 GRADES = {
-    "cc0": 1.0, "mit": 1.0, "isc": 1.0, "bsd": 1.0, "bsl": 1.0, "apache": 0.95, "cc-by": 0.9, "mpl": 0.7, "epl": 0.6, "lgpl": 0.6,
+    "cc0": 1.0, "0bsd": 1.0, "unlicense": 1.0, "zlib": 1.0, "psf": 0.95, "ofl": 0.9, "artistic": 0.8, "cddl": 0.7, "mit": 1.0, "isc": 1.0, "bsd": 1.0, "bsl": 1.0, "apache": 0.95, "cc-by": 0.9, "mpl": 0.7, "epl": 0.6, "lgpl": 0.6,
     "cc-by-sa": 0.5, "gpl": 0.4, "agpl": 0.3, "cc-by-nd": 0.2, "cc-by-nc": 0.1, "proprietary": 0.0,
 }
 UNKNOWN = 0.3
 EXCEPTION = 0.2
 TAG = "spdx license identifier"
-_TAG_LINE = re.compile(r"spdx-license-identifier\s*:?[ \t]*([^\n\r]*)", re.IGNORECASE)
+_TAG = re.compile(r"spdx[^0-9a-z\x80-\U0010ffff]+license[^0-9a-z\x80-\U0010ffff]+identifier[ \t]*:?", re.IGNORECASE | re.ASCII)
+_LINE_END = re.compile(r"[\n\r]|\Z")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+-]+")
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
@@ -105,6 +116,37 @@ def postfix(expression: str) -> list[str] | None:
     return out + waiting[::-1]
 
 
+def expression_at(text: str, start: int) -> str:
+    """The licence expression that begins at ``start``: to the end of the line, or on to where its parentheses close.
+
+    What isn't an expression as far as it goes is returned as the whole line.
+    """
+    depth, operand, end = 0, False, start
+    for m in _TOKEN.finditer(text, start):
+        gap = text[end : m.start()]
+        if not depth and ("\n" in gap or "\r" in gap):
+            break
+        token = m[0].lower()
+        if token == ")":
+            if not operand or not depth:
+                break
+            depth -= 1
+        elif token in _PRECEDENCE:
+            if not operand:
+                break
+            operand = False
+        elif operand:
+            break
+        elif token == "(":
+            depth += 1
+        else:
+            operand = True
+        end = m.end()
+    if depth or not operand:
+        end = _LINE_END.search(text, start).start()
+    return text[start:end]
+
+
 def evaluate(expression: str) -> tuple[set[str], float]:
     """(labels, grade) of a licence expression."""
     order = postfix(expression)
@@ -152,6 +194,7 @@ def scan(text: str, machine: ahocorasick.Automaton) -> tuple:
     starts: list[int] = []
     grades: list[float] = []
     tagged = False
+    graded = -1  # phrases that end at one word come longest first
     counted = spaces = 0  # hits come in order of their ends, so each stretch of the text is counted once
     for end, (phrase, label, is_base) in machine.iter(line):
         if is_base:
@@ -163,10 +206,12 @@ def scan(text: str, machine: ahocorasick.Automaton) -> tuple:
             tagged = True
         else:
             labels.add(label)
-            grades.append(GRADES[label])
+            if end != graded:
+                grades.append(GRADES[label])
+            graded = end
     if tagged:
-        for m in _TAG_LINE.finditer(text):
-            more, grade = evaluate(m[1])
+        for m in _TAG.finditer(text):
+            more, grade = evaluate(expression_at(text, m.end()))
             labels |= more
             grades.append(grade)
     first, last = (min(starts), max(starts)) if starts else (None, None)
