@@ -36,7 +36,8 @@ from kinetrail.llm.common import quoted
 #: Fixed value: what the Unicode property White_Space holds; the split pattern's \s.
 SPACE = "\t-\r \x85\xa0  -     　"
 BLOCK_CHARS = 6_000_000
-CACHE_PIECES = 500_000
+#: A worker remembers so many pieces of at most so many characters.
+CACHE_PIECES, CACHED_CHARS = 500_000, 64
 NONE = np.int32(2**31 - 1)
 
 
@@ -174,6 +175,9 @@ class ByteBPE:
         get = self.words.__getitem__
         for p, ws in split.items():
             self.cache[p] = b"".join(map(get, ws))
+        for w in new:
+            if len(w) > CACHED_CHARS:
+                del self.words[w]
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -185,7 +189,11 @@ class ByteBPE:
                 self.cache.clear()
             self.learn(new)
         get = self.cache.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        ids = [b"".join(map(get, pieces)) for pieces in cut]
+        for p in new:
+            if len(p) > CACHED_CHARS:
+                del self.cache[p]
+        return ids
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
