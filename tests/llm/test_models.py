@@ -200,6 +200,30 @@ def test_forward_sums_all_segmentations():
     assert np.isclose(sum(counts[p, 0] * n for p, n in sizes.items()), 3 * len(word))
 
 
+def test_long_words_are_scored_whole(monkeypatch):
+    pieces = language_id._load(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(0)
+    table = language_id._normalised(rng.random((pieces.n + 2, 3)))
+    words = ["▁" + "".join(rng.choice(list("abcdeinorst是不的"), n)) for n in (5, 26, 27, 27, 31, 40)]
+    langs, counts = np.array([0, 1, 2, 0, 1, 2]), np.arange(1.0, 7)
+    scores, uses = language_id.log_likelihoods(words, pieces, table), language_id.expected_counts(words, langs, counts, pieces, table)
+    monkeypatch.setattr(language_id, "LONGEST", 1000)  # the plain pass, which can't underflow at these lengths
+    np.testing.assert_allclose(scores, language_id.log_likelihoods(words, pieces, table))
+    np.testing.assert_allclose(uses, language_id.expected_counts(words, langs, counts, pieces, table), atol=1e-9)
+    monkeypatch.undo()
+    assert np.isfinite(language_id.log_likelihoods(["▁" + "ab" * 2000], pieces, table)).all()
+    scorer = language_id.Scorer(pieces, table)
+    once = scorer.score(["abc " + "xyz" * 40, "abc", "1"])
+    assert list(scorer.row) == ["abc"] and len(scorer.vectors) == 1 and once[2] is None
+    np.testing.assert_allclose(once[:2], scorer.score(["abc " + "xyz" * 40, "abc"]))
+
+
+def test_too_many_languages_fail(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_TABLE_BYTES", 1)
+    with pytest.raises(ValueError, match="lang"):
+        language_id.train(spark.createDataFrame([(1, "some text", "en")], "doc_id long, text string, lang string"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def test_language_held_out(spark, sample, odd_docs, no_docs):
     model = language_id.train(sample, PIECES, held_out=language_id.held_out_quarter())
     got = language_id.predict(sample, model).join(sample.select("doc_id", "lang"), "doc_id").where(language_id.held_out_quarter()).collect()
@@ -235,6 +259,16 @@ def test_license_expressions():
     assert license_scan.evaluate("Nothing-1.0") == (set(), license_scan.UNKNOWN)
 
 
+def test_license_tags_are_read_whole():
+    m = license_scan.automaton()
+    scan = lambda text: license_scan.scan(text, m)[5:]
+    assert scan("SPDX License Identifier: Apache-2.0") == ("apache", 0.95)
+    assert scan("// SPDX-License-Identifier: (MIT OR\n// GPL-3.0-only) AND AGPL-3.0-only\nISC") == ("agpl,gpl,mit", 0.3)
+    assert scan("SPDX-License-Identifier: MIT\nOR GPL-2.0-only") == ("mit", 1.0)  # no parenthesis is open at the line's end
+    assert scan("SPDX-License-Identifier: (MIT\nmore text") == ("mit", 1.0)
+    assert scan("GNU Lesser General Public License") == ("gpl,lgpl", 0.6)
+
+
 def test_license_scan(spark, odd_docs, no_docs):
     m = license_scan.automaton()
     assert license_scan.scan("MIT-License mit\nlicense; the General  Public License", m)[:5] == (8, 3, 0, 5, "gpl,mit")
