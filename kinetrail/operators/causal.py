@@ -26,6 +26,16 @@ def balance(df: DataFrame, covariates: list[str], treated: str) -> DataFrame:
     return long.groupBy("covariate").agg(((arm(F.avg, 1) - arm(F.avg, 0)) / pooled).alias("smd"))
 
 
+def balance_brief(found: DataFrame, by: list[str], good: float = 0.1) -> DataFrame:
+    """By ``by``: covariates, mean ``abs_smd_before`` and ``abs_smd_after``, covariates with less than ``good`` after."""
+    return found.groupBy(*by).agg(
+        F.count("covariate").alias("n_covariates"),
+        F.avg("abs_smd_before").alias("mean_abs_smd_before"),
+        F.avg("abs_smd_after").alias("mean_abs_smd_after"),
+        F.count_if(F.col("abs_smd_after") < good).alias("n_good_after"),
+    )
+
+
 def match_pairs(df: DataFrame, scene: str, id_col: str, treated: str, p: str = "p", caliper_ratio: float = 0.2) -> DataFrame:
     """(scene, treated_id, control_id, distance): greedy 1:1 nearest neighbours without replacement, within scenes.
 

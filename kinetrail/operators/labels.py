@@ -46,3 +46,20 @@ def merge_manual(auto: DataFrame, manual: DataFrame, id_col: str, label: str, or
     own = manual.where(F.col(label).isin(0, 1)).select(F.col(id_col), F.col(label).alias("manual_label"), *([F.col(order).alias("_o")] if order else [F.col(label).alias("_o")]))
     own = own.withColumn("_r", F.row_number().over(W.partitionBy(id_col).orderBy(F.desc("_o"), F.desc("manual_label")))).where("_r = 1").drop("_r", "_o")
     return auto.join(own, id_col, "left").withColumn("final_label", F.coalesce("manual_label", "auto_label"))
+
+
+def trajectory_errors(windows: DataFrame, id_col: str, scene: str, mse: str, mae: str, nmse: str) -> DataFrame:
+    """Held-out errors of windows -> one row a trajectory: mean errors, ``trajectory_imitation_score`` = exp(-normalised error), windows.
+
+    A trajectory lies in one scene; should its rows name several, the smallest stands. NULL errors don't count.
+    """
+    means = {"trajectory_mse": mse, "trajectory_mae": mae, "trajectory_normalized_mse": nmse}
+    found = windows.groupBy(id_col).agg(F.min(scene).alias(scene), *[F.avg(c).alias(n) for n, c in means.items()], F.count("*").alias("n_bc_windows"))
+    return found.withColumn("trajectory_imitation_score", F.exp(-F.col("trajectory_normalized_mse")))
+
+
+def label_summary(labelled: DataFrame, scene: str) -> DataFrame:
+    """By scene: trajectories, mean and sample deviation of normalised error and imitation score (NULL for a single one)."""
+    columns = ("trajectory_normalized_mse", "trajectory_imitation_score")
+    figures = [f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    return labelled.groupBy(scene).agg(F.count("*").alias("n_trajectories"), *figures)

@@ -367,6 +367,27 @@ def balance_smd(spark, sf_dir):
     return rounded(causal.balance(df, ["Q_accuracy", "Q_consistency"], "t_Q_score_q50"), 5)
 
 
+def _held_out_errors(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    errors = {"mse": F.col("l_discount"), "mae": F.col("l_tax"), "nmse": F.col("l_quantity") / 50}
+    return lines.select(F.col("l_orderkey").alias("global_id"), (F.col("l_orderkey") % 5).alias("scene_id"), *[e.cast("double").alias(n) for n, e in errors.items()])
+
+
+def trajectory_errors(spark, sf_dir):
+    return rounded(L.trajectory_errors(_held_out_errors(spark, sf_dir), "global_id", "scene_id", "mse", "mae", "nmse"), 6)
+
+
+def label_summary(spark, sf_dir):
+    return rounded(L.label_summary(L.trajectory_errors(_held_out_errors(spark, sf_dir), "global_id", "scene_id", "mse", "mae", "nmse"), "scene_id"), 6)
+
+
+def balance_brief(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    smd = {"abs_smd_before": F.col("p_size") / 100, "abs_smd_after": F.col("p_size") / 200}
+    found = parts.select(F.col("p_brand").alias("treatment"), F.col("p_name").alias("covariate"), *[e.cast("double").alias(n) for n, e in smd.items()])
+    return rounded(causal.balance_brief(found, ["treatment"]), 6)
+
+
 # --- Models (rows only: no SQL twin) ---------------------------------------------------------------------------------------
 
 
@@ -423,11 +444,13 @@ QUERIES = {
         spearman_corr, zscore_hybrid, unit_scale, value_tiers, duplicate_uniqueness, low_variance_filter, scene_profile, delta_stability, marginal_value, train_mean_baseline,
         master_table, master_check, union_distinct, pivot_means, grouped_heterogeneity, dominant_values, histogram, select_top, select_low, select_stratified, select_random,
         split_train_val, split_test_pool, k_folds, curation_curve, min_ratio, cumulative_value, pending_jobs, curation_summary, rank_desc, boxplot, radar_extremes,
-        robustness_rollup, treatments, balance_smd, ridge_loocv, propensity_matches, matched_effects, pca_robustness, motion_modes, bc_job_grid,
+        robustness_rollup, treatments, balance_smd, balance_brief, trajectory_errors, label_summary, ridge_loocv, propensity_matches, matched_effects, pca_robustness, motion_modes, bc_job_grid,
     )
 }
 
 _AUTO_SQL = "a AS (SELECT doc_id, CASE WHEN n_chars >= 100 THEN 1 ELSE 0 END AS auto_label FROM documents)"
+_ERRORS_SQL = """e AS (SELECT l_orderkey AS global_id, min(l_orderkey % 5) AS scene_id, avg(CAST(l_discount AS DOUBLE)) AS mse, avg(CAST(l_tax AS DOUBLE)) AS mae,
+    avg(CAST(l_quantity AS DOUBLE) / 50) AS nmse, count(*) AS n_bc_windows FROM lineitem GROUP BY l_orderkey)"""
 _POOL_SQL = "p AS (SELECT c_custkey AS global_id, c_mktsegment AS scene_id, c_acctbal AS score FROM customer)"
 _CURVE_SQL = f"""{_POOL_SQL}, r AS (SELECT *, score * (global_id % 7) AS value, row_number() OVER (PARTITION BY scene_id ORDER BY score DESC, global_id) AS rn, count(*) OVER (PARTITION BY scene_id) AS cnt FROM p),
     x AS (SELECT *, CAST(unnest([0.1, 0.3, 0.5, 1.0]) AS DOUBLE) AS ratio FROM r), c AS (SELECT scene_id, ratio, count(*) AS n, avg(value) AS mean, stddev_samp(value) / sqrt(count(*)) AS stderr
@@ -561,4 +584,10 @@ ORACLE_SQL = {
     "treatments": f"""WITH {_POOL_SQL}, q AS (SELECT quantile_cont(score, 0.5) AS a, quantile_cont(score, 0.6) AS b FROM p) SELECT global_id, CAST(score >= a AS INT) AS t_score_q50, CAST(score >= b AS INT) AS t_score_q60 FROM p, q""",
     "balance_smd": f"""WITH {SCORES_SQL}, q AS (SELECT quantile_cont("Q_score", 0.5) AS q50 FROM base), r AS (SELECT "Q_accuracy", "Q_consistency", "Q_score" >= q50 AS t FROM base, q)
         {" UNION ALL ".join(f'''SELECT '{c}' AS covariate, round((avg("{c}") FILTER (t) - avg("{c}") FILTER (NOT t)) / sqrt(greatest((var_samp("{c}") FILTER (t) + var_samp("{c}") FILTER (NOT t)) / 2, 1e-12)), 5) AS smd FROM r''' for c in ("Q_accuracy", "Q_consistency"))}""",
+    "trajectory_errors": f"""WITH {_ERRORS_SQL} SELECT global_id, scene_id, round(mse, 6) AS trajectory_mse, round(mae, 6) AS trajectory_mae, round(nmse, 6) AS trajectory_normalized_mse, n_bc_windows,
+        round(exp(-nmse), 6) AS trajectory_imitation_score FROM e""",
+    "label_summary": f"""WITH {_ERRORS_SQL} SELECT scene_id, count(*) AS n_trajectories, round(avg(nmse), 6) AS trajectory_normalized_mse_mean, round(stddev_samp(nmse), 6) AS trajectory_normalized_mse_std,
+        round(avg(exp(-nmse)), 6) AS trajectory_imitation_score_mean, round(stddev_samp(exp(-nmse)), 6) AS trajectory_imitation_score_std FROM e GROUP BY scene_id""",
+    "balance_brief": """SELECT p_brand AS treatment, count(p_name) AS n_covariates, round(avg(p_size / 100.0), 6) AS mean_abs_smd_before, round(avg(p_size / 200.0), 6) AS mean_abs_smd_after,
+        count(*) FILTER (p_size / 200.0 < 0.1) AS n_good_after FROM part GROUP BY p_brand""",
 }
