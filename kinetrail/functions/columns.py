@@ -142,3 +142,23 @@ def safe_corr(x: str | Column, y: str | Column, eps: float = 1e-12) -> Column:
 
 def to_int_seconds(ns: str | Column) -> Column:
     return c(ns) * F.lit(1e-9)
+
+
+def mapped(x: str | Column, names: dict, default=None) -> Column:
+    """The value a small dictionary gives for ``x``, else ``default``."""
+    if not names:
+        return F.lit(default)
+    pairs = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])
+    return F.coalesce(pairs[c(x)], F.lit(default))
+
+
+def depth_stats(pixels: str | Column) -> Column:
+    """A depth frame's (mean, std, hole_ratio): mean and deviation (ddof 0) of pixels above 0, and the share of all others.
+
+    Without a valid pixel mean and std are NULL; an empty or missing frame gives NULL throughout. NULL pixels are holes.
+    """
+    valid = F.transform(F.filter(c(pixels), lambda v: v > 0), lambda v: v.cast("double"))
+    n = F.size(valid)
+    mean = F.aggregate(valid, F.lit(0.0), lambda s, v: s + v) / F.nullif(n, F.lit(0))
+    spread = F.aggregate(valid, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / F.nullif(n, F.lit(0))
+    return F.when(F.size(c(pixels)) > 0, F.struct(mean.alias("mean"), F.sqrt(spread).alias("std"), (1 - n / F.size(c(pixels))).alias("hole_ratio")))

@@ -7,15 +7,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetrail.functions.columns import logit, quantile
+from kinetrail.functions.columns import NUMERIC, logit
+from kinetrail.operators.order import table_quantiles
 from kinetrail.operators.scoring import beside
 
 
 def treatments(df: DataFrame, sources: list[str], quantiles: list[float]) -> DataFrame:
     """0/1 columns ``t_<source>_q<percent>``: at or over the quantile."""
-    cuts = df.agg(*[quantile(s, q).alias(f"_{s}_{round(q * 100)}") for s in sources for q in quantiles])
-    flags = {f"t_{s}_q{round(q * 100)}": (F.col(s) >= F.col(f"_{s}_{round(q * 100)}")).cast("int") for s in sources for q in quantiles}
-    return beside(df, cuts).withColumns(flags).drop(*[f"_{s}_{round(q * 100)}" for s in sources for q in quantiles])
+    cuts = table_quantiles(df, {s: quantiles for s in sources})
+    return df.withColumns({f"t_{s}_q{round(q * 100)}": (F.col(s) >= F.lit(cut).cast("double")).cast("int") for s in sources for q, cut in zip(quantiles, cuts[s])})
+
+
+def confounders(df: DataFrame, candidates: list[str]) -> list[str]:
+    """Those of the candidates that are numeric columns of ``df`` with at least one value (one aggregate)."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    usable = [c for c in candidates if isinstance(kinds.get(c), NUMERIC)]
+    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in usable]).first() if usable else {}
+    return [c for c in usable if counts[c]]
 
 
 def balance(df: DataFrame, covariates: list[str], treated: str) -> DataFrame:
@@ -41,7 +49,8 @@ def match_pairs(df: DataFrame, scene: str, id_col: str, treated: str, p: str = "
 
     Treated rows are served in order of id; ties go to the smallest control id. The caliper is ``caliper_ratio``
     standard deviations (ddof 1) of all logits. Greedy serving is sequential by nature, so a scene is one group: it
-    holds three numbers a row, and a sorted list of free controls makes it n log n.
+    holds three numbers a row. Served controls are skipped by links to the next free one on either side, so a scene
+    costs n log n; controls of one logit are served by id.
     """
     rows = df.select(F.col(scene).alias("scene"), F.col(id_col).alias("id"), F.col(treated).alias("t"), logit(p).alias("z"))
     rows = beside(rows, rows.agg((F.stddev_samp("z") * caliper_ratio).alias("caliper")))
@@ -50,20 +59,28 @@ def match_pairs(df: DataFrame, scene: str, id_col: str, treated: str, p: str = "
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         free = pdf[pdf["t"] == 0].sort_values(["z", "id"])
-        z, ids, left = free["z"].to_numpy(), free["id"].to_numpy(), list(range(len(free)))
+        z, ids, n = free["z"].to_numpy(), free["id"].to_numpy(), len(free)
+        # places 1..n are controls, 0 and n + 1 the ends; a served place points on to its neighbour
+        down, up = list(range(n + 2)), list(range(n + 2))
+
+        def seek(links: list[int], i: int) -> int:
+            while links[i] != i:
+                links[i] = links[links[i]]
+                i = links[i]
+            return i
+
+        # rows of one logit are sorted by id, so the first free one of them going up is their smallest id
+        starts = np.searchsorted(z, z, "left") + 1
         for row in pdf[pdf["t"] == 1].sort_values("id").itertuples():
-            if not left:
+            at = int(np.searchsorted(z, row.z))
+            under, over = seek(down, at), seek(up, at + 1)
+            near = [(abs(z[i - 1] - row.z), seek(up, int(starts[i - 1]))) for i in (under, over) if 1 <= i <= n]
+            if not near:
                 break
-            zs = z[left]
-            at = int(np.searchsorted(zs, row.z))
-            near = zs[[i for i in (at - 1, at) if 0 <= i < len(left)]]
-            best = np.abs(near - row.z).min()
-            lo, hi = np.searchsorted(zs, row.z - best, "left"), np.searchsorted(zs, row.z + best, "right")
-            ties = [i for i in range(max(0, lo - 1), min(len(left), hi + 1)) if abs(zs[i] - row.z) == best]
-            pick = min(ties, key=lambda i: ids[left[i]])
+            best, pick = min(near, key=lambda found: (found[0], ids[found[1] - 1]))
             if best <= row.caliper:
-                out.append((row.scene, row.id, ids[left[pick]], best))
-                left.pop(pick)
+                out.append((row.scene, row.id, ids[pick - 1], best))
+                down[pick], up[pick] = pick - 1, pick + 1
         return pd.DataFrame(out, columns=["scene", "treated_id", "control_id", "distance"])
 
     return rows.groupBy("scene").applyInPandas(greedy, f"scene {scene_kind}, treated_id {kind}, control_id {kind}, distance double")

@@ -176,3 +176,17 @@ def scene_values(samples: DataFrame, scenes: list[str], seeds: list[int], epochs
     leave = scores.where("heldout = scene_id").select("seed", "scene_id", F.col("imitation_score").alias("leave_score"), F.col("normalized_mse").alias("leave_nmse"))
     both = base.join(leave, ["seed", "scene_id"], "left")
     return both.withColumns({"delta_score": F.col("base_score") - F.col("leave_score"), "delta_nmse": F.col("leave_nmse") - F.col("base_nmse")})
+
+
+def joined_on_shared(left: DataFrame, right: DataFrame, key_sets: list[list[str]]) -> DataFrame:
+    """Inner join on the first of ``key_sets`` whose columns both sides have; other shared columns are the left's."""
+    for keys in key_sets:
+        if all(k in left.columns and k in right.columns for k in keys):
+            return left.join(right.drop(*[c for c in right.columns if c in left.columns and c not in keys]), keys)
+    raise ValueError("no set of keys is on both sides")
+
+
+def value_summary(df: DataFrame, by: list[str], id_col: str, means: list[str], constants: list[str]) -> DataFrame:
+    """Rows and mean, std (ddof 1) of ``means`` by group; of ``constants`` the value of the smallest id."""
+    figures = [f(c).alias(f"{c}_{n}") for c in means for n, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    return df.groupBy(*by).agg(F.count("*").alias("n_trajectories"), *figures, *[F.min_by(c, id_col).alias(c) for c in constants])

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from kinetrail.functions.columns import all_hold, quantile, reasons
+from kinetrail.functions.columns import all_hold, reasons
+from kinetrail.operators.order import table_quantiles
 from kinetrail.operators.scoring import beside
 
 #: signal: (quantile of the signal, least threshold, reason when below)
@@ -21,8 +22,9 @@ RULES: dict[str, tuple[float, float | None, str]] = {
 
 def thresholds(signals: DataFrame, rules: dict = RULES) -> DataFrame:
     """One row, a column min_<signal> for each rule."""
-    cut = lambda s, q, least: quantile(s, q) if least is None else F.greatest(quantile(s, q), F.lit(least))
-    return signals.agg(*[cut(s, q, least).alias(f"min_{s}") for s, (q, least, _) in rules.items()])
+    cuts = table_quantiles(signals, {s: [q] for s, (q, _, _) in rules.items()})
+    at = lambda s, least: cuts[s][0] if least is None else max(x for x in (cuts[s][0], least) if x is not None)
+    return signals.sparkSession.range(1).select(*[F.lit(at(s, least)).cast("double").alias(f"min_{s}") for s, (_, least, _) in rules.items()])
 
 
 def auto_label(signals: DataFrame, limits: DataFrame, rules: dict = RULES) -> DataFrame:

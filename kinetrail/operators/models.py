@@ -14,14 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetrail.functions.columns import quantile
+from kinetrail.operators.order import table_quantiles
 
 
 def impute_median(df: DataFrame, columns: list[str], else_value: float | None = None) -> DataFrame:
     """Missing values become the column's exact median (interpolated), or ``else_value`` if there is no value at all."""
-    mids = df.agg(*[quantile(x, 0.5).alias(f"_{x}") for x in columns])
+    mids = table_quantiles(df, {x: [0.5] for x in columns})
     last = [F.lit(else_value)] if else_value is not None else []
-    return df.crossJoin(F.broadcast(mids)).withColumns({x: F.coalesce(F.col(x).cast("double"), F.col(f"_{x}"), *last) for x in columns}).drop(*[f"_{x}" for x in columns])
+    return df.withColumns({x: F.coalesce(F.col(x).cast("double"), F.lit(mids[x][0]).cast("double"), *last) for x in columns})
 
 
 def gram(df: DataFrame, columns: list[str], weight: str | None = None) -> tuple[float, np.ndarray, np.ndarray]:
@@ -47,6 +47,33 @@ def ridge_from_gram(n: float, s: np.ndarray, p: np.ndarray, alpha: float) -> tup
     return beta, float(mean[-1] - beta @ mean[:-1])
 
 
+def importance(df: DataFrame, features: list[str], target: str, alpha: float = 1.0) -> DataFrame:
+    """(feature, coefficient, importance, rank): ridge on standardised features, largest absolute coefficient first.
+
+    Rows that miss a feature or the target don't count. Only the Gram matrix reaches the driver.
+    """
+    cols = [*features, target]
+    n, s, p = gram(df.dropna(subset=cols), cols)
+    if not n:
+        return df.sparkSession.createDataFrame([], "feature string, coefficient double, importance double, rank int")
+    scale = np.sqrt(np.maximum(np.diag(p) / n - (s / n) ** 2, 0))[:-1]
+    scale[scale < 1e-12] = 1.0
+    beta = ridge_from_gram(n, s, p, alpha)[0] * scale
+    order = sorted(range(len(features)), key=lambda i: (-abs(beta[i]), features[i]))
+    return df.sparkSession.createDataFrame([(features[i], float(beta[i]), float(abs(beta[i])), r) for r, i in enumerate(order, 1)], "feature string, coefficient double, importance double, rank int")
+
+
+def feature_configs(df: DataFrame, scores: list[str], quality: list[str], motion: list[str]) -> dict[str, list[str]]:
+    """Nested feature lists: A scores, B scores and quality, C all; absent columns and constant quality columns are left out."""
+    there = lambda names: [c for c in names if c in df.columns]
+    own = there(quality)
+    ends = df.agg(*[f(c).alias(f"{n}{c}") for c in own for n, f in (("lo_", F.min), ("hi_", F.max))]).first() if own else {}
+    varied = [c for c in own if ends[f"lo_{c}"] is not None and ends[f"lo_{c}"] != ends[f"hi_{c}"]]
+    a = there(scores)
+    b = [*a, *[c for c in varied if c not in a]]
+    return {"A": a, "B": b, "C": [*b, *[c for c in there(motion) if c not in b]]}
+
+
 def ridge_folds(df: DataFrame, features: list[str], target: str, fold: str, alpha: float = 1.0) -> DataFrame:
     """``pred``: ridge trained on all rows outside the row's fold.
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from kinetrail.operators.order import running
+
 
 def hash_order(id_col: str, seed: int) -> Column:
     """A random-looking but fixed order of ids."""
@@ -53,17 +55,41 @@ def split_test_pool(df: DataFrame, group: str, id_col: str, share: float, seed:
 
 
 def k_folds(df: DataFrame, group: str | None, id_col: str, k: int, seed: int | None = None) -> DataFrame:
-    """``fold`` from 0; per group with at most k folds (sizes differ by one, the first are larger)."""
+    """``fold`` from 0; per group with at most k folds (sizes differ by one, the first are larger).
+
+    Without a group the folds cut the order of the whole table, placed slice by slice.
+    """
     order = [hash_order(id_col, seed)] if seed is not None else []
-    w = (W.partitionBy(group) if group else W.partitionBy(F.lit(0))).orderBy(*order, id_col)
-    return df.withColumn("fold", F.ntile(k).over(w) - 1)
+    if group:
+        return df.withColumn("fold", F.ntile(k).over(W.partitionBy(group).orderBy(*order, id_col)) - 1)
+    rows = running(df, [], [*order, F.col(id_col)])
+    n = df.count()
+    size, more = divmod(n, k)
+    at, wide = F.col("_place") - 1, (size + 1) * more
+    fold = F.when(at < wide, F.floor(at / F.lit(size + 1))).otherwise(more + F.floor((at - wide) / F.lit(max(1, size))))
+    return rows.withColumn("fold", fold.cast("int")).drop("_place")
 
 
 def cumulative_mean(df: DataFrame, value: str, id_col: str, ascending: bool, by: list[str] | None = None) -> DataFrame:
-    """``position`` and ``cum_mean`` of rows in order of value."""
-    order = [F.asc(value) if ascending else F.desc(value), F.asc(id_col)]
-    w = W.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
-    return df.withColumns({"position": F.row_number().over(w), "cum_mean": F.avg(value).over(w.rowsBetween(W.unboundedPreceding, 0))})
+    """``position`` and ``cum_mean`` of rows in order of value, NULLs last; large groups are added up slice by slice."""
+    order = [F.asc_nulls_last(value) if ascending else F.desc_nulls_last(value), F.asc(id_col)]
+    rows = df.withColumns({"_v": F.col(value).cast("double"), "_has": F.col(value).isNotNull().cast("long")})
+    rows = running(rows, by or [], order, {"_v": "_sum", "_has": "_values"}).withColumnRenamed("_place", "position")
+    return rows.withColumn("cum_mean", F.col("_sum") / F.nullif(F.col("_values"), F.lit(0))).drop("_v", "_has", "_sum", "_values")
+
+
+def random_curve(df: DataFrame, value: str, id_col: str, ratios: list[float], repeats: int, seed: int = 42) -> DataFrame:
+    """(ratio, n_repeats, mean, std): the mean ``value`` of random subsets, over ``repeats`` subsets of each ratio.
+
+    A row is in a subset if a hash of id, seed and repeat falls below the ratio: nothing is sorted, rows are added up
+    where they lie. Subset sizes vary around ratio x rows; a subset without a row has no mean and doesn't count.
+    """
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(value).cast("double").alias("v")).where("v is not null")
+    rows = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    draw = F.conv(F.left(F.md5(F.concat_ws("|", "id", F.lit(str(seed)), F.col("repeat").cast("string"))), F.lit(8)), 16, 10).cast("long")
+    per = rows.groupBy("repeat").agg(*[F.avg(F.when(draw < F.lit(float(r)) * 2**32, F.col("v"))).alias(str(i)) for i, r in enumerate(ratios)])
+    long = per.select(F.explode(F.array(*[F.struct(F.lit(float(r)).alias("ratio"), F.col(str(i)).alias("m")) for i, r in enumerate(ratios)])).alias("_r")).select("_r.*")
+    return long.groupBy("ratio").agg(F.count("m").alias("n_repeats"), F.avg("m").alias("mean"), F.stddev_samp("m").alias("std"))
 
 
 def curation_curve(df: DataFrame, score: str, value: str, id_col: str, ratios: list[float], by: str) -> DataFrame:

@@ -46,3 +46,14 @@ def in_order(df: DataFrame, column: str, names: list[str]) -> DataFrame:
     """Rows in the order of a list of names; others behind it."""
     at = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(column))
     return df.orderBy(F.when(at == 0, len(names) + 1).otherwise(at), column)
+
+
+def scatter(df: DataFrame, id_col: str, features: list[str], value: str) -> DataFrame:
+    """(id, feature, x, value): points of each feature against ``value``; rows that miss either are left out."""
+    long = df.select(id_col, value, *[F.col(x).cast("double").alias(x) for x in features]).unpivot([id_col, value], features, "feature", "x")
+    return long.where(F.col("x").isNotNull() & F.col(value).isNotNull()).select(id_col, "feature", "x", value)
+
+
+def first_seen(df: DataFrame, message: str, position: str) -> DataFrame:
+    """(message, first_position, n): each distinct message once, with where it was first seen."""
+    return df.groupBy(message).agg(F.min(position).alias("first_position"), F.count("*").alias("n"))

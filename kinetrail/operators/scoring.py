@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from kinetrail.functions.columns import clip, quantile, safe_corr
+from kinetrail.operators.order import running, table_quantiles
 
 EPS = 1e-12
 
@@ -92,19 +93,23 @@ def unit_scale(df: DataFrame, column: str, into: str) -> DataFrame:
 
 def value_tiers(df: DataFrame, column: str) -> DataFrame:
     """``tier``: high from the upper tercile on, mid from the lower one on, else low."""
-    cuts = df.agg(quantile(column, [1 / 3, 2 / 3]).alias("_q"))
-    tier = F.when(F.col(column) >= F.col("_q")[1], "high").when(F.col(column) >= F.col("_q")[0], "mid").otherwise("low")
-    return beside(df, cuts).withColumn("tier", tier).drop("_q")
+    low, high = table_quantiles(df, {column: [1 / 3, 2 / 3]})[column]
+    return df.withColumn("tier", F.when(F.col(column) >= F.lit(high), "high").when(F.col(column) >= F.lit(low), "mid").otherwise("low"))
+
+
+def dual_score(a: str, b: str, share: float = 0.5) -> Column:
+    """Two scores weighted ``share`` and 1 - ``share``; NULL if either is."""
+    return F.col(a) * share + F.col(b) * (1 - share)
 
 
 def average_rank(df: DataFrame, column: str, by: list[str], into: str) -> DataFrame:
     """Ranks from 1 with the mean rank for ties.
 
-    Counts per distinct value are added up, so ties never make a window grow; the order itself runs per ``by`` group.
+    Counts per distinct value are added up, so ties never make a window grow, slice by slice, so large groups don't either.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
-    w = W.partitionBy(*by).orderBy(column).rowsBetween(W.unboundedPreceding, 0)
-    ranks = counts.withColumn(into, F.sum("_n").over(w) - (F.col("_n") - 1) / 2.0).drop("_n")
+    ranks = running(counts, by, [F.col(column)], {"_n": "_upto"})
+    ranks = ranks.select(*by, column, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(into))
     return df.join(ranks, [*by, column], "left")
 
 

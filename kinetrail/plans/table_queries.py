@@ -388,6 +388,60 @@ def balance_brief(spark, sf_dir):
     return rounded(causal.balance_brief(found, ["treatment"]), 6)
 
 
+def dual_scores(spark, sf_dir):
+    """Two balances' even mix, with segments mapped to groups."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("global_id"), F.col("c_acctbal").cast("double").alias("a"), F.col("c_nationkey").cast("double").alias("b"), "c_mktsegment")
+    group = C.mapped("c_mktsegment", {"BUILDING": "fixed", "MACHINERY": "fixed", "AUTOMOBILE": "moving"}, "other")
+    return rounded(rows.select("global_id", S.dual_score("a", "b").alias("dual_score"), group.alias("task_group")), 6)
+
+
+def value_with_labels(spark, sf_dir):
+    """Orders' values joined to customers' labels on the keys that both sides have."""
+    values = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("global_id")).agg(F.count("*").alias("n_orders"))
+    labels = _pool(spark, sf_dir).withColumn("final_label", (F.col("score") > 0).cast("int")).select("global_id", "scene_id", "final_label")
+    return U.joined_on_shared(values, labels, [["scene_id", "global_id"], ["global_id"]]).select("global_id", "scene_id", "n_orders", "final_label")
+
+
+def group_value_summary(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("global_id"), F.col("c_mktsegment").alias("scene_id"), F.col("c_acctbal").cast("double").alias("value"), "c_nationkey")
+    return rounded(U.value_summary(rows, ["scene_id"], "global_id", ["value"], ["c_nationkey"]), 4)
+
+
+def random_baseline(spark, sf_dir):
+    return rounded(R.random_curve(_pool(spark, sf_dir), "score", "global_id", [0.1, 0.5, 1.0], 20), 4)
+
+
+def folds_of_all(spark, sf_dir):
+    return R.k_folds(_pool(spark, sf_dir), None, "global_id", 7).select("global_id", "fold")
+
+
+def cumulative_of_all(spark, sf_dir):
+    rows = R.cumulative_mean(_pool(spark, sf_dir), "score", "global_id", True)
+    return rounded(rows.select("global_id", F.col("position").cast("long").alias("position"), "cum_mean"), 4)
+
+
+def scatter_points(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"), (F.col("p_partkey") % 10).alias("value"))
+    return rounded(V.scatter(rows, "p_partkey", ["size", "price"], "value"), 4)
+
+
+def ordered_messages(spark, sf_dir):
+    return V.first_seen(table(spark, sf_dir, "lineitem"), "l_shipmode", "l_orderkey")
+
+
+def depth_features(spark, sf_dir):
+    """Vectors stand for depth frames: components up to 0 are holes."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", C.depth_stats("embedding").alias("d"))
+    return rounded(rows.select("vec_id", "d.mean", "d.std", "d.hole_ratio"), 5)
+
+
+def confounder_choice(spark, sf_dir):
+    """Of names of columns, those that can serve as confounders."""
+    rows = table(spark, sf_dir, "customer").withColumn("never", F.lit(None).cast("double"))
+    names = causal.confounders(rows, ["c_acctbal", "c_name", "never", "c_nationkey", "absent"])
+    return spark.createDataFrame([(n,) for n in names], "covariate string")
+
+
 # --- Models (rows only: no SQL twin) ---------------------------------------------------------------------------------------
 
 
@@ -398,6 +452,11 @@ def ridge_loocv(spark, sf_dir):
     return models.ridge_folds(per, ["n", "q", "k"], "y", "c_nationkey").select("c_nationkey", "y", "pred")
 
 
+def feature_importance(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(*[F.col(x).cast("double") for x in ("p_size", "p_retailprice")], (F.col("p_partkey") % 13).cast("double").alias("m"))
+    return models.importance(rows, ["p_size", "m"], "p_retailprice")
+
+
 def _matched(spark, sf_dir):
     df = causal.treatments(U.customer_scores(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")), ["Q_score"], [0.6])
     p = models.propensity(df, ["Q_consistency", "delta"], "t_Q_score_q60")
@@ -444,7 +503,8 @@ QUERIES = {
         spearman_corr, zscore_hybrid, unit_scale, value_tiers, duplicate_uniqueness, low_variance_filter, scene_profile, delta_stability, marginal_value, train_mean_baseline,
         master_table, master_check, union_distinct, pivot_means, grouped_heterogeneity, dominant_values, histogram, select_top, select_low, select_stratified, select_random,
         split_train_val, split_test_pool, k_folds, curation_curve, min_ratio, cumulative_value, pending_jobs, curation_summary, rank_desc, boxplot, radar_extremes,
-        robustness_rollup, treatments, balance_smd, balance_brief, trajectory_errors, label_summary, ridge_loocv, propensity_matches, matched_effects, pca_robustness, motion_modes, bc_job_grid,
+        robustness_rollup, treatments, balance_smd, balance_brief, trajectory_errors, label_summary, dual_scores, value_with_labels, group_value_summary, random_baseline, folds_of_all, cumulative_of_all, scatter_points,
+        ordered_messages, depth_features, confounder_choice, feature_importance, ridge_loocv, propensity_matches, matched_effects, pca_robustness, motion_modes, bc_job_grid,
     )
 }
 
@@ -574,6 +634,24 @@ ORACLE_SQL = {
         m AS (SELECT strategy, ratio, global_id % 3 AS seed, avg("Q_accuracy") AS metric FROM r, k WHERE CASE strategy WHEN 'low' THEN lo ELSE hi END <= greatest(1, round_even(n * ratio, 0)) GROUP BY ALL),
         ss AS (SELECT strategy, ratio, count(*) AS n_runs, avg(metric) AS a, stddev_samp(metric) AS d FROM m GROUP BY ALL), f AS (SELECT a AS full_mean FROM ss WHERE strategy = 'full')
         SELECT strategy, round(ratio, 4) AS ratio, n_runs, round(a, 4) AS metric_mean, round(d, 4) AS metric_std, round((a - full_mean) / full_mean, 4) AS gain_vs_full FROM ss, f""",
+    "dual_scores": """SELECT c_custkey AS global_id, round(CAST(c_acctbal AS DOUBLE) * 0.5 + c_nationkey * 0.5, 6) AS dual_score,
+        CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'fixed' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'moving' ELSE 'other' END AS task_group FROM customer""",
+    "value_with_labels": """SELECT c_custkey AS global_id, c_mktsegment AS scene_id, n_orders, CAST(c_acctbal > 0 AS INT) AS final_label
+        FROM customer JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY 1) o ON o_custkey = c_custkey""",
+    "group_value_summary": """SELECT c_mktsegment AS scene_id, count(*) AS n_trajectories, round(avg(CAST(c_acctbal AS DOUBLE)), 4) AS value_mean, round(stddev_samp(CAST(c_acctbal AS DOUBLE)), 4) AS value_std,
+        arg_min(c_nationkey, c_custkey) AS c_nationkey FROM customer GROUP BY 1""",
+    "random_baseline": f"""WITH {_POOL_SQL}, d AS (SELECT rep, CAST(score AS DOUBLE) AS v, CAST('0x' || substr(md5(concat_ws('|', global_id, 42, rep)), 1, 8) AS BIGINT) AS u FROM p, range(20) AS r(rep)),
+        m AS (SELECT ratio, rep, avg(v) AS m FROM d, (VALUES (CAST(0.1 AS DOUBLE)), (CAST(0.5 AS DOUBLE)), (CAST(1.0 AS DOUBLE))) AS q(ratio) WHERE u < ratio * 4294967296 GROUP BY ALL)
+        SELECT ratio, count(m) AS n_repeats, round(avg(m), 4) AS mean, round(stddev_samp(m), 4) AS std FROM m GROUP BY ratio""",
+    "folds_of_all": f"WITH {_POOL_SQL} SELECT global_id, CAST(ntile(7) OVER (ORDER BY global_id) - 1 AS INT) AS fold FROM p",
+    "cumulative_of_all": f"""WITH {_POOL_SQL} SELECT global_id, row_number() OVER w AS position, round(avg(CAST(score AS DOUBLE)) OVER (w ROWS UNBOUNDED PRECEDING), 4) AS cum_mean
+        FROM p WINDOW w AS (ORDER BY score, global_id)""",
+    "scatter_points": """SELECT p_partkey, feature, round(x, 4) AS x, value FROM (SELECT p_partkey, 'size' AS feature, CAST(p_size AS DOUBLE) AS x, p_partkey % 10 AS value FROM part
+        UNION ALL SELECT p_partkey, 'price', CAST(p_retailprice AS DOUBLE), p_partkey % 10 FROM part) WHERE x IS NOT NULL""",
+    "ordered_messages": "SELECT l_shipmode, min(l_orderkey) AS first_position, count(*) AS n FROM lineitem GROUP BY 1",
+    "depth_features": """WITH d AS (SELECT vec_id, list_filter(embedding, lambda v: v > 0)::DOUBLE[] AS k, len(embedding) AS n FROM embeddings WHERE len(embedding) > 0)
+        SELECT vec_id, round(list_avg(k), 5) AS mean, round(list_stddev_pop(k), 5) AS std, round(1 - len(k) / n, 5) AS hole_ratio FROM d""",
+    "confounder_choice": "SELECT unnest(['c_acctbal', 'c_nationkey']) AS covariate",
     "rank_desc": "WITH v AS (SELECT p_brand, max(p_size) AS v FROM part GROUP BY p_brand) SELECT p_brand, v, CAST(rank() OVER (ORDER BY v DESC) AS INT) AS rank FROM v",
     "boxplot": """WITH q AS (SELECT o_orderpriority, quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.5) AS b, quantile_cont(o_totalprice, 0.75) AS c FROM orders GROUP BY 1)
         SELECT o_orderpriority, round(any_value(a), 4) AS q1, round(any_value(b), 4) AS median, round(any_value(c), 4) AS q3, round(min(o_totalprice) FILTER (o_totalprice BETWEEN a - 1.5 * (c - a) AND c + 1.5 * (c - a)), 4) AS low,

@@ -70,6 +70,11 @@ class StageStore:
                 return df
         return None
 
+    def inputs_report(self, names: list[str]) -> DataFrame:
+        """(name, found, n_columns): which tables are there; footers only are read."""
+        found = [(n, df is not None, len(df.columns) if df is not None else None) for n in names for df in [self.read(n, optional=True)]]
+        return self.spark.createDataFrame(found, "name string, found boolean, n_columns int")
+
     def export_csv(self, name: str, df: DataFrame) -> None:
         df.write.mode("overwrite").option("header", True).csv(self.path(name))
 
