@@ -426,7 +426,7 @@ def scatter_points(spark, sf_dir):
 
 
 def ordered_messages(spark, sf_dir):
-    return V.first_seen(table(spark, sf_dir, "lineitem"), "l_shipmode", "l_orderkey")
+    return V.first_seen(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_orderkey")
 
 
 def depth_features(spark, sf_dir):
@@ -648,7 +648,7 @@ ORACLE_SQL = {
         FROM p WINDOW w AS (ORDER BY score, global_id)""",
     "scatter_points": """SELECT p_partkey, feature, round(x, 4) AS x, value FROM (SELECT p_partkey, 'size' AS feature, CAST(p_size AS DOUBLE) AS x, p_partkey % 10 AS value FROM part
         UNION ALL SELECT p_partkey, 'price', CAST(p_retailprice AS DOUBLE), p_partkey % 10 FROM part) WHERE x IS NOT NULL""",
-    "ordered_messages": "SELECT l_shipmode, min(l_orderkey) AS first_position, count(*) AS n FROM lineitem GROUP BY 1",
+    "ordered_messages": "SELECT l_returnflag, min(l_orderkey) AS first_position, count(*) AS n FROM lineitem GROUP BY 1",
     "depth_features": """WITH d AS (SELECT vec_id, list_filter(embedding, lambda v: v > 0)::DOUBLE[] AS k, len(embedding) AS n FROM embeddings WHERE len(embedding) > 0)
         SELECT vec_id, round(list_avg(k), 5) AS mean, round(list_stddev_pop(k), 5) AS std, round(1 - len(k) / n, 5) AS hole_ratio FROM d""",
     "confounder_choice": "SELECT unnest(['c_acctbal', 'c_nationkey']) AS covariate",
