@@ -416,8 +416,9 @@ def folds_of_all(spark, sf_dir):
 
 
 def cumulative_of_all(spark, sf_dir):
-    rows = R.cumulative_mean(_pool(spark, sf_dir), "score", "global_id", True)
-    return rounded(rows.select("global_id", F.col("position").cast("long").alias("position"), "cum_mean"), 4)
+    """Balances in cents, so that sums are exact in any order of slices."""
+    rows = _pool(spark, sf_dir).withColumn("cents", F.round(F.col("score") * 100).cast("long"))
+    return R.cumulative_mean(rows, "cents", "global_id", True).select("global_id", F.col("position").cast("long").alias("position"), "cum_mean")
 
 
 def scatter_points(spark, sf_dir):
@@ -493,7 +494,7 @@ def bc_job_grid(spark, sf_dir):
     windows = T.sliding_windows(rows, BY, ORDER, ["value"], ["value"], 5, 2).join(rows.select("user_id").distinct(), "user_id")
     scene = F.concat(F.lit("S"), F.col("user_id") % 4 + 1)
     samples = windows.select(F.concat_ws("_", scene, "user_id", "i").alias("sample_id"), scene.alias("scene_id"), "x", "y", (F.xxhash64("user_id") % 5 == 0).alias("is_val"))
-    return U.scene_values(samples, ["S1", "S2", "S3", "S4"], seeds=[0], epochs=3, hidden=16)
+    return U.scene_values(samples, ["S1", "S2", "S3", "S4"], seeds=[0])
 
 
 QUERIES = {
@@ -644,8 +645,8 @@ ORACLE_SQL = {
         m AS (SELECT ratio, rep, avg(v) AS m FROM d, (VALUES (CAST(0.1 AS DOUBLE)), (CAST(0.5 AS DOUBLE)), (CAST(1.0 AS DOUBLE))) AS q(ratio) WHERE u < ratio * 4294967296 GROUP BY ALL)
         SELECT ratio, count(m) AS n_repeats, round(avg(m), 4) AS mean, round(stddev_samp(m), 4) AS std FROM m GROUP BY ratio""",
     "folds_of_all": f"WITH {_POOL_SQL} SELECT global_id, CAST(ntile(7) OVER (ORDER BY global_id) - 1 AS INT) AS fold FROM p",
-    "cumulative_of_all": f"""WITH {_POOL_SQL} SELECT global_id, row_number() OVER w AS position, round(avg(CAST(score AS DOUBLE)) OVER (w ROWS UNBOUNDED PRECEDING), 4) AS cum_mean
-        FROM p WINDOW w AS (ORDER BY score, global_id)""",
+    "cumulative_of_all": f"""WITH {_POOL_SQL} , k AS (SELECT global_id, CAST(round(score * 100) AS BIGINT) AS cents FROM p)
+        SELECT global_id, row_number() OVER w AS position, CAST(sum(cents) OVER (w ROWS UNBOUNDED PRECEDING) AS DOUBLE) / row_number() OVER w AS cum_mean FROM k WINDOW w AS (ORDER BY cents, global_id)""",
     "scatter_points": """SELECT p_partkey, feature, round(x, 4) AS x, value FROM (SELECT p_partkey, 'size' AS feature, CAST(p_size AS DOUBLE) AS x, p_partkey % 10 AS value FROM part
         UNION ALL SELECT p_partkey, 'price', CAST(p_retailprice AS DOUBLE), p_partkey % 10 FROM part) WHERE x IS NOT NULL""",
     "ordered_messages": "SELECT l_returnflag, min(l_orderkey) AS first_position, count(*) AS n FROM lineitem GROUP BY 1",
