@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,7 +98,49 @@ def op10_language_id(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     return predict(docs, model).select("doc_id", held_out_quarter().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_packing, op4_quality_rules, op5_chat_format, op6_license_scan, op7_byte_bpe, op8_simhash, op9_exact_dedup, op10_language_id)}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinetrail.llm.fill_middle import fill_middle, restore
+
+    found = fill_middle(read(spark, sf_dir, "documents"))
+    restored = F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), restored)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    from kinetrail.llm.token_counts import token_counts
+
+    return token_counts(read(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def planted_period(doc_id: int | None, n: int) -> tuple[int, int] | None:
+    """Where a tenth of the documents (by their ids' CRC-32) begin to repeat themselves, and with which period."""
+    h = zlib.crc32(("" if doc_id is None else str(doc_id)).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    return g % n, 1 + (n - g % n) // (3 + g % 8)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinetrail.llm.periodic_runs import periodic_runs, strongest
+
+    found = periodic_runs(read(spark, sf_dir, "documents"), rewrite=planted_period).withColumn("best", strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+_OPERATORS = [
+    op1_line_dedup, op2_toxicity, op3_packing, op4_quality_rules, op5_chat_format, op6_license_scan, op7_byte_bpe, op8_simhash, op9_exact_dedup, op10_language_id,
+    op11_fill_middle, op12_token_counts, op13_periodic_runs,
+]
+QUERIES = {f.__name__: f for f in _OPERATORS}
 
 _WS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 _MARKS = ["<</SYS>>", "<<SYS>>", "[/INST]", "[INST]", "</s>", "<s>", "<|", "|>"]  # longest first, then by name
@@ -145,4 +189,14 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op11_fill_middle": """
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        u AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS b,
+            CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS c, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS d FROM t),
+        f AS (SELECT doc_id, n, text, least(a, b) AS lo, greatest(a, b) AS hi,
+            CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 90 THEN 'plain' WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+        p AS (SELECT *, substr(text, 1, lo) AS pre, substr(text, lo + 1, hi - lo) AS mid, substr(text, hi + 1) AS suf FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256,
+            sha256(text) AS restored_sha256 FROM p""",
 }
