@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrail.operators import models
+from kinetrail.operators import training
+from kinetrail.operators.order import running
 from kinetrail.operators.scoring import beside, zscore
+from kinetrail.sources.store import scratch
 
 
 def stack(frames: list[DataFrame]) -> DataFrame:
@@ -115,6 +118,48 @@ def select_ids(pool: DataFrame, strategy: str, ratio: float, seed: int = 0) -> D
     return R.top_n(pool, score, "global_id", n, largest).withColumn("selection_score", F.col(score))
 
 
+def mark_selections(pool: DataFrame, jobs: list[tuple[str, float, int]]) -> DataFrame:
+    """The pool's rows with ``picks``: an array of (job, selected_rank, selection_score), one for each job that picks the row.
+
+    Every order that some job needs (a score up or down, a seed's hash, scores within scenes) is placed once, slice by
+    slice; all ratios then only compare a place with max(1, round(n ratio)). Sizes and ties are those of
+    :func:`select_ids`: ids break ties, rows without the score are not picked, random order comes from a hash of the id.
+    """
+    from kinetrail.operators.ranking import half_even, hash_order
+
+    n = pool.count()
+    df, places, picks = pool, {}, []
+
+    def placed(key: tuple, by: list[str], order: list[Column], there: Column | None) -> Column:
+        nonlocal df
+        if key not in places:
+            places[key] = f"_p{len(places)}"
+            df = df.withColumn("_there", there if there is not None else F.lit(True))
+            df = running(df, by, [F.desc("_there"), *order]).withColumnRenamed("_place", places[key])
+            df = df.withColumn(places[key], F.when(F.col("_there"), F.col(places[key]))).drop("_there")
+        return F.col(places[key])
+
+    sizes = pool.groupBy("scene_id").agg(F.count("*").alias("_scene_n")) if any(s == "high_Q_stratified" for s, _, _ in jobs) else None
+    for i, (strategy, ratio, seed) in enumerate(jobs):
+        most, none = F.lit(max(1, round(n * ratio))), F.lit(None).cast("double")
+        if strategy == "full":
+            place, score, most = placed(("full",), [], [F.asc("global_id")], None), F.lit(1.0), F.lit(n)
+        elif strategy == "random":
+            place, score = placed(("random", seed), [], [hash_order("global_id", seed), F.asc("global_id")], None), none
+        elif strategy == "high_Q_stratified":
+            place, score = placed(("scene",), ["scene_id"], [F.desc_nulls_last("Q_score"), F.asc("global_id")], None), F.col("Q_score")
+            most = F.greatest(F.lit(1).cast("long"), half_even(F.col("_scene_n") * F.lit(float(ratio))))
+        elif strategy in STRATEGIES:
+            name, largest = STRATEGIES[strategy]
+            place, score = placed((name, largest), [], [F.desc(name) if largest else F.asc(name), F.asc("global_id")], F.col(name).isNotNull()), F.col(name)
+        else:
+            raise ValueError(f"unknown strategy: {strategy}")
+        picks.append(F.when(place <= most, F.struct(F.lit(i).alias("job"), place.cast("long").alias("selected_rank"), score.cast("double").alias("selection_score"))))
+    if sizes is not None:
+        df = df.join(sizes, "scene_id")
+    return df.withColumn("picks", F.array_compact(F.array(*picks))).drop("_scene_n", *places.values())
+
+
 def job_grid(spark: SparkSession, strategies: list[str], ratios: list[float], run_seeds: list[int], random_seeds: list[int]) -> DataFrame:
     """(strategy, ratio, run_seed): full once, random with its own seeds, others with the run seeds.
 
@@ -150,6 +195,22 @@ def proxy_runs(df: DataFrame, strategies: list[str], ratios: list[float], n_seed
     return stack(out)
 
 
+def evaluation_summary(metrics: DataFrame) -> DataFrame:
+    """By (strategy, ratio): runs, mean and deviation of test error and imitation score, and the mean relative gain in error.
+
+    Gains are (reference - own) / reference: against the mean of random selections of the same ratio, and against the
+    full set (at ratio 1); NULL where there is none.
+    """
+    at = F.col("ratio").cast("decimal(6,4)")
+    random = metrics.where("strategy = 'random'").groupBy(at.alias("_r")).agg(F.avg("test_nmse").alias("_random"))
+    full = metrics.agg(F.avg(F.when((F.col("strategy") == "full") & (at == 1), F.col("test_nmse"))).alias("_full"))
+    runs = beside(metrics.join(random, at == F.col("_r"), "left"), full)
+    gain = lambda base: F.when(F.col(base) > 0, (F.col(base) - F.col("test_nmse")) / F.col(base))
+    runs = runs.withColumns({"relative_to_random_nmse": gain("_random"), "relative_to_full_nmse": gain("_full")})
+    both = [f(c).alias(f"{c}_{n}") for c in ("test_nmse", "test_imitation_score") for n, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    return runs.groupBy("strategy", "ratio").agg(F.count("run_seed").alias("n_runs"), *both, *[F.avg(c).alias(f"{c}_mean") for c in ("relative_to_random_nmse", "relative_to_full_nmse")])
+
+
 def curation_summary(runs: DataFrame, metric: str, full: str = "full") -> DataFrame:
     """(strategy, ratio): count, mean, std (NULL for one run) and the relative gain against the full set's mean."""
     found = runs.groupBy("strategy", "ratio").agg(F.count("*").alias("n_runs"), F.avg(metric).alias(f"{metric}_mean"), F.stddev_samp(metric).alias(f"{metric}_std"))
@@ -161,17 +222,20 @@ def curation_summary(runs: DataFrame, metric: str, full: str = "full") -> DataFr
 def scene_values(samples: DataFrame, scenes: list[str], seeds: list[int], epochs: int = 35, **how) -> DataFrame:
     """(seed, scene_id, base_score, leave_score, delta_score): networks with all scenes against networks without one.
 
-    ``samples``: sample_id, scene_id, x, y, is_val. One job for each seed and held-out scene (and one without), all in
-    parallel; each scene is scored on its validation windows.
+    ``samples``: sample_id, scene_id, x, y, is_val. One job for each seed and held-out scene (and one without), trained
+    side by side by gradient sums; each scene is scored on its validation windows. Scores of a job without training rows
+    are NULL.
     """
     spark = samples.sparkSession
-    dims = len(samples.select("y").first()["y"])
-    sd = samples.where("NOT is_val").agg(*[F.stddev_pop(F.col("y")[i]).alias(f"s{i}") for i in range(dims)]).first()
-    scale = [s if s and s > 1e-8 else 1.0 for s in sd]
-    jobs = spark.createDataFrame([(s, h) for s in seeds for h in ["", *scenes]], "seed int, heldout string")
-    train = ~F.col("is_val") & (F.col("scene_id") != F.col("heldout"))
-    test = F.col("is_val") & ((F.col("heldout") == "") | (F.col("scene_id") == F.col("heldout")))
-    scores = models.run_jobs(samples, jobs, ["seed", "heldout"], train, test, scale, epochs, **how)
+    scale = training.target_scale(samples.where("NOT is_val"))
+    jobs = [{"seed": s, "heldout": h} for s in seeds for h in ["", *scenes]]
+    train = training.job_numbers(jobs, lambda j: ~F.col("is_val") & (F.col("scene_id") != j["heldout"]))
+    test = training.job_numbers(jobs, lambda j: F.col("is_val") & ((j["heldout"] == "") | (F.col("scene_id") == j["heldout"])))
+    rows = scratch(samples.select("sample_id", "scene_id", "x", "y", train.alias("train"), test.alias("test")), "value-rows")
+    trained = training.train_networks(rows, [zlib.crc32(f"{j['seed']}|{j['heldout']}".encode()) for j in jobs], epochs=epochs, **how)
+    told = spark.createDataFrame([(i, j["seed"], j["heldout"]) for i, j in enumerate(jobs)], "job int, seed int, heldout string")
+    scores = training.imitation(training.window_errors(rows, trained, scale, keep=["scene_id"]), ["job", "scene_id"]).join(F.broadcast(told), "job")
+    scores = scratch(scores, "scene-scores")
     base = scores.where("heldout = ''").select("seed", "scene_id", F.col("imitation_score").alias("base_score"), F.col("normalized_mse").alias("base_nmse"))
     leave = scores.where("heldout = scene_id").select("seed", "scene_id", F.col("imitation_score").alias("leave_score"), F.col("normalized_mse").alias("leave_nmse"))
     both = base.join(leave, ["seed", "scene_id"], "left")

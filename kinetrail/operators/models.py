@@ -1,20 +1,21 @@
-"""Small models: ridge by normal equations, weighted logistic regression, PCA, k-means, a trajectory MLP job runner.
+"""Small models: ridge by normal equations, weighted logistic regression, PCA, k-means, a small network.
 
 What has a closed form is solved from aggregates (Gram matrices of a few columns), so data stay distributed and only
-k x k numbers reach the driver. Jobs that train something iterative run side by side, one group a job.
+k x k numbers reach the driver. :mod:`training` trains networks over partitions.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetrail.operators.order import table_quantiles
+from kinetrail.sources.store import scratch
 
 
 def impute_median(df: DataFrame, columns: list[str], else_value: float | None = None) -> DataFrame:
@@ -147,7 +148,53 @@ def propensity(df: DataFrame, features: list[str], treated: str, low: float = 0.
 
 def pca(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(mean, loadings as rows, explained variance ratios); each loading's sum is not negative."""
-    n, s, p = gram(df, columns)
+    return principal_axes(*gram(df, columns))
+
+
+def vector_gram(df: DataFrame, vector: str, block: int = 256, fan_in: int = 16) -> tuple[float, np.ndarray, np.ndarray]:
+    """(n, sums, cross products) of an array column of any width; rows that are NULL or hold one don't count.
+
+    Every task adds up its own Gram matrix and hands it on in square blocks. The blocks are added up by a tree: a group
+    holds ``fan_in`` blocks of ``block`` squared numbers, however many tasks or dimensions there are.
+    """
+    rows = df.select(F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    width = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    if not width:
+        return 0.0, np.zeros(0), np.zeros((0, 0))
+    edges = [*range(0, width + 1, block), width + 1]  # one column more: the ones that count rows and sum columns
+
+    def partial(batches: Iterator[pa.RecordBatch]):
+        total = np.zeros((width + 1, width + 1))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            x = np.hstack([x.reshape(batch.num_rows, width), np.ones((batch.num_rows, 1))])
+            total += x.T @ x
+        part = TaskContext.get().partitionId()
+        for i, (a, b) in enumerate(zip(edges, edges[1:])):
+            for j, (c, d) in enumerate(zip(edges[i:], edges[i + 1 :]), i):
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "i": pa.array([i], pa.int32()), "j": pa.array([j], pa.int32()), "cells": pa.array([total[a:b, c:d].tobytes()], pa.binary())})
+
+    def merge(table: pa.Table) -> pa.Table:
+        cells = sum(np.frombuffer(x, float) for x in table.column("cells").to_pylist())
+        return table.slice(0, 1).select(["part", "i", "j"]).append_column("cells", pa.array([cells.tobytes()], pa.binary()))
+
+    kind = "part int, i int, j int, cells binary"
+    level = scratch(rows.mapInArrow(partial, kind), "gram")
+    parts = (level.agg(F.max("part")).first()[0] or 0) + 1
+    while parts > 1:
+        level = level.withColumn("part", F.floor(F.col("part") / fan_in).cast("int")).groupBy("part", "i", "j").applyInArrow(merge, kind)
+        parts = -(-parts // fan_in)
+    total = np.zeros((width + 1, width + 1))
+    for r in level.collect():  # the matrix itself
+        (a, b), (c, d) = edges[r["i"] : r["i"] + 2], edges[r["j"] : r["j"] + 2]
+        cells = np.frombuffer(bytes(r["cells"]), float).reshape(b - a, d - c)
+        total[a:b, c:d] = cells
+        total[c:d, a:b] = cells.T
+    return float(total[-1, -1]), total[:-1, -1], total[:-1, :-1]
+
+
+def principal_axes(n: float, s: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, loadings as rows, explained variance ratios), largest first; each loading's sum is not negative."""
     mean = s / max(n, 1)
     values, vectors = np.linalg.eigh(p / max(n, 1) - np.outer(mean, mean))
     order = np.argsort(values)[::-1]
@@ -156,6 +203,24 @@ def pca(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.n
     return mean, load, values / max(values.sum(), 1e-300)
 
 
+def vector_projection(df: DataFrame, vector: str, mean: np.ndarray, load: np.ndarray, into: str) -> DataFrame:
+    """``into``: the vector less ``mean`` on every row of ``load``; NULL for a vector that is NULL or holds one."""
+    kept = [c for c in df.columns if c != into]
+    v = F.col(vector).cast("array<double>")
+    rows = df.select(*kept, F.when(~F.exists(v, lambda x: x.isNull()), v).alias(into))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            held = batch.column(len(kept))
+            x = held.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(mean))
+            flat = ((x - mean) @ load.T).reshape(-1)
+            ends = np.append(0, np.cumsum(np.asarray(held.is_valid()))) * len(load)
+            out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=held.is_null() if held.null_count else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], out], batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def project(columns: list[str], mean: np.ndarray, loading: np.ndarray):
     return sum(((F.col(c) - float(m)) * float(w) for c, m, w in zip(columns, mean, loading)), F.lit(0.0))
 
@@ -183,7 +248,7 @@ def k_means(df: DataFrame, columns: list[str], k: int, seed: int, id_col: str, r
     return df.withColumn("cluster", nearest(centres))
 
 
-# --- Jobs of a small network -------------------------------------------------------------------------------------
+# --- A small network on arrays; what :mod:`training` does over partitions ------------------------------------------
 
 
 def train_mlp(x: np.ndarray, y: np.ndarray, seed: int, hidden: int = 128, epochs: int = 35, batch: int = 8192, rate: float = 1e-3, decay: float = 1e-5) -> Callable[[np.ndarray], np.ndarray]:
@@ -229,35 +294,3 @@ def train_mlp(x: np.ndarray, y: np.ndarray, seed: int, hidden: int = 128, epochs
                 m[j], v[j] = 0.9 * m[j] + 0.1 * q, 0.999 * v[j] + 0.001 * q * q
                 params[j] = params[j] * (1 - rate * decay) - rate * (m[j] / (1 - 0.9**t)) / (np.sqrt(v[j] / (1 - 0.999**t)) + 1e-8)
     return lambda q: forward((q - mx) / sx)[0] * sy + my
-
-
-def run_jobs(samples: DataFrame, jobs: DataFrame, keys: list[str], is_train, is_test, scale: list[float], epochs: int = 35, **how) -> DataFrame:
-    """Train one network per job and score its test rows by scene.
-
-    ``samples``: scene_id, x, y arrays; ``jobs``: key columns and whatever the two conditions refer to. ``scale``: the
-    common standard deviations for the normalised error. Jobs run side by side; a job's windows are the group that one
-    task holds, so a job's training set must fit an executor (as any single network's does).
-    Gives keys, scene_id, n, mse, mae, normalized_mse, imitation_score; jobs without training or test rows give none.
-    """
-    rows = samples.crossJoin(F.broadcast(jobs)).withColumns({"_train": is_train, "_test": is_test}).where("_train or _test")
-    names = [(k, rows.schema[k].dataType.simpleString()) for k in keys]
-    sd = np.array(scale, float)
-
-    def job(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        train, test = pdf[pdf["_train"]], pdf[pdf["_test"]]
-        columns = [*keys, "scene_id", "n", "mse", "mae", "normalized_mse", "imitation_score"]
-        if not len(train) or not len(test):
-            return pd.DataFrame(columns=columns)
-        train = train.sort_values("sample_id")
-        seed = zlib.crc32("|".join(map(str, key)).encode())
-        model = train_mlp(np.stack(train["x"]), np.stack(train["y"]), seed, epochs=epochs, **how)
-        err = model(np.stack(test["x"])) - np.stack(test["y"])
-        per = pd.DataFrame({"scene_id": test["scene_id"].to_numpy(), "mse": (err**2).mean(1), "mae": np.abs(err).mean(1), "normalized_mse": ((err / sd) ** 2).mean(1)})
-        out = per.groupby("scene_id").agg(n=("mse", "size"), mse=("mse", "mean"), mae=("mae", "mean"), normalized_mse=("normalized_mse", "mean")).reset_index()
-        out["imitation_score"] = np.exp(-out["normalized_mse"])
-        for name, value in zip(keys, key):
-            out[name] = value
-        return out[columns]
-
-    schema = ", ".join(f"{n} {t}" for n, t in names) + ", scene_id string, n long, mse double, mae double, normalized_mse double, imitation_score double"
-    return rows.groupBy(*keys).applyInPandas(job, schema)

@@ -12,6 +12,7 @@ from kinetrail.functions.columns import clip, mean_of, quantile, safe_corr, safe
 from kinetrail.operators import models
 from kinetrail.operators import scoring as S
 from kinetrail.operators import timeseries as T
+from kinetrail.sources.store import scratch
 
 # The fields whose presence C6 and C23 count.
 METADATA_FIELDS = ["scene_id", "task_name", "object_id", "trajectory_id", "manufacturer", "equipment_model", "created_at", "collection_duration_in_ms"]
@@ -176,22 +177,34 @@ def visual_joint_information(frames: DataFrame, by: list[str], camera: str, brig
     return S.mutual_information(binned, [*by, camera], "_a", "_b").groupBy(*by).agg(F.avg("nmi").alias("C17"))
 
 
-def pca_robustness(df: DataFrame, columns: list[str], score: str, target: float = 0.9) -> DataFrame:
+def pca_robustness(df: DataFrame, columns: list[str] | str, score: str, target: float = 0.9) -> DataFrame:
     """(component, evr, cum_evr, spearman): components up to ``target`` variance against the score, and their mixture.
 
-    Loadings come from one covariance aggregate; each component's projection is scaled to 0-1, turned to agree with the
-    score, and mixed by explained variance (component 0 is the mixture).
+    ``columns``: numeric columns, or the name of one array column, of any width. Each component's projection is scaled to
+    0-1, turned to agree with the score, and mixed by explained variance (component 0 is the mixture). Rows that miss a
+    column or the score don't count.
+
+    The Gram matrix is added up by blocks, projections are made once and stored, and all components are ranked as one
+    long table. Scaling and turning keep or reverse an order, so the mixture is one weighted sum of projections.
     """
-    mean, load, evr = models.pca(df, columns)
+    spark, kind = df.sparkSession, "component int, evr double, cum_evr double, spearman double"
+    vector = F.col(columns).cast("array<double>") if isinstance(columns, str) else F.array(*[F.col(c).cast("double") for c in columns])
+    rows = df.select(F.col(score).cast("double").alias("y"), vector.alias("v")).where(F.col("y").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    n, s, p = models.vector_gram(rows, "v")
+    if not n:
+        return spark.createDataFrame([], kind)
+    mean, load, evr = models.principal_axes(n, s, p)
     cum = np.cumsum(evr)
-    k = int(np.searchsorted(cum, target)) + 1
-    names = [f"pc{i + 1}" for i in range(min(k, len(evr)))]
-    rows = df.select(score, *[models.project(columns, mean, load[i]).alias(n) for i, n in enumerate(names)])
-    rows = S.minmax(rows, dict.fromkeys(names, 1))
-    rho = {r["feature"]: r["spearman"] or 0.0 for r in S.correlations(rows, names, score).collect()}
-    turned = {n: F.col(n) if rho[n] >= 0 else 1 - F.col(n) for n in names}
-    weights = evr[: len(names)] / evr[: len(names)].sum()
-    mixed = rows.select(score, sum((turned[n] * float(w) for n, w in zip(names, weights)), F.lit(0.0)).alias("pc0"))
-    total = S.correlations(mixed, ["pc0"], score).first()["spearman"]
-    out = [(0, 1.0, 1.0, total), *[(i + 1, float(evr[i]), float(cum[i]), abs(rho[n])) for i, n in enumerate(names)]]
-    return df.sparkSession.createDataFrame(out, "component int, evr double, cum_evr double, spearman double")
+    k = min(int(np.searchsorted(cum, target)) + 1, len(evr))
+    made = scratch(models.vector_projection(rows, "v", mean, load[:k], "v"), "projections")
+    made = scratch(S.average_rank(made, "y", [], "ry"), "projections-ranked")
+    long = made.select("ry", F.posexplode("v").alias("i", "x"))
+    ends = {r["i"]: r["hi"] - r["lo"] for r in long.groupBy("i").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}  # one row a component
+    ranked = S.average_rank(long, "x", ["i"], "rx")
+    rho = {r["i"]: r["rho"] or 0.0 for r in ranked.groupBy("i").agg(safe_corr("rx", "ry").alias("rho")).collect()}
+    share = evr[:k] / max(evr[:k].sum(), 1e-300)
+    slope = [float(share[i] * (1 if rho[i] >= 0 else -1) / ends[i]) if ends[i] > S.EPS else 0.0 for i in range(k)]
+    mixed = F.aggregate(F.zip_with("v", F.lit(slope), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+    total = S.average_rank(made.select("ry", mixed.alias("x")), "x", [], "rx").agg(safe_corr("rx", "ry").alias("rho")).first()["rho"]
+    out = [(0, 1.0, 1.0, total), *[(i + 1, float(evr[i]), float(cum[i]), abs(rho[i])) for i in range(k)]]
+    return spark.createDataFrame(out, kind)

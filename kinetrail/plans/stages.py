@@ -6,14 +6,16 @@ trajectories. Scenes are handled together; ``scene_id`` partitions the stored ta
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinetrail.operators import causal, curation, labels, models, quality, ranking, scoring
+from kinetrail.functions.columns import clip, mean_of, numeric_columns, safe_ratio, sample_places
+from kinetrail.operators import causal, curation, labels, models, neighbours, quality, ranking, scoring, signals, training
 from kinetrail.operators import timeseries as T
-from kinetrail.sources.store import StageStore
+from kinetrail.sources.store import StageStore, scratch
 
 KEYS = ["scene_id", "trajectory_id"]
 
@@ -59,21 +61,54 @@ def align(store: StageStore, cfg: Config = Config()) -> None:
         named = shots.withColumn("shot", F.struct("camera", "stream", "frame_idx"))
         matches = T.nearest_match(named, bounds, KEYS, "shot", "t", cfg.step_s).select(*KEYS, "shot.*", "rel_t", "k", "grid_t", "offset_s")
         store.write("matches", matches, ["scene_id"])
-    store.write("bounds", bounds)
+    bounds = store.write("bounds", bounds)
+    store.write("align_summary", _align_summary(store.read("aligned"), store.read("matches", optional=True), bounds, cfg.step_s))
+
+
+def _align_summary(aligned, matches, bounds, step_s: float):
+    """Per trajectory: grid length and duration, each stream's channels and share of missing cells, each camera stream's matches and mean offset."""
+    streams = [r[0] for r in aligned.select("stream").distinct().orderBy("stream").collect()]  # a handful of group names
+    shape = aligned.groupBy(*KEYS).pivot("stream", streams).agg((F.max("dim") + 1).alias("dim"), F.avg(F.col("v").isNull().cast("double")).alias("nan_ratio"))
+    if matches is None:
+        none = bounds.select(*KEYS, F.lit("").alias("camera_stream"), F.lit(None).cast("double").alias("offset_s")).limit(0)
+        return T.align_summary(none, bounds, KEYS, "camera_stream", [], step_s).join(shape, KEYS, "left")
+    named = matches.withColumn("camera_stream", F.concat_ws("_", "camera", "stream"))
+    shots = [r[0] for r in named.select("camera_stream").distinct().orderBy("camera_stream").collect()]
+    return T.align_summary(named, bounds, KEYS, "camera_stream", shots, step_s).join(shape, KEYS, "left")
+
+
+def effector(store: StageStore, channel: str = "effector_state") -> None:
+    """aligned -> effector_axis, effector_signal: one axis fitted over all trajectories' frames, and every frame's place on it."""
+    rows = store.read("aligned", [*KEYS, "stream", "dim", "k", "v"]).where(F.col("stream") == channel)
+    frames = scratch(signals.frame_vectors(rows, KEYS, "k", "dim", "v"), "effector-frames")
+    axis = store.write("effector_axis", signals.fit_axis(frames))
+    store.write("effector_signal", signals.scalar_signal(frames, axis, KEYS, "k"), ["scene_id"])
+
+
+def _semantic(store: StageStore):
+    """Semantic features of the effector signal, which is made if it isn't there yet."""
+    if (signal := store.read("effector_signal", optional=True)) is None:
+        effector(store)
+        signal = store.read("effector_signal")
+    return signals.semantic_features(signal, KEYS, "k")
 
 
 def label(store: StageStore, channel: str = "effector_state", cfg: Config = Config()) -> None:
-    """aligned -> label_signals, auto_labels, review_queue, final_labels (with manual_review if it exists)."""
+    """aligned -> label_signals, auto_labels, review_queue, final_labels (with manual_review if it exists).
+
+    The event signals look at all channels of the effector and the arm; a trajectory without an effector has NULLs there.
+    """
     aligned = store.read("aligned", [*KEYS, "stream", "dim", "k", "v"])
-    effector = aligned.where(F.col("stream") == channel).groupBy(*KEYS, "k").agg(F.avg("v").alias("v"))
-    arm = aligned.where(F.col("stream") == "arm_state").groupBy(*KEYS, "dim").agg((F.max("v") - F.min("v")).alias("r")).groupBy(*KEYS).agg(F.avg("r").alias("arm_range_l1"))
-    length = aligned.groupBy(*KEYS).agg((F.max("k") * F.lit(cfg.step_s)).alias("duration_s"))
-    s = T.event_signals(effector, KEYS, ["k"], "v", cfg.step_s)
-    signals = length.join(arm, KEYS, "left").join(s, KEYS, "left").select(
-        *KEYS, "duration_s", "arm_range_l1", F.col("range_l1").alias("effector_range_l1"), F.col("peak_offset_l1").alias("effector_peak_offset_l1"), F.col("stable_s").alias("stable_grasp_segment_s")
-    )
-    signals = store.write("label_signals", signals)
-    auto = store.write("auto_labels", labels.auto_label(signals, labels.thresholds(signals)))
+    length = aligned.groupBy(*KEYS).agg((F.max("k") + 1).alias("aligned_len"), (F.max("k") * F.lit(cfg.step_s)).alias("duration_s"))
+    parts = {}
+    for name, stream in (("arm", "arm_state"), ("effector", channel)):
+        found = signals.vector_signals(aligned.where(F.col("stream") == stream), KEYS, "k", "dim", "v", cfg.step_s)
+        parts[name] = found.select(*KEYS, *[F.col(c).alias(f"{name}_{c}") for c in signals.EVENT_COLUMNS if c != "n_frames"])
+    arm = parts["arm"].select(*KEYS, "arm_change_l1", "arm_range_l1", "arm_final_stability")
+    grasp = {"effector_stable_len": "stable_grasp_segment_len", "effector_stable_s": "stable_grasp_segment_s"}
+    made = length.join(arm, KEYS, "left").join(parts["effector"].withColumnsRenamed(grasp), KEYS, "left")
+    made = store.write("label_signals", made)
+    auto = store.write("auto_labels", labels.auto_label(made, labels.thresholds(made)))
     store.write("review_queue", labels.review_queue(auto))
     manual = store.read("manual_review", ["trajectory_id", "manual_label"], optional=True)
     if manual is None:
@@ -81,56 +116,124 @@ def label(store: StageStore, channel: str = "effector_state", cfg: Config = Conf
     store.write("final_labels", labels.merge_manual(auto, manual, "trajectory_id", "manual_label"))
 
 
-def features(store: StageStore) -> None:
-    """aligned -> feature_matrix: motion statistics of every channel, one wide row a trajectory."""
+def features(store: StageStore, cfg: Config = Config()) -> None:
+    """aligned, and vision_features where it exists -> feature_matrix: one wide row a trajectory.
+
+    Motion statistics of every channel, semantic features of the effector, duration and paths, and the columns of
+    ``vision_features`` (colour figures, depth hole ratios).
+    """
     aligned = store.read("aligned", [*KEYS, "stream", "dim", "k", "v"])
-    stats = T.motion_stats(aligned, [*KEYS, "stream", "dim"], ["k"], "v", 0.01)
+    stats = T.motion_stats(aligned, [*KEYS, "stream", "dim"], ["k"], "v", cfg.step_s)
     names = ["mean", "std", "range", "vel_abs_mean", "jerk_energy"]
     long = stats.unpivot([*KEYS, "stream", "dim"], names, "stat", "x").withColumn("name", F.concat_ws("_", "stream", "stat", "dim"))
     wanted = [r[0] for r in long.select("name").distinct().orderBy("name").collect()]  # channels x statistics
-    store.write("feature_matrix", long.groupBy(*KEYS).pivot("name", wanted).agg(F.first("x", True)))
+    wide = long.groupBy(*KEYS).pivot("name", wanted).agg(F.first("x", True))
+    wide = wide.join(aligned.groupBy(*KEYS).agg((F.max("k") * F.lit(cfg.step_s)).alias("global_duration_s")), KEYS, "left")
+    for name in ("arm", "effector"):
+        path = signals.path_l1(aligned.where(F.col("stream") == f"{name}_state"), KEYS, "k", "dim", "v", f"global_{name}_path_l1")
+        wide = wide.join(path, KEYS, "left")
+    wide = wide.join(_semantic(store), KEYS, "left")
+    vision = store.read("vision_features", optional=True)
+    if vision is not None:
+        wide = wide.join(vision.drop(*[c for c in vision.columns if c in wide.columns and c not in KEYS]), KEYS, "left")
+    store.write("feature_matrix", wide)
 
 
-def indicators(store: StageStore) -> None:
-    """aligned, samples, bounds, and where they exist matches, manifest, raw_metadata, final_labels -> indicators.
+def indicators(store: StageStore, cfg: Config = Config(), seed: int = 42) -> None:
+    """aligned, samples, bounds, and where they exist frames, matches, feature_matrix, manifest, raw_metadata, final_labels -> indicators.
 
-    One row a trajectory; an indicator whose inputs aren't there is NULL. Tables that lack a trajectory leave NULLs.
+    One row a trajectory; an indicator whose inputs aren't there is NULL, but C21 and C22, where nothing counts as 0.
+    Frames may hold a mean ``brightness``, for C17. Tables that lack a trajectory leave NULLs.
     """
     aligned = store.read("aligned", [*KEYS, "stream", "dim", "k", "v"])
-    bounds = store.read("bounds", [*KEYS, "start_t", "end_t"]).select(*KEYS, (F.col("end_t") - F.col("start_t")).alias("duration_s"))
+    bounds = store.read("bounds", [*KEYS, "start_t", "end_t"])
+    last = F.floor((F.col("end_t") - F.col("start_t") + T.EPS) / F.lit(cfg.step_s))
+    bounds = bounds.select(*KEYS, (last * F.lit(cfg.step_s)).alias("duration_s"))
     arm = aligned.where(F.col("stream") == "arm_state")
     found = bounds.join(quality.joint_indicators(arm, KEYS, "k", "dim", "v").withColumnsRenamed({"C8": "C8_joint_anomaly_quality", "C10": "C10_joint_noise_quality", "C18": "C18_joint_coordination"}), KEYS, "left")
-    wide = arm.groupBy(*KEYS, "k").agg(F.count("v").alias("_n"), F.count("*").alias("_of")).withColumn("whole", F.when(F.col("_n") == F.col("_of"), F.lit(1.0)))
-    found = found.join(quality.joint_completeness(wide.join(bounds, KEYS), KEYS, "duration_s", ["whole"]).withColumnRenamed("C5", "C5_joint_completeness"), KEYS, "left")
-    samples = store.read("samples", [*KEYS, "kind", "group", "seq", "ts_ns"]).withColumn("stream", F.concat_ws("_", "group", "kind"))
-    steady = T.timestamp_consistency(samples, [*KEYS, "stream"], "ts_ns", "seq").groupBy(*KEYS).agg(F.avg("consistency").alias("C11_timestamp_consistency"))
+    holes = aligned.where(F.col("stream").rlike("_(state|action)$")).groupBy(*KEYS, "stream").agg(F.avg(F.col("v").isNull().cast("double")).alias("r"), F.max("k").alias("k"))
+    holes = holes.groupBy(*KEYS).agg(F.avg("r").alias("r"), (F.max("k") + 1).alias("n")).join(bounds, KEYS)
+    length = safe_ratio("n", F.floor(F.col("duration_s") / F.lit(cfg.step_s) + F.lit(1e-9)) + 1)
+    found = found.join(holes.select(*KEYS, mean_of(length, 1 - F.col("r")).alias("C5_joint_completeness")), KEYS, "left")
+
+    stamps = store.read("samples", [*KEYS, "kind", "group", "seq", "ts_ns"]).select(*KEYS, F.concat_ws("_", "group", "kind").alias("stream"), "seq", "ts_ns")
+    frames = store.read("frames", optional=True)
+    if frames is not None:
+        stamps = stamps.union(frames.select(*KEYS, F.concat_ws("_", F.lit("camera"), "camera", "stream"), F.col("frame_idx").alias("seq"), "ts_ns"))
+    steady = T.timestamp_consistency(stamps, [*KEYS, "stream"], "ts_ns", "seq").groupBy(*KEYS).agg(F.avg("consistency").alias("C11_timestamp_consistency"))
     found = found.join(steady, KEYS, "left")
-    states = T.tercile_states(arm.where("dim = 0 and v is not null"), KEYS, "v").groupBy(*KEYS, "state").agg(F.count("*").alias("n"))
-    share = F.col("n") / F.sum("n").over(W.partitionBy(*KEYS))
-    skill = states.select(*KEYS, (-share * F.ln(share)).alias("e")).groupBy(*KEYS).agg((F.sum("e") / F.ln(F.lit(3.0))).alias("C14_atomic_skill_diversity"))
-    found = found.join(skill, KEYS, "left")
+
+    matrix = store.read("feature_matrix", optional=True)
+    states = _semantic(store) if matrix is None or "semantic_state_ratio_0" not in matrix.columns else matrix
+    found = found.join(signals.skill_diversity(states).select(*KEYS, F.col("C14").alias("C14_atomic_skill_diversity")), KEYS, "left")
+    if matrix is not None:
+        found = found.join(_model_indicators(matrix, seed), KEYS, "left")
+
     matches = store.read("matches", optional=True)
     if matches is not None:
-        shots = quality.visual_completeness(matches.join(bounds, KEYS), KEYS, "camera", "duration_s").withColumnRenamed("C3", "C3_visual_completeness")
-        offsets = matches.groupBy(*KEYS, "camera").agg((F.avg(F.abs("offset_s")) * 1000).alias("ms")).groupBy(*KEYS).agg(F.avg("ms").alias("ms"))
+        shots = matches.groupBy(*KEYS, "camera").agg(F.count_if(F.col("stream") == "color").alias("n")).join(bounds, KEYS)
+        shots = shots.groupBy(*KEYS).agg(F.avg(safe_ratio("n", F.greatest(F.lit(1.0), F.col("duration_s") * 30.0))).alias("C3_visual_completeness"))
+        offsets = matches.groupBy(*KEYS, "camera", "stream").agg((F.avg(F.abs("offset_s")) * 1000).alias("ms")).groupBy(*KEYS).agg(F.avg("ms").alias("ms"))
         offsets = quality.alignment_quality(offsets, ["ms"]).select(*KEYS, F.col("C16").alias("C16_multimodal_alignment"))
         found = found.join(shots, KEYS, "left").join(offsets, KEYS, "left")
+        if frames is not None and "brightness" in frames.columns:
+            found = found.join(_visual_joint(frames, matches, aligned), KEYS, "left")
     manifest, metadata, finals = (store.read(n, optional=True) for n in ("manifest", "raw_metadata", "final_labels"))
+    standard = F.lit(0.0)
     if manifest is not None:
         about = manifest
         if metadata is not None:
             about = about.join(metadata.drop(*[c for c in metadata.columns if c in manifest.columns and c not in KEYS]), KEYS, "left")
         about = quality.attribute_completeness(quality.attribute_completeness(about), quality.DESCRIPTION_FIELDS, "C23")
-        known = F.col("is_uuid_file_name").cast("double") if "is_uuid_file_name" in about.columns else F.lit(None).cast("double")
-        about = about.select(*KEYS, F.col("C6").alias("C6_attribute_completeness"), known.alias("C22_metadata_standardization"), F.col("C23").alias("C23_scene_description_completeness"))
+        known = F.col("is_uuid_file_name").cast("double") if "is_uuid_file_name" in about.columns else F.lit(0.0)
+        about = about.select(*KEYS, F.col("C6").alias("C6_attribute_completeness"), known.alias("_known"), F.col("C23").alias("C23_scene_description_completeness"))
         found = found.join(about.dropDuplicates(KEYS), KEYS, "left")
+        standard = F.coalesce("_known", F.lit(0.0))
+        found = scoring.beside(found, scoring.category_entropy(manifest, "scene_id").withColumnRenamed("entropy", "C12_scene_entropy"))
         if "object_id" in manifest.columns:
             objects = manifest.groupBy("scene_id").agg(((F.count_distinct("object_id") - 1) / F.greatest(F.count("*") - 1, F.lit(1))).alias("C13_object_diversity"))
             found = found.join(objects, "scene_id", "left")
+    given = F.lit(0.0)
     if finals is not None:
-        given = quality.label_completeness(finals, ["auto_label", "final_label"]).select(*KEYS, F.col("C21").alias("C21_label_completeness"))
-        found = found.join(given.dropDuplicates(KEYS), KEYS, "left")
-    store.write("indicators", found)
+        found = found.join(finals.groupBy(*KEYS).agg(F.max(F.col("final_label").isNotNull().cast("double")).alias("_given")), KEYS, "left")
+        given = F.coalesce("_given", F.lit(0.0))
+    found = found.withColumns({"C21_label_completeness": given, "C22_metadata_standardization": standard})
+    store.write("indicators", found.drop("_given", "_known"))
+
+
+def _model_indicators(matrix, seed: int):
+    """C4, C15 and C19 from the feature matrix: depth holes, rarity of the motion cluster, distance to the nearest other row."""
+    rows = scratch(matrix.withColumn("_id", F.to_json(F.struct(*KEYS))), "feature-rows")
+    numbers = [c for c in numeric_columns(rows) if c not in KEYS]
+    holes = [c for c in numbers if c.endswith("_depth_hole_ratio")]
+    motion = [c for c in numbers if c.startswith(("arm_state_range_", "arm_state_vel_abs_mean_", "arm_action_range_", "arm_action_vel_abs_mean_"))]
+    found = rows.select(*KEYS, "_id", (clip(1 - mean_of(*holes)) if holes else F.lit(None).cast("double")).alias("C4_depth_validity"))
+    if rows.limit(2).count() < 2:  # nothing to compare with
+        return found.drop("_id").withColumns({"C15_motion_mode_diversity": F.lit(None).cast("double"), "C19_duplicate_uniqueness": F.lit(None).cast("double")})
+    if motion:
+        modes = quality.mode_rarity(rows.select("_id", *motion), motion, "_id", seed)
+        found = found.join(modes.select("_id", F.col("rarity").alias("C15_motion_mode_diversity")), "_id", "left")
+    if numbers:
+        filled = models.impute_median(rows.select("_id", *numbers), numbers, 0.0)
+        near = neighbours.uniqueness(filled.select("_id", F.array(*numbers).alias("v")), "_id", "v")
+        found = found.join(near.select("_id", F.col("uniqueness").alias("C19_duplicate_uniqueness")), "_id", "left")
+    return found.drop("_id")
+
+
+def _visual_joint(frames, matches, aligned, most: int = 80):
+    """C17: of at most ``most`` colour frames a camera, evenly spaced, brightness against the norm of the matched arm action.
+
+    A frame's action is that of the match with the frame's place among its camera's matches; frames beyond them don't count.
+    """
+    camera = [*KEYS, "camera"]
+    w = W.partitionBy(*camera).orderBy("frame_idx")
+    shots = frames.where("stream = 'color'").select(*camera, "frame_idx", "brightness")
+    shots = shots.withColumns({"place": F.row_number().over(w) - 1, "n": F.count("*").over(W.partitionBy(*camera))})
+    shots = shots.where(F.array_contains(sample_places(F.col("n").cast("int"), most), F.col("place").cast("int")))
+    acted = matches.where("stream = 'color'").select(*camera, "k", (F.row_number().over(w) - 1).alias("place"))
+    size = aligned.where("stream = 'arm_action'").groupBy(*KEYS, "k").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("motion"))
+    both = shots.join(acted, [*camera, "place"]).join(size, [*KEYS, "k"])
+    return quality.visual_joint_information(both, KEYS, "camera", "brightness", "motion").withColumnRenamed("C17", "C17_visual_joint_mi")
 
 
 def bc_samples(store: StageStore, cfg: Config = Config()) -> None:
@@ -164,8 +267,15 @@ def value(store: StageStore, cfg: Config = Config()) -> None:
     store.write("trajectory_value", curation.trajectory_values(ids.select(*KEYS), found, "scene_id"))
 
 
+JOB = ["strategy", "ratio", "run_seed"]
+
+
 def curate(store: StageStore, cfg: Config = Config(), strategies: list[str] | None = None) -> None:
-    """quality_scores, trajectory_value -> curation_split, curation_scores, curation_selection (only jobs not yet done)."""
+    """quality_scores, trajectory_value -> curation_split, curation_scores, curation_selection (only jobs not yet done).
+
+    All pending jobs are marked on the pool's rows in one plan and written at once, partitioned by job, so a repeated or
+    interrupted run replaces its own partitions.
+    """
     q = store.read("quality_scores", [*KEYS, "Q_score", "Q_accuracy", "Q_consistency"])
     v = store.read("trajectory_value", [*KEYS, "delta"])
     df = q.join(v.select(*KEYS, "delta"), KEYS).withColumn("global_id", F.concat_ws("_", "scene_id", "trajectory_id"))
@@ -173,12 +283,62 @@ def curate(store: StageStore, cfg: Config = Config(), strategies: list[str] | No
     scored = store.write("curation_scores", curation.hybrid_scores(split, "Q_score", "Q_accuracy", "Q_consistency", "delta"))
     grid = curation.job_grid(store.spark, strategies or ["full", "random", "high_Q_stratified", *curation.STRATEGIES], list(cfg.ratios), list(cfg.run_seeds), list(cfg.random_seeds))
     done = store.read("curation_selection", optional=True)
-    todo = (grid if done is None else curation.pending(grid, done)).orderBy("strategy", "ratio", "run_seed").collect()  # the job grid: some hundred rows
-    pool = scored.where("split = 'pool'")
-    for job in todo:
-        picked = curation.select_ids(pool, job["strategy"], float(job["ratio"]), job["run_seed"])
-        keys = {"strategy": F.lit(job["strategy"]), "ratio": F.lit(float(job["ratio"])), "run_seed": F.lit(job["run_seed"])}
-        store.append("curation_selection", picked.select("global_id", *KEYS, "selection_score").withColumns(keys))
+    todo = (grid if done is None else curation.pending(grid, done)).orderBy(*JOB).collect()  # the job grid: some hundred rows
+    if not todo:
+        return
+    jobs = [(r["strategy"], float(r["ratio"]), r["run_seed"]) for r in todo]
+    marked = curation.mark_selections(scored.where("split = 'pool'"), jobs)
+    told = F.broadcast(store.spark.createDataFrame([(i, *j) for i, j in enumerate(jobs)], "job int, strategy string, ratio double, run_seed int"))
+    picked = marked.select("global_id", *KEYS, F.inline("picks")).join(told, "job").drop("job")
+    store.write("curation_selection", picked, JOB)
+
+
+def evaluate(store: StageStore, cfg: Config = Config()) -> None:
+    """bc_samples, curation_split, curation_selection -> curation_metrics, curation_per_scene, curation_summary (only jobs not yet measured).
+
+    Every selection trains a network on its trajectories' windows and is tested on the windows of the test split. All
+    pending jobs train side by side; errors are normalised by the pool's targets.
+    """
+    chosen = store.read("curation_selection", [*JOB, "global_id"])
+    done = store.read("curation_metrics", optional=True)
+    grid = chosen.select("strategy", F.col("ratio").cast("decimal(6,4)").alias("ratio"), F.col("run_seed").cast("int").alias("run_seed")).distinct()
+    todo = (grid if done is None else curation.pending(grid, done)).orderBy(*JOB).collect()  # the job grid: some hundred rows
+    if todo:
+        jobs = [(i, r["strategy"], float(r["ratio"]), r["run_seed"]) for i, r in enumerate(todo)]
+        told = F.broadcast(store.spark.createDataFrame(jobs, "job int, strategy string, ratio double, run_seed int"))
+        same = [chosen["strategy"] == told["strategy"], chosen["ratio"].cast("decimal(6,4)") == told["ratio"].cast("decimal(6,4)"), chosen["run_seed"] == told["run_seed"]]
+        belongs = chosen.join(told, same[0] & same[1] & same[2]).groupBy("global_id").agg(F.sort_array(F.collect_set("job")).alias("train"))  # at most the grid's jobs a row
+        split = store.read("curation_split", ["global_id", "split"]).select("global_id", "split")
+        samples = store.read("bc_samples", ["sample_id", *KEYS, "x", "y"]).withColumn("global_id", F.concat_ws("_", *KEYS))
+        rows = samples.join(split, "global_id").join(belongs, "global_id", "left")
+        every = F.array(*[F.lit(i) for i, *_ in jobs])
+        none = F.array().cast("array<int>")
+        rows = rows.select("sample_id", "scene_id", "global_id", "x", "y", "split", F.coalesce("train", none).alias("train"), F.when(F.col("split") == "test", every).otherwise(none).alias("test"))
+        rows = scratch(rows, "curation-rows")
+        scale = training.target_scale(rows.where("split = 'pool'"))
+        trained = training.train_networks(rows, [zlib.crc32(f"{s}|{r:.4f}|{k}".encode()) for _, s, r, k in jobs], epochs=cfg.epochs)
+        errors = scratch(training.window_errors(rows, trained, scale, keep=["scene_id", "global_id"]), "curation-errors")
+        sizes = rows.select("global_id", F.explode("train").alias("job")).groupBy("job").agg(F.countDistinct("global_id").alias("n_train_trajectories"), F.count("*").alias("n_train_windows"))
+        test = {"test_nmse": "normalized_mse", "test_imitation_score": "imitation_score", "test_mae": "mae", "test_mse": "mse"}
+        figures = training.imitation(errors, ["job"]).join(sizes, "job").join(told, "job")
+        store.write("curation_metrics", figures.select(*JOB, "n_train_trajectories", "n_train_windows", *[F.col(c).alias(n) for n, c in test.items()]), JOB)
+        scenes = training.imitation(errors, ["job", "scene_id"]).join(errors.groupBy("job", "scene_id").agg(F.countDistinct("global_id").alias("n_test_trajectories")), ["job", "scene_id"]).join(told, "job")
+        scenes = scenes.select(*JOB, F.col("scene_id").alias("test_scene"), "n_test_trajectories", F.col("normalized_mse").alias("scene_nmse"), F.col("imitation_score").alias("scene_imitation_score"), F.col("mae").alias("scene_mae"))
+        store.write("curation_per_scene", scenes, JOB)
+    store.write("curation_summary", curation.evaluation_summary(store.read("curation_metrics")))
+
+
+def fold_labels(store: StageStore, cfg: Config = Config()) -> None:
+    """bc_samples -> label_folds, trajectory_labels, label_summary: every trajectory is scored by a network that was trained without its fold."""
+    samples = store.read("bc_samples", ["sample_id", *KEYS, "x", "y"]).withColumn("global_id", F.concat_ws("_", *KEYS))
+    folds = store.write("label_folds", ranking.k_folds(samples.select("global_id", "scene_id").distinct(), "scene_id", "global_id", cfg.folds, 0))
+    numbers = F.sequence(F.lit(0), F.lit(cfg.folds - 1))
+    rows = samples.join(folds.select("global_id", "fold"), "global_id")
+    rows = scratch(rows.select("sample_id", "scene_id", "global_id", "x", "y", F.filter(numbers, lambda f: f != F.col("fold")).alias("train"), F.array("fold").alias("test")), "fold-rows")
+    trained = training.train_networks(rows, [zlib.crc32(f"fold|{f}".encode()) for f in range(cfg.folds)], epochs=cfg.epochs)
+    errors = training.window_errors(rows, trained, training.target_scale(rows), keep=["scene_id", "global_id"])
+    found = store.write("trajectory_labels", labels.trajectory_errors(errors, "global_id", "scene_id", "mse", "mae", "normalized_mse"))
+    store.write("label_summary", labels.label_summary(found, "scene_id"))
 
 
 def causal_effects(store: StageStore, covariates: list[str], outcomes: list[str], sources: list[str], quantiles: tuple[float, ...] = (0.5, 0.6), cfg: Config = Config()) -> None:
@@ -201,4 +361,4 @@ def causal_effects(store: StageStore, covariates: list[str], outcomes: list[str]
         store.write("causal_balance", curation.stack(balances))
 
 
-__all__ = ["Config", "align", "causal_effects", "curate", "features", "label", "quality", "score", "value"]
+__all__ = ["Config", "align", "bc_samples", "causal_effects", "curate", "effector", "evaluate", "features", "fold_labels", "indicators", "label", "score", "value"]

@@ -478,9 +478,8 @@ def _vectors(spark, sf_dir, k: int = 64):
 
 
 def pca_robustness(spark, sf_dir):
-    cols = [f"x{i}" for i in range(64)]
-    rows = _vectors(spark, sf_dir)
-    return Q.pca_robustness(rows.withColumn("Q_score", sum((F.col(c) for c in cols), F.lit(0.0))), cols, "Q_score")
+    rows = table(spark, sf_dir, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    return Q.pca_robustness(rows.withColumn("Q_score", F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)), "embedding", "Q_score")
 
 
 def motion_modes(spark, sf_dir):

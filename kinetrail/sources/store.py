@@ -23,10 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def scratch(df: DataFrame, label: str) -> DataFrame:
+def scratch(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, lineage cut, safe from lost executors."""
     path = f"{shared_dir(df.sparkSession)}/kinetrail/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*(partition_by or [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
