@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,17 +31,56 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Tables that :func:`stage` has written, by the innermost :func:`tidied` block around it.
+_written: list[list[str]] = []
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Lineage is cut there: later steps survive lost executors without recomputing what came before, and a
-    result read by several consumers is computed once.
+    result read by several consumers is computed once. Within a :func:`tidied` block the table goes when the block ends.
     """
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/kinetrail/{label}-{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.staged_at = path
+    return made
+
+
+@contextmanager
+def tidied() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables staged within the block when it ends, but those that the yielded function is given.
+
+    What a block hands on must be staged and kept: a plan that still reads a deleted table fails. Kept tables belong to
+    the block around this one, if there is one.
+    """
+    keep: list[DataFrame] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        keep.append(df)
+        return df
+
+    _written.append([])
+    try:
+        yield kept
+    finally:
+        paths, stay = _written.pop(), {df.staged_at for df in keep}
+        if _written:
+            _written[-1] += [p for p in paths if p in stay]
+        spark = SparkSession.getActiveSession()
+        for path in [p for p in paths if p not in stay] if spark else []:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a table that :func:`stage` wrote, in whatever store it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_batches(spark: SparkSession) -> None:

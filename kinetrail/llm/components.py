@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetrail.llm.common import stage
+from kinetrail.llm.common import stage, tidied
 
 
 def _between(links: DataFrame, a: Column, b: Column) -> DataFrame:
@@ -21,7 +21,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     is read once and not in every round. Every step ends in a table in the shared folder; only whether rows are left
     reaches the driver. No links: an empty table.
     """
-    links = stage(_between(links, F.col("a"), F.col("b")), "links")
+    with tidied() as kept:
+        return kept(_joined(stage(_between(links, F.col("a"), F.col("b")), "links")))
+
+
+def _joined(links: DataFrame) -> DataFrame:
     labels = None
     while True:
         ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
@@ -30,6 +34,7 @@ def connected_components(links: DataFrame) -> DataFrame:
             above = parents.select(F.col("node").alias("up"), "root")
             jumped = stage(parents.withColumnRenamed("root", "up").join(above, "up").select("node", "root", "up"), "parents")
             parents = jumped.select("node", "root")
+            parents.staged_at = jumped.staged_at
             if not jumped.where("root <> up").limit(1).count():
                 break
         if labels is None:

@@ -1,10 +1,13 @@
 """Exact dedup: a tree merge of sorted digest runs.
 
-Every input partition is a run: its digests, sorted. In each round ``FAN_IN`` neighbouring runs meet in one merged
-run (a shuffle on digest and merged run, with map-side combining), and for each digest the merge keeps the verified
-identifier that stays and the number of rows. After about log(runs) rounds one run is left: the verdict of every
-digest. The verdicts then go back down the same tree, so no join has a key with more rows than one run gives it: a
-text that a third of all rows share is spread over all runs.
+Every input partition is a run: its digests, written in their order. In each round ``FAN_IN`` neighbouring runs meet in
+one merged run, and for each digest the merge keeps the verified identifier that stays and the number of rows. A round is
+a sort-based aggregate on digest and merged run: before the exchange each task combines what it has, behind it the runs'
+rows are brought into digest order and equal neighbours are folded in one streaming pass, so no table of digests is held
+in memory and every level leaves in digest order within its partitions. (Spark plans it so because the kept identifier
+is a struct; a test holds the plan to it.) After about log(runs) rounds one run is left: the verdict of every digest. The
+verdicts then go back down the same tree, so no join has a key with more rows than one run gives it: a text that a third
+of all rows share is spread over all runs.
 
 A digest is SHA-256 verified by the byte length and a 64-bit hash of other construction, so two different texts never
 share a group in practice.
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetrail.llm.common import fresh, quoted, stage
+from kinetrail.llm.common import fresh, quoted, stage, tidied
 
 FAN_IN = 8
 KEY = ["sha", "size", "check"]
@@ -32,6 +35,12 @@ def _digest(text):
     return [F.unhex(F.sha2(text, 256)).alias("sha"), F.octet_length(text).alias("size"), F.xxhash64(text).alias("check")]
 
 
+def merge_level(below: DataFrame, fan_in: int, best) -> DataFrame:
+    """One round: ``fan_in`` runs each of (digest, run, best, n) become one."""
+    merged = F.floor(F.col("run") / fan_in).cast("int").alias("run")
+    return below.groupBy(*KEY, merged).agg(best("best").alias("best"), F.sum("n").alias("n"))
+
+
 def digest_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_in: int = FAN_IN, carry: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, and the digest (sha, size, check).
 
@@ -52,8 +61,7 @@ def digest_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     levels = [rows.groupBy(*KEY, "run").agg(best(ident).alias("best"), F.count("*").alias("n"))]
     runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
     while runs > 1:
-        below = levels[-1]
-        levels.append(below.groupBy(*KEY, F.floor(F.col("run") / fan_in).cast("int").alias("run")).agg(best("best").alias("best"), F.sum("n").alias("n")))
+        levels.append(merge_level(levels[-1], fan_in, best))
         runs = -(-runs // fan_in)
     verdict = levels.pop()
     while levels:  # down again: a digest has at most fan_in rows for each one above
@@ -77,5 +85,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     key = fresh(docs, "kt_row")
     rows = stage(docs.withColumn(key, F.monotonically_increasing_id()), "exact-dedup-rows")
-    gone = stage(digest_groups(rows, id_col, text_col, keep, carry=key).where("not kept").select(F.col("carried").alias(key)), "exact-copies")
+    with tidied() as kept:
+        gone = kept(stage(digest_groups(rows, id_col, text_col, keep, carry=key).where("not kept").select(F.col("carried").alias(key)), "exact-copies"))
     return rows.join(gone, key, "left_anti").select(*[quoted(c) for c in docs.columns])

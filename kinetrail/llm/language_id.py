@@ -35,8 +35,8 @@ from kinetrail.llm.byte_bpe import blocks
 from kinetrail.llm.common import crc32_mod, quoted, stage
 
 SAMPLE_DOCS = 2000
-#: The most that the table of pieces x languages may take, on the driver and in each worker (about 4,000 languages).
-MAX_TABLE_BYTES = 1 << 30
+#: The most that the table of pieces x languages may take, on the driver and in each worker (about 1,000 languages).
+MAX_TABLE_BYTES = 1 << 28
 ROUNDS = 2
 LONGEST = 24
 #: Words from which a text's fit is judged at full strength; a shorter text may stray further.

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinetrail.llm.byte_bpe import blocks
-from kinetrail.llm.common import fresh, quoted, stage
+from kinetrail.llm.common import fresh, quoted, stage, tidied
 from kinetrail.llm.components import connected_components
 
 SEED = 42
@@ -499,15 +499,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group of near copies the row with its smallest id.
+    """The rows of ``docs`` that stay, with their own columns: of each group of near copies the row with its smallest id.
 
     Rows are told apart by a key of their own, so rows that share an id are judged each by its text, and of near copies
-    that share the smallest id one row stays. Rows with a null id stay and take no part.
+    that share the smallest id one row stays. Rows with a null id stay and take no part. Texts without a word (null,
+    empty, blank) have equal, empty sets of shingles: of those with an id the smallest stays. A text of fewer words than a
+    shingle is one shingle. An empty table gives an empty result. Tables made on the way are deleted.
     """
     key = fresh(docs, "kt_row")
     rows = stage(docs.withColumn(key, F.monotonically_increasing_id()), "near-dedup-rows")
-    groups = similar_groups(rows.where(quoted(id_col).isNotNull()), key, text_col, **how)
-    named = stage(groups.join(rows.select(F.col(key).alias("node"), quoted(id_col).alias("id")), "node"), "near-groups")
-    first = named.groupBy("root").agg(F.min(F.struct("id", "node"))["node"].alias("first"))
-    gone = stage(named.join(first, "root").where("node <> first").select(F.col("node").alias(key)), "near-copies")
+    with tidied() as kept:
+        groups = similar_groups(rows.where(quoted(id_col).isNotNull()), key, text_col, **how)
+        named = stage(groups.join(rows.select(F.col(key).alias("node"), quoted(id_col).alias("id")), "node"), "near-groups")
+        first = named.groupBy("root").agg(F.min(F.struct("id", "node"))["node"].alias("first"))
+        gone = kept(stage(named.join(first, "root").where("node <> first").select(F.col("node").alias(key)), "near-copies"))
     return rows.join(gone, key, "left_anti").select(*[quoted(c) for c in docs.columns])

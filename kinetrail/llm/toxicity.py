@@ -231,7 +231,7 @@ def train(
     # sample_rows rows of 12 bytes: the bound of the broadcast
     sample = marked.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
-    rows = stage(rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y"), "toxicity-sample")
+    rows = stage(rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y"), "toxicity-sample")  # all rows of sampled ids
     total, n_pos = rows.agg(F.count("*"), F.sum("y")).first()
     n_pos = n_pos or 0
     n_neg = total - n_pos
@@ -260,11 +260,15 @@ def train(
     def measure(batches: Iterator[pa.RecordBatch]):
         finder = Finder(terms, stems)
         for part, texts in blocks(batches):
-            yield pa.RecordBatch.from_arrays([part.column(2), pa.array([finder.features(t) for t in texts], pa.list_(pa.float64()))], ["y", "x"])
-
-    measured = rows.mapInArrow(measure, "y int, x array<double>").toPandas()  # at most sample_rows rows
-    x = np.array(measured["x"].tolist(), float).reshape(-1, len(FEATURES))
-    return ToxicityModel(terms, stems, fit_logistic(x, measured["y"].to_numpy(float)).tolist())
+            found = pa.array([finder.features(t) for t in texts], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), found], ["doc_id", "y", "x"])
+
+    measured = rows.mapInArrow(measure, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, y int, x array<double>")
+    # rows that share an id are one, with their mean features: at most sample_rows rows reach the driver
+    means = measured.groupBy("doc_id").agg(F.max("y").alias("y"), *[F.avg(F.col("x")[i]).alias(f"x{i}") for i in range(len(FEATURES))])
+    means = means.orderBy("doc_id").toPandas()
+    x = means[[f"x{i}" for i in range(len(FEATURES))]].to_numpy(float)
+    return ToxicityModel(terms, stems, fit_logistic(x, means["y"].to_numpy(float)).tolist())
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

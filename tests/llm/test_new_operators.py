@@ -206,3 +206,70 @@ def test_new_queries_against_plain_python(spark, tmp_path):
     got = sorted(tuple(x) for x in QUERIES["op11_fill_middle"](spark, str(tmp_path)).collect())
     want = [(*fill_plain(i, text)[:5], sha(fill_plain(i, text)[5]), sha(text or "")) for i, text, *_ in rows]
     assert [key(x) for x in got] == [key(x) for x in sorted(want)]
+
+
+# --- what changed in earlier operators ---
+
+
+def test_digest_levels_are_sorted_merges(spark):
+    """Each round of the tree is a sort-based aggregate, and leaves in digest order within its partitions."""
+    from kinetrail.llm import exact_dedup as E
+
+    rows = spark.range(4000).select((F.col("id") % 700).cast("string").cast("binary").alias("sha"), F.lit(1).alias("size"), F.lit(1).cast("long").alias("check"), F.pmod("id", F.lit(16)).cast("int").alias("run"), "id")
+    base = rows.groupBy(*E.KEY, "run").agg(F.max(F.struct(F.lit(0).alias("none"), "id", F.col("id").alias("row"))).alias("best"), F.count("*").alias("n"))
+    level = E.merge_level(base, 8, F.max)
+    plan = level._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and "HashAggregate" not in plan
+    got = level.withColumn("p", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).collect()
+    assert sum(r["n"] for r in got) == 4000 and {r["run"] for r in got} == {0, 1}
+    for p in {r["p"] for r in got}:
+        mine = [bytes(r["sha"]) for r in sorted((r for r in got if r["p"] == p), key=lambda r: r["at"])]
+        assert mine == sorted(mine)
+
+
+def test_tables_of_a_block_are_deleted(spark):
+    import os
+
+    from kinetrail.llm.common import stage, tidied
+
+    with tidied() as outer:
+        with tidied() as inner:
+            a, b = stage(spark.range(3), "a"), inner(stage(spark.range(4), "b"))
+        c = outer(stage(spark.range(5), "c"))
+        at = lambda df: df.staged_at.removeprefix("file://")
+        assert not os.path.exists(at(a)) and b.count() == 4
+    assert not os.path.exists(at(b)) and c.count() == 5
+
+
+def test_toxicity_sample_is_bounded_by_ids(spark):
+    """Rows that share a sampled id are one in the fit, however many there are."""
+    from kinetrail.llm import toxicity
+
+    r = random.Random(1)
+    mild = "the weather stays calm and the river flows past old stones near town".split()
+    rows = [(i, " ".join(r.choices(mild, k=12) + (["vilething", "grotword"] if i % 3 == 0 else []))) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = toxicity.train(docs, labels)
+    hot = docs.union(docs.where("doc_id = 5").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(400)))).drop("k"))
+    many = toxicity.train(hot, labels)
+    assert np.allclose(once.weights, toxicity.train(docs.repartition(7), labels).weights) and len(many.weights) == len(once.weights)
+    scores = {x["doc_id"]: x["score"] for x in toxicity.score(docs, many).collect()}
+    assert min(scores[i] for i in range(0, 120, 3)) > max(scores[i] for i in range(120) if i % 3)
+
+
+def test_pipeline_stages_on_odd_documents(spark, odd_docs, odd_rows):
+    """Near dedup and exact dedup on nulls, blanks and repeated rows; every stage runs on them."""
+    import corpus_pipeline as cp
+
+    names = dict(cp.STAGES)
+    ids = lambda df: sorted((x["doc_id"] is None, x["doc_id"] or 0) for x in df.collect())
+    near = ids(names["near dedup"](spark, odd_docs, ""))
+    assert near == sorted([(False, i) for i in (1, 4, 7, 8, 9, 11, 12, 13)] + [(False, 10)] * (10 in {i for _, i in near}) + [(True, 0)] * 2)
+    exact = ids(names["exact dedup"](spark, odd_docs, ""))
+    assert exact == sorted([(False, i) for i in (2, 3, 5, 6, 7, 8, 9, 10, 11, 12, 13)] + [(True, 0)])
+    docs = odd_docs
+    for name, step in cp.STAGES:
+        docs = cp.stage(step(spark, docs, ""), "odd")
+        assert name == "packing" or docs.columns == odd_docs.columns
+    assert cp.stage(names["packing"](spark, odd_docs, ""), "odd").count() >= len(odd_rows)
