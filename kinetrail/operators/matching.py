@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from kinetrail.functions.columns import logit
 from kinetrail.operators.order import running
-from kinetrail.operators.scoring import beside
 from kinetrail.sources.store import scratch
 
 #: Places of an atom that meet the pairs of atoms together when units get their partners.
@@ -45,18 +44,21 @@ def last_before(rows: DataFrame, by: list[str], order: list[str], value: Column,
     return found.join(ends, [*by, "_slice"]).withColumn(into, F.coalesce("_own", "_carry")).drop("_own", "_carry")
 
 
-def closest_pairs(df: DataFrame, scene: str, id_col: str, treated: str, p: str = "p", caliper_ratio: float = 0.2, most_rounds: int = 1000) -> DataFrame:
+def closest_pairs(df: DataFrame, scene: str, id_col: str, treated: str, p: str = "p", caliper_ratio: float = 0.2, most_rounds: int = 1000, cell: str | None = None) -> DataFrame:
     """(scene, treated_id, control_id, distance): one-to-one pairs without replacement, closest pairs first, within scenes.
 
-    The caliper is ``caliper_ratio`` standard deviations (ddof 1) of all logits. Of units that tie in score the smaller
+    The caliper is ``caliper_ratio`` standard deviations (ddof 1) of all logits. With ``cell``, a column without NULLs,
+    every cell is matched on its own, with a caliper of its own, and its value leads the result's columns; all cells
+    share the rounds. Of units that tie in score the smaller
     ids go first; of two partners at one distance the one of lower score. A NULL score or arm takes no part; NULL scenes
     are a scene. Unlike serving treated units one after another, no unit is given a partner that another one was closer
     to. Each round settles every pair of mutually nearest atoms; units without a partner in reach leave.
     """
-    units = df.select(F.col(scene).alias("scene"), F.col(id_col).alias("id"), F.col(treated).cast("int").alias("t"), logit(p).alias("z"))
-    units = units.where("z is not null and t in (0, 1)")
-    caliper = units.agg((F.stddev_samp("z") * caliper_ratio).alias("caliper"))
-    units = units.withColumn("scene", F.struct("scene"))  # a struct is never NULL, whatever the scene
+    own = F.col(cell) if cell else F.lit(0)
+    units = df.select(F.struct(own.alias("cell"), F.col(scene).alias("scene")).alias("scene"), F.col(id_col).alias("id"), F.col(treated).cast("int").alias("t"), logit(p).alias("z"))
+    units = units.where("z is not null and t in (0, 1)")  # the struct of cell and scene is never NULL, whatever the scene
+    caliper = units.groupBy(F.col("scene.cell").alias("cell")).agg((F.stddev_samp("z") * caliper_ratio).alias("caliper"))
+    with_caliper = lambda rows: rows.withColumn("cell", F.col("scene.cell")).join(caliper, "cell").drop("cell")
     placed = scratch(running(units, ["scene", "z", "t"], [F.col("id")]).withColumn("_place", F.col("_place") - 1), "units-placed")
     atoms = placed.groupBy("scene", "z", "t").agg(F.count("*").alias("n"))
     # both arms at one score: pairs at distance 0
@@ -65,7 +67,7 @@ def closest_pairs(df: DataFrame, scene: str, id_col: str, treated: str, p: str =
     zero = F.lit(0).cast("long")
     pairs = [wide.where("m > 0").select("scene", F.col("z").alias("zt"), zero.alias("ot"), F.col("z").alias("zc"), zero.alias("oc"), "m", F.lit(0.0).alias("distance"))]
     left = wide.where("n0 <> n1").select("scene", "z", F.when(F.col("n1") > F.col("n0"), 1).otherwise(0).alias("t"), F.col("m").alias("used"), (F.greatest("n0", "n1") - F.col("m")).alias("n"))
-    left = beside(left, caliper)
+    left = with_caliper(left)
     for _ in range(most_rounds):
         rows = sliced(left, ["scene"], ["z"])  # an atom's score is its own within a scene: one arm is left at each
         atom = F.struct("z", "t", "used", "n")
@@ -94,7 +96,7 @@ def closest_pairs(df: DataFrame, scene: str, id_col: str, treated: str, p: str =
     found = pairs[0]
     for met in pairs[1:]:
         found = found.union(met)
-    found = beside(found, caliper).where("distance <= caliper").drop("caliper").withColumn("pair", F.monotonically_increasing_id())
+    found = with_caliper(found).where("distance <= caliper").drop("caliper").withColumn("pair", F.monotonically_increasing_id())
     found = scratch(found, "atom-pairs")
 
     def named(z: str, start: str, arm: int, name: str) -> DataFrame:
@@ -103,10 +105,11 @@ def closest_pairs(df: DataFrame, scene: str, id_col: str, treated: str, p: str =
         spans = found.select("scene", F.col(z).alias("z"), "pair", F.col(start).alias("o"), "m", chunks.alias("chunk"))
         own = placed.where(F.col("t") == arm).select("scene", "z", "id", "_place", F.floor(F.col("_place") / CHUNK).alias("chunk"))
         hit = own.join(spans, ["scene", "z", "chunk"]).where((F.col("_place") >= F.col("o")) & (F.col("_place") < F.col("o") + F.col("m")))
-        return hit.select("pair", (F.col("_place") - F.col("o")).alias("i"), F.col("id").alias(name), F.col("scene.scene").alias("scene"))
+        return hit.select("pair", (F.col("_place") - F.col("o")).alias("i"), F.col("id").alias(name), *[F.col(f"scene.{c}").alias(c) for c in ("cell", "scene")])
 
-    both = named("zt", "ot", 1, "treated_id").join(named("zc", "oc", 0, "control_id").drop("scene"), ["pair", "i"])
-    return both.join(found.select("pair", "distance"), "pair").select("scene", "treated_id", "control_id", "distance")
+    both = named("zt", "ot", 1, "treated_id").join(named("zc", "oc", 0, "control_id").drop("scene", "cell"), ["pair", "i"])
+    lead = [F.col("cell").alias(cell)] if cell else []
+    return both.join(found.select("pair", "distance"), "pair").select(*lead, "scene", "treated_id", "control_id", "distance")
 
 
 def poisson_weight(u: Column, most: int = 12) -> Column:

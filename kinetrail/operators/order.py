@@ -90,3 +90,65 @@ def _ranked(rows: DataFrame, column: str, k: int, n: int, most: int, accuracy: i
             if low < high:
                 inside, first, size = inside.where(x > high), first + tied, size - tied
     return inside.agg(F.sort_array(F.collect_list(x))[k - first].alias("v")).first()["v"]
+
+
+def group_quantiles(df: DataFrame, by: list[str], column: str, wanted: list[float], into: str = "quantiles", most: int = MOST, parts: int = 64, accuracy: int = 10_000) -> DataFrame:
+    """(by, ``into``): exact quantiles (linear interpolation) of a column by group, an array in order of ``wanted``.
+
+    Groups of at most ``most`` values are settled by one aggregate. For all larger ones together, every rank that is
+    wanted is held between two values of a grid of approximate quantiles; counts tell where it lies, and only what lies
+    between is looked at in the next round, about a twentieth. No task holds more than ``most`` values of a group,
+    and a round is one pass for all groups. A group without a value has NULL; NULL values don't count; NULL keys are a group.
+    """
+    key = F.struct(*[F.col(c).alias(c) for c in by])
+    rows = scratch(df.select(key.alias("g"), F.col(column).cast("double").alias("v")), "group-quantiles")
+    counts = scratch(rows.groupBy("g").agg(F.count("v").alias("n")), "group-counts")
+    few = rows.join(counts.where(F.col("n") <= most).select("g"), "g", "left_semi")
+    small = few.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in wanted])).alias(into))
+    large = counts.where(F.col("n") > most)
+    if not large.limit(1).count():
+        return small.select("g.*", into)
+    at = [F.lit(float(p)) * (F.col("n") - 1) for p in wanted]
+    ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in at for f in (F.floor, F.ceil)]))
+    none = F.lit(None).cast("double")
+    todo = scratch(large.select("g", F.explode(ranks).alias("k")).join(large, "g").select("g", "k", F.col("k").alias("place"), F.col("n").alias("size"), none.alias("low"), none.alias("high")), "quantile-targets")
+    big = scratch(rows.join(large.select("g"), "g", "left_semi").where("v is not null"), "large-groups")
+    settled = todo.select("g", "k", none.alias("v")).limit(0)
+    inside = (F.col("low").isNull() | (F.col("v") > F.col("low"))) & (F.col("high").isNull() | (F.col("v") < F.col("high")))
+    while (wide := todo.where(F.col("size") > most)).limit(1).count():
+        # targets with the same bracket share their passes
+        marks = wide.select("g", "low", "high").distinct().withColumn("b", F.monotonically_increasing_id())
+        marks = scratch(marks, "quantile-brackets")
+        held = big.join(marks, "g").where(inside).select("b", "v")
+        grid = held.groupBy("b").agg(F.percentile_approx("v", [i / parts for i in range(parts + 1)], accuracy).alias("grid"))
+        named = [wide[c].eqNullSafe(marks[c]) for c in ("g", "low", "high")]
+        near = wide.join(marks, named[0] & named[1] & named[2]).select(wide["g"], "k", "place", "size", wide["low"], wide["high"], "b").join(grid, "b")
+        i = F.floor(F.col("place") / F.col("size") * parts).cast("int")
+        near = near.withColumns({"x": F.element_at("grid", F.greatest(i, F.lit(1))), "y": F.element_at("grid", F.least(i + 3, F.lit(parts + 1)))}).drop("grid")
+        near = scratch(near, "quantile-narrowed")
+        ends = near.select("b", "x", "y").distinct()
+        cut = held.join(ends, "b").groupBy("b", "x", "y").agg(*[F.count_if(t).alias(a) for a, t in (("under", F.col("v") < F.col("x")), ("on_x", F.col("v") == F.col("x")), ("between", (F.col("v") > F.col("x")) & (F.col("v") < F.col("y"))), ("on_y", (F.col("v") == F.col("y")) & (F.col("y") > F.col("x"))))])
+        cut = near.join(cut, ["b", "x", "y"])
+        place = F.col("place") - F.col("under")
+        past = place - F.col("on_x")
+        over = past - F.col("between")
+        cut = cut.withColumn("found", F.when((place >= 0) & (past < 0), F.col("x")).when((over >= 0) & (over < F.col("on_y")), F.col("y")))
+        done = cut.where("found is not null").select("g", "k", F.col("found").alias("v"))
+        # a bracket that misses the rank is left on its other side, never trusted
+        left = F.col("size") - F.col("under") - F.col("on_x") - F.col("between") - F.col("on_y")
+        next_ = cut.where("found is null").select(
+            "g", "k",
+            F.when(place < 0, F.col("place")).when(over < 0, past).otherwise(over - F.col("on_y")).alias("place"),
+            F.when(place < 0, F.col("under")).when(over < 0, F.col("between")).otherwise(left).alias("size"),
+            F.when(place < 0, F.col("low")).when(over < 0, F.col("x")).otherwise(F.col("y")).alias("low"),
+            F.when(place < 0, F.col("x")).when(over < 0, F.col("y")).otherwise(F.col("high")).alias("high"),
+        )
+        settled = scratch(settled.union(done), "quantiles-settled")
+        todo = scratch(todo.where(F.col("size") <= most).union(next_), "quantile-targets")
+    last = big.join(todo, "g").where(inside).groupBy("g", "k", "place").agg(F.sort_array(F.collect_list("v")).alias("_v"))
+    values = settled.union(last.select("g", "k", F.element_at("_v", F.col("place").cast("int") + 1).alias("v")))
+    table = values.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))  # two numbers a quantile
+    found = table.join(large, "g")
+    pick = [(F.col("m")[F.floor(x).cast("long")], F.col("m")[F.ceil(x).cast("long")], x - F.floor(x)) for x in at]
+    big_ones = found.select("g", F.array(*[a + (b - a) * w for a, b, w in pick]).alias(into))
+    return small.unionByName(big_ones).select("g.*", into)

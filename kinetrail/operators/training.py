@@ -79,18 +79,18 @@ class Network:
         return np.concatenate([x.ravel() for x in grads])
 
 
-def _vectors(column: pa.Array, width: int) -> np.ndarray:
+def vectors(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _masks(column: pa.Array, wanted: set[int]) -> dict[int, np.ndarray]:
+def masks(column: pa.Array, wanted: set[int]) -> dict[int, np.ndarray]:
     """Which rows of a batch name a job, for the jobs that any row names."""
     ends, jobs = column.offsets.to_numpy(), column.flatten().to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(column)), np.diff(ends))
     return {int(j): row[jobs == j] for j in np.unique(jobs) if int(j) in wanted}
 
 
-def _added(rows: DataFrame, parts: int, n_jobs: int, size: int, work: Callable[[pa.RecordBatch], dict[int, np.ndarray]]) -> np.ndarray:
+def added(rows: DataFrame, parts: int, n_jobs: int, size: int, work: Callable[[pa.RecordBatch], dict[int, np.ndarray]]) -> np.ndarray:
     """jobs x size: what ``work`` returns for the batches, added up by task (``parts`` at most), then by a tree of at most FAN_IN partial sums a group."""
 
     def partial(batches: Iterator[pa.RecordBatch]):
@@ -146,10 +146,10 @@ def train_networks(samples: DataFrame, seeds: list[int], train: str = "train", i
 
     def moments(about: np.ndarray, power: int):
         def work(b: pa.RecordBatch) -> dict[int, np.ndarray]:
-            both = np.hstack([_vectors(b.column(0), n_in), _vectors(b.column(1), n_out)])
-            return {j: np.append(((both[at] - about[j]) ** power).sum(0), len(at)) for j, at in _masks(b.column(2), wanted).items()}
+            both = np.hstack([vectors(b.column(0), n_in), vectors(b.column(1), n_out)])
+            return {j: np.append(((both[at] - about[j]) ** power).sum(0), len(at)) for j, at in masks(b.column(2), wanted).items()}
 
-        return _added(stored.drop("step"), parts, n_jobs, n_in + n_out + 1, work)
+        return added(stored.drop("step"), parts, n_jobs, n_in + n_out + 1, work)
 
     first = moments(np.zeros((n_jobs, n_in + n_out)), 1)
     counts = np.maximum(first[:, -1:], 1)
@@ -169,13 +169,13 @@ def train_networks(samples: DataFrame, seeds: list[int], train: str = "train", i
 
             def work(b: pa.RecordBatch, now=now) -> dict[int, np.ndarray]:
                 flat, scale = now.value
-                x, y, out = _vectors(b.column(0), n_in), _vectors(b.column(1), n_out), {}
-                for j, at in _masks(b.column(2), wanted).items():
+                x, y, out = vectors(b.column(0), n_in), vectors(b.column(1), n_out), {}
+                for j, at in masks(b.column(2), wanted).items():
                     mx, sx, my, sy = np.split(scale[j], np.cumsum([n_in, n_in, n_out]))
                     out[j] = np.append(net.gradient(flat[j], (x[at] - mx) / sx, (y[at] - my) / sy), len(at))
                 return out
 
-            sums = _added(stored.where(F.col("step") == step).drop("step"), parts, n_jobs, params.shape[1] + 1, work)
+            sums = added(stored.where(F.col("step") == step).drop("step"), parts, n_jobs, params.shape[1] + 1, work)
             now.unpersist()
             here = sums[:, -1] > 0
             g = sums[:, :-1] / np.maximum(sums[:, -1:] * n_out, 1)
@@ -197,8 +197,8 @@ def window_errors(samples: DataFrame, trained: Trained, scale: list[float], test
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = _vectors(b.column(0), model.net.n_in), _vectors(b.column(1), model.net.n_out)
-            for j, at in _masks(b.column(2), model.known).items():
+            x, y = vectors(b.column(0), model.net.n_in), vectors(b.column(1), model.net.n_out)
+            for j, at in masks(b.column(2), model.known).items():
                 err = model.predict(j, x[at]) - y[at]
                 figures = [(err**2).mean(1), np.abs(err).mean(1), ((err / sd) ** 2).mean(1)]
                 yield pa.RecordBatch.from_arrays([*[c.take(pa.array(at)) for c in b.columns[3:]], pa.array(np.full(len(at), j), pa.int32()), *[pa.array(f) for f in figures]], [*keep, "job", "mse", "mae", "normalized_mse"])

@@ -12,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinetrail.functions.columns import clip, mean_of, numeric_columns, safe_ratio, sample_places
-from kinetrail.operators import causal, curation, labels, models, neighbours, quality, ranking, scoring, signals, training
+from kinetrail.functions.columns import clip, mean_of, numeric_columns, require_columns, safe_ratio, sample_places
+from kinetrail.operators import causal, curation, effects, labels, models, neighbours, quality, ranking, scoring, signals, training
 from kinetrail.operators import timeseries as T
 from kinetrail.sources.store import StageStore, scratch
 
@@ -236,9 +236,16 @@ def _visual_joint(frames, matches, aligned, most: int = 80):
     return quality.visual_joint_information(both, KEYS, "camera", "brightness", "motion").withColumnRenamed("C17", "C17_visual_joint_mi")
 
 
-def bc_samples(store: StageStore, cfg: Config = Config()) -> None:
-    """aligned -> bc_samples: windows of all state channels (x) and the action at their end (y)."""
-    aligned = store.read("aligned", [*KEYS, "stream", "dim", "k", "v"]).where(F.col("stream").rlike("_(state|action)$"))
+def bc_samples(store: StageStore, cfg: Config = Config(), mode: str = "arm_effector") -> None:
+    """aligned -> bc_samples: windows of the state channels (x) and the action at their end (y).
+
+    ``mode``: "arm_effector" takes the channels of both groups, so a trajectory that lacks one has no windows; "arm_only"
+    the arm's. Frames beyond the shortest group's end miss a value and are in no window.
+    """
+    if mode not in ("arm_only", "arm_effector"):
+        raise ValueError("mode is 'arm_only' or 'arm_effector'")
+    groups = "arm" if mode == "arm_only" else "arm|effector"
+    aligned = store.read("aligned", [*KEYS, "stream", "dim", "k", "v"]).where(F.col("stream").rlike(f"^({groups})_(state|action)$"))
     named = aligned.withColumn("name", F.concat_ws("_", "stream", "dim"))
     names = [r[0] for r in named.select("name").distinct().orderBy("name").collect()]  # the channels
     wide = named.groupBy(*KEYS, "k").pivot("name", names).agg(F.first("v", True))
@@ -341,24 +348,65 @@ def fold_labels(store: StageStore, cfg: Config = Config()) -> None:
     store.write("label_summary", labels.label_summary(found, "scene_id"))
 
 
-def causal_effects(store: StageStore, covariates: list[str], outcomes: list[str], sources: list[str], quantiles: tuple[float, ...] = (0.5, 0.6), cfg: Config = Config()) -> None:
-    """curation_scores -> causal_effects, causal_balance: one matching a treatment, shared by all outcomes."""
-    df = causal.treatments(store.read("curation_scores", ["global_id", "scene_id", *covariates, *outcomes, *sources]), sources, list(quantiles))
-    effects, balances = [], []
-    for t in (f"t_{s}_q{round(q * 100)}" for s in sources for q in quantiles):
-        arms = {r[t]: r["count"] for r in df.groupBy(t).count().collect()}
-        if min(arms.get(0, 0), arms.get(1, 0)) == 0 or sum(arms.values()) < cfg.min_rows:
-            continue
-        use = [c for c in covariates if not t.startswith(f"t_{c}_")]
-        pairs = causal.match_pairs(models.propensity(df, use, t), "scene_id", "global_id", t)
-        pairs = store.write(f"causal_pairs_{t}", pairs)
-        effects.append(causal.effects(causal.pair_outcomes(pairs, df, "global_id", outcomes), ["outcome"]).withColumn("treatment", F.lit(t)))
-        matched = df.join(pairs.select(F.explode(F.array("treated_id", "control_id")).alias("global_id")), "global_id", "left_semi")
-        after = causal.balance(matched, use, t).withColumnRenamed("smd", "smd_after")
-        balances.append(causal.balance(df, use, t).withColumnRenamed("smd", "smd_before").join(after, "covariate", "left").withColumn("treatment", F.lit(t)))
-    if effects:
-        store.write("causal_effects", curation.stack(effects))
-        store.write("causal_balance", curation.stack(balances))
-
-
-__all__ = ["Config", "align", "bc_samples", "causal_effects", "curate", "effector", "evaluate", "features", "fold_labels", "indicators", "label", "score", "value"]
+#: Quality columns whose scene means go into the value model, and those that only do if they vary.
+VALUE_FEATURES = ["n_trajectories", "Q_score_mean", "Q_completeness_mean", "Q_accuracy_mean", "Q_diversity_mean", "Q_consistency_mean"]
+
+
+def meta_value(store: StageStore, alpha: float = 1.0) -> None:
+    """quality_scores, delta_summary -> scene_quality, value_correlations, value_loocv, value_metrics, value_predictions, trajectory_value.
+
+    Scenes' quality profiles against their measured values: correlations with p-values, a ridge model scored by leaving one
+    scene out, and its fit on all measured scenes, which predicts every scene with a profile. Trajectories of scenes
+    without a measured value get the predicted one, and ``value_source`` says which it is. Features that are constant
+    over the measured scenes, or missing in some, are left out.
+    """
+    q = store.read("quality_scores", [*KEYS, "Q_score"])
+    names = [c for c in numeric_columns(q, prefix="Q_")]
+    profile = store.write("scene_quality", curation.group_profile(q, ["scene_id"], names))
+    measured = profile.join(store.read("delta_summary", ["scene_id", "delta_score_mean"]), "scene_id")
+    measured = scratch(measured, "value-model")
+    candidates = ["n_trajectories", *[f"{c}_{k}" for c in names for k in ("mean", "std", "min", "max")]]
+    verdicts = {r["feature"]: r["verdict"] for r in scoring.low_variance(measured.select(*[F.col(c).cast("double").alias(c) for c in candidates]), candidates, dominant=2.0).collect()}  # one row a feature
+    varied = [c for c in candidates if verdicts[c] == "keep"]
+    n = measured.count()
+    if varied:
+        found = scoring.correlations(measured, varied, "delta_score_mean")
+        p = [scoring.student_p(c, "n").alias(f"{c}_p") for c in ("pearson", "spearman")]
+        store.write("value_correlations", found.select("feature", "n", "pearson", p[0], "spearman", p[1], F.abs("pearson").alias("abs_pearson"), F.abs("spearman").alias("abs_spearman")))
+    use = [c for c in VALUE_FEATURES if c in varied]
+    empirical = measured.select("scene_id", F.col("delta_score_mean").alias("delta"))
+    predictions = None
+    if use and n > 1:
+        loo = models.ridge_folds(measured.select("scene_id", "delta_score_mean", *use), use, "delta_score_mean", "scene_id", alpha)
+        loo = store.write("value_loocv", loo.select("scene_id", F.col("delta_score_mean").alias("delta_score_true"), F.col("pred").alias("delta_score_pred"), F.abs(F.col("pred") - F.col("delta_score_mean")).alias("abs_error")))
+        store.write("value_metrics", scoring.regression_metrics(loo, [], "delta_score_true", "delta_score_pred").withColumns({"model": F.lit("Ridge_LOOCV"), "alpha": F.lit(float(alpha))}))
+        beta, b0 = models.ridge_from_gram(*models.gram(measured, [*use, "delta_score_mean"]), alpha)
+        predictions = profile.select("scene_id", sum((F.col(c) * float(b) for c, b in zip(use, beta)), F.lit(float(b0))).alias("pred"))
+        predictions = store.write("value_predictions", predictions.join(empirical, "scene_id", "left"))
+    store.write("trajectory_value", curation.trajectory_values(q.select(*KEYS), empirical, "scene_id", predictions))
+
+
+def causal_effects(
+    store: StageStore, covariates: list[str], outcomes: list[str] | dict[str, int], sources: list[str], quantiles: tuple[float, ...] = (0.5, 0.6), cfg: Config = Config(), groups: dict[str, list[str] | None] | None = None
+) -> None:
+    """curation_scores, and trajectory_labels where they exist -> causal_cells, causal_pairs, causal_effects, causal_balance, causal_robustness.
+
+    Every treatment (a source at or over a quantile) in every group of scenes ("all" and those of ``groups``) on every
+    outcome; ``outcomes`` may name the direction that is better (1 or -1). Cells that can't be estimated are in
+    causal_cells with the reason.
+    """
+    df = store.read("curation_scores", ["global_id", "scene_id", *sources])
+    found = store.read("trajectory_labels", optional=True)
+    if found is not None:
+        df = df.join(found.drop(*[c for c in found.columns if c in df.columns and c != "global_id"]), "global_id", "left")
+    df = scratch(causal.treatments(require_columns(df, [*covariates, *outcomes]), sources, list(quantiles)), "causal-scores")
+    names = {f"t_{s}_q{round(q * 100)}": s for s in sources for q in quantiles}
+    signs = outcomes if isinstance(outcomes, dict) else dict.fromkeys(outcomes, 1)
+    made = effects.estimate(df, "global_id", "scene_id", names, covariates, signs, {"all": None, **(groups or {})}, cfg.min_rows)
+    store.write("causal_cells", made.cells)
+    store.write("causal_pairs", made.pairs)
+    store.write("causal_robustness", effects.robustness(store.write("causal_effects", made.effects)))
+    store.write("causal_balance", made.balance)
+
+
+__all__ = ["Config", "align", "bc_samples", "causal_effects", "curate", "effector", "evaluate", "features", "fold_labels", "indicators", "label", "meta_value", "score", "value"]

@@ -53,6 +53,41 @@ class StageStore:
     def append(self, name: str, df: DataFrame) -> None:
         df.write.mode("append").parquet(self.path(name))
 
+    # --- appends that are all there or not there ---
+
+    def _files(self):
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        at = lambda path: jvm.org.apache.hadoop.fs.Path(path)
+        return at(self.base).getFileSystem(conf), at
+
+    def commit(self, name: str, df: DataFrame, key: str | None = None) -> bool:
+        """Add rows to a log of commits; False if a commit of this ``key`` is published already (nothing is written then).
+
+        Rows are written to a folder of their own first and published by an empty marker file that names it, made in one
+        step. Readers only see published folders, so a writer that dies in between leaves nothing behind that counts, and
+        a job that is run again under its key never counts twice.
+        """
+        key = key or uuid.uuid4().hex
+        if not re.fullmatch(r"[\w.=-]+", key):
+            raise ValueError("a key is made of letters, digits, '_', '.', '=' and '-'")
+        fs, at = self._files()
+        marker = at(f"{self.path(name)}.log/{key}")
+        if fs.exists(marker):
+            return False
+        df.write.mode("overwrite").parquet(f"{self.path(name)}.commits/{key}")  # what a dead writer of this key left is replaced
+        fs.create(marker, False).close()
+        return True
+
+    def committed(self, name: str, required: list[str] | None = None) -> DataFrame | None:
+        """The rows of all published commits; None if there are none."""
+        fs, at = self._files()
+        log = at(f"{self.path(name)}.log")
+        if not fs.exists(log):
+            return None
+        keys = sorted(f.getPath().getName() for f in fs.listStatus(log))
+        paths = [f"{self.path(name)}.commits/{k}" for k in keys if not k.startswith((".", "_"))]
+        return require_columns(self.spark.read.option("mergeSchema", True).parquet(*paths), required or []) if paths else None
+
     def read(self, name: str, required: list[str] | None = None, optional: bool = False) -> DataFrame | None:
         """The table; a missing one raises, or is None if ``optional``. Missing columns raise."""
         try:

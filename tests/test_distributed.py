@@ -251,3 +251,111 @@ def test_evaluation_summary(spark):
     got = {(r["strategy"], r["ratio"]): r for r in curation.evaluation_summary(m).collect()}
     assert got["high", 0.5]["relative_to_random_nmse_mean"] == 0.5 and got["high", 0.5]["relative_to_full_nmse_mean"] == pytest.approx(-0.25)
     assert got["high", 0.25]["relative_to_random_nmse_mean"] is None and got["random", 0.5]["n_runs"] == 2 and got["random", 0.5]["test_nmse_std"] == pytest.approx(2**0.5)
+
+
+# --- Effects of many cells ---
+
+
+def test_effects_of_all_cells_equal_single_runs(spark):
+    from kinetrail.operators import causal, effects
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(400):
+        a, b = float(rng.normal()), None if i % 13 == 0 else float(rng.normal())
+        q = a + (b or 0) / 2 + float(rng.normal())
+        rows.append((f"g{i:04d}", f"S{i % 4}", a, b, q, int(q > 0.2), int(a > 1e9), 2.0 * q + a + float(rng.normal()), -q))
+    df = spark.createDataFrame(rows, "gid string, scene string, a double, b double, q double, t1 int, t2 int, y double, z double").repartition(6)
+    found = effects.estimate(df, "gid", "scene", {"t1": "q", "t2": "a"}, ["a", "b", "q"], {"y": 1, "z": -1}, {"all": None, "some": ["S0", "S1"], "none": ["S9"]}, n_boot=50)
+    told = {(r["treatment"], r["heterogeneity_group"]): r for r in found.cells.collect()}
+    assert told["t1", "all"]["status"] == "ok" and told["t1", "all"]["confounders"] == ["a", "b"] and told["t2", "all"]["status"] == "one_arm" and told["t1", "none"]["status"] == "too_few_rows"
+    pairs = {}
+    for r in found.pairs.collect():
+        pairs.setdefault((r["treatment"], r["heterogeneity_group"]), []).append(r)
+    assert set(pairs) == {("t1", "all"), ("t1", "some")}
+    for group, scenes in (("all", None), ("some", ["S0", "S1"])):
+        own = df if scenes is None else df.where(F.col("scene").isin(*scenes))
+        p = models.propensity(own, ["a", "b"], "t1")
+        want = matching.closest_pairs(p, "scene", "gid", "t1").collect()
+        got = pairs["t1", group]
+        assert sorted((r["treated_id"], r["control_id"]) for r in got) == sorted((r["treated_id"], r["control_id"]) for r in want)
+        y = {r["gid"]: (r["y"], r["z"]) for r in own.collect()}
+        for k, (outcome, sign) in enumerate((("y", 1), ("z", -1))):
+            effect = found.effects.where((F.col("heterogeneity_group") == group) & (F.col("outcome") == outcome)).first()
+            att = np.mean([y[r["treated_id"]][k] - y[r["control_id"]][k] for r in want])
+            assert math.isclose(effect["att_raw"], att) and math.isclose(effect["att_beneficial_direction"], sign * att) and effect["n_treated_matched"] == len(want)
+            assert effect["ci95_lo_beneficial"] <= effect["att_beneficial_direction"] <= effect["ci95_hi_beneficial"]
+        before = {r["covariate"]: r["smd"] for r in causal.balance(own, ["a", "b"], "t1").collect()}
+        ids = {x for r in want for x in (r["treated_id"], r["control_id"])}
+        after = {r["covariate"]: r["smd"] for r in causal.balance(own.where(F.col("gid").isin(*ids)), ["a", "b"], "t1").collect()}
+        for r in found.balance.where(F.col("heterogeneity_group") == group).collect():
+            assert math.isclose(r["smd_before"], before[r["covariate"]], rel_tol=1e-9) and math.isclose(r["smd_after"], after[r["covariate"]], rel_tol=1e-9)
+    assert effects.robustness(found.effects).count() == 4
+
+
+# --- Quantiles by group, p-values ---
+
+
+def test_group_quantiles_with_a_hot_group(spark):
+    from kinetrail.operators.order import group_quantiles
+
+    rng = np.random.default_rng(9)
+    values = {"hot": np.round(rng.normal(size=4000), 2), "tied": np.repeat(3.0, 1500), "long": rng.exponential(size=1200) ** 4, **{f"g{i}": rng.normal(size=rng.integers(1, 6)) for i in range(300)}}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [("empty", None), (None, 1.0), (None, 2.0), ("hot", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    wanted = [0.0, 0.1, 0.333, 0.5, 0.9, 1.0]
+    for most in (100, 10**6):
+        got = {r["g"]: r["quantiles"] for r in group_quantiles(df, ["g"], "v", wanted, most=most, parts=8, accuracy=50 if most == 100 else 10_000).collect()}
+        assert got["empty"] is None and np.allclose(got[None], np.quantile([1.0, 2.0], wanted)) and len(got) == len(values) + 2
+        for g, vs in values.items():
+            assert np.allclose(got[g], np.quantile(vs, wanted)), g
+    assert group_quantiles(df.limit(0), ["g"], "v", wanted).count() == 0
+
+
+def test_student_p(spark):
+    from kinetrail.operators.scoring import student_p
+
+    rows = [(0.5, 10), (-0.5, 10), (0.0, 7), (1.0, 5), (0.99, 3), (0.3, 400), (0.2, 2), (None, 9)]
+    got = [r["p"] for r in spark.createDataFrame(rows, "r double, n int").select(student_p("r", "n").alias("p")).collect()]
+
+    def tail(r, n):  # the t density, added up
+        k, t = n - 2, abs(r) * math.sqrt((n - 2) / (1 - r * r))
+        # x = sqrt(k) tan(a): the integral over a of cos(a) ** (k - 1)
+        a = np.linspace(math.atan(t / math.sqrt(k)), math.pi / 2, 400_001)
+        f = np.cos(a) ** (k - 1)
+        whole = math.sqrt(math.pi) * math.gamma(k / 2) / math.gamma((k + 1) / 2) if k < 300 else math.sqrt(math.pi) * math.exp(math.lgamma(k / 2) - math.lgamma((k + 1) / 2))
+        return 2 * float(((f[1:] + f[:-1]) / 2 * np.diff(a)).sum()) / whole
+
+    for i, (r, n) in enumerate(rows[:6]):
+        assert math.isclose(got[i], 0.0 if r == 1.0 else tail(r, n), rel_tol=1e-6, abs_tol=1e-12), (r, n)
+    assert got[6] is None and got[7] is None
+
+
+# --- Commits ---
+
+
+def test_commits_survive_a_dead_writer(spark, tmp_path, monkeypatch):
+    from kinetrail.sources.store import StageStore
+
+    store = StageStore(spark, str(tmp_path))
+    assert store.committed("runs") is None
+    assert store.commit("runs", spark.range(3), "job=1") and not store.commit("runs", spark.range(3), "job=1")
+    dead = StageStore(spark, str(tmp_path))
+
+    class Dies:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            if name == "create":
+                raise KeyboardInterrupt
+            return getattr(self.fs, name)
+
+    whole = dead._files()
+    monkeypatch.setattr(dead, "_files", lambda: (Dies(whole[0]), whole[1]))
+    with pytest.raises(KeyboardInterrupt):
+        dead.commit("runs", spark.range(5), "job=2")  # rows are written, nothing is published
+    assert store.committed("runs").count() == 3
+    assert store.commit("runs", spark.range(4).withColumn("more", F.lit(1)), "job=2") and store.committed("runs", ["id", "more"]).count() == 7
+    with pytest.raises(ValueError):
+        store.commit("runs", spark.range(1), "../x")
