@@ -61,6 +61,8 @@ _WIDE = re.compile("[^\x00-\xff]")
 class WordTokenizer:
     """Ids of a tokenizers file whose tokens never span white space, with a bounded cache of encoded words."""
 
+    most_words, most_stems = CACHE_WORDS, CACHE_STEMS
+
     def __init__(self, path: str):
         import os
 
@@ -77,9 +79,9 @@ class WordTokenizer:
 
     def _age(self) -> None:
         """Full caches become the old generation; what is still in use comes back from it, the rest goes with the next."""
-        if len(self.cache) > CACHE_WORDS:
+        if len(self.cache) > self.most_words:
             self.cache, self.old_cache = {}, self.cache
-        if len(self.stems) > CACHE_STEMS:
+        if len(self.stems) > self.most_stems:
             self.stems, self.old_stems = {}, self.stems
 
     def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
@@ -147,20 +149,21 @@ class WordTokenizer:
 _loaded: dict[str, WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, remembered: float = 1.0) -> WordTokenizer:
     if path not in _loaded:
         _loaded[path] = WordTokenizer(path)
+    _loaded[path].most_words, _loaded[path].most_stems = int(CACHE_WORDS * remembered), int(CACHE_STEMS * remembered)
     return _loaded[path]
 
 
-def tokenise(docs: DataFrame, path: str, id_col: str, text_col: str, source_col: str, end: int) -> DataFrame:
+def tokenise(docs: DataFrame, path: str, id_col: str, text_col: str, source_col: str, end: int, remembered: float = 1.0) -> DataFrame:
     """doc_id, source, part, before (tokens of the same source earlier in the task), n, ids (binary)."""
     rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"), quoted(source_col).cast("string").alias("source"))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        enc, part, total = tokenizer(path), TaskContext.get().partitionId(), {}
+        enc, part, total = tokenizer(path, remembered), TaskContext.get().partitionId(), {}
         width = int(enc.kind[-1])
-        for batch, texts in blocks(batches, chars=BLOCK_CHARS):
+        for batch, texts in blocks(batches, chars=max(1, int(BLOCK_CHARS * remembered))):
             ids = enc.encode(texts, end)
             before, counts = [], [len(x) // width for x in ids]
             for source, n in zip(batch.column(2).to_pylist(), counts):
@@ -288,17 +291,20 @@ def pack(
     end: int = END_ID,
     max_queues: int = MAX_QUEUES,
     power: float = 1.0,
+    remembered: float = 1.0,
 ) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     ``targets``: wanted shares of tokens by source (any scale; unlisted sources keep the weight of their size
     relative to the smallest listed weight). Without it, a source's share of a window goes with its tokens to the
     ``power``: at 1 every window mirrors the corpus, below it small sources are drawn up until they run dry.
+    ``remembered``: below 1 a worker remembers fewer words and tokenises smaller blocks, for executors whose memory
+    other stages fill; it costs time and changes no result.
     """
     targets = targets or {}
     if any(w <= 0 for w in targets.values()):
         raise ValueError("targets are above 0")
-    tokens = stage(tokenise(docs, path, id_col, text_col, source_col, end), "tokens")
+    tokens = stage(tokenise(docs, path, id_col, text_col, source_col, end, remembered), "tokens")
     chunks = stage(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), "token-totals")
     sources = chunks.groupBy("source").agg(F.sum("n").alias("n"))
     whole = sources.agg(F.sum("n")).first()[0] or 0
@@ -344,7 +350,7 @@ def pack(
         placed = placed.where("queue is not null").select("*", *none).union(rare.select("doc_id", "source", "queue", "start", "n", "ids", "index", "totals", "weights"))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        kind = tokenizer(path).kind
+        kind = tokenizer(path, remembered).kind
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 yield cut(batch.slice(i, 1000), mix, kind)

@@ -273,3 +273,11 @@ def test_pipeline_stages_on_odd_documents(spark, odd_docs, odd_rows):
         docs = cp.stage(step(spark, docs, ""), "odd")
         assert name == "packing" or docs.columns == odd_docs.columns
     assert cp.stage(names["packing"](spark, odd_docs, ""), "odd").count() >= len(odd_rows)
+
+
+def test_packing_with_a_small_memory_gives_the_same_pieces(spark, odd_docs):
+    from kinetrail.llm.packing import pack
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = lambda **how: sorted(map(str, pack(odd_docs, path, **how).collect()))
+    assert rows() == rows(remembered=0.001)
