@@ -8,6 +8,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,6 +93,19 @@ def sheet_name(x: str | Column) -> Column:
     return F.left(F.trim(F.regexp_replace(c(x), r"[\\/*?:\[\]]", "_")), F.lit(31))
 
 
+def unique_sheet_names(df: DataFrame, column: str, order: str, into: str = "sheet") -> DataFrame:
+    """Legal worksheet names without repeats: from the second row of a name on (in ``order``) it ends in _1, _2, ... within 31 characters."""
+    name = df.withColumn(into, sheet_name(column))
+    again = F.row_number().over(W.partitionBy(into).orderBy(order)) - 1
+    tail = F.concat(F.lit("_"), F.col("_again").cast("string"))
+    return name.withColumn("_again", again).withColumn(into, F.when(F.col("_again") == 0, F.col(into)).otherwise(F.concat(F.left(F.col(into), 31 - F.length(tail)), tail))).drop("_again")
+
+
+def text_of(content: str | Column) -> Column:
+    """Bytes as text; NULL where they are no UTF-8."""
+    return F.try_validate_utf8(c(content).cast("string"))
+
+
 def global_id(scene: str | Column, trajectory: str | Column) -> Column:
     return F.concat(c(scene), F.lit("_"), c(trajectory))
 

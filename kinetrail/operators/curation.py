@@ -180,19 +180,20 @@ def pending(grid: DataFrame, done: DataFrame) -> DataFrame:
 def proxy_runs(df: DataFrame, strategies: list[str], ratios: list[float], n_seeds: int) -> DataFrame:
     """A cheap metric of each selection: the mean accuracy of every seed's share of the rows picked by score.
 
-    Seeds deal rows by id modulo the number of seeds.
+    Seeds deal rows by id modulo the number of seeds. Both orders are placed slice by slice, once for all ratios.
     """
-    from pyspark.sql import Window as W
+    from kinetrail.operators.ranking import half_even, placed
 
-    out = []
+    rows = placed(df, "scene_id", [F.desc("Q_score"), F.asc("global_id")]).withColumnRenamed("_place", "_high")
+    if any(s == "low" for s in strategies):
+        rows = running(rows, ["scene_id"], [F.asc("Q_score"), F.asc("global_id")]).withColumnRenamed("_place", "_low")
+    picks = []
     for s in strategies:
         for r in [1.0] if s == "full" else ratios:
-            w = W.partitionBy("scene_id").orderBy(F.asc("Q_score") if s == "low" else F.desc("Q_score"), "global_id")
-            ranked = df.withColumns({"_r": F.row_number().over(w), "_n": F.count("*").over(W.partitionBy("scene_id"))})
-            picked = ranked.where(F.col("_r") <= F.greatest(F.lit(1).cast("long"), F.bround(F.col("_n") * F.lit(r), 0).cast("long")))
-            runs = picked.groupBy((F.col("global_id") % n_seeds).alias("run_seed")).agg(F.avg("Q_accuracy").alias("metric"))
-            out.append(runs.select(F.lit(s).alias("strategy"), F.lit(float(r)).alias("ratio"), "run_seed", "metric"))
-    return stack(out)
+            most = F.greatest(F.lit(1).cast("long"), half_even(F.col("_n") * F.lit(float(r))))
+            picks.append(F.when(F.col("_low" if s == "low" else "_high") <= most, F.struct(F.lit(s).alias("strategy"), F.lit(float(r)).alias("ratio"))))
+    picked = rows.select("global_id", "Q_accuracy", F.explode(F.array_compact(F.array(*picks))).alias("job"))
+    return picked.groupBy("job.strategy", "job.ratio", (F.col("global_id") % n_seeds).alias("run_seed")).agg(F.avg("Q_accuracy").alias("metric"))
 
 
 def evaluation_summary(metrics: DataFrame) -> DataFrame:

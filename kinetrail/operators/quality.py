@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinetrail.functions.columns import clip, mean_of, quantile, safe_corr, safe_ratio, share_present
-from kinetrail.operators import models
+from kinetrail.operators import models, neighbours
 from kinetrail.operators import scoring as S
 from kinetrail.operators import timeseries as T
 from kinetrail.sources.store import scratch
@@ -64,9 +63,11 @@ def joint_indicators(df: DataFrame, by: list[str], order: str, dim: str, value:
         F.when(F.count("*") >= 4, 1 - F.avg(F.when(F.col("s1").isNotNull(), (odd[0] | odd[1] | odd[2]).cast("double")))).alias("C8"),
         F.when(F.count("*") < 4, None).when(e <= 1e-12, F.lit(1.0)).otherwise(1 - e2 / F.nullif(e2 + e, F.lit(0.0))).alias("C10"),
     )
-    # channels pair up within a sample; a pair's correlation is one aggregate
-    x, y = (df.select(*by, order, F.col(dim).alias(d), F.col(value).alias(n)) for d, n in (("_p", "_x"), ("_q", "_y")))
-    pairs = x.join(y, [*by, order]).where("_p < _q").groupBy(*by, "_p", "_q").agg(F.when(F.count("*") >= 3, F.abs(safe_corr("_x", "_y"))).alias("r"))
+    # a sample's channels pair up within its row; a pair's correlation is one aggregate, added up before it moves
+    cells = F.sort_array(F.collect_list(F.struct(F.col(dim).alias("d"), F.col(value).cast("double").alias("v"))))
+    frames = df.groupBy(*by, order).agg(cells.alias("_f"))
+    both = F.flatten(F.transform("_f", lambda p, i: F.transform(F.slice("_f", i + 2, F.size("_f")), lambda q: F.struct(p["d"].alias("_p"), q["d"].alias("_q"), p["v"].alias("_x"), q["v"].alias("_y")))))
+    pairs = frames.select(*by, F.inline(both)).groupBy(*by, "_p", "_q").agg(F.when(F.count("*") >= 3, F.abs(safe_corr("_x", "_y"))).alias("r"))
     return found.join(pairs.groupBy(*by).agg(F.avg("r").alias("C18")), by, "left")
 
 
@@ -131,41 +132,13 @@ def mode_rarity(df: DataFrame, columns: list[str], id_col: str, seed: int) -> Da
 
 
 def uniqueness(df: DataFrame, id_col: str, vector: str, block: int = 2000) -> DataFrame:
-    """C19: distance to the nearest other row, of z-scored vectors (ddof 1, constant: divisor 1), over the largest one.
+    """C19: distance to the nearest other row, of z-scored vectors (ddof 1, constant: divisor 1), over the largest one; 0 without another row.
 
-    Every row meets all others in blocks: rows are dealt to ceil(n / block) blocks, and each pair of blocks is one
-    group of at most about 2 blocks of rows, compared as matrices. Only each row's least distance leaves the group.
+    Exact, by the pivot index of :mod:`neighbours`; ``block`` bounds its tiles.
     """
-    dims, n = df.agg(F.max(F.size(vector)), F.count("*")).first()
-    if not n:
-        return df.select(F.col(id_col).cast("long").alias(id_col), F.lit(None).cast("double").alias("uniqueness"))
-    stats = df.agg(*[f(F.col(vector)[i].cast("double")).alias(f"{k}{i}") for i in range(dims) for k, f in (("a", F.avg), ("s", F.stddev_samp))]).first()
-    mean = [float(stats[f"a{i}"] or 0.0) for i in range(dims)]
-    scale = [float(s) if (s := stats[f"s{i}"]) and s > 1e-12 else 1.0 for i in range(dims)]
-    blocks = max(1, -(-n // block))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("own"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = rows.select("id", "v", "own", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"))
-
-    def nearest(table: pa.Table) -> pa.Table:
-        ids, own = table.column("id").to_numpy(), table.column("own").to_numpy()
-        x = (np.array(table.column("v").to_pylist(), float).reshape(len(ids), -1) - mean) / scale
-        best = np.full(len(ids), np.inf)
-        t, u = table.column("t")[0].as_py(), table.column("u")[0].as_py()
-        left, right = np.flatnonzero(own == t), np.flatnonzero(own == u)
-        for part in np.array_split(left, max(1, len(left) // 256)):
-            d = np.sqrt(np.maximum(((x[part][:, None, :] - x[right][None, :, :]) ** 2).sum(2), 0)) if len(part) and len(right) else np.empty((len(part), len(right)))
-            d[ids[part][:, None] == ids[right][None, :]] = np.inf
-            if d.size:
-                best[part] = np.minimum(best[part], d.min(1))
-                best[right] = np.minimum(best[right], d.min(0))
-        return pa.table({"id": ids, "d": best})
-
-    near = rows.groupBy("t", "u").applyInArrow(nearest, "id long, d double").groupBy("id").agg(F.min("d").alias("d"))
-    near = near.withColumn("d", F.when(F.col("d") < float("inf"), F.col("d")))
-    top = near.agg(F.max("d").alias("top"))
-    unique = F.when(F.coalesce(F.col("top"), F.lit(0.0)) <= 1e-12, F.lit(0.0)).otherwise(F.coalesce("d", F.lit(0.0)) / F.nullif(F.col("top"), F.lit(0.0)))
-    return S.beside(near, top).select(F.col("id").alias(id_col), unique.alias("uniqueness"))
+    if not df.limit(1).count():
+        return df.select(F.col(id_col), F.lit(None).cast("double").alias("uniqueness"))
+    return neighbours.uniqueness(df, id_col, vector, block)
 
 
 def visual_joint_information(frames: DataFrame, by: list[str], camera: str, brightness: str, motion: str, bins: int = 5, least: int = 5) -> DataFrame:

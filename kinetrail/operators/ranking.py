@@ -10,8 +10,15 @@ from kinetrail.operators.order import running
 
 
 def hash_order(id_col: str, seed: int) -> Column:
-    """A random-looking but fixed order of ids."""
-    return F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
+    """A random-looking but fixed order of ids: by the MD5 of id and seed."""
+    return F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
+
+
+def placed(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """``df`` with ``_place`` (from 1 within the group) and ``_n`` (its rows), slice by slice: no task holds a group."""
+    rows = running(df, [group], order)
+    sizes = rows.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_n"))
+    return rows.join(sizes, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def half_even(x: Column) -> Column:
@@ -27,9 +34,8 @@ def top_n(df: DataFrame, score: str, id_col: str, n: int, largest: bool = True)
 
 def top_share_per_group(df: DataFrame, group: str, score: str, id_col: str, ratio: float) -> DataFrame:
     """Of each group max(1, round(n ratio)) best rows; rounding half to even."""
-    w = W.partitionBy(group)
-    ranked = df.withColumns({"_r": F.row_number().over(w.orderBy(F.desc_nulls_last(score), id_col)), "_n": F.count("*").over(w)})
-    return ranked.where(F.col("_r") <= F.greatest(F.lit(1).cast("long"), half_even(F.col("_n") * F.lit(ratio)))).drop("_r", "_n")
+    ranked = placed(df, group, [F.desc_nulls_last(score), F.asc(id_col)])
+    return ranked.where(F.col("_place") <= F.greatest(F.lit(1).cast("long"), half_even(F.col("_n") * F.lit(ratio)))).drop("_place", "_n")
 
 
 def random_n(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
@@ -39,19 +45,17 @@ def random_n(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
 def split_train(df: DataFrame, group: str, id_col: str, share: float, seed: int | None = None) -> DataFrame:
     """``split``: the first floor(n share) of each group train, the rest val; a group of one trains."""
     order = [hash_order(id_col, seed)] if seed is not None else []
-    w = W.partitionBy(group)
-    df = df.withColumns({"_r": F.row_number().over(w.orderBy(*order, id_col)), "_n": F.count("*").over(w)})
+    df = placed(df, group, [*order, F.col(id_col)])
     most = F.when(F.col("_n") == 1, F.lit(1).cast("long")).otherwise(F.least(F.greatest(F.floor(F.col("_n") * F.lit(share)), F.lit(1).cast("long")), F.col("_n") - 1))
-    return df.withColumn("split", F.when(F.col("_r") <= most, "train").otherwise("val")).drop("_r", "_n")
+    return df.withColumn("split", F.when(F.col("_place") <= most, "train").otherwise("val")).drop("_place", "_n")
 
 
 def split_test_pool(df: DataFrame, group: str, id_col: str, share: float, seed: int | None = None) -> DataFrame:
     """``split``: max(1, round(n share)) of each group test, the rest pool."""
     order = [hash_order(id_col, seed)] if seed is not None else []
-    w = W.partitionBy(group)
-    df = df.withColumns({"_r": F.row_number().over(w.orderBy(*order, id_col)), "_n": F.count("*").over(w)})
+    df = placed(df, group, [*order, F.col(id_col)])
     n_test = F.greatest(F.lit(1).cast("long"), half_even(F.col("_n") * F.lit(share)))
-    return df.withColumn("split", F.when(F.col("_r") <= n_test, "test").otherwise("pool")).drop("_r", "_n")
+    return df.withColumn("split", F.when(F.col("_place") <= n_test, "test").otherwise("pool")).drop("_place", "_n")
 
 
 def k_folds(df: DataFrame, group: str | None, id_col: str, k: int, seed: int | None = None) -> DataFrame:
@@ -61,13 +65,13 @@ def k_folds(df: DataFrame, group: str | None, id_col: str, k: int, seed: int | N
     """
     order = [hash_order(id_col, seed)] if seed is not None else []
     if group:
-        return df.withColumn("fold", F.ntile(k).over(W.partitionBy(group).orderBy(*order, id_col)) - 1)
-    rows = running(df, [], [*order, F.col(id_col)])
-    n = df.count()
-    size, more = divmod(n, k)
-    at, wide = F.col("_place") - 1, (size + 1) * more
-    fold = F.when(at < wide, F.floor(at / F.lit(size + 1))).otherwise(more + F.floor((at - wide) / F.lit(max(1, size))))
-    return rows.withColumn("fold", fold.cast("int")).drop("_place")
+        rows = placed(df, group, [*order, F.col(id_col)])
+    else:
+        rows = running(df, [], [*order, F.col(id_col)]).withColumn("_n", F.lit(df.count()))
+    size, more, at = F.floor(F.col("_n") / k), F.col("_n") % k, F.col("_place") - 1
+    wide = (size + 1) * more
+    fold = F.when(at < wide, F.floor(at / (size + 1))).otherwise(more + F.floor((at - wide) / F.greatest(size, F.lit(1))))
+    return rows.withColumn("fold", fold.cast("int")).drop("_place", "_n")
 
 
 def cumulative_mean(df: DataFrame, value: str, id_col: str, ascending: bool, by: list[str] | None = None) -> DataFrame:
@@ -94,10 +98,9 @@ def random_curve(df: DataFrame, value: str, id_col: str, ratios: list[float], re
 
 def curation_curve(df: DataFrame, score: str, value: str, id_col: str, ratios: list[float], by: str) -> DataFrame:
     """(by, ratio, n, mean, stderr) of ``value`` over the best ceil(ratio N) rows of each group."""
-    w = W.partitionBy(by)
-    ranked = df.withColumns({"_r": F.row_number().over(w.orderBy(F.desc(score), id_col)), "_n": F.count("*").over(w)})
+    ranked = placed(df, by, [F.desc(score), F.asc(id_col)])
     ranked = ranked.withColumn("ratio", F.explode(F.array(*[F.lit(float(r)) for r in ratios])))
-    head = ranked.where(F.col("_r") <= F.greatest(F.lit(1).cast("long"), F.ceil(F.col("ratio") * F.col("_n"))))
+    head = ranked.where(F.col("_place") <= F.greatest(F.lit(1).cast("long"), F.ceil(F.col("ratio") * F.col("_n"))))
     return head.groupBy(by, "ratio").agg(F.count("*").alias("n"), F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count("*"))).alias("stderr"))
 
 

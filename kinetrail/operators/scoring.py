@@ -215,6 +215,20 @@ def regression_metrics(df: DataFrame, by: list[str], y: str, p: str) -> DataFram
     )
 
 
+def prediction_metrics(df: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
+    """:func:`regression_metrics` and the rank correlation of prediction and target, per group; rows that miss either don't count."""
+    rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).withColumns({"_y": F.col(y).cast("double"), "_p": F.col(p).cast("double")})
+    ranked = average_rank(average_rank(rows, "_y", by, "_ry"), "_p", by, "_rp")
+    rho = ranked.groupBy(*by).agg(safe_corr("_ry", "_rp").alias("spearman"))
+    return per_group(regression_metrics(rows, by, "_y", "_p"), rho, by)
+
+
+def fold_summary(metrics: DataFrame, by: list[str], fold: str, columns: list[str]) -> DataFrame:
+    """Metrics of folds -> by ``by``: folds, and each metric's mean and deviation (ddof 1; NULL for one fold); a metric that is NULL in a fold doesn't count."""
+    figures = [f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    return metrics.groupBy(*by).agg(F.countDistinct(fold).alias("n_folds"), *figures)
+
+
 def channel_coordination(df: DataFrame, by: list[str], channels: list[str]) -> DataFrame:
     """Mean |Pearson| over pairs of channels; pairs with a constant channel don't count."""
     pairs = [(a, b) for i, a in enumerate(channels) for b in channels[i + 1 :]]

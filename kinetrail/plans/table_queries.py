@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -10,12 +12,16 @@ from pyspark.sql import functions as F
 from kinetrail.functions import columns as C
 from kinetrail.operators import causal, models
 from kinetrail.operators import curation as U
+from kinetrail.operators import effects as E
 from kinetrail.operators import labels as L
+from kinetrail.operators import matching as M
 from kinetrail.operators import quality as Q
 from kinetrail.operators import ranking as R
 from kinetrail.operators import reports as V
 from kinetrail.operators import scoring as S
+from kinetrail.operators import signals as G
 from kinetrail.operators import timeseries as T
+from kinetrail.operators.order import group_quantiles as group_quantiles_of
 from kinetrail.sources.store import scratch
 from kinetrail.plans.motion_queries import BY, E_SQL, ORDER, events, rounded, table
 
@@ -461,7 +467,7 @@ def feature_importance(spark, sf_dir):
 def _matched(spark, sf_dir):
     df = causal.treatments(U.customer_scores(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")), ["Q_score"], [0.6])
     p = models.propensity(df, ["Q_consistency", "delta"], "t_Q_score_q60")
-    return df, causal.match_pairs(p, "scene_id", "global_id", "t_Q_score_q60")
+    return df, M.closest_pairs(p, "scene_id", "global_id", "t_Q_score_q60")
 
 
 def propensity_matches(spark, sf_dir):
@@ -470,7 +476,82 @@ def propensity_matches(spark, sf_dir):
 
 def matched_effects(spark, sf_dir):
     df, pairs = _matched(spark, sf_dir)
-    return causal.effects(causal.pair_outcomes(pairs, df, "global_id", ["Q_accuracy", "Q_consistency"]), ["outcome"])
+    return M.bootstrap_effects(causal.pair_outcomes(pairs, df, "global_id", ["Q_accuracy", "Q_consistency"]), ["outcome"])
+
+
+def effect_cells(spark, sf_dir):
+    """Three treatments, all scenes and two groups of them, and two outcomes, one of which is better when lower."""
+    scores = U.customer_scores(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")).withColumn("size", (F.col("global_id") % 17).cast("double"))
+    df = scratch(causal.treatments(scores, ["Q_score", "Q_consistency"], [0.5, 0.6]), "effect-rows")
+    treated = {f"t_{c}_q{q}": c for c, q in (("Q_score", 50), ("Q_score", 60), ("Q_consistency", 50))}
+    groups = {"all": None, "goods": ["AUTOMOBILE", "MACHINERY", "FURNITURE"], "homes": ["BUILDING", "HOUSEHOLD"]}
+    return E.estimate(df, "global_id", "scene_id", treated, ["Q_consistency", "delta", "size"], {"Q_accuracy": 1, "Q_score": -1}, groups).effects
+
+
+def bootstrap_intervals(spark, sf_dir):
+    """Mean distance of order prices from a target, with Poisson bootstrap intervals, by priority."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", (F.col("o_totalprice").cast("double") - 150000).alias("diff"))
+    return rounded(M.bootstrap_effects(rows, ["o_orderpriority"], "o_orderkey", "diff", n_boot=100), 4)
+
+
+def group_quantiles(spark, sf_dir):
+    """Exact quantiles of prices by return flag and line status; groups of over 2,000 values go by brackets."""
+    found = group_quantiles_of(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.1, 0.5, 0.95], most=2000)
+    return rounded(found.select("l_returnflag", "l_linestatus", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("q10", "q50", "q95"))]), 4)
+
+
+def vector_event_signals(spark, sf_dir):
+    """Event signals of four channels a supplier, with gaps; the largest figures of each of its orders are a frame."""
+    values = [("l_quantity", 50), ("l_discount", 0.1), ("l_tax", 0.1), ("l_extendedprice", 100000)]
+    frames = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.col("l_orderkey").alias("k")).agg(*[F.max(F.col(c).cast("double")).alias(c) for c, _ in values])
+    cells = F.array(*[F.struct(F.lit(i).alias("dim"), F.when((F.col("k") + i) % 13 != 0, F.col(c) / w).alias("v")) for i, (c, w) in enumerate(values)])
+    rows = frames.select("l_suppkey", "k", F.inline(cells))
+    return rounded(G.vector_signals(rows, ["l_suppkey"], "k", "dim", "v"))
+
+
+SELECTION_JOBS = [("full", 1.0, 0), ("random", 0.3, 5), ("high_Q_global", 0.2, 0), ("high_Q_global", 0.5, 0), ("low_Q_score", 0.2, 0), ("high_Q_stratified", 0.2, 0), ("high_delta", 0.5, 0)]
+
+
+def selection_grid(spark, sf_dir):
+    """Selections of seven jobs, marked on the pool in one plan."""
+    pool = _pool(spark, sf_dir).select("global_id", "scene_id", F.col("score").alias("Q_score"), (F.col("global_id") % 97).cast("double").alias("delta"))
+    return U.mark_selections(pool, SELECTION_JOBS).select("global_id", F.inline("picks"))
+
+
+def evaluation_summary(spark, sf_dir):
+    """Runs by priority and size class stand for a grid's metrics."""
+    o = table(spark, sf_dir, "orders")
+    strategy = F.when(F.col("o_orderkey") % 4 == 0, "random").when(F.col("o_orderkey") % 4 == 1, "full").otherwise(F.lower(F.substring("o_orderpriority", 3, 20)))
+    runs = o.withColumns({"strategy": strategy, "ratio": F.when(strategy == "full", 1.0).otherwise(F.round((F.col("o_orderkey") % 3 + 1) / 4.0, 4)), "run_seed": F.col("o_custkey") % 5})
+    runs = runs.groupBy("strategy", "ratio", "run_seed").agg((F.avg("o_totalprice").cast("double") / 100000).alias("test_nmse"))
+    return rounded(U.evaluation_summary(runs.withColumn("test_imitation_score", F.exp(-F.col("test_nmse")))))
+
+
+def prediction_metrics(spark, sf_dir):
+    """Errors, fit and rank correlation of a crude prediction with many ties, by priority."""
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_totalprice").cast("double").alias("y"), (F.col("o_custkey") % 50 * 6000.0).alias("p"))
+    return rounded(S.prediction_metrics(rows, ["o_orderpriority"], "y", "p"), 4)
+
+
+def cv_summary(spark, sf_dir):
+    """A mean predictor's errors, summed up over folds."""
+    rows = table(spark, sf_dir, "orders").select("o_orderstatus", F.col("o_orderpriority").alias("fold"), F.col("o_totalprice").cast("double").alias("y"))
+    metrics = S.regression_metrics(models.mean_baseline(rows, "y", "fold"), ["o_orderstatus", "fold"], "y", "pred")
+    return rounded(S.fold_summary(metrics, ["o_orderstatus"], "fold", ["mae", "rmse", "r2"]), 4)
+
+
+def seeded_splits(spark, sf_dir):
+    """Test split, training split and folds of one pool in seeded random order."""
+    pool = _pool(spark, sf_dir).select("global_id", "scene_id")
+    test = R.split_test_pool(pool, "scene_id", "global_id", 0.2, 42).withColumnRenamed("split", "test_split")
+    train = R.split_train(test, "scene_id", "global_id", 0.8, 7).withColumnRenamed("split", "train_split")
+    return R.k_folds(train, "scene_id", "global_id", 5, 3).select("global_id", "test_split", "train_split", "fold")
+
+
+def workbook_sheets(spark, sf_dir):
+    """Sheet names of pages by the first 20 characters of their address, repeats told apart."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.substring("url", 1, 20).alias("u"))
+    return C.unique_sheet_names(rows, "u", "page_id").select("page_id", "sheet")
 
 
 def _vectors(spark, sf_dir, k: int = 64):
@@ -493,7 +574,7 @@ def bc_job_grid(spark, sf_dir):
     windows = T.sliding_windows(rows, BY, ORDER, ["value"], ["value"], 5, 2).join(rows.select("user_id").distinct(), "user_id")
     scene = F.concat(F.lit("S"), F.col("user_id") % 4 + 1)
     samples = windows.select(F.concat_ws("_", scene, "user_id", "i").alias("sample_id"), scene.alias("scene_id"), "x", "y", (F.xxhash64("user_id") % 5 == 0).alias("is_val"))
-    return U.scene_values(samples, ["S1", "S2", "S3", "S4"], seeds=[0])
+    return U.scene_values(samples, ["S1", "S2", "S3", "S4"], seeds=[0, 1, 2])
 
 
 QUERIES = {
@@ -505,12 +586,14 @@ QUERIES = {
         split_train_val, split_test_pool, k_folds, curation_curve, min_ratio, cumulative_value, pending_jobs, curation_summary, rank_desc, boxplot, radar_extremes,
         robustness_rollup, treatments, balance_smd, balance_brief, trajectory_errors, label_summary, dual_scores, value_with_labels, group_value_summary, random_baseline, folds_of_all, cumulative_of_all, scatter_points,
         ordered_messages, depth_features, confounder_choice, feature_importance, ridge_loocv, propensity_matches, matched_effects, pca_robustness, motion_modes, bc_job_grid,
+        effect_cells, bootstrap_intervals, group_quantiles, vector_event_signals, selection_grid, evaluation_summary, prediction_metrics, cv_summary, seeded_splits, workbook_sheets,
     )
 }
 
 _AUTO_SQL = "a AS (SELECT doc_id, CASE WHEN n_chars >= 100 THEN 1 ELSE 0 END AS auto_label FROM documents)"
 _ERRORS_SQL = """e AS (SELECT l_orderkey AS global_id, min(l_orderkey % 5) AS scene_id, avg(CAST(l_discount AS DOUBLE)) AS mse, avg(CAST(l_tax AS DOUBLE)) AS mae,
     avg(CAST(l_quantity AS DOUBLE) / 50) AS nmse, count(*) AS n_bc_windows FROM lineitem GROUP BY l_orderkey)"""
+_POISSON = str([sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)])
 _POOL_SQL = "p AS (SELECT c_custkey AS global_id, c_mktsegment AS scene_id, c_acctbal AS score FROM customer)"
 _CURVE_SQL = f"""{_POOL_SQL}, r AS (SELECT *, score * (global_id % 7) AS value, row_number() OVER (PARTITION BY scene_id ORDER BY score DESC, global_id) AS rn, count(*) OVER (PARTITION BY scene_id) AS cnt FROM p),
     x AS (SELECT *, CAST(unnest([0.1, 0.3, 0.5, 1.0]) AS DOUBLE) AS ratio FROM r), c AS (SELECT scene_id, ratio, count(*) AS n, avg(value) AS mean, stddev_samp(value) / sqrt(count(*)) AS stderr
@@ -588,6 +671,49 @@ ORACLE_SQL = {
     "unit_scale": "SELECT s_suppkey, round(s_acctbal, 6) AS s_acctbal, round((s_acctbal - min(s_acctbal) OVER ()) / (max(s_acctbal) OVER () - min(s_acctbal) OVER ()), 6) AS scaled FROM supplier",
     "value_tiers": """WITH v AS (SELECT c_nationkey, round(avg(c_acctbal), 9) AS value FROM customer GROUP BY c_nationkey), q AS (SELECT quantile_cont(value, CAST(1.0 / 3 AS DOUBLE)) AS a, quantile_cont(value, CAST(2.0 / 3 AS DOUBLE)) AS b FROM v)
         SELECT c_nationkey, CASE WHEN value >= b THEN 'high' WHEN value >= a THEN 'mid' ELSE 'low' END AS tier FROM v, q""",
+    "select_random": f"WITH {_POOL_SQL} SELECT global_id FROM p ORDER BY md5(global_id || '|7'), global_id LIMIT 100",
+    "bootstrap_intervals": f"""WITH d AS (SELECT o_orderpriority, o_orderkey, CAST(o_totalprice AS DOUBLE) - 150000 AS diff FROM orders), x AS (SELECT *, unnest(range(100)) AS rep FROM d),
+        w AS (SELECT o_orderpriority, rep, diff, len(list_filter({_POISSON}, lambda c: CAST('0x' || left(md5('42|' || rep || '|' || o_orderkey), 8) AS BIGINT) / 4294967296.0 >= c)) AS w FROM x),
+        m AS (SELECT o_orderpriority, rep, sum(w * diff) / sum(w) AS m FROM w GROUP BY ALL), q AS (SELECT o_orderpriority, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM m GROUP BY 1)
+        SELECT o_orderpriority, round(avg(diff), 4) AS att, count(*) AS n_pairs, round(any_value(ci_low), 4) AS ci_low, round(any_value(ci_high), 4) AS ci_high FROM d JOIN q USING (o_orderpriority) GROUP BY 1""",
+    "group_quantiles": """SELECT l_returnflag, l_linestatus, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.1), 4) AS q10, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.5), 4) AS q50,
+        round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.95), 4) AS q95 FROM lineitem GROUP BY 1, 2""",
+    "vector_event_signals": """WITH r AS (SELECT l_suppkey AS g, l_orderkey AS k, l_orderkey AS o, [max(CAST(l_quantity AS DOUBLE)) / 50, max(CAST(l_discount AS DOUBLE)) / CAST(0.1 AS DOUBLE), max(CAST(l_tax AS DOUBLE)) / CAST(0.1 AS DOUBLE), max(CAST(l_extendedprice AS DOUBLE)) / 100000] AS vs FROM lineitem GROUP BY ALL),
+        u AS (SELECT g, k, o, unnest(range(4)) AS dim, unnest(vs) AS x FROM r), v AS (SELECT g, k, dim, CASE WHEN (o + dim) % 13 <> 0 THEN x END AS v FROM u),
+        w AS (SELECT *, row_number() OVER (c ORDER BY k) AS i, row_number() OVER (c ORDER BY k DESC) AS j, count(*) OVER c AS n, abs(v - lag(v) OVER (c ORDER BY k)) AS step FROM v WINDOW c AS (PARTITION BY g, dim)),
+        m AS (SELECT *, least(n, greatest(10, floor(n * CAST(0.1 AS DOUBLE)))) AS m FROM w),
+        p AS (SELECT g, dim, max(n) AS n, avg(v) FILTER (i <= m) AS head, avg(v) FILTER (j <= m) AS tail, stddev_pop(v) FILTER (j <= m) AS spread, count(v) AS vals, quantile_cont(v, 0.5) AS mid, max(v) - min(v) AS range FROM m GROUP BY ALL),
+        a AS (SELECT g, max(n) AS n_frames, avg(abs(tail - head)) AS change_l1, avg(spread) AS final_stability, 1 - sum(vals) / sum(n) AS nan_ratio, coalesce(avg(range), 0) AS range_l1 FROM p GROUP BY g),
+        f AS (SELECT g, k, avg(abs(v - coalesce(head, mid))) AS off, avg(step) AS step, min(i) AS i FROM m JOIN p USING (g, dim) GROUP BY g, k),
+        s AS (SELECT *, CASE WHEN i = 1 AND off IS NOT NULL THEN 0 ELSE step END AS speed FROM f), q AS (SELECT g, max(off) AS peak, quantile_cont(speed, 0.4) AS calm FROM s GROUP BY g),
+        h AS (SELECT s.*, peak, coalesce(peak > 1e-8 AND off >= CAST(0.6 AS DOUBLE) * peak, false) AS moved, coalesce(peak > 1e-8 AND off >= CAST(0.6 AS DOUBLE) * peak AND speed <= coalesce(calm, 0), false) AS held FROM s JOIN q USING (g)),
+        z AS (SELECT *, sum(CASE WHEN held THEN 0 ELSE 1 END) OVER (PARTITION BY g ORDER BY k) AS isl FROM h), l AS (SELECT g, max(c) AS stable_len FROM (SELECT g, isl, count(*) FILTER (held) AS c FROM z GROUP BY ALL) GROUP BY g),
+        e AS (SELECT g, max(CASE WHEN peak > 1e-8 THEN peak ELSE 0 END) AS peak, avg(CAST(moved AS DOUBLE)) FILTER (off IS NOT NULL) AS active FROM h GROUP BY g)
+        SELECT g AS l_suppkey, n_frames, round(change_l1, 6) AS change_l1, round(final_stability, 6) AS final_stability, round(nan_ratio, 6) AS nan_ratio, round(range_l1, 6) AS range_l1, round(peak, 6) AS peak_offset_l1,
+        round(active, 6) AS active_ratio, stable_len, round(stable_len * CAST(0.01 AS DOUBLE), 6) AS stable_s FROM a JOIN e USING (g) JOIN l USING (g)""",
+    "selection_grid": f"""WITH {_POOL_SQL}, b AS (SELECT global_id, scene_id, score AS q, CAST(global_id % 97 AS DOUBLE) AS d FROM p),
+        r AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY global_id) AS f, row_number() OVER (ORDER BY md5(global_id || '|5'), global_id) AS rnd, row_number() OVER (ORDER BY q DESC, global_id) AS hi, row_number() OVER (ORDER BY q, global_id) AS lo,
+            row_number() OVER (PARTITION BY scene_id ORDER BY q DESC, global_id) AS st, count(*) OVER (PARTITION BY scene_id) AS sn, row_number() OVER (ORDER BY d DESC, global_id) AS hd FROM b),
+        j AS (SELECT global_id, unnest([0, 1, 2, 3, 4, 5, 6]) AS job, unnest([f, rnd, hi, hi, lo, st, hd]) AS selected_rank, unnest([1.0, NULL, q, q, q, q, d]::DOUBLE[]) AS selection_score,
+            unnest([n, round_even(n * CAST(0.3 AS DOUBLE), 0), round_even(n * CAST(0.2 AS DOUBLE), 0), round_even(n * CAST(0.5 AS DOUBLE), 0), round_even(n * CAST(0.2 AS DOUBLE), 0), round_even(sn * CAST(0.2 AS DOUBLE), 0), round_even(n * CAST(0.5 AS DOUBLE), 0)]) AS most FROM r)
+        SELECT global_id, job, selected_rank, selection_score FROM j WHERE selected_rank <= greatest(1, most)""",
+    "evaluation_summary": """WITH o AS (SELECT *, CASE o_orderkey % 4 WHEN 0 THEN 'random' WHEN 1 THEN 'full' ELSE lower(substr(o_orderpriority, 3, 20)) END AS strategy FROM orders),
+        m AS (SELECT strategy, CASE WHEN strategy = 'full' THEN 1.0 ELSE round((o_orderkey % 3 + 1) / 4.0, 4) END::DOUBLE AS ratio, o_custkey % 5 AS run_seed, avg(CAST(o_totalprice AS DOUBLE)) / 100000 AS e FROM o GROUP BY ALL),
+        r AS (SELECT ratio, avg(e) AS rnd FROM m WHERE strategy = 'random' GROUP BY ratio), f AS (SELECT avg(e) AS whole FROM m WHERE strategy = 'full' AND ratio = 1)
+        SELECT strategy, ratio, count(*) AS n_runs, round(avg(e), 6) AS test_nmse_mean, round(stddev_samp(e), 6) AS test_nmse_std, round(avg(exp(-e)), 6) AS test_imitation_score_mean, round(stddev_samp(exp(-e)), 6) AS test_imitation_score_std,
+            round(avg((rnd - e) / rnd), 6) AS relative_to_random_nmse_mean, round(avg((whole - e) / whole), 6) AS relative_to_full_nmse_mean FROM m LEFT JOIN r USING (ratio), f GROUP BY strategy, ratio""",
+    "prediction_metrics": """WITH r AS (SELECT o_orderpriority, CAST(o_totalprice AS DOUBLE) AS y, o_custkey % 50 * 6000.0::DOUBLE AS p FROM orders),
+        k AS (SELECT *, rank() OVER (PARTITION BY o_orderpriority ORDER BY y) + (count(*) OVER (PARTITION BY o_orderpriority, y) - 1) / 2.0 AS ry, rank() OVER (PARTITION BY o_orderpriority ORDER BY p) + (count(*) OVER (PARTITION BY o_orderpriority, p) - 1) / 2.0 AS rp FROM r)
+        SELECT o_orderpriority, count(*) AS n, round(avg(abs(p - y)), 4) AS mae, round(sqrt(avg((p - y) * (p - y))), 4) AS rmse, round(1 - avg((p - y) * (p - y)) / var_pop(y), 4) AS r2, round(corr(y, p), 4) AS pearson, round(corr(ry, rp), 4) AS spearman FROM k GROUP BY 1""",
+    "cv_summary": """WITH o AS (SELECT o_orderstatus, o_orderpriority AS fold, CAST(o_totalprice AS DOUBLE) AS y FROM orders), s AS (SELECT fold, sum(y) AS s, count(y) AS n FROM o GROUP BY fold), t AS (SELECT sum(s) AS ts, sum(n) AS tn FROM s),
+        p AS (SELECT fold, (ts - s) / (tn - n) AS pred FROM s, t), e AS (SELECT o_orderstatus, fold, avg(abs(pred - y)) AS mae, sqrt(avg((pred - y) * (pred - y))) AS rmse, 1 - avg((pred - y) * (pred - y)) / CASE WHEN var_pop(y) > 1e-12 THEN var_pop(y) END AS r2 FROM o JOIN p USING (fold) GROUP BY ALL)
+        SELECT o_orderstatus, count(DISTINCT fold) AS n_folds, round(avg(mae), 4) AS mae_mean, round(stddev_samp(mae), 4) AS mae_std, round(avg(rmse), 4) AS rmse_mean, round(stddev_samp(rmse), 4) AS rmse_std, round(avg(r2), 4) AS r2_mean, round(stddev_samp(r2), 4) AS r2_std FROM e GROUP BY 1""",
+    "seeded_splits": f"""WITH {_POOL_SQL}, r AS (SELECT global_id, count(*) OVER (PARTITION BY scene_id) AS n, row_number() OVER (PARTITION BY scene_id ORDER BY md5(global_id || '|42'), global_id) AS a,
+        row_number() OVER (PARTITION BY scene_id ORDER BY md5(global_id || '|7'), global_id) AS b, CAST(ntile(5) OVER (PARTITION BY scene_id ORDER BY md5(global_id || '|3'), global_id) - 1 AS INT) AS fold FROM p)
+        SELECT global_id, CASE WHEN a <= greatest(1, round_even(n * CAST(0.2 AS DOUBLE), 0)) THEN 'test' ELSE 'pool' END AS test_split,
+        CASE WHEN b <= CASE WHEN n = 1 THEN 1 ELSE least(greatest(floor(n * CAST(0.8 AS DOUBLE)), 1), n - 1) END THEN 'train' ELSE 'val' END AS train_split, fold FROM r""",
+    "workbook_sheets": r"""WITH p AS (SELECT page_id, left(trim(regexp_replace(substr(url, 1, 20), '[\\/*?:\[\]]', '_', 'g')), 31) AS s FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY page_id) - 1 AS k FROM p)
+        SELECT page_id, CASE WHEN k = 0 THEN s ELSE left(s, CAST(31 - length('_' || k) AS INT)) || '_' || k END AS sheet FROM r""",
     "duplicate_uniqueness": """WITH u AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings), s AS (SELECT i, avg(x) AS a, stddev_samp(x) AS s FROM u GROUP BY i),
         z AS (SELECT vec_id, list((x - a) / CASE WHEN s > 1e-12 THEN s ELSE 1 END ORDER BY i) AS v FROM u JOIN s USING (i) GROUP BY vec_id),
         d AS (SELECT a.vec_id, min(list_distance(a.v, b.v)) AS d FROM z a JOIN z b ON a.vec_id <> b.vec_id GROUP BY a.vec_id) SELECT vec_id, round(d / max(d) OVER (), 5) AS uniqueness FROM d""",

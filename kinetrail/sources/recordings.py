@@ -48,9 +48,10 @@ def manifest(files: DataFrame, scene: str, task: str, object_id: str | None = No
 def archive_members(spark: SparkSession, base: str, suffix: str = ".h5") -> DataFrame:
     """(archive, member, content, error) of the regular files in all archives below ``base`` whose names end so.
 
-    Members' names lose empty, ``.`` and ``..`` parts. An unreadable archive is one row with its error.
+    Members' names lose empty, ``.`` and ``..`` parts. An unreadable archive, or one over ``MAX_BYTES``, is one row with its error.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).where(is_archive("path")).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).where(is_archive("path"))
+    raw = files.where(F.col("length") <= MAX_BYTES).select("path", "content")  # the length is known before a file is read
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -64,7 +65,9 @@ def archive_members(spark: SparkSession, base: str, suffix: str = ".h5") -> Data
                 except (tarfile.TarError, OSError, EOFError) as e:
                     yield pd.DataFrame([(path, None, None, str(e))], columns=["archive", "member", "content", "error"])
 
-    return raw.mapInPandas(expand, "archive string, member string, content binary, error string")
+    none = F.lit(None)
+    large = files.where(F.col("length") > MAX_BYTES).select(F.col("path").alias("archive"), none.cast("string").alias("member"), none.cast("binary").alias("content"), F.lit(f"over {MAX_BYTES} bytes").alias("error"))
+    return raw.mapInPandas(expand, "archive string, member string, content binary, error string").union(large)
 
 
 def parse_metadata(df: DataFrame, column: str = "metadata") -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinetrail.functions.columns import require_columns
 
@@ -110,6 +111,14 @@ class StageStore:
         found = [(n, df is not None, len(df.columns) if df is not None else None) for n in names for df in [self.read(n, optional=True)]]
         return self.spark.createDataFrame(found, "name string, found boolean, n_columns int")
 
+    def trajectory_info(self, name: str, keys: list[str]) -> DataFrame:
+        """(keys, n_frames) of a table of frames."""
+        return self.read(name, keys).groupBy(*keys).agg(F.count("*").alias("n_frames"))
+
+    def import_csv(self, name: str, schema: str) -> DataFrame:
+        """A CSV export read back under a schema; columns are matched by header, empty cells are NULL."""
+        return self.spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(self.path(name))
+
     def export_csv(self, name: str, df: DataFrame) -> None:
         df.write.mode("overwrite").option("header", True).csv(self.path(name))
 

@@ -160,3 +160,13 @@ def test_streams_equal_batch(spark, tmp_path):
     want = {r["user_id"]: r["longest"] for r in T.longest_run(batch, ["user_id"], ["ts"], "low").collect()}
     assert {r["user_id"]: r["longest"] for r in last.collect()} == want
     assert run(motion.sessions(stream(), ["user_id"], "ts", "2 hours"), "complete", "s").agg(F.sum("n")).first()[0] == batch.count()
+
+
+@pytest.mark.parametrize("name", sorted(set(OWN) - set(SQL)))
+def test_query_without_twin_runs_in_time(spark, name):
+    """Queries that SQL can't express still run over whole tables, within a time limit."""
+    import time
+
+    began = time.time()
+    rows = OWN[name](spark, SF).collect()
+    assert rows and time.time() - began < 120
