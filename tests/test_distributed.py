@@ -359,3 +359,48 @@ def test_commits_survive_a_dead_writer(spark, tmp_path, monkeypatch):
     assert store.commit("runs", spark.range(4).withColumn("more", F.lit(1)), "job=2") and store.committed("runs", ["id", "more"]).count() == 7
     with pytest.raises(ValueError):
         store.commit("runs", spark.range(1), "../x")
+
+
+# --- Small helpers ---
+
+
+def test_store_info_csv_and_text(spark, tmp_path):
+    from kinetrail.functions.columns import text_of, unique_sheet_names
+    from kinetrail.sources.store import StageStore
+
+    store = StageStore(spark, str(tmp_path))
+    rows = [("a", "t1", 1.5), ("a", "t1", None), ("b", "t2", 2.0)]
+    df = spark.createDataFrame(rows, "scene_id string, trajectory_id string, v double")
+    store.write("frames", df)
+    assert {(r["trajectory_id"], r["n_frames"]) for r in store.trajectory_info("frames", ["scene_id", "trajectory_id"]).collect()} == {("t1", 2), ("t2", 1)}
+    store.export_csv("frames_csv", df)
+    back = store.import_csv("frames_csv", "scene_id string, trajectory_id string, v double").collect()
+    assert sorted(map(str, back)) == sorted(map(str, df.collect()))
+    texts = spark.createDataFrame([(b"ok \xc3\xa9",), (b"\xff\xfe",), (None,)], "b binary").select(text_of("b").alias("t")).collect()
+    assert [r["t"] for r in texts] == ["ok é", None, None]
+    names = spark.createDataFrame([(i, "x" * 40 if i < 12 else "a/b") for i in range(14)], "i int, n string")
+    got = [r["sheet"] for r in unique_sheet_names(names, "n", "i").orderBy("i").collect()]
+    assert got[0] == "x" * 31 and got[1] == "x" * 29 + "_1" and got[11] == "x" * 28 + "_11" and got[12:] == ["a_b", "a_b_1"] and len(set(got)) == 14
+
+
+def test_archives_over_the_limit_are_rows(spark, tmp_path, monkeypatch):
+    from kinetrail.sources import recordings
+
+    monkeypatch.setattr(recordings, "MAX_BYTES", 10)
+    (tmp_path / "large.tar").write_bytes(b"x" * 50)
+    (tmp_path / "small.tar").write_bytes(b"x" * 5)
+    got = {r["archive"].rsplit("/", 1)[1]: r["error"] for r in recordings.archive_members(spark, str(tmp_path)).collect()}
+    assert got["large.tar"] == "over 10 bytes" and got["small.tar"] and got["small.tar"] != "over 10 bytes"
+
+
+def test_prediction_metrics_and_fold_summary(spark):
+    from kinetrail.operators.scoring import fold_summary, prediction_metrics
+
+    rng = np.random.default_rng(1)
+    y, p = rng.normal(size=50), np.round(rng.normal(size=50), 1)
+    df = spark.createDataFrame([("a", float(a), float(b)) for a, b in zip(y, p)] + [("a", None, 1.0), ("b", 1.0, 2.0)], "g string, y double, p double")
+    got = {r["g"]: r for r in prediction_metrics(df, ["g"], "y", "p").collect()}
+    assert got["a"]["n"] == 50 and math.isclose(got["a"]["spearman"], np.corrcoef(ranks(y), ranks(p))[0, 1]) and got["b"]["spearman"] is None and got["b"]["r2"] is None
+    folds = spark.createDataFrame([("m", 0, 1.0), ("m", 1, 3.0), ("k", 0, None)], "m string, fold int, mae double")
+    got = {r["m"]: r for r in fold_summary(folds, ["m"], "fold", ["mae"]).collect()}
+    assert got["m"]["mae_mean"] == 2.0 and math.isclose(got["m"]["mae_std"], 2**0.5) and got["k"]["mae_mean"] is None
