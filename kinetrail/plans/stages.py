@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinetrail.functions.columns import clip, mean_of, numeric_columns, require_columns, safe_ratio, sample_places
-from kinetrail.operators import causal, curation, effects, labels, models, neighbours, quality, ranking, scoring, signals, training
+from kinetrail.operators import causal, curation, effects, labels, models, neighbours, quality, ranking, scoring, signals, training, validation
 from kinetrail.operators import timeseries as T
 from kinetrail.sources.store import StageStore, scratch
 
@@ -386,6 +386,57 @@ def meta_value(store: StageStore, alpha: float = 1.0) -> None:
     store.write("trajectory_value", curation.trajectory_values(q.select(*KEYS), empirical, "scene_id", predictions))
 
 
+def modeling_table(store: StageStore, target: str = "trajectory_normalized_mse") -> None:
+    """trajectory_labels, feature_matrix, quality_scores, trajectory_value -> modeling_table, modeling_check, modeling_features.
+
+    Labelled trajectories with all features, by left joins on the trajectory: nothing fans out, as every side is unique.
+    modeling_features lists the nested sets: A trajectory features, B and quality, C and value.
+    """
+    base = store.read("trajectory_labels", ["global_id", "scene_id", target])
+    gid = F.concat_ws("_", *KEYS).alias("global_id")
+    sides = {"A": store.read("feature_matrix", KEYS), "B": store.read("quality_scores", KEYS), "C": store.read("trajectory_value", [*KEYS, "delta"]).select(*KEYS, "delta")}
+    table, sets = base, {}
+    for name, side in sides.items():
+        sets[name] = [c for c in numeric_columns(side) if c not in [*KEYS, *table.columns]]
+        table = table.join(side.select(gid, *sets[name]).dropDuplicates(["global_id"]), "global_id", "left")
+    table = store.write("modeling_table", table)
+    every = [c for cols in sets.values() for c in cols]
+    gaps = [F.count_if(F.col(c).isNull()) > 0 for c in every]
+    check = curation.integrity(table, "global_id", [target])
+    with_gaps = table.agg(sum((g.cast("int") for g in gaps), F.lit(0)).alias("n_feature_cols_with_na")).withColumn("n_feature_cols", F.lit(len(every)))
+    store.write("modeling_check", scoring.beside(check, with_gaps))
+    nested = [(config, c) for i, config in enumerate("ABC") for name in "ABC"[: i + 1] for c in sets[name]]
+    store.write("modeling_features", store.spark.createDataFrame(nested, "config string, feature string"))
+
+
+def regression(store: StageStore, cfg: Config = Config(), target: str = "trajectory_normalized_mse", alpha: float = 1.0) -> None:
+    """modeling_table, modeling_features -> regression_predictions, regression_folds, regression_dropped, regression_summary, regression_importance.
+
+    Ridge with every feature set under two protocols, random folds and leaving one scene out; and importances of the fit on all rows.
+    """
+    table = store.read("modeling_table", ["global_id", "scene_id", target])
+    table = scratch(ranking.k_folds(table, None, "global_id", cfg.folds, 42).withColumn("random_kfold", F.col("fold").cast("string")).drop("fold").withColumn("leave_one_scene", F.col("scene_id").cast("string")), "regression-rows")
+    sets: dict[str, list[str]] = {}
+    for r in store.read("modeling_features").orderBy("config", "feature").collect():  # one row a feature and set
+        sets.setdefault(r["config"], []).append(r["feature"])
+    predictions, folds, dropped, importances = [], [], [], []
+    for config, features in sets.items():
+        named = {"config": F.lit(config), "model": F.lit("ridge")}
+        for protocol in ("random_kfold", "leave_one_scene"):
+            found = validation.cross_validate(table, ["global_id"], features, target, protocol, alpha)
+            for frame, into in zip(found, (predictions, folds, dropped)):
+                into.append(frame.withColumns({"protocol": F.lit(protocol), **named}))
+        judged = scoring.low_variance(table.select(*[F.col(c).cast("double").alias(c) for c in features]), features)
+        keep = sorted(r["feature"] for r in judged.where("verdict = 'keep'").collect())
+        if keep:
+            importances.append(models.importance(models.impute_median(table, keep, 0.0), keep, target, alpha).withColumns(named))
+    store.write("regression_predictions", curation.stack(predictions))
+    store.write("regression_dropped", curation.stack(dropped))
+    store.write("regression_summary", validation.cv_summary(store.write("regression_folds", curation.stack(folds)), ["protocol", "config", "model"]))
+    if importances:
+        store.write("regression_importance", curation.stack(importances))
+
+
 def causal_effects(
     store: StageStore, covariates: list[str], outcomes: list[str] | dict[str, int], sources: list[str], quantiles: tuple[float, ...] = (0.5, 0.6), cfg: Config = Config(), groups: dict[str, list[str] | None] | None = None
 ) -> None:
@@ -409,4 +460,4 @@ def causal_effects(
     store.write("causal_balance", made.balance)
 
 
-__all__ = ["Config", "align", "bc_samples", "causal_effects", "curate", "effector", "evaluate", "features", "fold_labels", "indicators", "label", "meta_value", "score", "value"]
+__all__ = ["Config", "align", "bc_samples", "causal_effects", "curate", "effector", "evaluate", "features", "fold_labels", "indicators", "label", "meta_value", "modeling_table", "regression", "score", "value"]

@@ -404,3 +404,44 @@ def test_prediction_metrics_and_fold_summary(spark):
     folds = spark.createDataFrame([("m", 0, 1.0), ("m", 1, 3.0), ("k", 0, None)], "m string, fold int, mae double")
     got = {r["m"]: r for r in fold_summary(folds, ["m"], "fold", ["mae"]).collect()}
     assert got["m"]["mae_mean"] == 2.0 and math.isclose(got["m"]["mae_std"], 2**0.5) and got["k"]["mae_mean"] is None
+
+
+# --- Cross-validation ---
+
+
+def test_cross_validation_fits_on_training_folds_only(spark):
+    from kinetrail.operators import validation
+
+    rng = np.random.default_rng(12)
+    n = 90
+    x = rng.normal(size=(n, 4))
+    x[rng.random((n, 4)) < 0.1] = np.nan
+    x[:, 2] = 5.0
+    fold = np.arange(n) % 3
+    x[fold == 1, 3] = 1.0  # outside fold 0 and 2 it varies; in training without 1 too, in 1's complement as well
+    x[fold != 1, 3] = 2.0  # constant outside fold 1
+    y = np.nan_to_num(x[:, 0]) * 2 - np.nan_to_num(x[:, 1]) + rng.normal(size=n) / 5
+    rows = [(i, int(fold[i]), float(y[i]), *[None if np.isnan(v) else float(v) for v in x[i]]) for i in range(n)] + [(990, 0, None, 1.0, 1.0, 1.0, 1.0), (991, None, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id int, f int, y double, a double, b double, c double, d double").repartition(6)
+    predictions, folds, dropped = validation.cross_validate(df, ["id"], ["a", "b", "c", "d"], "y", "f")
+    got = {r["id"]: r["y_pred"] for r in predictions.collect()}
+    gone = {(r["fold"], r["feature"]): r["verdict"] for r in dropped.collect()}
+    assert gone == {(0, "c"): "constant", (1, "c"): "constant", (2, "c"): "constant", (1, "d"): "constant"} and set(got) == set(range(n))
+    told = {r["fold"]: r for r in folds.collect()}
+    for f in range(3):
+        keep = [0, 1] if f == 1 else [0, 1, 3]
+        train, test = fold != f, fold == f
+        mid = np.nanmedian(x[train], axis=0)
+        z = np.where(np.isnan(x), mid, x)[:, keep]
+        mean, sd = z[train].mean(0), z[train].std(0)
+        a = (z - mean) / np.where(sd > 1e-12, sd, 1)
+        beta = np.linalg.solve(a[train].T @ a[train] + np.eye(len(keep)), a[train].T @ (y[train] - y[train].mean()))
+        pred = a[test] @ beta + y[train].mean()
+        assert np.allclose([got[i] for i in np.flatnonzero(test)], pred)
+        assert (told[f]["n_train"], told[f]["n_test"], told[f]["n_features_used"], told[f]["n_features_dropped"]) == (60, 30, len(keep), 4 - len(keep))
+        assert math.isclose(told[f]["rmse"], np.sqrt(((pred - y[test]) ** 2).mean())) and math.isclose(told[f]["spearman"], np.corrcoef(ranks(pred), ranks(y[test]))[0, 1])
+    summary = validation.cv_summary(folds.withColumn("config", F.lit("A")), ["config"]).first()
+    assert summary["n_folds"] == 3 and summary["n_samples"] == n and math.isclose(summary["mae_mean"], np.mean([r["mae"] for r in told.values()]))
+    plain = validation.cross_validate(df, ["id"], ["c"], "y", "f")[0].where("fold = 0").first()
+    assert math.isclose(plain["y_pred"], y[fold != 0].mean())
+    assert validation.cross_validate(df.where("f = 0"), ["id"], ["a"], "y", "f")[0].count() == 0
