@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ from kinetrail.sources.store import scratch
 
 #: Places of an atom that meet the pairs of atoms together when units get their partners.
 CHUNK = 1024
+#: Atoms in all that are matched without slices, in a task a scene.
+MOST_ATOMS = 100_000
 
 
 def sliced(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -44,6 +48,39 @@ def last_before(rows: DataFrame, by: list[str], order: list[str], value: Column,
     return found.join(ends, [*by, "_slice"]).withColumn(into, F.coalesce("_own", "_carry")).drop("_own", "_carry")
 
 
+def _rounds(table: pa.Table) -> pa.Table:
+    """:func:`closest_pairs`' rounds on one scene's atoms in arrays."""
+    order = np.argsort(table.column("z").to_numpy(), kind="stable")
+    z, t, used, n, caliper = (table.column(c).to_numpy()[order] for c in ("z", "t", "used", "n", "caliper"))
+    used, n, out = used.copy(), n.copy(), []
+    while len(z):
+        at, size = np.arange(len(z)), len(z)
+        below, above = np.full(size, -1), np.full(size, size)
+        for arm in (0, 1):
+            mine, other = t == arm, t != arm
+            below[mine] = np.maximum.accumulate(np.where(other, at, -1))[mine]
+            above[mine] = np.minimum.accumulate(np.where(other, at, size)[::-1])[::-1][mine]
+        down = np.where(below >= 0, z - z[np.maximum(below, 0)], np.inf)
+        up = np.where(above < size, z[np.minimum(above, size - 1)] - z, np.inf)
+        to, distance = np.where(down <= up, below, above), np.minimum(down, up)
+        near = distance <= caliper
+        to = np.where(near, to, -1)
+        i = np.flatnonzero((t == 1) & near)
+        i = i[to[to[i]] == i]
+        j = to[i]
+        m = np.minimum(n[i], n[j])
+        out.append([z[i], used[i], z[j], used[j], m, distance[i]])
+        for k in (i, j):
+            used[k] += m
+            n[k] -= m
+        keep = near & (n > 0)
+        z, t, used, n, caliper = z[keep], t[keep], used[keep], n[keep], caliper[keep]
+    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 6
+    scene = table.column("scene").combine_chunks().take(pa.array(np.zeros(len(columns[0]), np.int64)))
+    kinds = [pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64()]
+    return pa.table([scene, *[pa.array(c).cast(k) for c, k in zip(columns, kinds)]], ["scene", "zt", "ot", "zc", "oc", "m", "distance"])
+
+
 def closest_pairs(df: DataFrame, scene: str, id_col: str, treated: str, p: str = "p", caliper_ratio: float = 0.2, most_rounds: int = 1000, cell: str | None = None) -> DataFrame:
     """(scene, treated_id, control_id, distance): one-to-one pairs without replacement, closest pairs first, within scenes.
 
@@ -68,7 +105,10 @@ def closest_pairs(df: DataFrame, scene: str, id_col: str, treated: str, p: str =
     pairs = [wide.where("m > 0").select("scene", F.col("z").alias("zt"), zero.alias("ot"), F.col("z").alias("zc"), zero.alias("oc"), "m", F.lit(0.0).alias("distance"))]
     left = wide.where("n0 <> n1").select("scene", "z", F.when(F.col("n1") > F.col("n0"), 1).otherwise(0).alias("t"), F.col("m").alias("used"), (F.greatest("n0", "n1") - F.col("m")).alias("n"))
     left = with_caliper(left)
-    for _ in range(most_rounds):
+    few = wide.limit(MOST_ATOMS + 1).count() <= MOST_ATOMS
+    if few:  # a bounded number of rows in all: the same rounds, in one task a scene
+        pairs.append(left.groupBy("scene").applyInArrow(_rounds, pairs[0].schema))
+    for _ in range(0 if few else most_rounds):
         rows = sliced(left, ["scene"], ["z"])  # an atom's score is its own within a scene: one arm is left at each
         atom = F.struct("z", "t", "used", "n")
         other = {i: F.when(F.col("t") != i, atom) for i in (0, 1)}  # what arm i looks for
@@ -92,7 +132,8 @@ def closest_pairs(df: DataFrame, scene: str, id_col: str, treated: str, p: str =
         left = rows.join(spent, ["scene", "z"], "left").withColumn("_m", F.coalesce("_m", zero))
         left = scratch(left.where("n > _m").select("scene", "z", "t", (F.col("used") + F.col("_m")).alias("used"), (F.col("n") - F.col("_m")).alias("n"), "caliper"), "atoms-left")
     else:
-        raise RuntimeError("matching didn't end; raise most_rounds")
+        if not few:
+            raise RuntimeError("matching didn't end; raise most_rounds")
     found = pairs[0]
     for met in pairs[1:]:
         found = found.union(met)

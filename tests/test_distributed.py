@@ -87,9 +87,10 @@ def closest_first(units, caliper):
         pairs.append((free[a].pop(0), free[b].pop(0)))
 
 
-@pytest.mark.parametrize("grid", [1000, 12])
-def test_closest_pairs_equal_greedy(spark, grid):
-    """A fine grid has hardly a tie; of a coarse one every atom holds many units."""
+@pytest.mark.parametrize("grid, most", [(1000, 0), (1000, 10**5), (12, 0), (12, 10**5)])
+def test_closest_pairs_equal_greedy(spark, grid, most, monkeypatch):
+    """A fine grid has hardly a tie; of a coarse one every atom holds many units. By slices, and in a task a scene."""
+    monkeypatch.setattr(matching, "MOST_ATOMS", most)
     rng = np.random.default_rng(grid)
     rows, want = [], []
     for scene in ("a", "b", None):
