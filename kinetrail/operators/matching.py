@@ -159,21 +159,25 @@ def poisson_weight(u: Column, most: int = 12) -> Column:
     for k in range(most):
         total += math.exp(-1) / math.factorial(k)
         upto.append(total)
-    return F.size(F.filter(F.array(*[F.lit(x) for x in upto]), lambda x: u >= x))
+    return sum(((u >= x).cast("int") for x in upto), F.lit(0))
 
 
 def bootstrap_effects(diffs: DataFrame, by: list[str], id_col: str = "treated_id", value: str = "diff", n_boot: int = 500, seed: int = 42) -> DataFrame:
     """(by, att, n_pairs, ci_low, ci_high): mean difference with a percentile interval over ``n_boot`` resamples.
 
-    A resample gives every pair a Poisson(1) weight, which is drawn from a hash of seed, replicate and id: the limit of
-    drawing with replacement, without an order or a group in one place. Rows meet their replicates where they lie and
+    A resample gives every pair a Poisson(1) weight, which is drawn from a hash of seed, replicate and id (one hash serves
+    four replicates): the limit of drawing with replacement, without an order or a group in one place. Rows meet their replicates where they lie and
     are added up before the shuffle: ``n_boot`` numbers a group and task move. NULL differences don't count; a resample
     of weight 0 has no mean.
     """
     rows = diffs.select(*by, F.col(id_col).cast("string").alias("_id"), F.col(value).cast("double").alias("_d")).where("_d is not null")
-    draws = rows.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    u = F.conv(F.left(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_rep").cast("string"), "_id")), F.lit(8)), 16, 10).cast("double") / float(2**32)
-    draws = draws.withColumn("_w", poisson_weight(u)).groupBy(*by, "_rep").agg(F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_d")).alias("s"))
+    rows = scratch(rows, "bootstrap-rows")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a row becomes n_boot rows: small tables are dealt out first
+    draws = rows.repartition(tasks, "_id").withColumn("_four", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // 4))))
+    draws = draws.withColumn("_hash", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_four").cast("string"), "_id")))
+    number = lambda i: F.conv(F.substring("_hash", 8 * i + 1, 8), 16, 10).cast("double") / float(2**32)
+    draws = draws.select(*by, "_d", F.inline(F.array(*[F.struct((F.col("_four") * 4 + i).alias("_rep"), number(i).alias("_u")) for i in range(4)]))).where(F.col("_rep") < n_boot)
+    draws = draws.withColumn("_w", poisson_weight(F.col("_u"))).groupBy(*by, "_rep").agg(F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_d")).alias("s"))
     ends = draws.groupBy(*by).agg(F.percentile(F.when(F.col("w") > 0, F.col("s") / F.col("w")), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     plain = rows.groupBy(*by).agg(F.avg("_d").alias("att"), F.count("*").alias("n_pairs"))
     same = None

@@ -23,6 +23,8 @@ from kinetrail.sources.store import scratch
 
 MOST_PIVOTS, MOST_CELLS = 4096, 4_000_000
 TILE = 2000
+#: Rows of a table that is one tile.
+SMALL = 4096
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
@@ -48,11 +50,12 @@ def standardised(df: DataFrame, vector: str, into: str = "x") -> DataFrame:
     return beside(df, figures).withColumn(into, z).drop("_f")
 
 
-def nearest(df: DataFrame, id_col: str, vector: str, tile: int = TILE, pivots: int | None = None) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vector: str, tile: int = TILE, pivots: int | None = None, small: int = SMALL) -> DataFrame:
     """(id, distance, compared): every row's distance to its nearest other row, NULL if there is none; how many it was compared with.
 
     Vectors are of one width and without NULLs. Rows that share an id are others to each other; so are rows with a NULL
-    id. ``compared`` counts distances computed for the row, those to pivots included.
+    id. ``compared`` counts distances computed for the row, those to pivots included. A table of at most ``small`` rows is
+    one tile: all its pairs are compared, in one task.
     """
     kind = df.schema[id_col].dataType.simpleString()
     rows = scratch(df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("x"), F.monotonically_increasing_id().alias("row")), "vectors")
@@ -60,6 +63,22 @@ def nearest(df: DataFrame, id_col: str, vector: str, tile: int = TILE, pivots: i
     if not n:
         return df.sparkSession.createDataFrame([], f"id {kind}, distance double, compared long")
     width = max(1, width)
+    if n <= small:
+
+        def whole(batches: Iterator[pa.RecordBatch]):
+            held = [b for b in batches if b.num_rows]
+            if held:
+                table = pa.Table.from_batches(held)
+                x = _matrix(table.column("x"), width)
+                best = np.full(len(x), np.inf)
+                for i in range(0, len(x), 256):
+                    d = _distances(x[i : i + 256], x)
+                    d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
+                    best[i : i + 256] = d.min(1)
+                found = pa.array(best, mask=np.isinf(best))
+                yield pa.RecordBatch.from_arrays([table.column("id").combine_chunks(), found, pa.array(np.full(len(x), len(x) - 1), pa.int64())], ["id", "distance", "compared"])
+
+        return rows.coalesce(1).mapInArrow(whole, f"id {kind}, distance double, compared long")
     k = pivots or max(1, min(MOST_PIVOTS, MOST_CELLS // width, math.isqrt(n)))
     picked = rows.orderBy(F.xxhash64("row"), "row").limit(k).collect()  # the index's pivots
     centres, own = np.array([r["x"] for r in picked], float).reshape(-1, width), np.array([r["row"] for r in picked])

@@ -673,7 +673,7 @@ ORACLE_SQL = {
         SELECT c_nationkey, CASE WHEN value >= b THEN 'high' WHEN value >= a THEN 'mid' ELSE 'low' END AS tier FROM v, q""",
     "select_random": f"WITH {_POOL_SQL} SELECT global_id FROM p ORDER BY md5(global_id || '|7'), global_id LIMIT 100",
     "bootstrap_intervals": f"""WITH d AS (SELECT o_orderpriority, o_orderkey, CAST(o_totalprice AS DOUBLE) - 150000 AS diff FROM orders), x AS (SELECT *, unnest(range(100)) AS rep FROM d),
-        w AS (SELECT o_orderpriority, rep, diff, len(list_filter({_POISSON}, lambda c: CAST('0x' || left(md5('42|' || rep || '|' || o_orderkey), 8) AS BIGINT) / 4294967296.0 >= c)) AS w FROM x),
+        w AS (SELECT o_orderpriority, rep, diff, len(list_filter({_POISSON}, lambda c: CAST('0x' || substr(md5('42|' || (rep // 4) || '|' || o_orderkey), CAST(1 + 8 * (rep % 4) AS INT), 8) AS BIGINT) / 4294967296.0 >= c)) AS w FROM x),
         m AS (SELECT o_orderpriority, rep, sum(w * diff) / sum(w) AS m FROM w GROUP BY ALL), q AS (SELECT o_orderpriority, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM m GROUP BY 1)
         SELECT o_orderpriority, round(avg(diff), 4) AS att, count(*) AS n_pairs, round(any_value(ci_low), 4) AS ci_low, round(any_value(ci_high), 4) AS ci_high FROM d JOIN q USING (o_orderpriority) GROUP BY 1""",
     "group_quantiles": """SELECT l_returnflag, l_linestatus, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.1), 4) AS q10, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.5), 4) AS q50,

@@ -133,7 +133,7 @@ def test_bootstrap_effects_equal_plain_python_and_near_the_classic_interval(spar
     upto = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
     means = []
     for rep in range(300):
-        u = np.array([int(hashlib.md5(f"42|{rep}|{i}".encode()).hexdigest()[:8], 16) / 2**32 for i in range(80)])
+        u = np.array([int(hashlib.md5(f"42|{rep // 4}|{i}".encode()).hexdigest()[8 * (rep % 4) : 8 * (rep % 4) + 8], 16) / 2**32 for i in range(80)])
         w = (u[:, None] >= upto[None, :]).sum(1)
         means.append((w * d).sum() / w.sum())
     low, high = np.percentile(means, [2.5, 97.5])
@@ -156,7 +156,9 @@ def test_nearest_is_exact_and_skips_most_pairs(spark, tile):
     x = np.repeat(rng.normal(0, 50, size=(20, 4)), n // 20, axis=0) + rng.normal(size=(n, 4))
     x[:5] = x[5]  # ties
     df = frame(spark, [(f"r{i}", [float(v) for v in r]) for i, r in enumerate(x)], "id string, v array<double>").repartition(4)
-    got = {r["id"]: r for r in neighbours.nearest(df, "id", "v", tile).collect()}
+    got = {r["id"]: r for r in neighbours.nearest(df, "id", "v", tile, small=0).collect()}
+    plain = {r["id"]: r["distance"] for r in neighbours.nearest(df, "id", "v", tile).collect()}
+    assert plain.keys() == got.keys() and all(math.isclose(plain[i], got[i]["distance"], abs_tol=1e-9) for i in got)
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) + np.diag([np.inf] * n)
     assert len(got) == n and np.allclose([got[f"r{i}"]["distance"] for i in range(n)], d.min(1))
     if n == 2000:
@@ -165,8 +167,10 @@ def test_nearest_is_exact_and_skips_most_pairs(spark, tile):
 
 def test_nearest_edges(spark):
     df = frame(spark, [(1, [0.0, 1.0]), (1, [0.0, 1.0]), (None, [3.0, 5.0])], "id int, v array<double>")
-    got = sorted((r["distance"] for r in neighbours.nearest(df, "id", "v").collect()))
-    assert np.allclose(got, [0.0, 0.0, 5.0])
+    for small in (0, 100):
+        got = sorted((r["distance"] for r in neighbours.nearest(df, "id", "v", small=small).collect()))
+        assert np.allclose(got, [0.0, 0.0, 5.0])
+    assert neighbours.nearest(df.limit(1), "id", "v", small=0).first()["distance"] is None
     assert neighbours.nearest(df.limit(1), "id", "v").first()["distance"] is None and neighbours.nearest(df.limit(0), "id", "v").count() == 0
     z = frame(spark, [(i, [float(i * i), 3.0]) for i in range(6)], "id int, v array<double>")
     v = np.array([i * i for i in range(6)], float)
