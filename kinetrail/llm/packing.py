@@ -46,8 +46,8 @@ END_ID = 2
 MAX_QUEUES = 255
 #: Numbers in a table of windows by queues that a task holds at once.
 CELLS = 500_000
-#: Words and stems that a worker remembers in each of two generations, and the longest among them: some 200 MB at most.
-CACHE_WORDS, CACHE_STEMS, CACHE_CHARS = 150_000, 400_000, 64
+#: Words and stems that a worker remembers in each of two generations, and the longest among them: some 300 MB at most.
+CACHE_WORDS, CACHE_STEMS, CACHE_CHARS = 250_000, 600_000, 64
 #: Characters of text that are tokenised at a time.
 BLOCK_CHARS = 3_000_000
 #: A word of Latin-1 letters with plain punctuation behind it: the tokenizer lowers the word and cuts it off there.
