@@ -94,7 +94,7 @@ def test_closest_pairs_equal_greedy(spark, grid, most, monkeypatch):
     rng = np.random.default_rng(grid)
     rows, want = [], []
     for scene in ("a", "b", None):
-        units = [(int(i) + 1000 * len(scene or "long"), int(rng.integers(2)), float(rng.integers(1, grid)) / grid) for i in range(90)]
+        units = [(int(i) + 1000 * len(scene or "long"), int(rng.integers(2)), float(rng.integers(1, grid)) / grid) for i in range(45)]
         rows += [(scene, i, t, p) for i, t, p in units]
     df = frame(spark, rows, "scene string, id int, t int, p double").dropDuplicates(["id"])
     rows = [tuple(r) for r in df.collect()]
