@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from kinetrail.functions.columns import clip, mean_of, numeric_columns, require_columns, safe_ratio, sample_places
 from kinetrail.operators import causal, curation, effects, labels, models, neighbours, quality, ranking, scoring, signals, training, validation
 from kinetrail.operators import timeseries as T
+from kinetrail.sources import records as rec
+from kinetrail.sources.recordings import manifest
 from kinetrail.sources.store import StageStore, scratch
 
 KEYS = ["scene_id", "trajectory_id"]
@@ -42,6 +44,23 @@ class Config:
         return cls(**{**base, **own})
 
 
+def ingest(store: StageStore, base: str, scene: str, task: str, object_id: str | None = None, opener=rec.open_hdf5, suffix: str = ".h5") -> None:
+    """Recording files and archives below ``base`` -> records/<scene>, samples, frames, manifest, raw_metadata, recording_errors.
+
+    Files are read once; the tables are selections of the stored records. A scene that is read again replaces its own rows.
+    """
+    files, bad = rec.find_contents(store.spark, base, suffix)
+    where = store.path(f"records/{scene}")
+    rec.read_records(files, opener).write.mode("overwrite").partitionBy("part").parquet(where)
+    read = store.spark.read.schema(rec.RECORDS).parquet(where)
+    store.write("samples", rec.samples_of(read, scene), ["scene_id"])
+    store.write("frames", rec.frames_of(read, scene), ["scene_id"])
+    summary = store.write("raw_metadata", rec.recording_summary(read).withColumn("scene_id", F.lit(scene)), ["scene_id"])
+    store.write("manifest", manifest(summary.where(F.col("scene_id") == scene).select("path"), scene, task, object_id), ["scene_id"])
+    errors = read.where("part = 'error'").select("path", "name", "text").union(bad.select("path", F.lit(None).cast("string"), "text"))
+    store.write("recording_errors", errors.withColumn("scene_id", F.lit(scene)), ["scene_id"])
+
+
 def align(store: StageStore, cfg: Config = Config()) -> None:
     """samples, frames -> aligned (resampled channels, long), matches, align_summary."""
     samples = store.read("samples", [*KEYS, "kind", "group", "seq", "ts_ns", "position"])

@@ -22,6 +22,7 @@ from kinetrail.operators import scoring as S
 from kinetrail.operators import signals as G
 from kinetrail.operators import timeseries as T
 from kinetrail.operators.order import group_quantiles as group_quantiles_of
+from kinetrail.sources import records as rec
 from kinetrail.sources.store import scratch
 from kinetrail.plans.motion_queries import BY, E_SQL, ORDER, events, rounded, table
 
@@ -95,6 +96,56 @@ def json_metadata(spark, sf_dir):
     return rows.select("event_id", C.to_number(F.get_json_object("props", "$.k")).alias("k"), F.get_json_object("props", "$.missing").isNull().alias("no_field"))
 
 
+def metadata_outline(spark, sf_dir):
+    """The keys of nested JSON texts; every third has no note."""
+    owner = F.struct(F.col("o_custkey").alias("id"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("note"))
+    rows = table(spark, sf_dir, "orders").select(F.to_json(F.struct(F.col("o_orderstatus").alias("status"), owner.alias("owner"), F.array("o_orderkey").alias("items"))).alias("metadata"))
+    return rec.metadata_outline(rows)
+
+
+def _joint():
+    return F.concat(F.lit("j"), (F.col("l_suppkey") % 7).cast("string"))
+
+
+def _records(spark, sf_dir):
+    """Order lines as steps of recordings, an order a file: returned ones are actions, all others states."""
+    rows = table(spark, sf_dir, "lineitem")
+    none = F.lit(None)
+    return rows.select(
+        F.concat(F.lit("/raw/"), F.col("l_orderkey").cast("string"), F.lit(".h5")).alias("path"), F.when(F.col("l_returnflag") == "R", "action").otherwise("state").alias("part"), _joint().alias("name"),
+        F.col("l_linenumber").cast("int").alias("i"), (F.col("l_partkey") * 1000).cast("long").alias("ts_ns"),
+        F.array(F.col("l_quantity").cast("double"), F.when(F.col("l_linenumber") == 1, F.lit(float("nan"))).otherwise(F.col("l_discount").cast("double"))).alias("position"),
+        none.cast("array<double>").alias("velocity"), none.cast("binary").alias("bytes"), none.cast("array<int>").alias("shape"), none.cast("string").alias("text"),
+    )
+
+
+def recording_samples(spark, sf_dir):
+    found = rec.samples_of(_records(spark, sf_dir), F.lit("S"))
+    return found.select("trajectory_id", "kind", "group", "seq", "ts_ns", F.col("position")[0].alias("x"), F.round(F.col("position")[1], 6).alias("y"))
+
+
+def recording_summaries(spark, sf_dir):
+    """Names, widths and counts by file: suppliers dealt to seven joint groups, a camera a line status."""
+    rows = table(spark, sf_dir, "lineitem")
+    path = F.concat(F.lit("/raw/"), F.col("l_orderkey").cast("string"), F.lit(".h5")).alias("path")
+    none = F.lit(None).cast("string").alias("text")
+    kind = F.when(F.col("l_returnflag") == "R", "action").otherwise("state")
+    groups = rows.groupBy(path, F.lit("group").alias("part"), F.concat_ws("/", kind, _joint()).alias("name")).agg(F.array(F.count("*").cast("int"), F.max("l_linenumber").cast("int")).alias("shape"))
+    cameras = rows.groupBy(path, F.lit("camera").alias("part"), F.col("l_linestatus").alias("name")).agg(F.array(F.count("*").cast("int"), F.count_if(F.col("l_tax") > 0.04).cast("int")).alias("shape"))
+    found = rec.recording_summary(groups.withColumn("text", none).union(cameras.withColumn("text", none)))
+    total = lambda m: F.aggregate(F.map_values(m), F.lit(0), lambda s, x: s + x)
+    return found.select(
+        "trajectory_id", F.array_join("action_groups", ",").alias("action_groups"), F.array_join("state_groups", ",").alias("state_groups"), F.array_join("camera_names", ",").alias("camera_names"),
+        total("dims").alias("dims"), F.coalesce(F.col("camera_counts")["F_color_n"], F.lit(0)).alias("f_color_n"), total("camera_counts").alias("n_frames"),
+    )
+
+
+def frame_range(spark, sf_dir):
+    """The second to fourth line of every order, as images of a recording."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("frame_idx"), F.col("l_partkey").alias("ts_ns"))
+    return rec.frame_range(rows, 1, 3).select("l_orderkey", "image_name")
+
+
 def path_functions(spark, sf_dir):
     rows = table(spark, sf_dir, "pages")
     path = F.concat(F.lit("../raw/./"), F.regexp_replace("url", "^https?://", ""))
@@ -587,6 +638,7 @@ QUERIES = {
         robustness_rollup, treatments, balance_smd, balance_brief, trajectory_errors, label_summary, dual_scores, value_with_labels, group_value_summary, random_baseline, folds_of_all, cumulative_of_all, scatter_points,
         ordered_messages, depth_features, confounder_choice, feature_importance, ridge_loocv, propensity_matches, matched_effects, pca_robustness, motion_modes, bc_job_grid,
         effect_cells, bootstrap_intervals, group_quantiles, vector_event_signals, selection_grid, evaluation_summary, prediction_metrics, cv_summary, seeded_splits, workbook_sheets,
+        metadata_outline, recording_samples, recording_summaries, frame_range,
     )
 }
 
@@ -650,6 +702,17 @@ ORACLE_SQL = {
         p AS (SELECT l_suppkey, list_avg([abs(corr(a, b)), abs(corr(a, c)), abs(corr(b, c))]) AS r FROM r GROUP BY l_suppkey)
         SELECT l_suppkey, CASE WHEN n >= 4 THEN round(1 - odd, 5) END AS "C8", CASE WHEN n >= 4 THEN round(1 - e2 / (e2 + e), 5) END AS "C10", round(r, 5) AS "C18" FROM o JOIN p USING (l_suppkey)""",
     "json_metadata": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, json_extract(props, '$.missing') IS NULL AS no_field FROM events",
+    "metadata_outline": """SELECT 'status' AS path, 'string' AS kind, count(o_orderstatus) AS n, min(o_orderstatus) AS example FROM orders UNION ALL SELECT 'owner', 'object', count(*), NULL FROM orders
+        UNION ALL SELECT 'owner.id', 'bigint', count(o_custkey), min(CAST(o_custkey AS VARCHAR)) FROM orders UNION ALL SELECT 'items', 'array', count(*), NULL FROM orders
+        UNION ALL SELECT 'owner.note', 'string', count(o_orderpriority), min(o_orderpriority) FROM orders WHERE o_orderkey % 3 <> 0""",
+    "recording_samples": """SELECT CAST(l_orderkey AS VARCHAR) AS trajectory_id, CASE WHEN l_returnflag = 'R' THEN 'action' ELSE 'state' END AS kind, 'j' || l_suppkey % 7 AS "group", CAST(l_linenumber AS INT) AS seq,
+        CAST(l_partkey * 1000 AS BIGINT) AS ts_ns, CAST(l_quantity AS DOUBLE) AS x, CASE WHEN l_linenumber <> 1 THEN round(CAST(l_discount AS DOUBLE), 6) END AS y FROM lineitem""",
+    "recording_summaries": """WITH l AS (SELECT *, 'j' || l_suppkey % 7 AS joint, CASE WHEN l_returnflag = 'R' THEN 'action' ELSE 'state' END AS kind FROM lineitem),
+        d AS (SELECT l_orderkey, CAST(sum(w) AS INT) AS dims FROM (SELECT l_orderkey, max(l_linenumber) AS w FROM l GROUP BY l_orderkey, kind, joint) GROUP BY 1)
+        SELECT CAST(l_orderkey AS VARCHAR) AS trajectory_id, coalesce(string_agg(DISTINCT joint, ',' ORDER BY joint) FILTER (kind = 'action'), '') AS action_groups,
+        coalesce(string_agg(DISTINCT joint, ',' ORDER BY joint) FILTER (kind = 'state'), '') AS state_groups, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS camera_names,
+        any_value(dims) AS dims, CAST(count(*) FILTER (l_linestatus = 'F') AS INT) AS f_color_n, CAST(count(*) + count(*) FILTER (l_tax > 0.04) AS INT) AS n_frames FROM l JOIN d USING (l_orderkey) GROUP BY l_orderkey""",
+    "frame_range": "SELECT l_orderkey, printf('img_%06d_%d', CAST(l_linenumber - 1 AS BIGINT), CAST(l_partkey AS BIGINT)) AS image_name FROM lineitem WHERE l_linenumber BETWEEN 2 AND 4",
     "path_functions": r"""SELECT page_id, string_split(url, '/')[-1] AS base, array_to_string(list_filter(string_split('../raw/./' || regexp_replace(url, '^https?://', ''), '/'), lambda p: p NOT IN ('', '.', '..')), '/') AS path,
         left(trim(regexp_replace(url, '[\\/*?:\[\]]', '_', 'g')), 31) AS sheet, regexp_full_match(md5(url), '[0-9a-fA-F]{32}') AS is_uuid FROM pages""",
     "category_entropy": """WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY ALL), t AS (SELECT user_id, sum(n) AS t, count(*) AS k FROM c GROUP BY user_id)
