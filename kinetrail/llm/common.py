@@ -83,6 +83,20 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_held: dict[tuple[str, str], object] = {}
+
+
+def held(operator: str, path: str, make):
+    """What a worker keeps between tasks, made from a file: of one operator and file at a time.
+
+    Workers serve one stage after the other; what an earlier stage's operator remembered would lie beside the next one's.
+    """
+    if (operator, path) not in _held:
+        _held.clear()
+        _held[operator, path] = make(path)
+    return _held[operator, path]
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 2,000 rows or about 8 MB, unless the session says otherwise.
 

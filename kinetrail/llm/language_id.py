@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetrail.llm.byte_bpe import blocks
-from kinetrail.llm.common import crc32_mod, quoted, stage
+from kinetrail.llm.common import crc32_mod, held, quoted, stage
 
 SAMPLE_DOCS = 2000
 #: The most that the table of pieces x languages may take, on the driver and in each worker (about 1,000 languages).
@@ -230,13 +230,8 @@ class LanguageModel:
     fit: np.ndarray | None = None
 
 
-_pieces: dict[str, Pieces] = {}
-
-
 def _load(path: str) -> Pieces:
-    if path not in _pieces:
-        _pieces[path] = Pieces(path)
-    return _pieces[path]
+    return held("language ID", path, Pieces)
 
 
 def train(

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from kinetrail.llm.byte_bpe import blocks
-from kinetrail.llm.common import quoted, stage
+from kinetrail.llm.common import held, quoted, stage
 
 WINDOW = 4096
 END_ID = 2
@@ -146,14 +146,10 @@ class WordTokenizer:
         return [b"".join(found[a:b]) + last for a, b in zip([0, *stops], stops)]
 
 
-_loaded: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str, remembered: float = 1.0) -> WordTokenizer:
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    _loaded[path].most_words, _loaded[path].most_stems = int(CACHE_WORDS * remembered), int(CACHE_STEMS * remembered)
-    return _loaded[path]
+    found = held("packing", path, WordTokenizer)
+    found.most_words, found.most_stems = int(CACHE_WORDS * remembered), int(CACHE_STEMS * remembered)
+    return found
 
 
 def tokenise(docs: DataFrame, path: str, id_col: str, text_col: str, source_col: str, end: int, remembered: float = 1.0) -> DataFrame:

@@ -281,3 +281,13 @@ def test_packing_with_a_small_memory_gives_the_same_pieces(spark, odd_docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = lambda **how: sorted(map(str, pack(odd_docs, path, **how).collect()))
     assert rows() == rows(remembered=0.001)
+
+
+def test_a_worker_holds_one_operators_memory():
+    from kinetrail.llm.common import held
+
+    made = []
+    make = lambda path: made.append(path) or [path]
+    first = held("a", "p", make)
+    assert held("a", "p", make) is first and held("b", "p", make) == ["p"] and held("a", "p", make) is not first
+    assert made == ["p"] * 3
