@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 
 from kinetrail.functions.columns import clip, quantile, safe_corr
 from kinetrail.operators.order import running, table_quantiles
+from kinetrail.sources.store import scratch
 
 EPS = 1e-12
 
@@ -108,6 +109,8 @@ def average_rank(df: DataFrame, column: str, by: list[str], into: str) -> DataFr
     """Ranks from 1 with the mean rank for ties.
 
     Counts per distinct value are added up, so ties never make a window grow, slice by slice, so large groups don't either.
+    ``df`` is read twice and met by value: a column that is computed anew each time (a mean of doubles, whose last bit
+    follows the order of its rows) has to be stored first.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
     ranks = running(counts, by, [F.col(column)], {"_n": "_upto"})
@@ -117,6 +120,7 @@ def average_rank(df: DataFrame, column: str, by: list[str], into: str) -> DataFr
 
 def correlations(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """(feature, n, pearson, spearman) of each feature with the target over rows that have both."""
+    df = scratch(df.select(*dict.fromkeys([*features, target])), "correlated")  # ranks are met by value: these must not change in between
     long = df.unpivot([target], features, "feature", "x").where(F.col("x").isNotNull() & F.col(target).isNotNull())
     long = average_rank(average_rank(long, "x", ["feature"], "_rx"), target, ["feature"], "_ry")
     return long.groupBy("feature").agg(F.count("*").alias("n"), safe_corr("x", target).alias("pearson"), safe_corr("_rx", "_ry").alias("spearman"))
@@ -218,6 +222,7 @@ def regression_metrics(df: DataFrame, by: list[str], y: str, p: str) -> DataFram
 def prediction_metrics(df: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
     """:func:`regression_metrics` and the rank correlation of prediction and target, per group; rows that miss either don't count."""
     rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).withColumns({"_y": F.col(y).cast("double"), "_p": F.col(p).cast("double")})
+    rows = scratch(rows.select(*by, "_y", "_p"), "predictions")
     ranked = average_rank(average_rank(rows, "_y", by, "_ry"), "_p", by, "_rp")
     rho = ranked.groupBy(*by).agg(safe_corr("_ry", "_rp").alias("spearman"))
     return per_group(regression_metrics(rows, by, "_y", "_p"), rho, by)
