@@ -180,6 +180,26 @@ def test_nearest_edges(spark):
     assert np.allclose([got[i] for i in range(6)], near / near.max())
 
 
+def test_nearest_moves_no_row_to_every_cell(spark, monkeypatch):
+    """Elements that don't depend on each other leave the index nothing to rule out; copies are at distance 0."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 40))
+    x[:60], x[60] = x[100], x[101] + 1e-9
+    df = frame(spark, [(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, v array<double>").repartition(3)
+    stored, plain = [], neighbours.scratch
+    monkeypatch.setattr(neighbours, "scratch", lambda rows, label, *a: stored.append(out := plain(rows, label, *a)) or out)
+    got = {r["id"]: r["distance"] for r in neighbours.nearest(df, "id", "v", small=0).collect()}
+    assert max(t.count() for t in stored) <= len(x)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) + np.diag([np.inf] * len(x))
+    assert [got[i] for i in range(len(x))] == pytest.approx(d.min(1).tolist(), rel=1e-12, abs=1e-15)
+    for wide in (0, 10**7):  # blocks that hardly differ, far from 0
+        y = wide + np.round(rng.normal(size=(90, 3)), 6)
+        near = np.full(40, np.inf), np.full(50, np.inf)
+        neighbours.nearest_between(y[:40], y[40:], *near)
+        d = np.sqrt(((y[:40, None] - y[None, 40:]) ** 2).sum(2))
+        assert (near[0] == d.min(1)).all() and (near[1] == d.min(0)).all()
+
+
 # --- Training ---
 
 
