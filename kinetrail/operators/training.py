@@ -24,6 +24,8 @@ from kinetrail.sources.store import scratch
 #: Rows of a mini-batch; an epoch has at most ``MOST_STEPS`` of them, beyond which they grow.
 BATCH, MOST_STEPS = 8192, 8
 FAN_IN = 16
+#: Rows whose hidden layers a gradient holds at a time, so that they stay in a processor's cache.
+CHUNK = 512
 
 
 def job_numbers(jobs: list[dict], belongs: Callable[[Column], Column]) -> Column:
@@ -62,21 +64,43 @@ class Network:
             z = h * params[6 + i] + params[8 + i]
         return z @ params[2] + params[5], z, kept
 
-    def gradient(self, flat: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        params = self.parts(flat)
-        out, top, kept = self.forward(params, x)
-        g = 2 * (out - y)
+    def gradient(self, flat: np.ndarray, x: np.ndarray, y: np.ndarray, kind: type = np.float64) -> np.ndarray:
+        """Summed over all rows; worked out in numbers of ``kind``, ``CHUNK`` rows at a time and in place, added up as doubles."""
+        params = [p.astype(kind) for p in self.parts(flat)]
+        mean, total = np.full((self.hidden, 1), 1 / self.hidden, kind), np.zeros(len(flat))
         grads: list[np.ndarray] = [np.zeros(0)] * len(params)
-        grads[2], grads[5] = top.T @ g, g.sum(0)
-        g = g @ params[2].T
-        for i in (1, 0):
-            z, r, h, inv = kept[i]
-            grads[6 + i], grads[8 + i] = (g * h).sum(0), g.sum(0)
-            d = g * params[6 + i]
-            d = inv * (d - d.mean(1, keepdims=True) - h * (d * h).mean(1, keepdims=True)) * (r > 0)
-            grads[i], grads[3 + i] = z.T @ d, d.sum(0)
-            g = d @ params[i].T
-        return np.concatenate([x.ravel() for x in grads])
+        for at in range(0, len(x), CHUNK):
+            z, target, kept = x[at : at + CHUNK].astype(kind), y[at : at + CHUNK].astype(kind), []
+            for i in range(2):
+                r = z @ params[i]
+                r += params[3 + i]
+                on = r > 0
+                r *= on
+                r -= r @ mean
+                inv = (1 / np.sqrt(np.einsum("ij,ij->i", r, r) / kind(self.hidden) + kind(1e-5)))[:, None]
+                r *= inv
+                kept.append((z, r, on, inv))
+                z = r * params[6 + i]
+                z += params[8 + i]
+            g = z @ params[2]
+            g += params[5] - target
+            g *= kind(2)
+            grads[2], grads[5] = z.T @ g, g.sum(0)
+            g = g @ params[2].T
+            for i in (1, 0):
+                z, h, on, inv = kept[i]
+                grads[6 + i], grads[8 + i] = np.einsum("ij,ij->j", g, h), g.sum(0)
+                g *= params[6 + i]
+                h *= np.einsum("ij,ij->i", g, h)[:, None] / kind(self.hidden)
+                h += g @ mean
+                g -= h
+                g *= inv
+                g *= on
+                grads[i], grads[3 + i] = z.T @ g, g.sum(0)
+                if i:
+                    g = g @ params[i].T
+            total += np.concatenate([v.ravel() for v in grads])
+        return total
 
 
 def vectors(column: pa.Array, width: int) -> np.ndarray:
@@ -132,6 +156,8 @@ def train_networks(samples: DataFrame, seeds: list[int], train: str = "train", i
     """One network for each of ``seeds``: job i trains on the rows whose ``train`` array names i. Columns: x and y arrays.
 
     Rows are dealt to an epoch's steps by a hash of their id and stored by step, so a step reads its own rows only.
+    Gradients of mini-batches are worked out in single precision (as such networks commonly are) and added up in double;
+    parameters are doubles. With one batch an epoch all is in double precision.
     """
     n_jobs = len(seeds)
     rows = samples.where(F.size(train) > 0)
@@ -139,8 +165,10 @@ def train_networks(samples: DataFrame, seeds: list[int], train: str = "train", i
     if not n:
         return Trained(Network(1, 1, 1), np.zeros((n_jobs, 0)), np.zeros((n_jobs, 0)), set())
     steps = max(1, min(most_steps, -(-n // batch)))
+    precision = np.float64 if steps == 1 else np.float32
     stored = rows.select(*[F.col(c).cast("array<double>").alias(c) for c in ("x", "y")], F.col(train).cast("array<int>").alias(train), F.pmod(F.xxhash64(F.col(id_col)), F.lit(steps)).cast("int").alias("step"))
-    stored = scratch(stored, "training-rows", ["step"])
+    # as many files a step as there are cores: every step is a pass of all of them
+    stored = scratch(stored.repartition(samples.sparkSession.sparkContext.defaultParallelism), "training-rows", ["step"])
     parts = (stored.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0) + 1
     wanted = set(range(n_jobs))
 
@@ -172,7 +200,7 @@ def train_networks(samples: DataFrame, seeds: list[int], train: str = "train", i
                 x, y, out = vectors(b.column(0), n_in), vectors(b.column(1), n_out), {}
                 for j, at in masks(b.column(2), wanted).items():
                     mx, sx, my, sy = np.split(scale[j], np.cumsum([n_in, n_in, n_out]))
-                    out[j] = np.append(net.gradient(flat[j], (x[at] - mx) / sx, (y[at] - my) / sy), len(at))
+                    out[j] = np.append(net.gradient(flat[j], (x[at] - mx) / sx, (y[at] - my) / sy, precision), len(at))
                 return out
 
             sums = added(stored.where(F.col("step") == step).drop("step"), parts, n_jobs, params.shape[1] + 1, work)

@@ -247,6 +247,16 @@ def test_gradient_by_differences():
         assert abs(got[i] - (loss(flat + e) - loss(flat - e)) / 2e-6) < 1e-4
 
 
+def test_gradient_in_chunks_and_single_precision():
+    rng = np.random.default_rng(1)
+    net, n = training.Network(5, 2, 16), 2 * training.CHUNK + 7
+    flat, x, y = net.start(3), rng.normal(size=(n, 5)), rng.normal(size=(n, 2))
+    one = sum(net.gradient(flat, x[i : i + 1], y[i : i + 1]) for i in range(n))
+    assert np.allclose(net.gradient(flat, x, y), one, rtol=1e-9, atol=1e-9)
+    assert np.abs(net.gradient(flat, x, y, np.float32) - one).max() < 1e-4 * np.abs(one).max()
+    assert net.gradient(flat, x[:0], y[:0]).tolist() == [0.0] * len(flat)
+
+
 # --- Selections ---
 
 
