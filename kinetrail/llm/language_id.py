@@ -6,8 +6,8 @@ Training is expectation-maximisation: a forward-backward pass gives each piece i
 segmentations, in each language.
 
 The passes run over arrays of equally long words, all languages at once; a bounded cache per worker holds the vectors
-of words seen. Training uses a bounded sample (``SAMPLE_DOCS`` documents a language, chosen by a hash of the id; a
-documented parameter); predictions cover every whole text.
+of words seen. Training counts the words of every labelled text; its passes then go over distinct words, so they grow
+with the vocabulary and not with the texts. Predictions cover every whole text.
 
 Defined results
 * words are runs of letters, lowered, and scored whole; beyond ``LONGEST`` letters the passes rescale as they go;
@@ -32,9 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetrail.llm.byte_bpe import blocks
-from kinetrail.llm.common import crc32_mod, held, quoted, stage
+from kinetrail.llm.common import crc32_mod, delete, held, quoted, stage
 
-SAMPLE_DOCS = 2000
 #: The most that the table of pieces x languages may take, on the driver and in each worker (about 1,000 languages).
 MAX_TABLE_BYTES = 1 << 28
 ROUNDS = 2
@@ -241,14 +240,14 @@ def train(
     text_col: str = "text",
     lang_col: str = "lang",
     held_out=None,
-    sample_docs: int = SAMPLE_DOCS,
+    sample_docs: int | None = None,
     rounds: int = ROUNDS,
     judge_fit: bool = True,
 ) -> LanguageModel:
     """Learn from rows with a language that ``held_out`` (a condition on doc_id, default none) doesn't name.
 
-    About ``sample_docs`` documents of each language are used: those whose hashed id falls under a threshold set by
-    the language's count, so the bound holds at any size.
+    All of them are used. With ``sample_docs`` only about so many documents of each language are: those whose hashed id
+    falls under a threshold set by the language's count.
     """
     spark = docs.sparkSession
     rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"), quoted(lang_col).alias("lang")).where("lang is not null")
@@ -263,10 +262,11 @@ def train(
     table = _normalised(np.zeros((pieces.n + 2, max(1, len(languages)))))
     if not languages:
         return LanguageModel([], table, vocabulary)
-    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 62)) / float(1 << 62)
-    shares = spark.createDataFrame([(r["lang"], sample_docs / r["count"]) for r in found], "lang string, share double")
-    rows = rows.withColumn("lang", F.col("lang").cast("string")).join(F.broadcast(shares), "lang")  # a row a language
-    chosen = place < F.col("share")
+    rows = rows.withColumn("lang", F.col("lang").cast("string"))
+    if sample_docs is not None:
+        place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 62)) / float(1 << 62)
+        shares = spark.createDataFrame([(r["lang"], sample_docs / r["count"]) for r in found], "lang string, share double")
+        rows = rows.join(F.broadcast(shares), "lang").where(place < F.col("share"))  # a row a language
     number = {lang: i for i, lang in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]):
@@ -277,8 +277,8 @@ def train(
             keys = list(seen)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], ["lang", "word", "n"])
 
-    words = rows.where(chosen).select("text", "lang").mapInArrow(count, "lang int, word string, n long")
-    words = stage(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "sample-words")
+    words = rows.select("text", "lang").mapInArrow(count, "lang int, word string, n long")
+    words = stage(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(table)
 
@@ -294,9 +294,10 @@ def train(
         counts = np.zeros_like(table)
         counts[sums["piece"], sums["lang"]] = sums["n"]
         table = _normalised(counts)
+    delete(spark, words.staged_at)
     model = LanguageModel(languages, table, vocabulary)
     if judge_fit:
-        model.fit = _fit(rows.where(chosen), model)
+        model.fit = _fit(rows, model)
     return model
 
 

@@ -224,6 +224,16 @@ def test_too_many_languages_fail(spark, monkeypatch):
         language_id.train(spark.createDataFrame([(1, "some text", "en")], "doc_id long, text string, lang string"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def test_language_training_counts_every_text(spark):
+    """4,200 texts of a language teach the same as one text that holds all their words."""
+    words = ["house", "river", "garden", "window", "letter", "winter", "people"]
+    texts = [" ".join(words[(i * k) % 7] for k in (1, 2, 4)) + " rare" * (i % 60 == 0) for i in range(4200)]
+    every = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    whole = spark.createDataFrame([(1, " ".join(texts), "en")], "doc_id long, text string, lang string")
+    got, expected = (language_id.train(d, PIECES, judge_fit=False).table for d in (every, whole))
+    assert np.allclose(got, expected, rtol=1e-9, atol=1e-15)
+
+
 def test_language_held_out(spark, sample, odd_docs, no_docs):
     model = language_id.train(sample, PIECES, held_out=language_id.held_out_quarter())
     got = language_id.predict(sample, model).join(sample.select("doc_id", "lang"), "doc_id").where(language_id.held_out_quarter()).collect()
