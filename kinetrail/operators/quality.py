@@ -52,6 +52,8 @@ def joint_indicators(df: DataFrame, by: list[str], order: str, dim: str, value:
     C8 looks at the mean size of all channels' first, second and third differences, C10 adds up all channels' energies,
     C18 is the mean absolute correlation over pairs of channels (NULL under three samples or two varying channels).
     """
+    # dealt out by trajectory once: what follows groups by more than that and moves nothing again
+    df = df.select(*by, order, dim, value).repartition(*[F.col(c) for c in by])
     w = W.partitionBy(*by, dim).orderBy(order)
     v, (a, b, d) = F.col(value), [F.lag(value, i).over(w) for i in (1, 2, 3)]
     rows = df.select(*by, order, v.alias("v"), F.abs(v - a).alias("s1"), F.abs(v - 2 * a + b).alias("s2"), F.abs(v - 3 * a + 3 * b - d).alias("s3"), (v - F.avg(value).over(W.partitionBy(*by, dim))).alias("c"))

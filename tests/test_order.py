@@ -1,11 +1,13 @@
 """Orders over whole tables, matching and small tables against NumPy and plain Python."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kinetrail.functions import columns as C
-from kinetrail.operators import causal, curation, models, order, ranking, scoring
+from kinetrail.operators import causal, curation, models, order, quality, ranking, scoring
 from kinetrail.sources.store import StageStore
 
 
@@ -105,3 +107,11 @@ def test_ranks_of_values_that_are_computed_anew(spark):
     found = scoring.correlations(df, ["x"], "y").first()
     assert found["n"] == 60 and found["spearman"] == pytest.approx(1.0)
     assert [r["spearman"] for r in scoring.prediction_metrics(df, ["g"], "y", "x").collect()] == pytest.approx([1.0, 1.0])
+
+
+def test_joint_indicators_move_rows_by_trajectory_only(spark):
+    rows = [(g, i, d, float((i * 7 + g) % 5)) for g in range(3) for i in range(8) for d in ("a", "b")]
+    df = spark.createDataFrame(rows, "g int, i int, dim string, v double").repartition(2)
+    plan = quality.joint_indicators(df, ["g"], "i", "dim", "v")._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert keys and all(re.fullmatch(r"g#\d+", k) for k in keys)
