@@ -9,18 +9,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetrail.operators.order import table_quantiles
+from kinetrail.operators.training import added, vectors
 from kinetrail.sources.store import scratch
 
 
 def impute_median(df: DataFrame, columns: list[str], else_value: float | None = None) -> DataFrame:
     """Missing values become the column's exact median (interpolated), or ``else_value`` if there is no value at all."""
-    mids = table_quantiles(df, {x: [0.5] for x in columns})
+    gaps = df.agg(F.lit(0), *[F.count_if(F.col(x).isNull()).alias(x) for x in columns]).first()
+    gappy = {x: [0.5] for x in columns if gaps[x]}  # without a gap no median is needed
+    mids = dict.fromkeys(columns, [None]) | (table_quantiles(df, gappy) if gappy else {})
     last = [F.lit(else_value)] if else_value is not None else []
     return df.withColumns({x: F.coalesce(F.col(x).cast("double"), F.lit(mids[x][0]).cast("double"), *last) for x in columns})
 
@@ -228,24 +232,37 @@ def project(columns: list[str], mean: np.ndarray, loading: np.ndarray):
 def k_means(df: DataFrame, columns: list[str], k: int, seed: int, id_col: str, rounds: int = 100) -> DataFrame:
     """``cluster``: Lloyd's rounds from k rows picked by a hash of the id; an empty cluster keeps its centre.
 
-    Each round is one aggregate: rows are assigned by an expression over the k centres and summed by cluster.
+    Columns have no NULLs. Rows are stored once as vectors; a round is one pass that adds up clusters in Arrow batches,
+    k vectors of sums a task.
     """
+    width = len(columns)
+    vector = F.array(*[F.col(c).cast("double") for c in columns])
+    rows = scratch(df.select(vector.alias("x")), "k-means-rows")
+    parts = (rows.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0) + 1
     start = df.orderBy(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), id_col).limit(k).select(*columns).collect()
-    centres = np.array([[float(v) for v in r] for r in start]).reshape(-1, len(columns))
+    centres = np.array([[float(v) for v in r] for r in start]).reshape(-1, width)
 
-    def nearest(at: np.ndarray):
-        far = [sum(((F.col(c) - float(v)) ** 2 for c, v in zip(columns, row)), F.lit(0.0)) for row in at]
-        return F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(i).alias("i")) for i, d in enumerate(far)]))["i"]
+    def nearest(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.stack([((x - c) ** 2).sum(1) for c in at], 1).argmin(1)
 
     for _ in range(rounds):
-        sums = df.groupBy(nearest(centres).alias("_i")).agg(*[F.avg(c).alias(c) for c in columns]).collect()
-        new = centres.copy()
-        for r in sums:
-            new[r["_i"]] = [r[c] for c in columns]
+
+        def work(b: pa.RecordBatch, at=centres) -> dict[int, np.ndarray]:
+            x = vectors(b.column(0), width)
+            near = nearest(x, at)
+            return {int(i): np.append(x[near == i].sum(0), (near == i).sum()) for i in np.unique(near)}
+
+        sums = added(rows, parts, len(centres), width + 1, work)
+        new = np.where(sums[:, -1:] > 0, sums[:, :-1] / np.maximum(sums[:, -1:], 1), centres)
         if np.allclose(new, centres, atol=1e-12):
             break
         centres = new
-    return df.withColumn("cluster", nearest(centres))
+
+    @F.pandas_udf("int")
+    def cluster(x: pd.Series) -> pd.Series:
+        return pd.Series(nearest(np.stack(x.to_numpy()), centres) if len(x) else [], dtype="int32")
+
+    return df.withColumn("cluster", cluster(vector))
 
 
 # --- A small network on arrays; what :mod:`training` does over partitions ------------------------------------------

@@ -200,6 +200,20 @@ def test_nearest_moves_no_row_to_every_cell(spark, monkeypatch):
         assert (near[0] == d.min(1)).all() and (near[1] == d.min(0)).all()
 
 
+def test_k_means_and_medians_of_columns_with_gaps(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.repeat([[0.0, 0.0], [9.0, 0.0], [0.0, 9.0]], 40, axis=0) + rng.normal(size=(120, 2))
+    df = frame(spark, [(i, *map(float, r), None if i % 5 else float(i)) for i, r in enumerate(x)], "id int, a double, b double, c double").repartition(3)
+    asked, plain = [], models.table_quantiles
+    monkeypatch.setattr(models, "table_quantiles", lambda rows, wanted: asked.append(list(wanted)) or plain(rows, wanted))
+    filled = models.impute_median(df, ["a", "b", "c"], 0.0)
+    assert asked == [["c"]] and {r["c"] for r in filled.collect() if r["id"] % 5} == {57.5}
+    assert models.impute_median(df, ["a", "b"], 0.0).count() == 120 and len(asked) == 1
+    got = {r["id"]: r["cluster"] for r in models.k_means(df, ["a", "b"], 3, 1, "id").collect()}
+    means = np.array([x[[i for i in got if got[i] == k]].mean(0) for k in range(3)])
+    assert [got[i] for i in range(120)] == ((x[:, None] - means[None]) ** 2).sum(2).argmin(1).tolist()
+
+
 # --- Training ---
 
 
