@@ -10,6 +10,8 @@ about its neighbours is carried over its borders, one row a slice.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from kinetrail.sources.store import scratch
 CHUNK = 1024
 #: Atoms in all that are matched without slices, in a task a scene.
 MOST_ATOMS = 100_000
+#: Rows that get their bootstrap weights at a time, and groups whose sums a task holds before it hands them on.
+DRAWN, MOST_GROUPS = 2000, 1000
 
 
 def sliced(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -153,31 +157,68 @@ def closest_pairs(df: DataFrame, scene: str, id_col: str, treated: str, p: str =
     return both.join(found.select("pair", "distance"), "pair").select(*lead, "scene", "treated_id", "control_id", "distance")
 
 
-def poisson_weight(u: Column, most: int = 12) -> Column:
-    """A Poisson(1) number from a number in [0, 1), by the inverse of its distribution (``most`` holds all but 1e-10)."""
+def poisson_bounds(most: int = 12) -> list[float]:
+    """Poisson(1)'s distribution: a number in [0, 1) draws as many as there are bounds up to it (``most`` holds all but 1e-10)."""
     upto, total = [], 0.0
     for k in range(most):
         total += math.exp(-1) / math.factorial(k)
         upto.append(total)
-    return sum(((u >= x).cast("int") for x in upto), F.lit(0))
+    return upto
+
+
+def poisson_weights(ids: list[str | None], n_boot: int, seed: int) -> np.ndarray:
+    """ids x ``n_boot``: Poisson(1) numbers from MD5 of seed, replicate and id; one hash serves four replicates."""
+    heads = [f"{seed}|{k}".encode() for k in range(-(-n_boot // 4))]
+    tails = [b"" if i is None else b"|" + i.encode() for i in ids]
+    hashes = b"".join([md5(head + tail).digest() for tail in tails for head in heads])
+    u = np.frombuffer(hashes, ">u4").reshape(len(ids), -1)[:, :n_boot].astype(np.uint32)
+    found = np.zeros(u.shape, np.uint8)
+    for x in poisson_bounds():
+        if (least := math.ceil(x * 2**32)) < 2**32:
+            found += u >= np.uint32(least)
+    return found
 
 
 def bootstrap_effects(diffs: DataFrame, by: list[str], id_col: str = "treated_id", value: str = "diff", n_boot: int = 500, seed: int = 42) -> DataFrame:
     """(by, att, n_pairs, ci_low, ci_high): mean difference with a percentile interval over ``n_boot`` resamples.
 
-    A resample gives every pair a Poisson(1) weight, which is drawn from a hash of seed, replicate and id (one hash serves
-    four replicates): the limit of drawing with replacement, without an order or a group in one place. Rows meet their replicates where they lie and
-    are added up before the shuffle: ``n_boot`` numbers a group and task move. NULL differences don't count; a resample
-    of weight 0 has no mean.
+    A resample gives every pair a Poisson(1) weight, which is drawn from a hash of seed, replicate and id: the limit of
+    drawing with replacement, without an order or a group in one place. Rows of an id are dealt to one task, side by
+    side, so that its weights are drawn once for all its groups; a task adds up its rows, and ``n_boot`` numbers a group
+    and task move. NULL differences don't count; a resample of weight 0 has no mean.
     """
     rows = diffs.select(*by, F.col(id_col).cast("string").alias("_id"), F.col(value).cast("double").alias("_d")).where("_d is not null")
-    rows = scratch(rows, "bootstrap-rows")
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a row becomes n_boot rows: small tables are dealt out first
-    draws = rows.repartition(tasks, "_id").withColumn("_four", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // 4))))
-    draws = draws.withColumn("_hash", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_four").cast("string"), "_id")))
-    number = lambda i: F.conv(F.substring("_hash", 8 * i + 1, 8), 16, 10).cast("double") / float(2**32)
-    draws = draws.select(*by, "_d", F.inline(F.array(*[F.struct((F.col("_four") * 4 + i).alias("_rep"), number(i).alias("_u")) for i in range(4)]))).where(F.col("_rep") < n_boot)
-    draws = draws.withColumn("_w", poisson_weight(F.col("_u"))).groupBy(*by, "_rep").agg(F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_d")).alias("s"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = scratch(rows.repartition(tasks, "_id").sortWithinPartitions("_id"), "bootstrap-rows")
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        total: dict[str, tuple[pa.RecordBatch, np.ndarray]] = {}
+
+        def flush():
+            for keys, sums in total.values():
+                yield pa.RecordBatch.from_arrays([*keys.columns, *[pa.array([x.tolist()], pa.list_(pa.float64())) for x in sums]], [*by, "w", "s"])
+            total.clear()
+
+        for batch in (b.slice(i, DRAWN) for b in batches for i in range(0, b.num_rows, DRAWN)):
+            named = batch.column(len(by)).dictionary_encode("encode")
+            weights = poisson_weights(named.dictionary.to_pylist(), n_boot, seed).astype(float)
+            at, d = named.indices.to_numpy(), batch.column(len(by) + 1).to_numpy()
+            groups: dict[str, list[int]] = {}
+            for i, row in enumerate(batch.select(by).to_pylist() if by else [None] * len(d)):
+                groups.setdefault(repr(row), []).append(i)
+            for key, mine in groups.items():
+                sums = np.stack([np.ones(len(mine)), d[mine]]) @ weights[at[mine]]
+                if key in total:
+                    total[key][1][:] += sums
+                else:
+                    total[key] = batch.select(by).slice(mine[0], 1), sums
+            if len(total) > MOST_GROUPS:
+                yield from flush()
+        yield from flush()
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*by).schema)
+    draws = rows.mapInArrow(work, f"{kinds}w array<double>, s array<double>")
+    draws = draws.select(*by, F.posexplode(F.arrays_zip("w", "s")).alias("_rep", "_x")).groupBy(*by, "_rep").agg(F.sum("_x.w").alias("w"), F.sum("_x.s").alias("s"))
     ends = draws.groupBy(*by).agg(F.percentile(F.when(F.col("w") > 0, F.col("s") / F.col("w")), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     plain = rows.groupBy(*by).agg(F.avg("_d").alias("att"), F.count("*").alias("n_pairs"))
     same = None

@@ -146,6 +146,31 @@ def test_bootstrap_effects_equal_plain_python_and_near_the_classic_interval(spar
     assert matching.bootstrap_effects(df.where("outcome = 'z'"), []).first()["att"] == 5.0
 
 
+def test_bootstrap_draws_an_id_once_for_all_its_groups(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(f"g{g}" if g else None, None if i == 7 else i, float(rng.normal())) for g in range(30) for i in range(40)]
+    drawn, draw = spark.sparkContext.accumulator(0), matching.poisson_weights
+
+    def counted(ids, *rest):
+        drawn.add(len(ids))
+        return draw(ids, *rest)
+
+    monkeypatch.setattr(matching, "poisson_weights", counted)
+    monkeypatch.setattr(matching, "MOST_GROUPS", 7)
+    got = {r["g"]: r for r in matching.bootstrap_effects(frame(spark, rows, "g string, id int, d double").repartition(5), ["g"], "id", "d", n_boot=30).collect()}
+    assert drawn.value == 40 and len(got) == 30
+    upto = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    ids = ["" if i == 7 else f"|{i}" for i in range(40)]
+    u = np.array([[int(hashlib.md5(f"42|{rep // 4}{i}".encode()).hexdigest()[8 * (rep % 4) : 8 * (rep % 4) + 8], 16) / 2**32 for i in ids] for rep in range(30)])
+    w = (u[:, :, None] >= upto).sum(2)
+    for g in range(30):
+        d = np.array([x for name, _, x in rows if name == (f"g{g}" if g else None)])
+        r = got[f"g{g}" if g else None]
+        assert np.allclose([r["att"], r["ci_low"], r["ci_high"]], [d.mean(), *np.percentile(w @ d / w.sum(1), [2.5, 97.5])]) and r["n_pairs"] == 40
+    whole = matching.bootstrap_effects(frame(spark, rows, "g string, id int, d double").where("g = 'g3'").drop("g"), [], "id", "d", n_boot=30).first()
+    assert [whole[c] for c in ("att", "ci_low", "ci_high")] == pytest.approx([got["g3"][c] for c in ("att", "ci_low", "ci_high")])
+
+
 # --- Nearest neighbours ---
 
 
