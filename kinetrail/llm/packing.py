@@ -26,10 +26,11 @@ Defined results
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,22 +47,34 @@ END_ID = 2
 MAX_QUEUES = 255
 #: Numbers in a table of windows by queues that a task holds at once.
 CELLS = 500_000
-#: Words and stems that a worker remembers in each of two generations, and the longest among them: some 300 MB at most.
-CACHE_WORDS, CACHE_STEMS, CACHE_CHARS = 250_000, 600_000, 64
+#: Pieces of words that a worker remembers in each of two generations, and the longest among them: some 300 MB at most.
+CACHE_PIECES, CACHE_CHARS = 800_000, 64
 #: Characters of text that are tokenised at a time.
 BLOCK_CHARS = 3_000_000
-#: A word of Latin-1 letters with plain punctuation behind it: the tokenizer lowers the word and cuts it off there.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: How the tokenizer cuts text into pieces that it encodes apart, and the same for lower-case Latin-1.
+_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PIECES = re.compile("[a-zªµºß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾\t-\r \x85\xa0]+")
 #: Separators that str.split takes for white space and the tokenizer doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Beyond Latin-1, lower-casing differs between libraries for some characters.
 _WIDE = re.compile("[^\x00-\xff]")
 
 
+def _latin(text: str) -> bool:
+    return text.isascii() or not _WIDE.search(text)
+
+
+def pieces(text: str) -> list[str]:
+    """Parts of a text that are encoded apart, in order: finer than words, as forms of one word share them."""
+    if _latin(text):  # lower case first where Python and the tokenizer agree on it
+        return _PIECES.findall(text.lower())
+    return list(chain.from_iterable(_PIECES.findall(w.lower()) if _latin(w) else [w] for w in text.split()))
+
+
 class WordTokenizer:
-    """Ids of a tokenizers file whose tokens never span white space, with a bounded cache of encoded words."""
+    """Ids of a tokenizers file whose tokens never span white space, with a bounded cache of encoded pieces."""
 
-    most_words, most_stems = CACHE_WORDS, CACHE_STEMS
+    most_pieces = CACHE_PIECES
 
     def __init__(self, path: str):
         import os
@@ -74,27 +87,29 @@ class WordTokenizer:
         ends = [i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]
         self.closes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         self.closes[ends] = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        norm, pre = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        cuts = json.loads(pre.__getstate__()).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex") if pre else None
+        #: other tokenizers' texts are cut at white space only
+        self.finer = cuts == _CUTS and norm is not None and norm.normalize_str("Aß É") == "aß é"
         self.cache, self.old_cache = {}, {}
-        self.stems, self.old_stems = {}, {}
 
     def _age(self) -> None:
-        """Full caches become the old generation; what is still in use comes back from it, the rest goes with the next."""
-        if len(self.cache) > self.most_words:
+        """A full cache becomes the old generation; what is still in use comes back from it, the rest goes with the next."""
+        if len(self.cache) > self.most_pieces:
             self.cache, self.old_cache = {}, self.cache
-        if len(self.stems) > self.most_stems:
-            self.stems, self.old_stems = {}, self.stems
 
-    def _learn(self, words: list[str], into: dict[str, bytes]) -> None:
+    def _learn(self, words: list[str]) -> None:
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             flat = np.fromiter((x for e in ids for x in e), self.kind).tobytes()
             width, at = int(self.kind[-1]), 0
             for w, e in zip(part, ids):
-                into[w] = flat[at : (at := at + len(e) * width)]
+                self.cache[w] = flat[at : (at := at + len(e) * width)]
 
     def _learn_whole(self, words: list[str]) -> None:
-        """Words that the tokenizer doesn't split: many go in as one text, and the tokens that close a word part them again."""
+        """Pieces that the tokenizer doesn't split: many go in as one text, and the tokens that close a word part them again."""
         width, odd = int(self.kind[-1]), []
         for i in range(0, len(words), 2000):
             part = words[i : i + 2000]
@@ -105,50 +120,34 @@ class WordTokenizer:
                 continue
             raw, start = flat.tobytes(), 0
             for w, stop in zip(part, ends.tolist()):
-                self.stems[w] = raw[start:stop]
+                self.cache[w] = raw[start:stop]
                 start = stop
-        self._learn(odd, self.stems)
+        self._learn(odd)
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
-        # lower case first where Python and the tokenizer agree on it: fewer different words
-        cut = [[t] if _ODD.search(t) else (t.lower() if t.isascii() or not _WIDE.search(t) else t).split() for t in texts]
-        words = list(chain.from_iterable(cut))
+        whole = {t for t in texts if _ODD.search(t) or any(a in t for a in self.added)}
+        cut = [[t] if t in whole else pieces(t) if self.finer else t.split() for t in texts]
         self._age()
-        found = list(map(self.cache.get, words))
-        missing = [w for w, ids in zip(words, found) if ids is None]
-        new, once = set(missing), {}  # ``once``: too long to remember
-        plain, stem, mark, rest = [], [], [], []
-        for w in new:
-            if (ids := self.old_cache.get(w)) is not None:
-                self.cache[w] = ids
-            elif len(w) > CACHE_CHARS:
-                rest.append(w)
-            elif m := _PLAIN.fullmatch(w):  # forms of one word (case, punctuation) share its ids
-                plain.append(w)
-                stem.append(m[1].lower())
-                mark.append(m[2])
-            else:
-                rest.append(w)
-        stems, old = self.stems, self.old_stems
-        for s in set(stem) | set(mark):
-            if s not in stems and s in old:
-                stems[s] = old[s]
-        self._learn_whole(list(set(stem) - stems.keys()))
-        self._learn(list(set(mark) - stems.keys()), stems)
-        self._learn([w for w in rest if len(w) <= CACHE_CHARS], self.cache)
-        self._learn([w for w in rest if len(w) > CACHE_CHARS], once)
-        for w, s, m in zip(plain, stem, mark):
-            self.cache[w] = stems[s] + stems[m]
-        learned = (once[w] if len(w) > CACHE_CHARS else self.cache[w] for w in missing)
-        found = [next(learned) if ids is None else ids for ids in found]
+        cache, old, plain, rest = self.cache, self.old_cache, [], []
+        for p in set().union(*cut):
+            if p not in cache:
+                if (ids := old.get(p)) is not None:
+                    cache[p] = ids
+                else:
+                    (plain if self.finer and p not in whole and _latin(p) else rest).append(p)
+        self._learn_whole(plain)
+        self._learn(rest)
         last = np.array([end], self.kind).tobytes()
-        stops = list(accumulate(map(len, cut)))
-        return [b"".join(found[a:b]) + last for a, b in zip([0, *stops], stops)]
+        found = [b"".join(map(cache.__getitem__, c)) + last for c in cut]
+        for p in chain(plain, rest):
+            if len(p) > CACHE_CHARS:  # too long to remember
+                del cache[p]
+        return found
 
 
 def tokenizer(path: str, remembered: float = 1.0) -> WordTokenizer:
     found = held("packing", path, WordTokenizer)
-    found.most_words, found.most_stems = int(CACHE_WORDS * remembered), int(CACHE_STEMS * remembered)
+    found.most_pieces = int(CACHE_PIECES * remembered)
     return found
 
 
@@ -294,7 +293,7 @@ def pack(
     ``targets``: wanted shares of tokens by source (any scale; unlisted sources keep the weight of their size
     relative to the smallest listed weight). Without it, a source's share of a window goes with its tokens to the
     ``power``: at 1 every window mirrors the corpus, below it small sources are drawn up until they run dry.
-    ``remembered``: below 1 a worker remembers fewer words and tokenises smaller blocks, for executors whose memory
+    ``remembered``: below 1 a worker remembers fewer pieces of words and tokenises smaller blocks, for executors whose memory
     other stages fill; it costs time and changes no result.
     """
     targets = targets or {}

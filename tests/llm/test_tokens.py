@@ -76,6 +76,38 @@ def test_tokenizer_cache_is_exact():
             assert np.frombuffer(out, t.kind).tolist() == [*t.tokenizer.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_forms_of_a_word_share_their_pieces():
+    t = packing.WordTokenizer(WORDS)
+    t.encode(["haus &&& - 1 9 . , (", "straße 's"], 2)
+    library, asked = t.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    t.tokenizer = Counting()
+    texts = ["Haus&&& haus-haus, (HAUS 1991.", "Straße's 99-haus haus."]
+    for text, out in zip(texts, t.encode(texts, 2)):
+        assert np.frombuffer(out, t.kind).tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+    assert not asked
+
+
+def test_pieces_equal_the_library_on_latin_letters_marks_and_special_strings():
+    rng, t = np.random.default_rng(3), packing.WordTokenizer(WORDS)
+    assert t.finer
+    wide, narrow = [chr(i) for i in range(256)], [*"a'strevmldE.,9 ²é\n", "<|endoftext|>", "Σ", "İ", "\u0301"]
+    texts = ["".join(rng.choice(x, 14)) for x in (wide, narrow) for _ in range(1500)]
+    texts += ["<|ENDOFTEXT|> a", "a<|endoftext|>", "<|endoftext|> b", "<|StartOfText|>", "ab" * 200, "AB" * 200 + ".", "Σ" * 100]
+    for _ in range(2):
+        for text, out in zip(texts, t.encode(texts, 2)):
+            assert np.frombuffer(out, t.kind).tolist() == [*t.tokenizer.encode(text, add_special_tokens=False).ids, 2], text
+    assert max(map(len, t.cache)) <= packing.CACHE_CHARS
+    plain = packing.WordTokenizer(WORDS)
+    plain.finer = False  # as for a tokenizer that cuts otherwise
+    assert plain.encode(texts[:200], 2) == t.encode(texts[:200], 2)
+
+
 def check(pieces, docs, window):
     t = packing.WordTokenizer(WORDS)
     tokens = defaultdict(list)
