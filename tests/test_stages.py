@@ -130,6 +130,59 @@ def test_vector_signals_edges(spark):
     assert got["one"]["n_frames"] == 1 and got["one"]["change_l1"] == 0.0
 
 
+def test_vector_signals_of_many_trajectories(spark, monkeypatch):
+    """One shuffle; uneven channels, gaps, heads without values, nameless channels; trajectories across the blocks that a task looks at."""
+    monkeypatch.setattr(signals, "BLOCK", 70)
+    rng, rows, want = np.random.default_rng(3), [], {}
+    for t in range(40):
+        n = int(rng.integers(1, 60)) if t else 400
+        cells = {c: {int(k): None if rng.random() < 0.2 or (c == "b" and k < n // 2) else round(float(rng.normal()), 2) for k in range(n) if rng.random() < 0.9} for c in ("b", "a", "c")[: 1 + t % 3]}
+        cells = {c: x for c, x in cells.items() if x}
+        if not cells:
+            continue
+        rows += [(t, "x", k, c, v) for c, x in cells.items() for k, v in x.items()]
+        per, frames = {}, {}
+        for c in sorted(cells):
+            ks = sorted(cells[c])
+            v = np.array([np.nan if cells[c][k] is None else cells[c][k] for k in ks])
+            m, some = min(len(v), max(10, int(len(v) * 0.1))), v[~np.isnan(v)]
+            head, tail = (x[~np.isnan(x)] for x in (v[:m], v[-m:]))
+            per[c] = (head.mean() if len(head) else np.nan, tail.mean() if len(tail) else np.nan, tail.std() if len(tail) else np.nan, np.ptp(some) if len(some) else np.nan)
+            centre = head.mean() if len(head) else np.median(some) if len(some) else np.nan
+            for i, k in enumerate(ks):
+                frames.setdefault(k, []).append((abs(v[i] - centre), abs(v[i] - v[i - 1]) if i else np.nan, i))
+        mean = lambda x: np.nan if np.isnan(x).all() else np.nanmean(x)
+        found = np.array([(mean([x[0] for x in frames[k]]), mean([x[1] for x in frames[k]]), min(x[2] for x in frames[k])) for k in sorted(frames)])
+        off, speed = found[:, 0], np.where((found[:, 2] == 0) & ~np.isnan(found[:, 0]), 0.0, found[:, 1])
+        peak, calm = (np.nan if np.isnan(off).all() else np.nanmax(off)), (0.0 if np.isnan(speed).all() else np.nanquantile(speed, 0.4))
+        moved = (off >= 0.6 * peak) & (peak > 1e-8)
+        runs = "".join("x" if x else " " for x in moved & (speed <= calm + 1e-12)).split()
+        h, late, spread, width = np.array(list(per.values())).T
+        cells_all = [v for x in cells.values() for v in x.values()]
+        want[t] = (
+            max(map(len, cells.values())), mean(np.abs(late - h)), mean(spread), sum(v is None for v in cells_all) / len(cells_all), np.nan_to_num(mean(width)), peak if peak > 1e-8 else 0.0,
+            np.nan_to_num(mean(np.where(np.isnan(off), np.nan, moved))), max(map(len, runs), default=0),
+        )
+    rows += [(0, "x", k, None, 5.0) for k in range(400)] + [(None, "x", 0, "a", 1.0), (77, "x", 0, None, 1.0)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "id int, more string, k int, dim string, v double")
+    got = signals.vector_signals(df, ["id", "more"], "k", "dim", "v")
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    told = {r["id"]: [np.nan if r[c] is None else r[c] for c in signals.EVENT_COLUMNS] for r in got.collect()}
+    assert told.keys() == want.keys()
+    for t in want:
+        # the nameless channel of trajectory 0 counts among its cells, not in its frames
+        skip = {0, 1, 2, 3, 4} if t == 0 else set()
+        assert all(i in skip or np.isclose(told[t][i], x, equal_nan=True) for i, x in enumerate(want[t])), (t, told[t], want[t])
+
+
+def test_vector_signals_add_channels_in_their_order(spark):
+    """A mean on half a millionth: its last bit doesn't follow the order in which rows come."""
+    widths = {0: 0.98, 1: 1.0, 2: 0.7999999999999999, 3: 1.03387}
+    rows = [(t, k, (d + t) % 4, k * widths[(d + t) % 4]) for t in range(200) for d in range(4) for k in (1, 0)]
+    found = signals.vector_signals(spark.createDataFrame(rows, "id int, k int, dim int, v double").repartition(7), ["id"], "k", "dim", "v")
+    assert {r["range_l1"] for r in found.collect()} == {(((0.98 + 1.0) + 0.7999999999999999) + 1.03387) / 4}
+
+
 def test_effector_axis_and_features(world):
     store, cells, table, _ = world
     mean, load, share, n = axis_of(cells)
