@@ -25,7 +25,7 @@ from kinetrail.sources.store import scratch
 BATCH, MOST_STEPS = 8192, 8
 FAN_IN = 16
 #: Rows whose hidden layers a gradient holds at a time, so that they stay in a processor's cache.
-CHUNK = 512
+CHUNK = 256
 
 
 def job_numbers(jobs: list[dict], belongs: Callable[[Column], Column]) -> Column:
@@ -64,43 +64,53 @@ class Network:
             z = h * params[6 + i] + params[8 + i]
         return z @ params[2] + params[5], z, kept
 
-    def gradient(self, flat: np.ndarray, x: np.ndarray, y: np.ndarray, kind: type = np.float64) -> np.ndarray:
-        """Summed over all rows; worked out in numbers of ``kind``, ``CHUNK`` rows at a time and in place, added up as doubles."""
-        params = [p.astype(kind) for p in self.parts(flat)]
-        mean, total = np.full((self.hidden, 1), 1 / self.hidden, kind), np.zeros(len(flat))
-        grads: list[np.ndarray] = [np.zeros(0)] * len(params)
-        for at in range(0, len(x), CHUNK):
-            z, target, kept = x[at : at + CHUNK].astype(kind), y[at : at + CHUNK].astype(kind), []
-            for i in range(2):
-                r = z @ params[i]
-                r += params[3 + i]
-                on = r > 0
-                r *= on
-                r -= r @ mean
-                inv = (1 / np.sqrt(np.einsum("ij,ij->i", r, r) / kind(self.hidden) + kind(1e-5)))[:, None]
+    def gradient(self, flat: np.ndarray, x: np.ndarray, y: np.ndarray, kind: type = np.float64, weight: np.ndarray | None = None) -> np.ndarray:
+        """Summed over all rows, each taken ``weight`` times; worked out in numbers of ``kind``, ``CHUNK`` rows at a time, added up as doubles.
+
+        What a layer norm scales, shifts and centres is folded into the weights that follow it, so a chunk only meets the
+        norm itself; a unit's values lie side by side and are changed in place.
+        """
+        w1, w2, w3, b1, b2, b3, scale1, scale2, shift1, shift2 = self.parts(flat)
+        folded = [w1, scale1[:, None] * w2, scale2[:, None] * w3]
+        folded = [f.astype(kind) for f in (w1, folded[1] - folded[1].mean(0), folded[2] - folded[2].mean(0))]
+        turned, bias = [np.ascontiguousarray(f.T) for f in folded], [b.astype(kind)[:, None] for b in (b1, b2 + shift1 @ w2, b3 + shift2 @ w3)]
+        mean, per_weight, per_bias = np.full((1, self.hidden), 1 / self.hidden, kind), [np.zeros(f.shape) for f in turned], [np.zeros(len(b)) for b in bias]
+        x, y, twice = x.T, y.T, np.full(len(x), 2.0) if weight is None else 2.0 * weight
+        n = 0
+        for at in range(0, len(twice), CHUNK):
+            z, target, kept = x[:, at : at + CHUNK].astype(kind, order="C"), y[:, at : at + CHUNK].astype(kind, order="C"), []
+            if z.shape[1] != n:
+                n = z.shape[1]
+                ones, (first, second, one, other), on = np.ones(n, kind), np.empty((4, self.hidden, n), kind), np.empty((2, self.hidden, n), bool)
+            for i, r in enumerate((first, second)):
+                np.matmul(turned[i], z, out=r)
+                r += bias[i]
+                r *= np.greater(r, 0, out=on[i])
+                r -= mean @ r
+                inv = 1 / np.sqrt(mean @ np.multiply(r, r, out=one) + kind(1e-5))
                 r *= inv
-                kept.append((z, r, on, inv))
-                z = r * params[6 + i]
-                z += params[8 + i]
-            g = z @ params[2]
-            g += params[5] - target
-            g *= kind(2)
-            grads[2], grads[5] = z.T @ g, g.sum(0)
-            g = g @ params[2].T
-            for i in (1, 0):
-                z, h, on, inv = kept[i]
-                grads[6 + i], grads[8 + i] = np.einsum("ij,ij->j", g, h), g.sum(0)
-                g *= params[6 + i]
-                h *= np.einsum("ij,ij->i", g, h)[:, None] / kind(self.hidden)
-                h += g @ mean
+                kept.append((z, r, inv))
+                z = r
+            g = turned[2] @ z
+            g += bias[2] - target
+            g *= twice[at : at + CHUNK].astype(kind)
+            per_weight[2] += g @ z.T
+            per_bias[2] += g @ ones
+            g = np.multiply(folded[2], g, out=one) if self.n_out == 1 else np.matmul(folded[2], g, out=one)
+            for i, free in ((1, other), (0, one)):
+                z, h, inv = kept[i]
+                h *= mean @ np.multiply(g, h, out=free)
                 g -= h
                 g *= inv
-                g *= on
-                grads[i], grads[3 + i] = z.T @ g, g.sum(0)
+                g *= on[i]
+                per_weight[i] += g @ z.T
+                per_bias[i] += g @ ones
                 if i:
-                    g = g @ params[i].T
-            total += np.concatenate([v.ravel() for v in grads])
-        return total
+                    g = np.matmul(folded[1], g, out=other)
+        per_weight = [p.T for p in per_weight]
+        grads = [per_weight[0], scale1[:, None] * per_weight[1] + np.outer(shift1, per_bias[1]), scale2[:, None] * per_weight[2] + np.outer(shift2, per_bias[2]), *per_bias]
+        grads += [(per_weight[1] * w2).sum(1), (per_weight[2] * w3).sum(1), w2 @ per_bias[1], w3 @ per_bias[2]]
+        return np.concatenate([v.ravel() for v in grads])
 
 
 def vectors(column: pa.Array, width: int) -> np.ndarray:
@@ -123,8 +133,7 @@ def added(rows: DataFrame, parts: int, n_jobs: int, size: int, work: Callable[[p
             for job, value in work(batch).items():
                 total[job] = total[job] + value if job in total else value
         part = TaskContext.get().partitionId()
-        for job, value in total.items():
-            yield pa.RecordBatch.from_pydict({"job": pa.array([job], pa.int32()), "part": pa.array([part], pa.int32()), "sums": pa.array([value.tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"job": pa.array(list(total), pa.int32()), "part": pa.array([part] * len(total), pa.int32()), "sums": pa.array([v.tobytes() for v in total.values()], pa.binary())})
 
     def merge(table: pa.Table) -> pa.Table:
         sums = np.sum([np.frombuffer(x, float) for x in table.column("sums").to_pylist()], 0)
@@ -136,8 +145,9 @@ def added(rows: DataFrame, parts: int, n_jobs: int, size: int, work: Callable[[p
         level = level.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("job", "part").applyInArrow(merge, kind)
         parts = -(-parts // FAN_IN)
     out = np.zeros((n_jobs, size))
-    for r in level.collect():  # a vector for each job and one of at most FAN_IN groups
-        out[r["job"]] += np.frombuffer(bytes(r["sums"]), float)
+    found = level.toArrow()  # a vector for each job and one of at most FAN_IN groups
+    for job, sums in zip(found.column("job").to_pylist(), found.column("sums")):
+        out[job] += np.frombuffer(sums.as_buffer(), float)
     return out
 
 
@@ -155,7 +165,8 @@ class Trained:
 def train_networks(samples: DataFrame, seeds: list[int], train: str = "train", id_col: str = "sample_id", hidden: int = 128, epochs: int = 35, rate: float = 1e-3, decay: float = 1e-5, batch: int = BATCH, most_steps: int = MOST_STEPS) -> Trained:
     """One network for each of ``seeds``: job i trains on the rows whose ``train`` array names i. Columns: x and y arrays.
 
-    Rows are dealt to an epoch's steps by a hash of their id and stored by step, so a step reads its own rows only.
+    Rows are dealt to an epoch's steps by a hash of their id and stored by step, so a step reads its own rows only. Rows of
+    a step that are equal in x, y and jobs are stored once with their number, which is exact: they count that often.
     Gradients of mini-batches are worked out in single precision (as such networks commonly are) and added up in double;
     parameters are doubles. With one batch an epoch all is in double precision.
     """
@@ -167,17 +178,19 @@ def train_networks(samples: DataFrame, seeds: list[int], train: str = "train", i
     steps = max(1, min(most_steps, -(-n // batch)))
     precision = np.float64 if steps == 1 else np.float32
     stored = rows.select(*[F.col(c).cast("array<double>").alias(c) for c in ("x", "y")], F.col(train).cast("array<int>").alias(train), F.pmod(F.xxhash64(F.col(id_col)), F.lit(steps)).cast("int").alias("step"))
+    stored = stored.groupBy("x", "y", train, "step").agg(F.count("*").alias("weight"))
     # as many files a step as there are cores: every step is a pass of all of them
     stored = scratch(stored.repartition(samples.sparkSession.sparkContext.defaultParallelism), "training-rows", ["step"])
-    parts = (stored.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0) + 1
+    of_step = [stored.where(F.col("step") == s).drop("step") for s in range(steps)]
+    parts = [rows.rdd.getNumPartitions() for rows in (stored, *of_step)]
     wanted = set(range(n_jobs))
 
     def moments(about: np.ndarray, power: int):
         def work(b: pa.RecordBatch) -> dict[int, np.ndarray]:
-            both = np.hstack([vectors(b.column(0), n_in), vectors(b.column(1), n_out)])
-            return {j: np.append(((both[at] - about[j]) ** power).sum(0), len(at)) for j, at in masks(b.column(2), wanted).items()}
+            both, times = np.hstack([vectors(b.column(0), n_in), vectors(b.column(1), n_out)]), b.column(3).to_numpy()
+            return {j: np.append(times[at] @ (both[at] - about[j]) ** power, times[at].sum()) for j, at in masks(b.column(2), wanted).items()}
 
-        return added(stored.drop("step"), parts, n_jobs, n_in + n_out + 1, work)
+        return added(stored.drop("step"), parts[0], n_jobs, n_in + n_out + 1, work)
 
     first = moments(np.zeros((n_jobs, n_in + n_out)), 1)
     counts = np.maximum(first[:, -1:], 1)
@@ -197,13 +210,13 @@ def train_networks(samples: DataFrame, seeds: list[int], train: str = "train", i
 
             def work(b: pa.RecordBatch, now=now) -> dict[int, np.ndarray]:
                 flat, scale = now.value
-                x, y, out = vectors(b.column(0), n_in), vectors(b.column(1), n_out), {}
+                x, y, times, out = vectors(b.column(0), n_in), vectors(b.column(1), n_out), b.column(3).to_numpy(), {}
                 for j, at in masks(b.column(2), wanted).items():
                     mx, sx, my, sy = np.split(scale[j], np.cumsum([n_in, n_in, n_out]))
-                    out[j] = np.append(net.gradient(flat[j], (x[at] - mx) / sx, (y[at] - my) / sy, precision), len(at))
+                    out[j] = np.append(net.gradient(flat[j], (x[at] - mx) / sx, (y[at] - my) / sy, precision, times[at]), times[at].sum())
                 return out
 
-            sums = added(stored.where(F.col("step") == step).drop("step"), parts, n_jobs, params.shape[1] + 1, work)
+            sums = added(of_step[step], parts[1 + step], n_jobs, params.shape[1] + 1, work)
             now.unpersist()
             here = sums[:, -1] > 0
             g = sums[:, :-1] / np.maximum(sums[:, -1:] * n_out, 1)

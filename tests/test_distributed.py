@@ -296,6 +296,44 @@ def test_gradient_in_chunks_and_single_precision():
     assert net.gradient(flat, x[:0], y[:0]).tolist() == [0.0] * len(flat)
 
 
+def test_gradient_of_weighted_rows():
+    rng = np.random.default_rng(6)
+    for n_out, hidden in ((1, 24), (3, 7)):
+        net, n = training.Network(4, n_out, hidden), training.CHUNK + 9
+        flat, x, y, w = net.start(5) + rng.normal(size=net.edges[-1]) / 10, rng.normal(size=(n, 4)), rng.normal(size=(n, n_out)), rng.integers(1, 5, n)
+        want = net.gradient(flat, np.repeat(x, w, 0), np.repeat(y, w, 0))
+        assert np.allclose(net.gradient(flat, x, y, weight=w), want, rtol=1e-9, atol=1e-9)
+        assert np.abs(net.gradient(flat, x, y, np.float32, w) - want).max() < 1e-4 * np.abs(want).max()
+
+
+@pytest.mark.parametrize("batch", [10**6, 70])
+def test_equal_training_rows_are_stored_once(spark, monkeypatch, batch):
+    """Seven copies of every row: one row of weight seven in a full batch, at most one a step in mini-batches; the networks are those of all rows."""
+    stored, plain = [], training.scratch
+    monkeypatch.setattr(training, "scratch", lambda rows, *a: stored.append(plain(rows, *a)) or stored[-1])
+    x, y, df = samples_of(spark, 60)
+    copies = df.crossJoin(spark.range(7)).withColumn("sample_id", F.concat("sample_id", F.lit("-"), "id")).drop("id").repartition(4)
+    many = training.train_networks(copies, [1, 2, 3], hidden=8, epochs=5, batch=batch)
+    rows, dealt = stored[0].count(), stored[0].agg(F.sum("weight")).first()[0]
+    if batch > 420:
+        once = training.train_networks(df, [1, 2, 3], hidden=8, epochs=5, batch=batch)
+        assert (rows, dealt) == (60, 420) and np.allclose(once.scales, many.scales) and np.abs(once.predict(1, x) - many.predict(1, x)).max() < 1e-6
+        return
+    assert 60 <= rows < 400 and dealt == 420
+    # by hand: the same steps over all copies, one by one
+    net, j = training.Network(3, 2, 8), 1
+    told = copies.withColumn("step", F.pmod(F.xxhash64("sample_id"), F.lit(6))).where(F.array_contains("train", j)).toPandas()
+    a, b, step = np.array(told["x"].tolist()), np.array(told["y"].tolist()), told["step"].to_numpy()
+    a, b = (a - a.mean(0)) / a.std(0), (b - b.mean(0)) / b.std(0)
+    flat, m, v = net.start(2), 0.0, 0.0
+    for t in range(1, 31):
+        at = step == (t - 1) % 6
+        g = net.gradient(flat, a[at], b[at]) / (at.sum() * 2)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        flat = flat * (1 - 1e-3 * 1e-5) - 1e-3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    assert np.abs(many.params[j] - flat).max() < 1e-3 and np.abs(many.params[j] - net.start(2)).max() > 1e-2
+
+
 # --- Selections ---
 
 
