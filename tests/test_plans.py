@@ -76,7 +76,7 @@ def test_rounded_as_the_twins_round(spark, duck):
     """Doubles just below a half, as means of figures with few decimals give them; supplier 525's range at sf0.1 is the first."""
     xs = [(0.98 + 1.0 + 0.7999999999999999 + 1.0364380000000001) / 4, 0.9541095, -0.9541094999999999, 1.0000005, 0.0, -1e-9, 123456.7890625, None, 1e16]
     got = [r["x"] for r in motion_queries.rounded(spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")).orderBy("i").collect()]
-    assert got == [duck.execute("SELECT round(CAST(? AS DOUBLE), 6) + 0.0", [x]).fetchone()[0] for x in xs] and got[0] == 0.95411
+    assert got == [duck.execute("SELECT round(CAST(? AS DOUBLE), 6) + 0.0", [x]).fetchall()[0][0] for x in xs] and got[0] == 0.95411
 
 
 def table(df):
